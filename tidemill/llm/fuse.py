@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 
-_HEAD = struct.Struct("<QIIQ")
+HEAD = "<QIIQ"  # seed, segment, count, keys
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -55,7 +55,7 @@ def build(keys: np.ndarray) -> bytes:
     for freed, own in reversed(order):
         table[own] = 0
         table[own] = prints[freed] ^ table[slots[0, freed]] ^ table[slots[1, freed]] ^ table[slots[2, freed]]
-    return _HEAD.pack(seed, segment, count, n) + table.tobytes()
+    return struct.pack(HEAD, seed, segment, count, n) + table.tobytes()
 
 
 def _peel(slots: np.ndarray, n: int, size: int):
@@ -79,10 +79,10 @@ def _peel(slots: np.ndarray, n: int, size: int):
 
 
 def contains(blob: bytes, keys: np.ndarray) -> np.ndarray:
-    seed, segment, count, n = _HEAD.unpack_from(blob)
+    seed, segment, count, n = struct.unpack_from(HEAD, blob)
     if n == 0:
         return np.zeros(len(keys), bool)
-    table = np.frombuffer(blob, np.uint8, offset=_HEAD.size)
+    table = np.frombuffer(blob, np.uint8, offset=struct.calcsize(HEAD))
     h = _mix(keys.astype(np.uint64), seed)
     a, b, c = _slots(h, segment, count)
     return (table[a] ^ table[b] ^ table[c]) == _print(h)
