@@ -131,3 +131,82 @@ def coded(words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
     """A code for each word and the distinct words by code."""
     found = words.dictionary_encode()
     return np.asarray(found.indices, dtype=np.int64), found.dictionary.to_pylist()
+
+
+#: Text bytes of a slice, the unit that slice tables hold.
+TABLE_SLICE_BYTES = 16 << 20
+SLICES = "slice_id long, doc_ids array<long>, n_words array<int>, codes binary, words array<string>"
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """uint32 codes, byte planes apart, compressed."""
+    return b"%d:" % len(codes) + pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    head, _, body = blob.partition(b":")
+    n = int(head)
+    planes = np.frombuffer(pa.decompress(body, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def word_slices(docs: DataFrame, id_col: str, text_col: str, lower: bool, limit: int = TABLE_SLICE_BYTES) -> DataFrame:
+    r"""Slices of documents with their words as codes: columns SLICES.
+
+    Words are ``[^\x20\x09-\x0D]+``, with A-Z lower-cased if asked; a null
+    text has none.  ``codes`` index ``words``, the slice's distinct words.
+    """
+    small_batches(docs.sparkSession)
+
+    def code(batches):
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(slices(batches, "text", limit)):
+            words, at = words_of(batch.column("text"), lower)
+            found = words.dictionary_encode()
+            distinct = found.dictionary.cast(pa.large_string()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([base + k], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at)], pa.list_(pa.int32())),
+                pa.array([packed(np.asarray(found.indices))], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct),
+            ], ["slice_id", "doc_ids", "n_words", "codes", "words"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(code, SLICES)
+
+
+_PLACES = 64
+_TABLE: list[np.ndarray] = []
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit tabulation hash of each word: the sum of a random number for each place and byte."""
+    if not _TABLE:
+        _TABLE.append(np.random.default_rng(20240229).integers(0, 1 << 64, (_PLACES, 256), dtype=np.uint64).ravel())
+    raw, at = utf8_buffer(words)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))
+    with np.errstate(over="ignore"):
+        each = _TABLE[0][(place % _PLACES << 8) | raw]
+        if len(place) and place.max() >= _PLACES:
+            each *= (2 * (place // _PLACES) + 1).astype(np.uint64)
+        ends = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)))
+        out = ends[at[1:]] - ends[at[:-1]]
+        out ^= out >> np.uint64(31)
+        return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` words from each place on; the last n - 1 places are left out."""
+    count = max(0, len(hashes) - n + 1)
+    out = np.zeros(count, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = (out ^ hashes[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+    return out
+
+
+def starts_of(n_words: np.ndarray) -> np.ndarray:
+    """Where the words of each document start, and the end."""
+    return np.concatenate(([0], np.cumsum(n_words))).astype(np.int64)
