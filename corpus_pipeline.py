@@ -1,7 +1,58 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline of five stages, each an operator of ``tidemill.llm``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm.common import materialize, table
+from tidemill.llm.dedup import exact_dedup
+from tidemill.llm.jaccard import one_of_each
+from tidemill.llm.langid import accepted
+from tidemill.llm.mixing import mixed
+from tidemill.llm.pieces import encode_documents
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that have a language."""
+    return accepted(docs)
+
+
+def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of documents with equal texts, the one with the largest id."""
+    dropped = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__dropped")), "left_anti")
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts all documents into the order of the mix."""
+    return mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of each document."""
+    return encode_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", dedup_exact), ("jaccard_join", dedup_near), ("mix_sources", mix_sources), ("pieces", encode_pieces)]
+
+#: Language ID, the order of the mix and the pieces have no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{name}")
+    return docs

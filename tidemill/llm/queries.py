@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup import exact_dedup
 
@@ -28,13 +34,50 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_components
+
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
     return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("ok").alias("verified"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_mix_sources, op4_secret_scan, op9_warc)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_pieces, op2_exact_dedup, op3_mix_sources, op4_secret_scan, op5_language_id, op6_lm_score, op7_nearest, op8_jaccard_join, op9_warc, op10_substring_dedup)
+}
+
+#: Words of each document with their places, as DuckDB sees them.
+_WORDS = """
+    t AS (SELECT * FROM (SELECT doc_id, unnest(string_split_regex(coalesce({text}, ''), '[ \\t\\n\\x0B\\f\\r]+')) AS word,
+                                generate_subscripts(string_split_regex(coalesce({text}, ''), '[ \\t\\n\\x0B\\f\\r]+'), 1) AS pos FROM documents) WHERE word <> '')"""
 
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": """
@@ -46,4 +89,22 @@ ORACLE: dict[str, str] = {
         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first_id <> page_id THEN first_id END AS refers_to, true AS verified FROM f""",
+    "op8_jaccard_join": "WITH RECURSIVE" + _WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """,
+        n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+        g AS (SELECT doc_id, string_agg(word, ' ') OVER w AS s, count(*) OVER w AS k FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+        s AS (SELECT DISTINCT g.doc_id, g.s FROM g JOIN n USING (doc_id) WHERE k = 4
+              UNION SELECT doc_id, string_agg(word, ' ' ORDER BY pos) FROM t JOIN n USING (doc_id) WHERE n < 4 GROUP BY 1),
+        c AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+        b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        l AS (SELECT b.a, b.b FROM b JOIN c x ON x.doc_id = b.a JOIN c y ON y.doc_id = b.b WHERE 100 * b.n >= 85 * (x.c + y.c - b.n)),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT d.doc_id, coalesce(c.c, 0) AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id
+        FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) m USING (doc_id)""",
+    "op10_substring_dedup": "WITH" + _WORDS.format(text="text") + """,
+        g AS (SELECT doc_id, pos, word, string_agg(word, ' ') OVER w AS s, count(*) OVER w AS k FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+        f AS (SELECT doc_id, pos, word, k = 13 AND min(doc_id) OVER (PARTITION BY s, k) < doc_id AS again FROM g),
+        c AS (SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM f)
+        SELECT d.doc_id, count(c.pos) AS n_words, count(*) FILTER (WHERE c.gone) AS n_removed,
+               sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.pos) FILTER (WHERE NOT c.gone), '')) AS kept_sha256
+        FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1""",
 }
