@@ -134,13 +134,13 @@ def coded(words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
 
 
 #: Text bytes of a slice, the unit that slice tables hold.
-TABLE_SLICE_BYTES = 16 << 20
-SLICES = "slice_id long, doc_ids array<long>, n_words array<int>, codes binary, words array<string>"
+TABLE_SLICE_BYTES = 8 << 20
+SLICES = "slice_id long, doc_ids array<long>, n_words array<int>, codes binary, words binary"
 
 
 def packed(codes: np.ndarray) -> bytes:
     """uint32 codes, byte planes apart, compressed."""
-    return b"%d:" % len(codes) + pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+    return b"%d:" % len(codes) + pa.Codec("zstd", compression_level=5).compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
@@ -150,11 +150,26 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def packed_words(words: pa.Array) -> bytes:
+    """The lengths of words, then their bytes, both compressed."""
+    raw, at = utf8_buffer(words)
+    lengths = packed(np.diff(at))
+    return b"%d:%d:" % (len(lengths), len(raw)) + lengths + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_words(blob: bytes) -> pa.Array:
+    n, size, rest = blob.split(b":", 2)
+    at = np.concatenate(([0], np.cumsum(unpacked(rest[: int(n)])))).astype(np.int64)
+    raw = pa.decompress(rest[int(n) :], int(size), codec="zstd")
+    return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), raw])
+
+
 def word_slices(docs: DataFrame, id_col: str, text_col: str, lower: bool, limit: int = TABLE_SLICE_BYTES) -> DataFrame:
     r"""Slices of documents with their words as codes: columns SLICES.
 
     Words are ``[^\x20\x09-\x0D]+``, with A-Z lower-cased if asked; a null
-    text has none.  ``codes`` index ``words``, the slice's distinct words.
+    text has none.  ``codes`` index ``words``, the slice's distinct words, the
+    most frequent first; both are packed.
     """
     small_batches(docs.sparkSession)
 
@@ -165,10 +180,13 @@ def word_slices(docs: DataFrame, id_col: str, text_col: str, lower: bool, limit:
         for k, batch in enumerate(slices(batches, "text", limit)):
             words, at = words_of(batch.column("text"), lower)
             found = words.dictionary_encode()
-            distinct = found.dictionary.cast(pa.large_string()).cast(pa.string())
+            codes = np.asarray(found.indices)
+            order = np.argsort(-np.bincount(codes, minlength=len(found.dictionary)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
             yield pa.RecordBatch.from_arrays([
                 pa.array([base + k], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at)], pa.list_(pa.int32())),
-                pa.array([packed(np.asarray(found.indices))], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct),
+                pa.array([packed(rank[codes])], pa.binary()), pa.array([packed_words(found.dictionary.take(pa.array(order)))], pa.binary()),
             ], ["slice_id", "doc_ids", "n_words", "codes", "words"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(code, SLICES)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import materialize, starts_of, unpacked, word_slices
+from .common import materialize, starts_of, unpacked, unpacked_words, word_slices
 
 #: Shares of the training texts (in sixteenths) and step sizes of the rounds.
 ROUNDS = ((1, 0.02), (3, 0.01), (5, 0.006), (7, 0.003))
@@ -41,7 +41,7 @@ def _word_counts(batches):
         for row in range(batch.num_rows):
             ids = batch.column("doc_ids")[row].as_py()
             training = crc(ids) % 5 != 1
-            words = batch.column("words")[row].values if hasattr(batch.column("words")[row], "values") else pa.array([], pa.string())
+            words = unpacked_words(batch.column("words")[row].as_py())
             at = starts_of(np.asarray(batch.column("n_words")[row].values))
             codes = unpacked(batch.column("codes")[row].as_py())
             n = np.bincount(codes[np.repeat(training, np.diff(at))], minlength=len(words))
@@ -65,12 +65,12 @@ class Vocabulary:
 
 
 def _coded(batch: pa.RecordBatch, row: int, vocabulary: Vocabulary):
-    words = batch.column("words")[row].values
+    words = unpacked_words(batch.column("words")[row].as_py()).cast(pa.string())
     ids = batch.column("doc_ids")[row].as_py()
     at = starts_of(np.asarray(batch.column("n_words")[row].values))
     codes = unpacked(batch.column("codes")[row].as_py())
     number = vocabulary.numbers(words) if len(words) else np.zeros(0, np.int64)
-    return ids, at, codes, number
+    return ids, at, codes, number, words
 
 
 def train(slices: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ def train(slices: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> np.n
             trainer = gru.Trainer(gru.shaped(values), rate)
             for batch in batches:
                 for row in range(batch.num_rows):
-                    ids, at, codes, number = _coded(batch, row, vocabulary)
+                    ids, at, codes, number, _ = _coded(batch, row, vocabulary)
                     c = crc(ids)
                     part = c // 5 % 16
                     trainer.fit(number[codes].astype(np.int16) if len(codes) else np.zeros(0, np.int16), at, np.flatnonzero((c % 5 != 1) & (part >= span[0]) & (part < span[1])))
@@ -144,8 +144,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         p = gru.shaped(values)
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, at, codes, number = _coded(batch, row, vocabulary)
-                words = batch.column("words")[row].values
+                ids, at, codes, number, words = _coded(batch, row, vocabulary)
                 count = np.zeros(len(words), np.int64)
                 if len(words):
                     frequent = pc.index_in(words, vocabulary.frequent)

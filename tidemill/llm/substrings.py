@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import binary_array, grams, materialize, starts_of, unpacked, utf8_buffer, word_hashes, word_slices
+from .common import binary_array, grams, materialize, starts_of, unpacked, unpacked_words, utf8_buffer, word_hashes, word_slices
 from .fm import FMIndex, interval_minima
 
 WINDOW = 13
@@ -28,6 +28,8 @@ WINDOW = 13
 ANCHOR = 3
 #: Segments that a shard is sized for.
 SHARD_SEGMENTS = 50_000
+#: Bits of a segment of which all windows are repeats.
+ALL = (1 << 41) - 1
 #: A document id that counts as larger than all others.
 LAST = np.iinfo(np.int64).max
 
@@ -36,7 +38,7 @@ class Slice:
     """A row of the slice table."""
 
     def __init__(self, batch: pa.RecordBatch, row: int):
-        self.words = batch.column("words")[row].values
+        self.words = unpacked_words(batch.column("words")[row].as_py())
         self.ids = batch.column("doc_ids")[row].values
         self.at = starts_of(np.asarray(batch.column("n_words")[row].values))
         self.codes = unpacked(batch.column("codes")[row].as_py())
@@ -173,7 +175,10 @@ def _match(window: int):
         own = np.asarray(table["content"])
         content, doc_id, bits = shard_matches(own, np.asarray(table["doc_id"]), table["words"].to_pylist(), window)
         at = np.searchsorted(content, own)
-        return pa.table({"slice_id": table["slice_id"], "content": table["content"], "least": doc_id[at], "bits": bits[at]})
+        # a slice whose first document with the segment isn't the first of all loses all windows of it
+        flags = np.where(np.asarray(table["doc_id"]) > doc_id[at], ALL, bits[at])
+        told = pa.table({"slice_id": table["slice_id"], "content": table["content"], "bits": flags})
+        return told.filter(pa.array(flags != 0))
 
     return match
 
@@ -185,19 +190,23 @@ def _remove(window: int, id_col: str):
                 own = Slice(batch, row)
                 found = batch.column("found")[row]
                 start = np.zeros(len(own.codes) + 1, np.int64)  # +1 where a repeated window starts, -1 where it ends
+                _, first, count, doc = own.segments(window)
+                content, ids = own.contents(first, count, window) if len(first) else first, own.order_ids[doc]
+                by = np.lexsort((ids, content))
+                groups = np.concatenate(([True], content[by][1:] != content[by][:-1])) if len(by) else np.zeros(0, bool)
+                number = np.cumsum(groups) - 1
+                flags = np.zeros(int(groups.sum()), np.int64)
                 if found.is_valid and len(found.values):
-                    _, first, count, doc = own.segments(window)
-                    content, least, bits = (np.asarray(found.values.field(k)) for k in range(3))
-                    by = np.argsort(content)
-                    mine = own.contents(first, count, window)
-                    at = by[np.minimum(np.searchsorted(content, mine, sorter=by), len(by) - 1)]
-                    hit = np.flatnonzero(content[at] == mine)
-                    at, first, count, ids = at[hit], first[hit], count[hit], own.order_ids[doc[hit]]
-                    flags = np.where(ids > least[at], (1 << count) - 1, bits[at])
-                    for k in range(int(count.max(initial=0))):
-                        places = first[(flags >> k & 1) == 1] + k
-                        np.add.at(start, places, 1)
-                        np.add.at(start, places + window, -1)
+                    told, bits = (np.asarray(found.values.field(k)) for k in range(2))
+                    flags[np.searchsorted(content[by][groups], told)] = bits
+                # later documents of the slice repeat its first one with the segment
+                each = np.where(ids[by] > ids[by][groups][number], ALL, flags[number])
+                hit = np.flatnonzero(each)
+                each, first, count = each[hit], first[by[hit]], count[by[hit]]
+                for k in range(int(count.max(initial=0))):
+                    places = first[(each >> k & 1 == 1) & (count > k)] + k
+                    np.add.at(start, places, 1)
+                    np.add.at(start, places + window, -1)
                 keep = np.cumsum(start)[:-1] == 0
                 doc = np.repeat(np.arange(len(own.at) - 1), np.diff(own.at))
                 kept = np.bincount(doc[keep], minlength=len(own.at) - 1)
@@ -242,8 +251,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     wanted = materialize(counted.where("slices > 1 or any").groupBy("slice_id").agg(F.collect_list("anchor").alias("wanted")), "substring-anchors")
     shards = int(wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) // SHARD_SEGMENTS + 1
     segments = slices.join(wanted, "slice_id").mapInArrow(_segments(window, shards), "shard int, content long, doc_id long, words binary, slice_id long")
-    matched = segments.groupBy("shard").applyInArrow(_match(window), "slice_id long, content long, least long, bits long")
-    found = matched.groupBy("slice_id").agg(F.collect_list(F.struct("content", "least", "bits")).alias("found"))
+    matched = segments.groupBy("shard").applyInArrow(_match(window), "slice_id long, content long, bits long")
+    found = matched.groupBy("slice_id").agg(F.collect_list(F.struct("content", "bits")).alias("found"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = slices.join(found, "slice_id", "left").mapInArrow(_remove(window, "__id"), "`__id` long, n_words long, n_removed long, kept_sha256 string, kept_text binary")
     return out.select(F.col("__id").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")
