@@ -27,6 +27,8 @@ ROUNDS = ((1, 0.02), (3, 0.01), (5, 0.006), (7, 0.003))
 END_WORD = " "
 #: Numbers of the model that are averaged in one task.
 CHUNK = 4096
+#: Tokens that a task scores together.
+SCORE_TOKENS = 4_000_000
 #: Most frequent words that are looked up without a shuffle.
 FREQUENT = 16_384
 
@@ -142,6 +144,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def score(batches):
         values, vocabulary = shared.value
         p = gru.shaped(values)
+        norm = np.log10(n_all + 0.5 * (v_all + 1))
+        held: list[tuple] = []
+
+        def flush():
+            number = np.concatenate([x[1] for x in held])
+            size = np.concatenate([np.diff(x[2]) for x in held])
+            lm = gru.score(p, number, starts_of(size)) / np.log(10)
+            done = 0
+            for ids, _, at, base, other, n_known in held:
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, pa.int64()), pa.array(crc(ids) % 5 == 1), pa.array(np.diff(at) + 1), pa.array(n_known, pa.int64()), pa.array(np.full(n, n_all)), pa.array(base, pa.float64()), pa.array(lm[done : done + n] + other, pa.float64()),
+                ], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                done += n
+            held.clear()
+
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, at, codes, number, words = _coded(batch, row, vocabulary)
@@ -155,17 +173,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     pos, n = (np.asarray(found.values.field(k)) for k in (0, 1))
                     inside = pos < len(words)  # the end has a place of its own
                     count[pos[inside]] = n[inside]
-                end = own_end
                 text = np.repeat(np.arange(len(ids)), np.diff(at))
-                norm = np.log10(n_all + 0.5 * (v_all + 1))
-                base = np.bincount(text, (np.log10(count + 0.5) - norm)[codes] if len(codes) else None, minlength=len(ids)) + np.log10(end + 0.5) - norm
-                inside_other = np.where(number == gru.OTHER, np.log10(count + 0.5) - np.log10(n_other + 0.5 * (v_other + 1)), 0.0)
-                lm = gru.score(p, number[codes].astype(np.int16) if len(codes) else np.zeros(0, np.int16), at) / np.log(10) + np.bincount(text, inside_other[codes] if len(codes) else None, minlength=len(ids))
-                n_known = np.bincount(text, (count > 0)[codes] if len(codes) else None, minlength=len(ids)).astype(np.int64) + (end > 0)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(crc(ids) % 5 == 1), pa.array(np.diff(at) + 1), pa.array(n_known, pa.int64()), pa.array(np.full(len(ids), n_all)), pa.array(base, pa.float64()), pa.array(lm, pa.float64()),
-                ], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                sums = lambda x, text=text, codes=codes, n=len(ids): np.bincount(text, x[codes], minlength=n) if len(codes) else np.zeros(n)
+                other = sums(np.where(number == gru.OTHER, np.log10(count + 0.5) - np.log10(n_other + 0.5 * (v_other + 1)), 0.0))
+                base = sums(np.log10(count + 0.5) - norm) + np.log10(own_end + 0.5) - norm
+                held.append((ids, number[codes].astype(np.int16), at, base, other, sums(count > 0).astype(np.int64) + (own_end > 0)))
+                if sum(len(x[1]) for x in held) >= SCORE_TOKENS:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     own_end = int(own.get(END_WORD, 0))
     scored = slices.join(back, "slice_id", "left").select("doc_ids", "n_words", "codes", "words", "found")
-    return scored.mapInArrow(score, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
