@@ -1,4 +1,4 @@
 """Named queries over the star-schema and text tables, with DuckDB SQL for each."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import events, items, texts  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
