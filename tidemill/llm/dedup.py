@@ -93,9 +93,9 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id_col: str
 
     # byte checks: rows of suspect digests are grouped by their whole texts
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    checked = materialize(texts.join(suspects, "sha", "left_semi"), "dedup-checked")
+    checked = materialize(texts.join(suspects.hint("merge"), "sha", "left_semi"), "dedup-checked")
     kept = checked.groupBy("sha", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     kept = materialize(kept, "dedup-kept")
-    multiple = checked.join(kept, ["sha", "text"]).select("id", "keep_id", "group_size", "sha")
+    multiple = checked.join(kept.hint("merge"), ["sha", "text"]).select("id", "keep_id", "group_size", "sha")
     single = flat.select("id", "sha").join(suspects, "sha", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return single.unionByName(multiple).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
