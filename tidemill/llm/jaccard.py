@@ -21,22 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, materialize, starts_of, unpacked, word_hashes, word_slices
+from .common import grams, materialize, starts_of, unpacked, unpacked_words, word_hashes, word_slices
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Bits of a shingle's hash, and documents that are sorted together.
-HASH_BITS, TOGETHER = 52, 1 << (64 - 52)
+HASH_BITS, TOGETHER = 52, 512
 MASK = np.uint64((1 << HASH_BITS) - 1)
 #: Shingles of this many documents of a slice are told of, and as many of the most frequent go last.
 #: Any order gives the same links; this one makes lists short.
 FREQUENT_IN_SLICE, FREQUENT = 8, 1 << 18
 #: Entries of a list that go to one task, neighbours that an entry is paired with, and pairs of members that two groups expand into.
-LIST_ROWS, NEIGHBOURS, EXPANDED = 10_000, 8, 64
-BITS = 1024
+LIST_ROWS, NEIGHBOURS, EXPANDED = 10_000, 3, 16
+BITS = 512
 BLOCK = 2_000
 #: Pairs that a task verifies.
-VERIFY_PAIRS = 20_000
+VERIFY_PAIRS = 5_000
 
 POSTING, MEMBER, OVERFLOW = 0, 1, 2
 
@@ -53,7 +53,7 @@ def shingle_sets(batch: pa.RecordBatch, row: int, k: int):
 
     With fewer than ``k`` words, the whole sequence is one shingle.
     """
-    words = batch.column("words")[row].values
+    words = unpacked_words(batch.column("words")[row].as_py())
     at = starts_of(np.asarray(batch.column("n_words")[row].values))
     codes = unpacked(batch.column("codes")[row].as_py())
     hashes = word_hashes(words)[codes] if len(codes) else np.zeros(0, np.uint64)
@@ -75,6 +75,7 @@ def shingle_sets(batch: pa.RecordBatch, row: int, k: int):
         if len(key):
             key = key[np.concatenate(([True], key[1:] != key[:-1]))]
         yield low, key & MASK, np.searchsorted(key >> np.uint64(HASH_BITS), np.arange(len(size) + 1, dtype=np.uint64))
+    pa.default_memory_pool().release_unused()
 
 
 def set_ids(tokens: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -103,15 +104,18 @@ def _describe(k: int):
             for row in range(batch.num_rows):
                 ids = batch.column("doc_ids")[row].values
                 slice_id = batch.column("slice_id")[row].as_py()
+                every = [np.zeros(0, np.uint64)]
                 for low, tokens, start in shingle_sets(batch, row, k):
                     n = len(start) - 1
+                    every.append(tokens)
                     names = ["doc_id", "slice_id", "n", "gid", "bitmap"]
                     yield pa.RecordBatch.from_arrays([ids.slice(low, n), pa.array(np.full(n, slice_id)), pa.array(np.diff(start).astype(np.int64)), pa.array(set_ids(tokens, start).view(np.int64)), pa.array(bitmaps(tokens, start), pa.binary())], names)
-                    each = np.sort(tokens)
-                    first = np.flatnonzero(np.concatenate(([True], each[1:] != each[:-1]))) if len(each) else np.zeros(0, np.int64)
-                    times = np.diff(np.append(first, len(each)))
-                    many = times >= FREQUENT_IN_SLICE
-                    m = int(many.sum())
+                each = np.sort(np.concatenate(every))
+                first = np.flatnonzero(np.concatenate(([True], each[1:] != each[:-1]))) if len(each) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(each)))
+                many = times >= FREQUENT_IN_SLICE
+                m = int(many.sum())
+                if m:
                     yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(times[many].astype(np.int64)), pa.array(each[first[many]].view(np.int64)), pa.nulls(m, pa.binary())], names)
 
     return describe
@@ -143,6 +147,7 @@ def _post(shared, k: int, num: int, den: int):
         frequent, times = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
+                seen = [np.zeros(0, np.uint64)] * 2
                 for _, tokens, start in shingle_sets(batch, row, k):
                     gid = set_ids(tokens, start)
                     size = np.diff(start)
@@ -151,10 +156,13 @@ def _post(shared, k: int, num: int, den: int):
                     group = set_ids(tokens[chosen], cut) ^ _mix(size.astype(np.uint64))
                     live = size > 0
                     _, first = np.unique(np.where(live, gid, 0), return_index=True)
-                    first = first[live[first]]
+                    first = first[live[first] & ~np.isin(gid[first], seen[0])]
+                    seen[0] = np.concatenate((seen[0], gid[first]))
                     yield _rows(MEMBER, group[first], np.zeros(len(first), np.int64), size[first], gid[first], np.zeros(len(first), np.int64))
                     _, first = np.unique(np.where(live, group, 0), return_index=True)
-                    mine = np.isin(doc, first[live[first]])
+                    first = first[live[first] & ~np.isin(group[first], seen[1])]
+                    seen[1] = np.concatenate((seen[1], group[first]))
+                    mine = np.isin(doc, first)
                     t, owner, where = tokens[chosen[mine]], doc[mine], place[mine]
                     at = np.minimum(np.searchsorted(frequent, t), max(0, len(frequent) - 1))
                     often = np.where(frequent[at] == t, times[at], 0) if len(frequent) else np.zeros(len(t), np.int64)
@@ -228,38 +236,63 @@ def _gathered(batches, rows: int):
 
 
 def _emit_sets(k: int):
-    """gid, n, shingles of the documents that a slice is asked for."""
+    """at, gid, shingles of the sets that a slice is asked for, once for each task that asks."""
 
     def emit(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                wanted = np.asarray(batch.column("wanted")[row].values)
+                asked = batch.column("asked")[row].values
+                wanted, task = np.asarray(asked.field(0)), np.asarray(asked.field(1))
+                by = np.argsort(wanted, kind="stable")
+                wanted, task = wanted[by], task[by]
                 for _, tokens, start in shingle_sets(batch, row, k):
-                    gid = set_ids(tokens, start).view(np.int64)
-                    _, first = np.unique(gid, return_index=True)
-                    for low in range(0, len(first), 512):
-                        rows = [d for d in first[low : low + 512].tolist() if gid[d] in wanted] if len(wanted) < 16 else first[low : low + 512][np.isin(gid[first[low : low + 512]], wanted)].tolist()
-                        yield pa.RecordBatch.from_arrays([pa.array(gid[rows]), pa.array([tokens[start[d] : start[d + 1]].tobytes() for d in rows], pa.binary())], ["gid", "shingles"])
+                    gid, first = np.unique(set_ids(tokens, start).view(np.int64), return_index=True)
+                    at = np.searchsorted(gid, wanted)
+                    hit = np.flatnonzero(gid[np.minimum(at, len(gid) - 1)] == wanted) if len(gid) else np.zeros(0, np.int64)
+                    blobs = {d: _blob(tokens[start[d] : start[d + 1]]) for d in np.unique(first[at[hit]]).tolist()}
+                    for low in range(0, len(hit), 256):
+                        rows = hit[low : low + 256]
+                        yield pa.RecordBatch.from_arrays([pa.array(task[rows]), pa.array(wanted[rows]), pa.array([blobs[d] for d in first[at[rows]].tolist()], pa.binary())], ["at", "gid", "shingles"])
 
     return emit
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _blob(tokens: np.ndarray) -> bytes:
+    """Sorted shingles as differences, seven bytes each, byte planes apart and compressed: the high ones are small."""
+    return pa.compress(np.diff(tokens, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T[:7].tobytes(), codec="zstd", asbytes=True)
+
+
+def _tokens(blob: bytes, n: int) -> np.ndarray:
+    planes = np.zeros((8, n), np.uint8)
+    planes[:7] = np.frombuffer(pa.decompress(blob, 7 * n, codec="zstd"), np.uint8).reshape(7, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
+
+
+def verified(pairs: DataFrame, slices: DataFrame, sets_of: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b: a forest, within each task, of the pairs whose sets are similar enough.
 
-    ``pairs`` has a, b and t, a shingle that both have; ``sets`` gid and
-    shingles.  Pairs go to tasks by t, so that the sets of a group of near
-    copies are sent once; a t of many pairs goes to many tasks.
+    ``pairs`` has a, b, their sizes and t, a shingle that both have.  Pairs go
+    to tasks by t, so that the sets of a group of near copies are sent once; a
+    t of many pairs goes to many tasks.  A set is taken from one slice.
     """
     spark = pairs.sparkSession
+    for _ in range(2):
+        # each set draws its pairs to the least shingle of any of them, so that it is sent to few tasks, however many there are
+        home = pairs.select(F.col("a").alias("gid"), "t").unionByName(pairs.select(F.col("b").alias("gid"), "t")).groupBy("gid").agg(F.min("t").alias("home"))
+        of_a, of_b = (home.select(F.col("gid").alias(c), F.col("home").alias(f"{c}_home")) for c in "ab")
+        pairs = materialize(pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select("a", "b", F.least("a_home", "b_home").alias("t"), "a_n", "b_n"), "jaccard-homes")
     hot = pairs.groupBy("t").count().where(F.col("count") > VERIFY_PAIRS).select("t", F.ceil(F.col("count") / VERIFY_PAIRS).cast("int").alias("parts"))
     tasks = max(spark.sparkContext.defaultParallelism, pairs.count() // VERIFY_PAIRS + 1)
-    dealt = materialize(pairs.join(hot, "t", "left").withColumn("task", F.pmod(F.xxhash64("t", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("a"), F.col("parts")))), F.lit(tasks)).cast("int")).select("task", "a", "b"), "pairs")
-    needed = dealt.select(F.col("task").alias("at"), F.col("a").alias("gid")).union(dealt.select("task", "b")).distinct().join(sets, "gid")
+    task = F.pmod(F.xxhash64("t", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("a"), F.col("parts")))), F.lit(tasks)).cast("int")
+    dealt = materialize(pairs.join(hot, "t", "left").select(task.alias("task"), "a", "b", "a_n", "b_n"), "jaccard-dealt")
+    needed = dealt.select(F.col("a").alias("gid"), F.col("task").alias("at")).union(dealt.select("b", "task")).distinct().join(sets_of.select("gid", "slice_id"), "gid")
+    asked = needed.groupBy("slice_id").agg(F.collect_list(F.struct("gid", "at")).alias("asked"))
+    sets = slices.join(asked.hint("merge"), "slice_id").select("n_words", "codes", "words", "asked").mapInArrow(_emit_sets(k), "at int, gid long, shingles binary")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         blobs = dict(zip(right["gid"].to_pylist(), right["shingles"].to_pylist(), strict=True)) if right.num_rows else {}
         root: dict[int, int] = {}
+        opened: dict[int, np.ndarray] = {}
 
         def find(x: int) -> int:
             while (y := root.get(x, x)) != x:
@@ -267,20 +300,27 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 x = y
             return x
 
+        def tokens(gid: int, n: int) -> np.ndarray:
+            if gid not in opened:
+                if len(opened) >= 2_000:
+                    opened.clear()
+                opened[gid] = _tokens(blobs[gid], n)
+            return opened[gid]
+
         linked = []
-        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True) if left.num_rows else ():
+        for a, b, n, m in zip(*(left[c].to_pylist() for c in ("a", "b", "a_n", "b_n")), strict=True) if left.num_rows else ():
             ra, rb = find(a), find(b)
             if ra == rb or a not in blobs or b not in blobs:
                 continue
-            x, y = np.frombuffer(blobs[a], np.uint64), np.frombuffer(blobs[b], np.uint64)
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
+            x, y = tokens(a, n), tokens(b, m)
+            x, y = (x, y) if n <= m else (y, x)
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if den * both >= num * (len(x) + len(y) - both):
+            if den * both >= num * (n + m - both):
                 root[max(ra, rb)] = min(ra, rb)
                 linked.append((a, b))
         return pa.table({"a": pa.array([p[0] for p in linked], pa.int64()), "b": pa.array([p[1] for p in linked], pa.int64())})
 
-    return dealt.groupBy("task").cogroup(needed.groupBy("at")).applyInArrow(check, "a long, b long")
+    return dealt.groupBy("task").cogroup(sets.groupBy("at")).applyInArrow(check, "a long, b long")
 
 
 def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +357,7 @@ def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den
     sets_of = rows.groupBy("gid").agg(F.min("slice_id").alias("slice_id"), F.first("bitmap").alias("bitmap"), F.first("n").alias("n"))
     sets_of = materialize(sets_of.where("n > 0"), "jaccard-distinct")
     kept = materialize(bounded(pairs, sets_of, num, den), "jaccard-kept")
-    links = verified(kept, asked(slices, sets_of, kept, k), num, den)
+    links = verified(kept, slices, sets_of, k, num, den)
     links = materialize(links, "jaccard-links")
     roots = materialize(components(links), "jaccard-roots")
 
@@ -330,7 +370,7 @@ def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den
     open_lists = long_lists.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "m")
     if not open_lists.isEmpty():
         rest = materialize(across(long_lists.join(open_lists, "t"), sets_of, num, den), "jaccard-rest")
-        more = materialize(verified(rest, asked(slices, sets_of, rest, k), num, den), "jaccard-links")
+        more = materialize(verified(rest, slices, sets_of, k, num, den), "jaccard-links")
         if not more.isEmpty():
             roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "jaccard-roots")
 
@@ -352,37 +392,32 @@ def bounded(pairs: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFra
             differ = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
             total = np.asarray(batch.column("a_n")) + np.asarray(batch.column("b_n"))
             most = (total - differ) // 2
-            yield batch.select(["a", "b", "t"]).filter(pa.array(den * most >= num * (total - most)))
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "t", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(run, "a long, b long, t long")
-
+            yield batch.select(["a", "b", "t", "a_n", "b_n"]).filter(pa.array(den * most >= num * (total - most)))
 
-def asked(slices: DataFrame, sets_of: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """gid and shingles of the sets in ``pairs``, each from one slice that holds it."""
-    wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct().join(sets_of.select("gid", "slice_id"), "gid")
-    wanted = wanted.groupBy("slice_id").agg(F.collect_list("gid").alias("wanted"))
-    return slices.join(wanted, "slice_id").select("n_words", "codes", "words", "wanted").mapInArrow(_emit_sets(k), "gid long, shingles binary")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "t", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(run, "a long, b long, t long, a_n long, b_n long")
 
 
 def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, t) of one list from different components that bitmaps leave, block against block.
+    """Pairs (a, b, t) of one list from different components that sizes and bitmaps leave.
 
-    ``entries`` has t, gid, root and m, the length of the list t.
+    ``entries`` has t, gid, root and m, the length of the list t.  Members
+    outside a list's largest component meet all members of other components,
+    block by block; members of the largest need not meet each other.
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = entries.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")).join(sets_of.select("gid", "n", "bitmap"), "gid")
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "gid", "root", "n", "bitmap")
+    main = entries.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    own = entries.join(main, "t").withColumn("minor", F.col("root") != F.col("main")).join(sets_of.select("gid", "n", "bitmap").hint("merge"), "gid")
+    own = own.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    columns = ["t", "block", "asks", "gid", "root", "minor", "n", "bitmap"]
+    members = own.withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).select(*columns)
+    asking = own.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True)).select(*columns)
 
     def compare(table: pa.Table) -> pa.Table:
-        gid, root, n, block = (np.asarray(table[c]) for c in ("gid", "root", "n", "block"))
+        gid, root, n, minor, asks = (np.asarray(table[c]) for c in ("gid", "root", "n", "minor", "asks"))
         bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        columns = np.flatnonzero(block == j)
-        for x in np.flatnonzero(block == i).tolist():
-            y = columns[(root[columns] != root[x])]
-            y = y[gid[y] > gid[x]] if i == j else y
+        columns = np.flatnonzero(~asks)
+        for x in np.flatnonzero(asks).tolist():
+            y = columns[(root[columns] != root[x]) & ~(minor[columns] & (gid[columns] < gid[x]))]
             y = y[(den * np.minimum(n[y], n[x]) >= num * np.maximum(n[y], n[x]))]
             total = n[y] + n[x]
             most = (total - np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)) // 2
@@ -392,7 +427,9 @@ def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFr
         a, b = np.concatenate(found_a), np.concatenate(found_b)
         return pa.table({"a": a, "b": b, "t": np.full(len(a), table["t"][0].as_py())})
 
-    return own.groupBy("t", "i", "j").applyInArrow(compare, "a long, b long, t long").groupBy("a", "b").agg(F.min("t").alias("t"))
+    pairs = members.unionByName(asking).groupBy("t", "block").applyInArrow(compare, "a long, b long, t long").groupBy("a", "b").agg(F.min("t").alias("t"))
+    sizes = [sets_of.select(F.col("gid").alias(c), F.col("n").alias(f"{c}_n")).hint("merge") for c in "ab"]
+    return pairs.join(sizes[0], "a").join(sizes[1], "b").select("a", "b", "t", "a_n", "b_n")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id") -> DataFrame:
