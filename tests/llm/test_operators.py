@@ -54,7 +54,7 @@ def test_jaccard(docs, k, num, den, monkeypatch):
     from tidemill.llm import jaccard
 
     monkeypatch.setattr(jaccard, "BLOCK", 7)
-    monkeypatch.setattr(jaccard, "VERIFY_PAIRS", 50)
+    monkeypatch.setattr(jaccard, "VERIFY_SHINGLES", 2_000)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(docs, k, num, den).collect()}
     assert got == components(near_copies(), k, num, den)
 

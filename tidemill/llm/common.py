@@ -121,9 +121,11 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray
     first[1:] &= space[:-1]
     inner = at[1:-1][at[1:-1] < len(raw)]
     first[inner] = ~space[inner]
+    last = ~space
+    last[:-1] &= space[1:]
+    last[inner - 1] = ~space[inner - 1]
     starts = np.flatnonzero(first)
-    kept = np.cumsum(~space)
-    offsets = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int64)
+    offsets = starts_of(np.flatnonzero(last) + 1 - starts)
     return binary_array(raw[~space], offsets), np.searchsorted(starts, at)
 
 

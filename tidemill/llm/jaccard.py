@@ -33,10 +33,11 @@ MASK = np.uint64((1 << HASH_BITS) - 1)
 FREQUENT_IN_SLICE, FREQUENT = 8, 1 << 18
 #: Entries of a list that go to one task, neighbours that an entry is paired with, and pairs of members that two groups expand into.
 LIST_ROWS, NEIGHBOURS, EXPANDED = 10_000, 3, 16
-BITS = 512
+#: Bits of a bitmap: a power of two, about one for each shingle, between these.  They bound a filter only.
+BITS, MOST_BITS = 512, 1 << 16
 BLOCK = 2_000
-#: Pairs that a task verifies.
-VERIFY_PAIRS = 5_000
+#: Shingles of the pairs that a task verifies, and of the sets that it keeps unpacked.
+VERIFY_SHINGLES, OPEN_SHINGLES = 6_000_000, 2_000_000
 
 POSTING, MEMBER, OVERFLOW = 0, 1, 2
 
@@ -86,16 +87,36 @@ def set_ids(tokens: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(tokens: np.ndarray, start: np.ndarray) -> list[bytes]:
-    out = []
-    for low in range(0, len(start) - 1, 512):
-        own = start[low : low + 513]
-        n = len(own) - 1
-        doc = np.repeat(np.arange(n), np.diff(own))
-        odd = np.bincount(doc * BITS + (tokens[own[0] : own[-1]] % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1
-        out += [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(n, BITS), axis=1)]
+    """For each set, which of its places (hash modulo bits) an odd number of shingles have; longer for larger sets."""
+    size = np.diff(start)
+    bits = np.full(len(size), BITS)
+    while (short := (bits < size) & (bits < MOST_BITS)).any():
+        bits[short] *= 2
+    out = [b""] * len(size)
+    for b in np.unique(bits).tolist():
+        docs = np.flatnonzero(bits == b)
+        step = max(1, TOGETHER * BITS // b)
+        for low in range(0, len(docs), step):
+            own = docs[low : low + step]
+            place = np.concatenate([tokens[start[d] : start[d + 1]] for d in own]) % np.uint64(b)
+            odd = np.bincount(np.repeat(np.arange(len(own)), size[own]) * b + place.astype(np.int64), minlength=len(own) * b) & 1
+            for d, x in zip(own.tolist(), np.packbits(odd.astype(np.uint8).reshape(len(own), b), axis=1), strict=True):
+                out[d] = x.tobytes()
     return out
 
 
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that fewer bits would have given: its parts added without carry."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, words)) if len(bitmap) > words else bitmap
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, at the length of the shorter: no more than the shingles that only one set has."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum())
+
+
 def _describe(k: int):
     """doc_id, n, gid, bitmap of each document; rows without a bitmap are frequent shingles (gid) and their documents (n)."""
 
@@ -281,8 +302,9 @@ def verified(pairs: DataFrame, slices: DataFrame, sets_of: DataFrame, k: int, nu
         home = pairs.select(F.col("a").alias("gid"), "t").unionByName(pairs.select(F.col("b").alias("gid"), "t")).groupBy("gid").agg(F.min("t").alias("home"))
         of_a, of_b = (home.select(F.col("gid").alias(c), F.col("home").alias(f"{c}_home")) for c in "ab")
         pairs = materialize(pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select("a", "b", F.least("a_home", "b_home").alias("t"), "a_n", "b_n"), "jaccard-homes")
-    hot = pairs.groupBy("t").count().where(F.col("count") > VERIFY_PAIRS).select("t", F.ceil(F.col("count") / VERIFY_PAIRS).cast("int").alias("parts"))
-    tasks = max(spark.sparkContext.defaultParallelism, pairs.count() // VERIFY_PAIRS + 1)
+    shingles = F.sum(F.col("a_n") + F.col("b_n"))
+    hot = pairs.groupBy("t").agg(F.ceil(shingles / VERIFY_SHINGLES).cast("int").alias("parts")).where("parts > 1")
+    tasks = max(spark.sparkContext.defaultParallelism, (pairs.agg(shingles).first()[0] or 0) // VERIFY_SHINGLES + 1)
     task = F.pmod(F.xxhash64("t", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("a"), F.col("parts")))), F.lit(tasks)).cast("int")
     dealt = materialize(pairs.join(hot, "t", "left").select(task.alias("task"), "a", "b", "a_n", "b_n"), "jaccard-dealt")
     needed = dealt.select(F.col("a").alias("gid"), F.col("task").alias("at")).union(dealt.select("b", "task")).distinct().join(sets_of.select("gid", "slice_id"), "gid")
@@ -290,9 +312,10 @@ def verified(pairs: DataFrame, slices: DataFrame, sets_of: DataFrame, k: int, nu
     sets = slices.join(asked.hint("merge"), "slice_id").select("n_words", "codes", "words", "asked").mapInArrow(_emit_sets(k), "at int, gid long, shingles binary")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        blobs = dict(zip(right["gid"].to_pylist(), right["shingles"].to_pylist(), strict=True)) if right.num_rows else {}
+        blobs = dict(zip(right["gid"].to_pylist(), right["shingles"], strict=True)) if right.num_rows else {}
         root: dict[int, int] = {}
         opened: dict[int, np.ndarray] = {}
+        n_open = 0
 
         def find(x: int) -> int:
             while (y := root.get(x, x)) != x:
@@ -301,10 +324,13 @@ def verified(pairs: DataFrame, slices: DataFrame, sets_of: DataFrame, k: int, nu
             return x
 
         def tokens(gid: int, n: int) -> np.ndarray:
+            nonlocal n_open
             if gid not in opened:
-                if len(opened) >= 2_000:
+                if n_open > OPEN_SHINGLES:
                     opened.clear()
-                opened[gid] = _tokens(blobs[gid], n)
+                    n_open = 0
+                opened[gid] = _tokens(blobs[gid].as_py(), n)
+                n_open += n
             return opened[gid]
 
         linked = []
@@ -388,8 +414,7 @@ def bounded(pairs: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("a_bits", "b_bits"))
-            differ = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+            differ = np.array([differing(x, y) for x, y in zip(*(batch.column(c).to_pylist() for c in ("a_bits", "b_bits")), strict=True)], np.int64)
             total = np.asarray(batch.column("a_n")) + np.asarray(batch.column("b_n"))
             most = (total - differ) // 2
             yield batch.select(["a", "b", "t", "a_n", "b_n"]).filter(pa.array(den * most >= num * (total - most)))
@@ -413,7 +438,8 @@ def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFr
 
     def compare(table: pa.Table) -> pa.Table:
         gid, root, n, minor, asks = (np.asarray(table[c]) for c in ("gid", "root", "n", "minor", "asks"))
-        bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        bitmaps_of = table["bitmap"].to_pylist()
+        bits = np.array([_folded(np.frombuffer(x, np.uint64), BITS // 64) for x in bitmaps_of]).reshape(-1, BITS // 64)
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         columns = np.flatnonzero(~asks)
         for x in np.flatnonzero(asks).tolist():
@@ -422,6 +448,10 @@ def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFr
             total = n[y] + n[x]
             most = (total - np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)) // 2
             y = y[den * most >= num * (total - most)]
+            if n[x] > BITS:
+                total = n[y] + n[x]
+                most = (total - np.array([differing(bitmaps_of[z], bitmaps_of[x]) for z in y.tolist()], np.int64)) // 2
+                y = y[den * most >= num * (total - most)]
             found_a.append(np.minimum(gid[y], gid[x]))
             found_b.append(np.maximum(gid[y], gid[x]))
         a, b = np.concatenate(found_a), np.concatenate(found_b)
