@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MOST_ROUNDS = 60
 
@@ -29,8 +29,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small, "links")
         if after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty():
+            discard(edges)
             edges = after
             break
+        discard(edges)
         edges = after
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(edges.select(F.col("u").alias("node")), "node", "left_anti"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import materialize, text_of
+from .common import discard, materialize, text_of
 
 #: Digests that a bucket, and with it a filter, is sized for.
 BUCKET_DIGESTS = 100_000
@@ -90,6 +90,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id_col: str
     both = positives.select("sha").join(snapshot.groups.select("sha"), "sha")
     again = batch.where("n > 1").select("sha").union(snapshot.groups.where("n > 1").select("sha"))
     suspects = materialize(both.union(again).distinct(), "dedup-suspects")
+    discard(batch, snapshot.groups, snapshot.filters)
 
     # byte checks: rows of suspect digests are grouped by their whole texts
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
@@ -97,5 +98,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id_col: str
     kept = checked.groupBy("sha", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     kept = materialize(kept, "dedup-kept")
     multiple = checked.join(kept.hint("merge"), ["sha", "text"]).select("id", "keep_id", "group_size", "sha")
+    multiple = materialize(multiple, "dedup-groups")
+    discard(checked, kept)
     single = flat.select("id", "sha").join(suspects, "sha", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return single.unionByName(multiple).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, materialize, starts_of, unpacked, unpacked_words, word_hashes, word_slices
+from .common import discard, grams, materialize, starts_of, unpacked, unpacked_words, word_hashes, word_slices
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -297,11 +297,13 @@ def verified(pairs: DataFrame, slices: DataFrame, sets_of: DataFrame, k: int, nu
     t of many pairs goes to many tasks.  A set is taken from one slice.
     """
     spark = pairs.sparkSession
+    made = []
     for _ in range(2):
         # each set draws its pairs to the least shingle of any of them, so that it is sent to few tasks, however many there are
         home = pairs.select(F.col("a").alias("gid"), "t").unionByName(pairs.select(F.col("b").alias("gid"), "t")).groupBy("gid").agg(F.min("t").alias("home"))
         of_a, of_b = (home.select(F.col("gid").alias(c), F.col("home").alias(f"{c}_home")) for c in "ab")
         pairs = materialize(pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select("a", "b", F.least("a_home", "b_home").alias("t"), "a_n", "b_n"), "jaccard-homes")
+        made.append(pairs)
     shingles = F.sum(F.col("a_n") + F.col("b_n"))
     hot = pairs.groupBy("t").agg(F.ceil(shingles / VERIFY_SHINGLES).cast("int").alias("parts")).where("parts > 1")
     tasks = max(spark.sparkContext.defaultParallelism, (pairs.agg(shingles).first()[0] or 0) // VERIFY_SHINGLES + 1)
@@ -346,7 +348,9 @@ def verified(pairs: DataFrame, slices: DataFrame, sets_of: DataFrame, k: int, nu
                 linked.append((a, b))
         return pa.table({"a": pa.array([p[0] for p in linked], pa.int64()), "b": pa.array([p[1] for p in linked], pa.int64())})
 
-    return dealt.groupBy("task").cogroup(sets.groupBy("at")).applyInArrow(check, "a long, b long")
+    links = materialize(dealt.groupBy("task").cogroup(sets.groupBy("at")).applyInArrow(check, "a long, b long"), "jaccard-links")
+    discard(dealt, *made)
+    return links
 
 
 def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,13 +386,17 @@ def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den
 
     sets_of = rows.groupBy("gid").agg(F.min("slice_id").alias("slice_id"), F.first("bitmap").alias("bitmap"), F.first("n").alias("n"))
     sets_of = materialize(sets_of.where("n > 0"), "jaccard-distinct")
+    set_of_row = materialize(rows.select("doc_id", F.col("n").alias("n_shingles"), "gid"), "jaccard-rows")
+    discard(described)
+    over = found.where(f"kind = {OVERFLOW}").select("t", F.col("a").alias("g")).unionByName(large.select("t", F.col("a").alias("g"))).unionByName(large.select("t", F.col("b").alias("g")))
+    over = materialize(over.distinct(), "jaccard-overflow")
     kept = materialize(bounded(pairs, sets_of, num, den), "jaccard-kept")
+    discard(found, large)
     links = verified(kept, slices, sets_of, k, num, den)
-    links = materialize(links, "jaccard-links")
+    discard(kept)
     roots = materialize(components(links), "jaccard-roots")
 
     # entries of long lists, where they still lie in different components
-    over = found.where(f"kind = {OVERFLOW}").select("t", F.col("a").alias("g")).unionByName(large.select("t", F.col("a").alias("g"))).unionByName(large.select("t", F.col("b").alias("g"))).distinct()
     in_groups = over.join(members.select("g", "gid"), "g").select("t", "gid")
     in_members = over.join(members.select("gid", F.lit(True).alias("is_set")).distinct(), F.col("g") == F.col("gid")).select("t", "gid")
     long_lists = in_groups.unionByName(in_members).distinct().join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
@@ -396,12 +404,14 @@ def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den
     open_lists = long_lists.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "m")
     if not open_lists.isEmpty():
         rest = materialize(across(long_lists.join(open_lists, "t"), sets_of, num, den), "jaccard-rest")
-        more = materialize(verified(rest, slices, sets_of, k, num, den), "jaccard-links")
+        more = verified(rest, slices, sets_of, k, num, den)
+        discard(rest)
         if not more.isEmpty():
             roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "jaccard-roots")
 
-    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "gid").join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    own = set_of_row.join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
     own = materialize(own, "jaccard-own")
+    discard(slices, sets_of, set_of_row, members, over, long_lists)
     least = own.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = own.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id")
     out = linked.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
