@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, table
+from tidemill.llm.common import discard, materialize, table
 from tidemill.llm.dedup import exact_dedup
 from tidemill.llm.jaccard import one_of_each
 from tidemill.llm.langid import accepted
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            if k:
+                discard(before)
     return docs
