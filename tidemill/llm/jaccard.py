@@ -8,8 +8,9 @@ share a shingle are read in order of size, and pairs that size and place rule
 out are left.  The other pairs of groups are expanded into members, filtered
 by parity bitmaps (an exact bound), and verified on whole sets.
 
-A list is paired along a sliding window only.  That is complete for short
-lists.  The members of longer lists, which are mostly groups of near copies,
+A list is paired along a sliding window only; of longer lists only the nearest
+entries are paired.  That is complete for short lists.  The members of longer
+lists, which are mostly groups of near copies,
 are taken up again once the links found so far have joined them: then only
 pairs from different components are left to compare, in blocks.
 """
@@ -221,15 +222,22 @@ def _pair_up(num: int, den: int):
             yield out(MEMBER, t[member], e[member], None, n[member])
             salted = fresh & (salt > 0)
             yield out(OVERFLOW, t[salted], e[salted], None, n[salted])
-            for k in range(1, NEIGHBOURS + 2):
+            long = salt > 0  # entries that are known to be OVERFLOW rows
+            for k in range(NEIGHBOURS + 1, 0, -1):
                 if k >= len(t):
-                    break
+                    continue
                 a, b = slice(None, -k), slice(k, None)
-                ok = (t[a] == t[b]) & (kind[a] == kind[b]) & (salt[a] == salt[b]) & (den * n[a].astype(np.int64) >= num * n[b].astype(np.int64)) & fresh[b]
+                ok = (t[a] == t[b]) & (kind[a] == kind[b]) & (salt[a] == salt[b]) & (den * n[a].astype(np.int64) >= num * n[b].astype(np.int64))
+                if k > NEIGHBOURS:
+                    long[a] |= ok
+                    long[b] |= ok
+                ok &= fresh[b]
                 if k > NEIGHBOURS:
                     for side in (a, b):
                         yield out(OVERFLOW, t[side][ok], e[side][ok], None, n[side][ok])
                     continue
+                if k > 1:  # of a long list only the nearest are paired here: all its members are taken up again
+                    ok &= ~(long[a] & long[b])
                 # if this is the first shingle that both have, no more can be shared than what follows it
                 need = -(-num * (n[a].astype(np.int64) + n[b]) // (num + den))
                 ok &= np.minimum(n[a] - place[a], n[b] - place[b]) >= need
@@ -380,7 +388,8 @@ def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den
     left, right = (members.select(F.col("g").alias(c), F.col("gid").alias(f"{c}_gid"), F.col("m").alias(f"{c}_m"), (F.col("gid") == F.col("first")).alias(f"{c}_first")) for c in "ab")
     few = F.col("a_m") * F.col("b_m") <= EXPANDED
     crossed = groups.join(left.where(f"a_m <= {EXPANDED} or a_first"), "a").join(right.where(f"b_m <= {EXPANDED} or b_first"), "b").where(few | (F.col("a_first") & F.col("b_first")))
-    large = materialize(crossed.where(~few).select("t", "a", "b"), "jaccard-large")
+    crossed = materialize(crossed.select("t", "a", "b", "a_gid", "b_gid", few.alias("few")), "jaccard-crossed")
+    large = crossed.where("not few").select("t", "a", "b")
     inner = found.where(f"kind = {MEMBER} and b is not null and a <> b").select("a", "b", "t")
     pairs = crossed.select(F.least("a_gid", "b_gid").alias("a"), F.greatest("a_gid", "b_gid").alias("b"), "t").unionByName(inner).where("a <> b").groupBy("a", "b").agg(F.min("t").alias("t"))
 
@@ -391,7 +400,7 @@ def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den
     over = found.where(f"kind = {OVERFLOW}").select("t", F.col("a").alias("g")).unionByName(large.select("t", F.col("a").alias("g"))).unionByName(large.select("t", F.col("b").alias("g")))
     over = materialize(over.distinct(), "jaccard-overflow")
     kept = materialize(bounded(pairs, sets_of, num, den), "jaccard-kept")
-    discard(found, large)
+    discard(found, crossed)
     links = verified(kept, slices, sets_of, k, num, den)
     discard(kept)
     roots = materialize(components(links), "jaccard-roots")
