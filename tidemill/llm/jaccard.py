@@ -10,9 +10,10 @@ by parity bitmaps (an exact bound), and verified on whole sets.
 
 A list is paired along a sliding window only; of longer lists only the nearest
 entries are paired.  That is complete for short lists.  The members of longer
-lists, which are mostly groups of near copies,
-are taken up again once the links found so far have joined them: then only
-pairs from different components are left to compare, in blocks.
+lists, which are mostly groups of near copies, are taken up again once the
+links found so far have joined them: then only pairs from different components
+are left to compare, in blocks.  At first each member meets the likeliest of
+these only, which joins most of a group; then all that are left are verified.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ LIST_ROWS, NEIGHBOURS, EXPANDED = 10_000, 3, 16
 #: Bits of a bitmap: a power of two, about one for each shingle, between these.  They bound a filter only.
 BITS, MOST_BITS = 512, 1 << 16
 BLOCK = 2_000
+#: Rounds in which a member of long lists meets only the likeliest member of another component, before all pairs are verified.
+LIKELIEST_ROUNDS = 1
 #: Shingles of the pairs that a task verifies, and of the sets that it keeps unpacked.
 VERIFY_SHINGLES, OPEN_SHINGLES = 6_000_000, 2_000_000
 
@@ -408,19 +411,22 @@ def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den
     # entries of long lists, where they still lie in different components
     in_groups = over.join(members.select("g", "gid"), "g").select("t", "gid")
     in_members = over.join(members.select("gid", F.lit(True).alias("is_set")).distinct(), F.col("g") == F.col("gid")).select("t", "gid")
-    long_lists = in_groups.unionByName(in_members).distinct().join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-    long_lists = materialize(long_lists, "jaccard-long")
-    open_lists = long_lists.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "m")
-    if not open_lists.isEmpty():
-        rest = materialize(across(long_lists.join(open_lists, "t"), sets_of, num, den), "jaccard-rest")
-        more = verified(rest, slices, sets_of, k, num, den)
-        discard(rest)
-        if not more.isEmpty():
+    entries = materialize(in_groups.unionByName(in_members).distinct(), "jaccard-long")
+    for likeliest in [True] * LIKELIEST_ROUNDS + [False]:
+        long_lists = materialize(entries.join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid")), "jaccard-rooted")
+        open_lists = long_lists.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "m")
+        rest = materialize(across(long_lists.join(open_lists, "t"), sets_of, num, den, likeliest), "jaccard-rest")
+        none = rest.isEmpty()
+        if not none:
+            more = verified(rest, slices, sets_of, k, num, den)
             roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "jaccard-roots")
+        discard(rest, long_lists)
+        if none:  # no pair is left that could be similar enough
+            break
 
     own = set_of_row.join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
     own = materialize(own, "jaccard-own")
-    discard(slices, sets_of, set_of_row, members, over, long_lists)
+    discard(slices, sets_of, set_of_row, members, over, entries)
     least = own.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = own.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id")
     out = linked.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -441,12 +447,14 @@ def bounded(pairs: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "t", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(run, "a long, b long, t long, a_n long, b_n long")
 
 
-def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFrame:
+def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int, likeliest: bool = False) -> DataFrame:
     """Pairs (a, b, t) of one list from different components that sizes and bitmaps leave.
 
     ``entries`` has t, gid, root and m, the length of the list t.  Members
     outside a list's largest component meet all members of other components,
-    block by block; members of the largest need not meet each other.
+    block by block; members of the largest need not meet each other.  With
+    ``likeliest`` each member outside keeps, over all its lists, only the pair
+    for which sizes and bitmaps allow the greatest similarity.
     """
     main = entries.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     own = entries.join(main, "t").withColumn("minor", F.col("root") != F.col("main")).join(sets_of.select("gid", "n", "bitmap").hint("merge"), "gid")
@@ -459,24 +467,35 @@ def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFr
         gid, root, n, minor, asks = (np.asarray(table[c]) for c in ("gid", "root", "n", "minor", "asks"))
         bitmaps_of = table["bitmap"].to_pylist()
         bits = np.array([_folded(np.frombuffer(x, np.uint64), BITS // 64) for x in bitmaps_of]).reshape(-1, BITS // 64)
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found_x, found_y, bounds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         columns = np.flatnonzero(~asks)
         for x in np.flatnonzero(asks).tolist():
-            y = columns[(root[columns] != root[x]) & ~(minor[columns] & (gid[columns] < gid[x]))]
+            y = columns[root[columns] != root[x]]
+            if not likeliest:
+                y = y[~(minor[y] & (gid[y] < gid[x]))]
             y = y[(den * np.minimum(n[y], n[x]) >= num * np.maximum(n[y], n[x]))]
             total = n[y] + n[x]
             most = (total - np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)) // 2
-            y = y[den * most >= num * (total - most)]
+            ok = den * most >= num * (total - most)
+            y, total, most = y[ok], total[ok], most[ok]
             if n[x] > BITS:
-                total = n[y] + n[x]
                 most = (total - np.array([differing(bitmaps_of[z], bitmaps_of[x]) for z in y.tolist()], np.int64)) // 2
-                y = y[den * most >= num * (total - most)]
-            found_a.append(np.minimum(gid[y], gid[x]))
-            found_b.append(np.maximum(gid[y], gid[x]))
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pa.table({"a": a, "b": b, "t": np.full(len(a), table["t"][0].as_py())})
-
-    pairs = members.unionByName(asking).groupBy("t", "block").applyInArrow(compare, "a long, b long, t long").groupBy("a", "b").agg(F.min("t").alias("t"))
+                ok = den * most >= num * (total - most)
+                y, total, most = y[ok], total[ok], most[ok]
+            bound = most / total
+            if likeliest:
+                best = np.flatnonzero(bound == bound.max(initial=0))[:1]
+                y, bound = y[best], bound[best]
+            found_x.append(np.full(len(y), gid[x]))
+            found_y.append(gid[y])
+            bounds.append(bound)
+        xs = np.concatenate(found_x)
+        return pa.table({"x": xs, "y": np.concatenate(found_y), "t": np.full(len(xs), table["t"][0].as_py()), "bound": np.concatenate(bounds)})
+
+    pairs = members.unionByName(asking).groupBy("t", "block").applyInArrow(compare, "x long, y long, t long, bound double")
+    if likeliest:
+        pairs = pairs.groupBy("x").agg(F.max_by(F.struct("y", "t"), F.struct("bound", "y", "t")).alias("best")).select("x", "best.y", "best.t")
+    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("t").alias("t"))
     sizes = [sets_of.select(F.col("gid").alias(c), F.col("n").alias(f"{c}_n")).hint("merge") for c in "ab"]
     return pairs.join(sizes[0], "a").join(sizes[1], "b").select("a", "b", "t", "a_n", "b_n")
 
