@@ -191,6 +191,45 @@ def test_mix_keeps_pace(spark):
         assert abs(taken[r.source] - share[r.source] * (r.slot + 1)) < 1
 
 
+def test_mix_keeps_to_the_target(spark):
+    from fractions import Fraction
+
+    from tidemill.llm.mixing import mix_order, schedule, target_weights
+
+    cases = [
+        ([1.0, 1.0, 1.0], [20_000] * 3), ([0.5, 0.3, 0.15, 0.05], [25_000, 15_000, 7_500, 2_500]), ([0.9995, 0.0005], [30_000, 15]), ([1.0 + k % 7 for k in range(1500)], [8] * 1500),
+    ]
+    for wished, blocks in cases:
+        weights = target_weights([(k, n) for k, n in enumerate(blocks)], dict(enumerate(wished)))
+        total = sum(Fraction(w) for w in wished)
+        assert [Fraction(a, sum(weights)) for a in weights] == [Fraction(w) / total for w in wished]
+        taken = [0] * len(blocks)
+        for s, block, slot in schedule(weights, blocks):
+            assert block == taken[s] and block * sum(weights) < (slot + 1) * weights[s]  # less than one block ahead at the end of the slot
+            assert slot * weights[s] < (block + 1) * sum(weights)  # and less than one behind where it begins
+            taken[s] += 1
+        assert taken == blocks
+
+    # many periods of 40 slots, and a source without weight after all others
+    rows = spark.createDataFrame([(k, "abcz"[k % 4] if k % 4 < 3 or k < 400 else None) for k in range(12_000)], "doc_id long, source string")
+    out = mix_order(rows, {"a": 1, "b": 1, "c": 1, "z": 0}, block_rows=1, slots=40).collect()
+    assert len(out) == 12_000 and len({(r.slot, r.slot_row) for r in out}) == 12_000
+    taken = dict.fromkeys("abc", 0)
+    named = sorted((r for r in out if r.source in taken), key=lambda r: r.slot)
+    for t, r in enumerate(named):
+        taken[r.source] += 1
+        assert r.slot == t and all(abs(n - (t + 1) / 3) < 1 for n in taken.values())
+    assert min(r.slot for r in out if r.source not in taken) == len(named)
+
+    # more sources than slots; a block is in one slot, whatever runs its rows were numbered in
+    rows = spark.range(12_000).selectExpr("id as doc_id", "cast(if(id < 9000, -1, id % 1100) as string) as source")
+    out = mix_order(rows).collect()
+    blocks = {}
+    for r in out:
+        blocks.setdefault((r.source, r.source_block), set()).add(r.slot)
+    assert len(out) == 12_000 and all(len(x) == 1 for x in blocks.values()) and len(set.union(*blocks.values())) == len(blocks)
+
+
 def test_warc_and_secrets(spark):
     from tidemill.llm import secrets, warc
 

@@ -1,76 +1,111 @@
-"""Mixing sources to target weights with a Pfair schedule, in DataFrame operations.
-
-The rows of a source are dealt into blocks.  With integer weights a_s that sum
-to A slots, block i of source s (from 0) is released at slot floor(i*A/a_s)
-and is due before slot ceil((i+1)*A/a_s).  Each slot goes to the released
-block with the earliest deadline.  That keeps every source within less than
-one block of its share at every slot.  The schedule has period A, so one
-period, which is bounded by the parameter ``slots``, places every block:
-block i of source s stands in slot floor(i/a_s)*A + template(s, i mod a_s).
-A source that runs out leaves its slots empty; the others keep their pace
-against each other.
+"""Mixing sources to target weights with a Pfair schedule.
+
+The rows of a source are dealt into blocks.  With target weights w_s of sum 1,
+block i of source s (from 0) is released at slot floor(i/w_s) and is due
+before slot ceil((i+1)/w_s).  Each slot goes to the released block with the
+earliest deadline, which meets all deadlines.  That keeps every source within
+less than one block of its target at every slot, however long the table.  A
+source that runs out leaves its slots empty; the others keep their pace.
+
+The schedule has one entry for each block.  The driver makes it, in exact
+integers and in parts of PART_BLOCKS entries, and holds one part and a few
+numbers for each source.  All that has to do with rows is DataFrame
+operations, with no Python on executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, NumericType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from .common import materialize
 
 BLOCK_ROWS = 32
+#: The slots that the column weight_slots counts by.
 SLOTS = 1000
 #: Rows of a source that one task numbers.
 RUN_ROWS = 5_000
+#: Blocks of a part of the schedule.
+PART_BLOCKS = 1 << 20
+#: Slots from here on aren't used.
+LAST_SLOT = 1 << 62
 
 
-def integer_weights(counts: DataFrame, weights: dict[str, float] | None, slots: int) -> DataFrame:
-    """source, a: integers of sum ``slots`` (largest remainders; at least 1 each).
+def target_weights(rows: list[tuple], weights: dict[str, float] | None) -> list[int]:
+    """An integer for each (source, rows); they are in the proportion of the targets, exactly.
 
     Without ``weights`` a source weighs as the square root of its rows.
-    Sources that ``weights`` doesn't name, or not with a positive number, get
-    the least weight of 1 slot.
+    Sources that ``weights`` doesn't name, or not with a positive number,
+    weigh 0.  If all weigh 0, all weigh the same.
+    """
+    wished = [math.sqrt(n) if weights is None else float(weights.get(source) or 0) for source, n in rows]
+    exact = [Fraction(w) if w > 0 else Fraction(0) for w in wished]
+    if not any(exact):
+        exact = [Fraction(1)] * len(rows)
+    unit = reduce(math.lcm, (w.denominator for w in exact), 1)
+    return [int(w * unit) for w in exact]
+
+
+def schedule(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) of each block, by slot.
+
+    Blocks of sources of weight 0, and those due after LAST_SLOT, follow all
+    others.
     """
-    if weights is not None:
-        pairs = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else F.lit(None).cast("map<string,double>")
-        wished = F.greatest(F.coalesce(F.try_element_at(pairs, F.col("source")), F.lit(0.0)), F.lit(0.0))
-    else:
-        wished = F.sqrt(F.col("n").cast("double"))
-    every = W.partitionBy()
-    out = counts.withColumn("w", wished).withColumn("w", F.when(F.sum("w").over(every) > 0, F.col("w")).otherwise(F.lit(1.0)))
-    # one slot each, the rest in proportion
-    out = out.withColumn("share", (F.lit(slots) - F.count(F.lit(1)).over(every)) * F.col("w") / F.sum("w").over(every))
-    out = out.withColumn("a", F.floor("share") + 1)
-    order = W.orderBy((F.col("share") - F.floor("share")).desc(), F.col("source").asc_nulls_first())
-    left = F.lit(slots) - F.sum("a").over(every)
-    return out.withColumn("a", (F.col("a") + (F.row_number().over(order) <= left).cast("int")).cast("int")).select("source", "a")
-
-
-def template(weights: DataFrame, slots: int) -> DataFrame:
-    """source, a, k, slot: where block k of a period stands; ``slots`` rows."""
-    row = weights.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "a"))).alias("s"))
-    due = f"""array_min(filter(
-        transform(s, (x, i) -> if(got[i] < x.a and (got[i] * {slots}) div x.a <= t,
-                                  struct(((got[i] + 1) * {slots} + x.a - 1) div x.a as due, i as i), null)),
-        x -> x is not null)).i"""
-    picks = f"""aggregate(sequence(0, {slots - 1}),
-        struct(transform(s, x -> 0) as got, cast(array() as array<int>) as picks),
-        (st, t) -> transform(array(struct(st.got as got, {due.replace("got[", "st.got[")} as p)), y ->
-            struct(transform(y.got, (g, i) -> if(i = y.p, g + 1, g)) as got, concat(st.picks, array(y.p)) as picks))[0],
-        st -> st.picks)"""
-    placed = row.selectExpr("s", f"posexplode({picks}) as (slot, i)").selectExpr("s[i].source as source", "s[i].a as a", "slot")
-    return placed.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1)
+    total = sum(weights)
+    fits = [min(n, a * LAST_SLOT // total) if a else 0 for a, n in zip(weights, blocks, strict=True)]
+    waiting = [(0, s) for s, n in enumerate(fits) if n]
+    ready: list[tuple[int, int]] = []
+    done = [0] * len(weights)
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // weights[s]), s))
+        s = heapq.heappop(ready)[1]
+        yield s, done[s], slot
+        done[s] += 1
+        slot += 1
+        if done[s] < fits[s]:
+            heapq.heappush(waiting, (done[s] * total // weights[s], s))
+    for s, n in enumerate(blocks):
+        for block in range(done[s], n):
+            yield s, block, slot
+            slot += 1
+
+
+def slot_table(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
+    """The schedule as a table: __ix, __block, __slot."""
+    steps, parts, left = schedule(weights, blocks), [], PART_BLOCKS
+    while left == PART_BLOCKS:
+        part = np.fromiter((x for _, step in zip(range(PART_BLOCKS), steps) for x in step), np.int64).reshape(-1, 3)
+        left = len(part)
+        table = pa.table({name: part[:, k] for k, name in enumerate(("__ix", "__block", "__slot"))})
+        parts.append(materialize(spark.createDataFrame(table), "mix-slots"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, slots: int = SLOTS, id_col: str = "doc_id", source_col: str = "source", columns: list[str] | None = None) -> DataFrame:
     """Each row of ``docs`` with its place in the mix.
 
-    Adds source_block, weight_slots, slot and slot_row to the id, the source
-    and ``columns``; (slot, slot_row) orders the mix.  Every row stays, and
-    rows of a source are dealt in the order of a hash of the id.  Null is a
-    source like others.  More sources than ``slots`` raise an error, as each
-    needs a slot.  An empty table gives an empty result.
+    Adds source_block, weight_slots (the target of the source in ``slots``
+    slots, not rounded), slot and slot_row to the id, the source and
+    ``columns``; (slot, slot_row) orders the mix and tells rows apart.  Every
+    row stays, and rows of a source are dealt in the order of a hash of the
+    id, those of one id by ``columns``.  Null is a source like others.  Sources of weight 0 follow all others.
+    An empty table gives an empty result.
 
     A hot source is numbered in runs of about RUN_ROWS rows, by many tasks,
     and the runs are put end to end by their counts.
@@ -78,26 +113,31 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block_ro
     spark = docs.sparkSession
     runs = max(1, docs.count() // RUN_ROWS)
     named = list(dict.fromkeys([id_col, source_col, *(columns or [])]))
+    same = [F.col(c) for c in columns or [] if isinstance(docs.schema[c].dataType, (StringType, NumericType))]
     keyed = docs.select(*[F.col(c) for c in named]).withColumn("__h", F.xxhash64(F.col(id_col))).withColumn("__run", F.pmod(F.shiftright("__h", 20), F.lit(runs)))
     source = F.col(source_col).alias("source")
     per_run = materialize(keyed.groupBy(source, "__run").agg(F.count(F.lit(1)).alias("n")), "mix-runs")
-    before = per_run.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("__run").rowsBetween(W.unboundedPreceding, -1))).select(F.col("source").alias("__source"), F.col("__run").alias("__r"), F.coalesce("before", F.lit(0)).alias("__before"))
-    counts = per_run.groupBy("source").agg(F.sum("n").alias("n"))
-    sources = counts.count()
-    if sources > slots:
-        raise ValueError(f"{sources} sources need as many slots; slots is {slots}")
-    # bounded by slots rows
-    place = materialize(template(integer_weights(counts, weights, slots), slots), "mix-template") if sources else spark.createDataFrame([], "source string, a int, slot int, k int")
-    place = place.select(F.col("source").alias("__s"), F.col("a").alias("weight_slots"), F.col("k").alias("__k"), F.col("slot").alias("__slot"))
-    per_source = place.select(F.col("__s").alias("__w"), F.col("weight_slots").alias("__a")).distinct()
-
-    rank = F.row_number().over(W.partitionBy(source_col, "__run").orderBy("__h", F.col(id_col)))
-    ranked = keyed.withColumn("__n", rank).join(before, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__run") == F.col("__r")))
+    rows = [tuple(r) for r in per_run.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").collect()]  # one for each source
+    exact = target_weights(rows, weights)
+    blocks = [-(-n // block_rows) for _, n in rows]
+    kind = StructType([StructField("__source", docs.schema[source_col].dataType), StructField("__ix", LongType()), StructField("weight_slots", DoubleType())])
+    sources = spark.createDataFrame([(s, k, float(Fraction(slots * a, sum(exact)))) for k, ((s, _), a) in enumerate(zip(rows, exact, strict=True))], kind)
+    at = slot_table(spark, exact, blocks)
+
+    before = per_run.withColumn("__before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("__run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = before.join(sources, F.col("source").eqNullSafe(F.col("__source"))).select("__ix", "__run", "__before", "n")
+    # the slots of the blocks of each run, in order; its first block may have begun in the run before
+    first, last = (F.floor(x / block_rows) for x in (F.col("__before"), F.col("__before") + F.col("n") - 1))
+    held = before.withColumn("__block", F.explode(F.sequence(first, last))).join(at, ["__ix", "__block"])
+    held = held.groupBy("__ix", "__run", "__before").agg(F.array_sort(F.collect_list(F.struct("__block", "__slot"))).alias("__slots"))
+
+    # both sides of the join are dealt by __ix and __run, so rows are shuffled once
+    keyed = keyed.join(sources, F.col(source_col).eqNullSafe(F.col("__source")))
+    rank = F.row_number().over(W.partitionBy("__ix", "__run").orderBy("__h", F.col(id_col), *same))
+    ranked = keyed.withColumn("__n", rank).join(held, ["__ix", "__run"])
     ranked = ranked.withColumn("__at", F.col("__before") + F.col("__n") - 1).withColumn("source_block", F.floor(F.col("__at") / block_rows)).withColumn("slot_row", (F.col("__at") % block_rows).cast("int"))
-    ranked = ranked.join(F.broadcast(per_source), F.col(source_col).eqNullSafe(F.col("__w")))
-    out = ranked.withColumn("__kk", (F.col("source_block") % F.col("__a")).cast("int")).join(F.broadcast(place), F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__kk") == F.col("__k")))
-    slot = F.floor(F.col("source_block") / F.col("weight_slots")) * slots + F.col("__slot")
-    return out.select(*named, "source_block", "weight_slots", slot.cast("long").alias("slot"), "slot_row")
+    slot = F.col("__slots")[(F.col("source_block") - F.col("__slots")[0]["__block"]).cast("int")]["__slot"]
+    return ranked.select(*named, "source_block", "weight_slots", slot.alias("slot"), "slot_row")
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
