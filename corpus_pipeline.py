@@ -13,7 +13,7 @@ from tidemill.llm.common import discard, materialize, table
 from tidemill.llm.dedup import exact_dedup
 from tidemill.llm.jaccard import one_of_each
 from tidemill.llm.langid import accepted
-from tidemill.llm.mixing import mixed
+from tidemill.llm.mixing import mix_order, mixed
 from tidemill.llm.pieces import encode_documents
 
 
@@ -39,8 +39,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document."""
-    return encode_documents(docs)
+    """The piece ids of each document and its place in the mix.
+
+    Files don't keep the order of rows, and ``documents`` has no column for
+    it, so the places, which depend on nothing but the rows, are taken here:
+    (slot, slot_row) orders the mix.
+    """
+    placed = mix_order(docs, columns=["text"]).select(F.struct("doc_id", "slot", "slot_row").alias("at"), "text")
+    return encode_documents(placed, id_col="at").select("at.doc_id", "ids", "n_ids", "round_trip", "at.slot", "at.slot_row")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", dedup_exact), ("jaccard_join", dedup_near), ("mix_sources", mix_sources), ("pieces", encode_pieces)]

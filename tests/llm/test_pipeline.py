@@ -29,3 +29,30 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out} <= want
     # language ID rejects hardly any of these documents
     assert len(out) >= len(want) - 2 and all(r.round_trip for r in out)
+
+
+def test_pipeline_keeps_the_mix(spark):
+    import math
+    from fractions import Fraction
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 9 > 0, F.col("source")))
+    rows = {}
+    for r in docs.select("source", "doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():
+        rows.setdefault(r.source, []).append(r.doc_id)
+    names = sorted(rows, key=lambda s: (s is not None, s))
+    weights = [Fraction(math.sqrt(len(rows[s]))) for s in names]
+    weights = [w / sum(weights) for w in weights]
+    taken, want, slot = [0] * len(names), {}, 0
+    while len(want) < sum(map(len, rows.values())):
+        released = [k for k, s in enumerate(names) if taken[k] * 32 < len(rows[s]) and math.floor(taken[k] / weights[k]) <= slot]
+        if released:
+            k = min(released, key=lambda k: (math.ceil((taken[k] + 1) / weights[k]), k))
+            want |= {i: (slot, n) for n, i in enumerate(rows[names[k]][taken[k] * 32 : taken[k] * 32 + 32])}
+            taken[k] += 1
+        slot += 1
+    for _, stage in corpus_pipeline.STAGES[3:]:
+        docs = stage(spark, docs, SF)
+    assert {r.doc_id: (r.slot, r.slot_row) for r in docs.collect()} == want
