@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import discard, materialize, table
+from tidemill.llm.common import discard, materialize, table, text_of
 from tidemill.llm.dedup import exact_dedup
 from tidemill.llm.jaccard import one_of_each
 from tidemill.llm.langid import accepted
@@ -24,8 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents with equal texts, the one with the largest id."""
-    dropped = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__dropped")), "left_anti")
+    dropped = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("__dropped"), F.col("text_sha256").alias("__sha")).distinct()
+    # by id and text: other rows of an id, or of no id, may be no copies
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__dropped")) & (F.sha2(text_of().cast("binary"), 256) == F.col("__sha")), "left_anti")
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

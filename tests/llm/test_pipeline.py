@@ -56,3 +56,21 @@ def test_pipeline_keeps_the_mix(spark):
     for _, stage in corpus_pipeline.STAGES[3:]:
         docs = stage(spark, docs, SF)
     assert {r.doc_id: (r.slot, r.slot_row) for r in docs.collect()} == want
+
+
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline
+
+    unlike = [" ".join(f"{w}{k}" for k in range(30)) for w in "abcdefg"]
+    near = unlike[5] + " more"
+    rows = [(None, unlike[0]), (1, unlike[0]), (None, unlike[1]), (None, unlike[2]), (2, unlike[3]), (3, unlike[3]), (2, unlike[4]), (4, unlike[5]), (5, near), (5, unlike[6]), (None, near)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.dedup_exact(spark, docs, SF)
+    # null and 2 lose the copies of 1 and 3, and nothing else; of the texts of 5 and null the one with the id stays
+    want = [x for x in rows if x not in ((None, unlike[0]), (2, unlike[3]), (None, near))]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((i or 0, t) for i, t in want)
+    # 5 loses the near copy of 4, not its other text
+    assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.dedup_near(spark, kept, SF).collect()) == sorted((i or 0, t) for i, t in want if (i, t) != (5, near))
+    # a near copy goes even where another row of its id stays
+    twice = docs.where("doc_id = 4").unionByName(docs.where("doc_id = 4")).unionByName(docs.where("doc_id = 5").selectExpr("4 as doc_id", "text", "lang", "source", "n_chars"))
+    assert corpus_pipeline.dedup_near(spark, twice, SF).count() == 2

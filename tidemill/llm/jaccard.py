@@ -501,6 +501,12 @@ def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int, likeliest
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id") -> DataFrame:
-    """All columns of the document with the smallest id of each component."""
-    ids = near_components(docs, k, num, den, id_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    """All columns of one row of each component: that with the smallest id, any of several; null ids come last.
+
+    Rows are told apart by numbers of their own, so that ids may be null or
+    repeated.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-numbered")
+    found = near_components(rows, k, num, den, "__row").select("__row", "component_id").join(rows.select("__row", F.col(id_col).alias("__id")), "__row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("first"))
+    return rows.join(first.select("first.__row"), "__row", "left_semi").select(*docs.columns)
