@@ -176,6 +176,33 @@ def test_lm(spark):
         assert r.score < 0
 
 
+def test_nearest_among_copies(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.llm import pivots
+
+    rng = np.random.default_rng(5)
+    made = rng.normal(size=(9000, 8))
+    made[rng.permutation(9000)[:3000]] = made[0]
+    made[1::1500] = -made[0]  # far from all pivots that others have first
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)] + [(100, made[100].tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in pivots.nearest(rows, F.col("id") % 150 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    every, ids = np.vstack([made, made[100:101]]), np.append(np.arange(9000), 100)
+    met = []
+    for q in range(0, 9000, 150):
+        d = np.where(ids == q, np.inf, np.sqrt(((every - made[q]) ** 2).sum(1)))
+        want = ids[np.lexsort((ids, d))[:10]].tolist()
+        met.append(len(set(want) & set(got[q].values())) / len(set(want)))
+        if (made[q] == made[0]).all():
+            assert [got[q][k] for k in range(1, 11)] == want
+    assert np.mean(met) > 0.97
+    # fewer than k rows met: the others of the block count as well
+    few = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))], "vec_id long, embedding array<double>")
+    assert pivots.nearest(few, F.col("id") >= 0, pivots=40, per_vector=1).count() == 600
+
+
 def test_mix_keeps_pace(spark):
     from tidemill.llm.mixing import mix_order
 

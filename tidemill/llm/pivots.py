@@ -2,7 +2,8 @@
 
 A vector is represented by its nearest pivots in order.  Within a block of the
 table, each pivot has an inverted file: the vectors that have it among their
-nearest, with its place.  A query walks the files of its own nearest pivots
+nearest, with its place.  Equal vectors are indexed once, with the smallest of
+their ids, which is all that a ranking by id can ask of them.  A query walks the files of its own nearest pivots
 and adds up, for each vector it meets, how much their places agree; that
 orders the vectors by Spearman's footrule over the shared pivots.  The nearer
 part of them is reranked by exact distance.
@@ -12,13 +13,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import materialize
 
-#: Pivots; the rows with the smallest hashes of their ids serve (a bounded sample).
+#: Pivots; the distinct vectors with the smallest hashes serve (a bounded sample).
 PIVOTS = 256
 #: Nearest pivots that represent a vector.
 NEAREST = 32
@@ -51,32 +53,52 @@ def permutations(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, nearest: int, rerank: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, id, distance: of each query the k nearest found in the block."""
+def search_block(ids: np.ndarray, at: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, nearest: int, rerank: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, id, distance: of each query the k nearest rows found in the block; vector n has ids[at[n] : at[n + 1]]."""
     order = permutations(x, pivots, nearest)
     files = order.ravel()
     by = np.argsort(files, kind="stable")
     row, place = by // nearest, by % nearest
     begin = np.concatenate(([0], np.cumsum(np.bincount(files, minlength=len(pivots)))))
+    rows = np.diff(at)
+    vector = np.repeat(np.arange(len(x)), rows)
     out_q, out_id, out_d = [], [], []
     for n, own in enumerate(permutations(q, pivots, nearest)):
         agree = np.zeros(len(x), np.int32)
-        for at, p in enumerate(own):
+        for p_at, p in enumerate(own):
             s = slice(begin[p], begin[p + 1])
-            agree[row[s]] += (nearest - np.abs(place[s] - at)).astype(np.int32)  # a vector is once in a file
-        met = np.flatnonzero((agree > 0) & (ids != query_ids[n]))
+            agree[row[s]] += (nearest - np.abs(place[s] - p_at)).astype(np.int32)  # a vector is once in a file
+        # rows of each vector but the query's own
+        others = rows - np.bincount(vector[ids == query_ids[n]], minlength=len(x))
+        met = np.flatnonzero((agree > 0) & (others > 0))
+        if others[met].sum() < k:
+            met = np.flatnonzero(others > 0)
         most = max(RERANK_LEAST, int(np.ceil(rerank * len(met))))
         if most < len(met):
-            met = met[np.argpartition(-agree[met], most - 1)[:most]]
+            met = met[agree[met] >= -np.partition(-agree[met], most - 1)[most - 1]]
         d = np.sqrt(((x[met] - q[n]) ** 2).sum(1))
-        best = np.lexsort((ids[met], d))[:k]
+        if k < len(met):
+            near = d <= np.partition(d, k - 1)[k - 1]
+            met, d = met[near], d[near]
+        found = np.concatenate([np.zeros(0, np.int64), *(ids[at[m] : at[m + 1]] for m in met)])
+        d = np.repeat(d, rows[met])
+        other = found != query_ids[n]
+        found, d = found[other], d[other]
+        best = np.lexsort((found, d))[:k]
         out_q.append(np.full(len(best), query_ids[n]))
-        out_id.append(ids[met[best]])
+        out_id.append(found[best])
         out_d.append(d[best])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *out_q]), np.concatenate([none, *out_id]), np.concatenate([none.astype(float), *out_d])
 
 
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """v, ids: each vector once, with its k + 1 smallest ids, each as often as it has rows (up to ``k``)."""
+    counted = rows.groupBy("v", "id").agg(F.count(F.lit(1)).alias("n"))
+    few = counted.withColumn("place", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
+    return few.groupBy("v").agg(F.flatten(F.collect_list(F.array_repeat("id", F.least("n", F.lit(k)).cast("int")))).alias("ids"))
+
+
 def nearest(vectors: DataFrame, is_query=None, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, per_vector: int = NEAREST, rerank: float = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: of each query its ``k`` nearest rows found.
 
@@ -88,13 +110,15 @@ def nearest(vectors: DataFrame, is_query=None, k: int = 10, id_col: str = "vec_i
     all count as candidates of other queries, and a repeated query is asked
     once.  Extra columns aren't read.
 
-    The pivots are fitted on a sample of ``pivots`` rows; every row is
-    indexed.  Blocks of the index meet blocks of the queries, each pair of
-    blocks in one task; equal vectors may fall into any blocks, so no vector
-    is hot.  A query gets ``k`` rows from each block before the last ranking.
+    The pivots are a sample of ``pivots`` distinct vectors; every distinct
+    vector is indexed, with as many of its smallest ids as a query can get.
+    Blocks of the index meet blocks of the queries, each pair of blocks in one
+    task.  A query gets ``k`` rows from each block before the last ranking;
+    where it meets fewer, it gets them from all rows of the block.
     """
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
-    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # bounded by ``pivots``
+    vectors = materialize(distinct(rows, k), "vectors-distinct")
+    sample = vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()  # bounded by ``pivots``
     shape = "query_id long, vec_id long, score double"
     if not sample:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -102,21 +126,23 @@ def nearest(vectors: DataFrame, is_query=None, k: int = 10, id_col: str = "vec_i
     width = max(set(sizes), key=lambda n: (sizes.count(n), -n))
     places = np.array([r.v for r in sample if len(r.v) == width], np.float64)
     per_vector = min(per_vector, len(places))
-    rows = rows.where(F.size("v") == width)
+    rows, vectors = (x.where(F.size("v") == width) for x in (rows, vectors))
     asks = rows.where(is_query if is_query is not None else F.col("id") % 100 == 0).dropDuplicates(["id"])
-    n_index, n_query = (max(1, -(-x.count() // size)) for x, size in ((rows, INDEX_ROWS), (asks, QUERY_ROWS)))
+    n_index, n_query = (max(1, -(-x.count() // size)) for x, size in ((vectors, INDEX_ROWS), (asks, QUERY_ROWS)))
 
-    def block(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        numbered = df.withColumn(own, F.pmod(F.xxhash64("id", F.lit(own)), F.lit(n)).cast("int"))
+    def block(df: DataFrame, by: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        numbered = df.withColumn(own, F.pmod(F.xxhash64(by, F.lit(own)), F.lit(n)).cast("int"))
         return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         q, i, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if left.num_rows and right.num_rows:
-            q, i, d = search_block(np.asarray(left["id"]), matrix(left["v"], width), np.asarray(right["id"]), matrix(right["v"], width), places, k, per_vector, rerank)
+            ids = left["ids"].combine_chunks()
+            at = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(ids), np.int64))))
+            q, i, d = search_block(np.asarray(ids.flatten()), at, matrix(left["v"], width), np.asarray(right["id"]), matrix(right["v"], width), places, k, per_vector, rerank)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(d, pa.float64())})
 
-    index, queries = block(rows, "ib", n_index, "qb", n_query), block(asks, "qb", n_query, "ib", n_index)
-    found = index.select("ib", "qb", "id", "v").groupBy("ib", "qb").cogroup(queries.select("ib", "qb", "id", "v").groupBy("ib", "qb")).applyInArrow(search, shape)
+    index, queries = block(vectors, "v", "ib", n_index, "qb", n_query), block(asks, "id", "qb", n_query, "ib", n_index)
+    found = index.select("ib", "qb", "ids", "v").groupBy("ib", "qb").cogroup(queries.select("ib", "qb", "id", "v").groupBy("ib", "qb")).applyInArrow(search, shape)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
