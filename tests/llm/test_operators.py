@@ -176,6 +176,33 @@ def test_lm(spark):
         assert r.score < 0
 
 
+def test_substrings_split_hot_anchors(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemill.llm import common, substrings
+
+    rng = random.Random(8)
+    shared = [f"passage{k}" for k in range(30)]
+    texts = []
+    for k in range(400):
+        own = [f"w{rng.randrange(90_000)}" for _ in range(60)]
+        texts.append(own[:30] + (shared if k % 2 else []) + own[30:] if k % 7 else texts[k - 1][:45] if k else own)
+    monkeypatch.setattr(substrings, "SHARD_SEGMENTS", 100)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(16)
+    got = {r.doc_id: (r.n_removed, r.kept_text.decode()) for r in substrings.dedup_substrings(docs).collect()}
+    first = {}
+    for k, t in enumerate(texts):
+        for j in range(len(t) - 12):
+            first.setdefault(tuple(t[j : j + 13]), k)
+    for k, t in enumerate(texts):
+        gone = {x for j in range(len(t) - 12) if first[tuple(t[j : j + 13])] < k for x in range(j, j + 13)}
+        assert got[k] == (len(gone), " ".join(w for x, w in enumerate(t) if x not in gone))
+    slices = common.materialize(common.word_slices(docs, "doc_id", "text", lower=False), "test-slices")
+    segments, cut = substrings.routed(slices, 13)
+    assert cut.count() > 0
+    assert segments.groupBy("shard").agg(F.countDistinct("content").alias("n")).agg(F.max("n")).first()[0] <= 100
+
+
 def test_nearest_among_copies(spark):
     from pyspark.sql import functions as F
 

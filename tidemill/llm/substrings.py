@@ -4,7 +4,9 @@ A window is a run of words of one document.  Every window is sent to the shard
 of its anchor, the short run of words in it that a fixed order puts first, so
 that equal windows meet; neighbouring windows with one anchor travel as one
 segment.  Only anchors that occur in more than one document are of interest.
-A shard lays its distinct segments end to end, indexes them, and streams them
+Anchors with many segments have a shard of their own, and the segments of
+those with more than a shard holds are cut into their windows, which go to the
+shards of their words.  A shard lays its distinct segments end to end, indexes them, and streams them
 through the index by backward search.  Windows whose matching statistic is as
 long as the window are repeats, and the interval of their suffixes tells the
 smallest document that has them.
@@ -26,8 +28,14 @@ from .fm import FMIndex, interval_minima
 WINDOW = 13
 #: Words of an anchor.
 ANCHOR = 3
-#: Segments that a shard is sized for.
+#: Segments that a shard holds at most, copies of one segment from other slices aside.
 SHARD_SEGMENTS = 50_000
+#: Segments of an anchor from which it has a shard of its own, as a share of SHARD_SEGMENTS.
+OWN_SHARD = 50
+#: Segments of an anchor in a slice from which equal ones are counted once.
+COUNTED = 32
+#: How the segments of an anchor find their shard.
+SHARED, OWN, CUT = 0, 1, 2
 #: Bits of a segment of which all windows are repeats.
 ALL = (1 << 41) - 1
 #: A document id that counts as larger than all others.
@@ -83,6 +91,16 @@ class Slice:
         count = inside[stop - 1] - inside[first] + 1
         return gram[place[first]].view(np.int64), first, count, doc[first]
 
+    def cut(self, anchor: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, hot: np.ndarray):
+        """The segments, those of anchors of ``hot`` cut into their windows."""
+        if not len(hot) or not len(anchor):
+            return anchor, first, count, doc
+        times = np.where(np.isin(anchor, hot), count, 1)
+        number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        parts = np.repeat(times, times) > 1
+        anchor, first, count, doc = (np.repeat(x, times) for x in (anchor, first, count, doc))
+        return anchor, first + number, np.where(parts, 1, count), doc
+
     def contents(self, first: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
         """A hash of the words of each segment."""
         h = self.hashes[self.codes]
@@ -97,20 +115,28 @@ class Slice:
 
 
 def _anchors(window: int):
-    """slice_id, anchor, several: each anchor once in a slice; several says that two documents of the slice have it."""
+    """slice_id, anchor, several, n: each anchor once in a slice; several says that two documents of the slice have it, n how many segments."""
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                anchor, _, _, doc = Slice(batch, row).segments(window)
+                own = Slice(batch, row)
+                anchor, begin, count, doc = own.segments(window)
                 by = np.lexsort((doc, anchor))
                 a, d = anchor[by], doc[by]
                 first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
                 last = np.append(first[1:], len(a)) - 1
+                n = last - first + 1
+                many = np.flatnonzero(np.repeat(n >= COUNTED, n))
+                if len(many):
+                    x, y = a[many], own.contents(begin[by[many]], count[by[many]], window)
+                    y = y[np.lexsort((y, x))]  # x is in order
+                    unlike = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+                    n[n >= COUNTED] = np.unique(x[unlike], return_counts=True)[1]
                 slice_id = batch.column("slice_id")[row].as_py()
                 for low in range(0, len(first), 65_536):
                     f, end = first[low : low + 65_536], last[low : low + 65_536]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), slice_id)), pa.array(a[f]), pa.array(d[f] != d[end])], ["slice_id", "anchor", "several"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), slice_id)), pa.array(a[f]), pa.array(d[f] != d[end]), pa.array(n[low : low + 65_536])], ["slice_id", "anchor", "several", "n"])
 
     return run
 
@@ -123,9 +149,10 @@ def _segments(window: int, shards: int):
             for row in range(batch.num_rows):
                 own = Slice(batch, row)
                 anchor, first, count, doc = own.segments(window)
-                wanted = np.asarray(batch.column("wanted")[row].values)
-                hit = np.flatnonzero(np.isin(anchor, wanted))
-                anchor, first, count, ids = anchor[hit], first[hit], count[hit], own.order_ids[doc[hit]]
+                shared, alone, hot = (np.asarray(batch.column(c)[row].values) for c in ("shared", "alone", "cut"))
+                hit = np.flatnonzero(np.isin(anchor, np.concatenate((shared, alone, hot))))
+                anchor, first, count, doc = own.cut(anchor[hit], first[hit], count[hit], doc[hit], hot)
+                ids = own.order_ids[doc]
                 content = own.contents(first, count, window) if len(first) else np.zeros(0, np.int64)
                 by = np.lexsort((ids, content))
                 by = by[np.concatenate(([True], content[by][1:] != content[by][:-1]))] if len(by) else by
@@ -137,7 +164,9 @@ def _segments(window: int, shards: int):
                     ends = np.cumsum(n)
                     places = np.repeat(first[part] - (ends - n), n) + np.arange(ends[-1])
                     words = binary_array(h[own.codes[places]].view(np.uint8), np.concatenate(([0], 4 * ends))).cast(pa.binary())
-                    shard = (anchor[part].view(np.uint64) % np.uint64(shards)).astype(np.int32)
+                    # the windows of a cut anchor go by their words, other segments by their anchor
+                    key = np.where(np.isin(anchor[part], hot), content[part], anchor[part])
+                    shard = np.where(np.isin(key, alone) & (key == anchor[part]), -1 - (key & LAST), (key.view(np.uint64) % np.uint64(shards)).astype(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(content[part]), pa.array(ids[part]), words, pa.array(np.full(len(part), slice_id))], ["shard", "content", "doc_id", "words", "slice_id"])
 
     return run
@@ -190,7 +219,8 @@ def _remove(window: int, id_col: str):
                 own = Slice(batch, row)
                 found = batch.column("found")[row]
                 start = np.zeros(len(own.codes) + 1, np.int64)  # +1 where a repeated window starts, -1 where it ends
-                _, first, count, doc = own.segments(window)
+                hot = batch.column("cut")[row]
+                _, first, count, doc = own.cut(*own.segments(window), np.asarray(hot.values) if hot.is_valid else np.zeros(0, np.int64))
                 content, ids = own.contents(first, count, window) if len(first) else first, own.order_ids[doc]
                 by = np.lexsort((ids, content))
                 groups = np.concatenate(([True], content[by][1:] != content[by][:-1])) if len(by) else np.zeros(0, bool)
@@ -233,6 +263,21 @@ def joined(own: Slice, keep: np.ndarray, kept: np.ndarray) -> list[bytes]:
     return [data[a : b - 1] if b > a else b"" for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+def routed(slices: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The segments with their shards, and the anchors of each slice whose segments are cut."""
+    anchors = slices.mapInArrow(_anchors(window), "slice_id long, anchor long, several boolean, n long")
+    every = W.partitionBy("anchor")
+    counted = anchors.withColumn("slices", F.count(F.lit(1)).over(every)).withColumn("any", F.max("several").over(every)).withColumn("total", F.sum("n").over(every)).where("slices > 1 or any")
+    way = F.when(F.col("total") > SHARD_SEGMENTS, CUT).when(F.col("total") * OWN_SHARD > SHARD_SEGMENTS, OWN).otherwise(SHARED)
+    # rows that go to shared shards; a cut segment has at most as many windows as there are places for its anchor
+    load = F.when(F.col("way") == CUT, F.col("n") * (window - ANCHOR + 1)).when(F.col("way") == SHARED, F.col("n")).otherwise(0)
+    lists = [F.collect_list(F.when(F.col("way") == k, F.col("anchor"))).alias(name) for k, name in ((SHARED, "shared"), (OWN, "alone"), (CUT, "cut"))]
+    wanted = materialize(counted.withColumn("way", way).groupBy("slice_id").agg(*lists, F.sum(load).alias("load")), "substring-anchors")
+    shards = 2 * int(wanted.agg(F.sum("load")).first()[0] or 0) // SHARD_SEGMENTS + 1
+    segments = slices.join(wanted, "slice_id").mapInArrow(_segments(window, shards), "shard long, content long, doc_id long, words binary, slice_id long")
+    return segments, wanted.where(F.size("cut") > 0).select("slice_id", "cut")
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""Remove each word that lies in a window which a document with a smaller id has too.
 
@@ -246,13 +291,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     if not ANCHOR < window <= ANCHOR + 40:
         raise ValueError("windows have 4 to 43 words")
     slices = materialize(word_slices(docs, id_col, text_col, lower=False), "substring-slices")
-    anchors = slices.mapInArrow(_anchors(window), "slice_id long, anchor long, several boolean")
-    counted = anchors.withColumn("slices", F.count(F.lit(1)).over(W.partitionBy("anchor"))).withColumn("any", F.max("several").over(W.partitionBy("anchor")))
-    wanted = materialize(counted.where("slices > 1 or any").groupBy("slice_id").agg(F.collect_list("anchor").alias("wanted")), "substring-anchors")
-    shards = int(wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) // SHARD_SEGMENTS + 1
-    segments = slices.join(wanted, "slice_id").mapInArrow(_segments(window, shards), "shard int, content long, doc_id long, words binary, slice_id long")
+    segments, cut = routed(slices, window)
     matched = segments.groupBy("shard").applyInArrow(_match(window), "slice_id long, content long, bits long")
     found = matched.groupBy("slice_id").agg(F.collect_list(F.struct("content", "bits")).alias("found"))
+    found = found.join(cut, "slice_id", "full")
     kind = docs.schema[id_col].dataType.simpleString()
     out = slices.join(found, "slice_id", "left").mapInArrow(_remove(window, "__id"), "`__id` long, n_words long, n_removed long, kept_sha256 string, kept_text binary")
     return out.select(F.col("__id").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")
