@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a task works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch; with it a batch of long texts stays small.
 BATCH_ROWS = 512
 
@@ -25,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is taken and set.
+    Only where the session names none and all runs on one machine (master
+    local) a temporary folder is taken and set; elsewhere that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemill-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -74,8 +80,69 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of bytes that hold ``value`` with its classes: executors need no copy of this package.
+
+    A task opens it by ``opened``; nothing stays in the worker afterwards but
+    the compressed bytes.
+    """
+    raw = cloudpickle.dumps(value)
+    return spark.sparkContext.broadcast(b"%d:" % len(raw) + pa.compress(raw, codec="zstd", asbytes=True))
+
+
+def opened(shared: Broadcast):
+    size, _, body = shared.value.partition(b":")
+    return cloudpickle.loads(pa.decompress(body, int(size), codec="zstd"))
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` of a task, before and after which the worker gives memory back.
+
+    Python workers serve one task after the other; what a task leaves in
+    cycles and in the allocators would add up to what the next one needs.
+    """
+
+    def trim() -> None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(free := ctypes.CDLL(None), "malloc_trim"):
+            free.malloc_trim(0)
+
+    def run(batches: Iterator) -> Iterator:
+        trim()
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def at_least(rows: DataFrame, count: str, most: int) -> int:
+    """The least number n so that at most ``most`` rows have a ``count`` of n or more.
+
+    What is gathered is a histogram of some thousand bins; above 1,024 a bin
+    is a 64th of a doubling wide.
+    """
+    n = F.col(count)
+    fine = F.lit(1024)
+    bin_of = F.when(n < fine, n).otherwise(fine + F.floor(64 * F.log2(n / 1024)))
+    bins = rows.groupBy(bin_of.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("low"), F.max(n).alias("high")).collect()
+    cut, held = None, 0
+    for b in sorted(bins, key=lambda b: -b.bin):
+        held += b.rows
+        if held > most:
+            return int(b.high) + 1 if cut is None else cut
+        cut = int(b.low)
+    return 0
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of the Arrow batches that Python workers get."""
+    """Bound the rows of the Arrow batches that Python workers get.
+
+    The setting is one of the session and stays: the queries returned are run
+    later.  A smaller one is left as it is.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

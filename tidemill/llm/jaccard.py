@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, grams, materialize, starts_of, unpacked, unpacked_words, word_hashes, word_slices
+from .common import at_least, discard, grams, materialize, starts_of, tidy, unpacked, unpacked_words, word_hashes, word_slices
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -41,7 +41,7 @@ BLOCK = 2_000
 #: Rounds in which a member of long lists meets only the likeliest member of another component, before all pairs are verified.
 LIKELIEST_ROUNDS = 1
 #: Shingles of the pairs that a task verifies, and of the sets that it keeps unpacked.
-VERIFY_SHINGLES, OPEN_SHINGLES = 6_000_000, 2_000_000
+VERIFY_SHINGLES, OPEN_SHINGLES = 3_000_000, 1_500_000
 
 POSTING, MEMBER, OVERFLOW = 0, 1, 2
 
@@ -316,13 +316,17 @@ def verified(pairs: DataFrame, slices: DataFrame, sets_of: DataFrame, k: int, nu
         pairs = materialize(pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select("a", "b", F.least("a_home", "b_home").alias("t"), "a_n", "b_n"), "jaccard-homes")
         made.append(pairs)
     shingles = F.sum(F.col("a_n") + F.col("b_n"))
-    hot = pairs.groupBy("t").agg(F.ceil(shingles / VERIFY_SHINGLES).cast("int").alias("parts")).where("parts > 1")
+    parts = lambda name: F.ceil(shingles / VERIFY_SHINGLES).cast("int").alias(name)
+    hot = pairs.groupBy("t").agg(parts("parts")).where("parts > 1")
+    hubs = pairs.groupBy("t", "a").agg(parts("a_parts")).where("a_parts > 1")  # a set with so many partners that they are dealt out too
     tasks = max(spark.sparkContext.defaultParallelism, (pairs.agg(shingles).first()[0] or 0) // VERIFY_SHINGLES + 1)
-    task = F.pmod(F.xxhash64("t", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("a"), F.col("parts")))), F.lit(tasks)).cast("int")
-    dealt = materialize(pairs.join(hot, "t", "left").select(task.alias("task"), "a", "b", "a_n", "b_n"), "jaccard-dealt")
+    own = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("a"), F.col("parts")))
+    of_hub = F.when(F.col("a_parts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("a_parts")))
+    task = F.pmod(F.xxhash64("t", own, of_hub), F.lit(tasks)).cast("int")
+    dealt = materialize(pairs.join(hot, "t", "left").join(hubs, ["t", "a"], "left").select(task.alias("task"), "a", "b", "a_n", "b_n"), "jaccard-dealt")
     needed = dealt.select(F.col("a").alias("gid"), F.col("task").alias("at")).union(dealt.select("b", "task")).distinct().join(sets_of.select("gid", "slice_id"), "gid")
     asked = needed.groupBy("slice_id").agg(F.collect_list(F.struct("gid", "at")).alias("asked"))
-    sets = slices.join(asked.hint("merge"), "slice_id").select("n_words", "codes", "words", "asked").mapInArrow(_emit_sets(k), "at int, gid long, shingles binary")
+    sets = slices.join(asked.hint("merge"), "slice_id").select("n_words", "codes", "words", "asked").mapInArrow(tidy(_emit_sets(k)), "at int, gid long, shingles binary")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         blobs = dict(zip(right["gid"].to_pylist(), right["shingles"], strict=True)) if right.num_rows else {}
@@ -371,17 +375,19 @@ def near_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den
     at least num * union of their sets of ``k``-word shingles.  component_id
     is the smallest id that links reach.  Documents without words (null or
     empty text) have no shingles and stand alone.  Equal sets, repeated rows
-    among them, link.  Other columns of ``docs`` aren't read.
+    among them, link; a null id counts in no component but its own.  Other
+    columns of ``docs`` aren't read, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     slices = materialize(word_slices(docs, id_col, text_col, lower=True), "jaccard-slices")
-    described = materialize(slices.mapInArrow(_describe(k), "doc_id long, slice_id long, n long, gid long, bitmap binary"), "jaccard-sets")
+    described = materialize(slices.mapInArrow(tidy(_describe(k)), "doc_id long, slice_id long, n long, gid long, bitmap binary"), "jaccard-sets")
     rows = described.where("bitmap is not null")
-    top = described.where("bitmap is null").groupBy("gid").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "gid").limit(FREQUENT).toPandas().sort_values("gid")  # bounded by FREQUENT
+    often = materialize(described.where("bitmap is null").groupBy("gid").agg(F.sum("n").alias("n")), "jaccard-frequent")
+    top = often.where(F.col("n") >= at_least(often, "n", FREQUENT)).toPandas().sort_values("gid")  # bounded by FREQUENT
     shared = spark.sparkContext.broadcast((top["gid"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
-    entries = slices.mapInArrow(_post(shared, k, num, den), "kind byte, t long, salt int, n int, e long, place int")
+    entries = slices.mapInArrow(tidy(_post(shared, k, num, den)), "kind byte, t long, salt int, n int, e long, place int")
     lists = entries.repartition("kind", "t", "salt").sortWithinPartitions("kind", "t", "salt", "n", "e")
-    found = materialize(lists.mapInArrow(_pair_up(num, den), "kind byte, t long, a long, b long, n int"), "jaccard-pairs")
+    found = materialize(lists.mapInArrow(tidy(_pair_up(num, den)), "kind byte, t long, a long, b long, n int"), "jaccard-pairs")
 
     # expand pairs of groups into pairs of members
     members = found.where(f"kind = {MEMBER} and b is null").select(F.col("t").alias("g"), F.col("a").alias("gid")).distinct()
@@ -444,7 +450,7 @@ def bounded(pairs: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFra
             most = (total - differ) // 2
             yield batch.select(["a", "b", "t", "a_n", "b_n"]).filter(pa.array(den * most >= num * (total - most)))
 
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "t", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(run, "a long, b long, t long, a_n long, b_n long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "t", "a_bits", "b_bits", "a_n", "b_n").mapInArrow(tidy(run), "a long, b long, t long, a_n long, b_n long")
 
 
 def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int, likeliest: bool = False) -> DataFrame:
@@ -458,10 +464,13 @@ def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int, likeliest
     """
     main = entries.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     own = entries.join(main, "t").withColumn("minor", F.col("root") != F.col("main")).join(sets_of.select("gid", "n", "bitmap").hint("merge"), "gid")
-    own = own.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    columns = ["t", "block", "asks", "gid", "root", "minor", "n", "bitmap"]
-    members = own.withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).select(*columns)
-    asking = own.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True)).select(*columns)
+    # lists are cut into blocks of members, and those that ask into blocks as well; each pair of blocks is a group
+    own = own.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).join(own.where("minor").groupBy("t").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ask_blocks")), "t")
+    columns = ["t", "block", "ask_block", "asks", "gid", "root", "minor", "n", "bitmap"]
+    dealt = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = own.withColumn("block", dealt("blocks")).withColumn("ask_block", each("ask_blocks")).withColumn("asks", F.lit(False)).select(*columns)
+    asking = own.where("minor").withColumn("block", each("blocks")).withColumn("ask_block", dealt("ask_blocks")).withColumn("asks", F.lit(True)).select(*columns)
 
     def compare(table: pa.Table) -> pa.Table:
         gid, root, n, minor, asks = (np.asarray(table[c]) for c in ("gid", "root", "n", "minor", "asks"))
@@ -492,7 +501,7 @@ def across(entries: DataFrame, sets_of: DataFrame, num: int, den: int, likeliest
         xs = np.concatenate(found_x)
         return pa.table({"x": xs, "y": np.concatenate(found_y), "t": np.full(len(xs), table["t"][0].as_py()), "bound": np.concatenate(bounds)})
 
-    pairs = members.unionByName(asking).groupBy("t", "block").applyInArrow(compare, "x long, y long, t long, bound double")
+    pairs = members.unionByName(asking).groupBy("t", "block", "ask_block").applyInArrow(compare, "x long, y long, t long, bound double")
     if likeliest:
         pairs = pairs.groupBy("x").agg(F.max_by(F.struct("y", "t"), F.struct("bound", "y", "t")).alias("best")).select("x", "best.y", "best.t")
     pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("t").alias("t"))

@@ -17,11 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, slices, small_batches, words_of
+from .common import crc_mod, opened, shipped, slices, small_batches, tidy, words_of
 
 #: Hash buckets of n-grams; a model has BUCKETS x languages numbers, however much text there is.
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
+#: Distinct words whose n-grams are held at once.
+WORDS_AT_ONCE = 16_384
 #: Languages a model may have.
 MOST_LANGUAGES = 512
 #: Log-likelihood that a change of language costs.
@@ -96,18 +98,20 @@ def _counts(buckets: int):
             words, at = words_of(batch.column("text"))
             found = words.dictionary_encode()
             codes = np.asarray(found.indices, dtype=np.int64)
-            points, start = words_as_points(found.dictionary)
-            gram, owner = gram_buckets(points, start, buckets)
-            script, letter_word = scripts_of(points), np.repeat(np.arange(len(start) - 1), np.diff(start))
             lang = batch.column("lang").dictionary_encode()
-            names = lang.dictionary.to_pylist()
             of_word = np.repeat(np.asarray(lang.indices, dtype=np.int64), np.diff(at))
-            for k, name in enumerate(names):
-                times = np.bincount(codes[of_word == k], minlength=len(start) - 1).astype(np.float64)
-                if name not in totals:
-                    totals[name] = np.zeros(buckets + len(SCRIPTS))
-                totals[name][:buckets] += np.bincount(gram, times[owner], minlength=buckets)
-                totals[name][buckets:] += np.bincount(script, times[letter_word], minlength=len(SCRIPTS))
+            names = lang.dictionary.to_pylist()
+            times = [np.bincount(codes[of_word == k], minlength=len(found.dictionary)).astype(np.float64) for k in range(len(names))]
+            for low in range(0, len(found.dictionary), WORDS_AT_ONCE):
+                points, start = words_as_points(found.dictionary.slice(low, WORDS_AT_ONCE))
+                gram, owner = gram_buckets(points, start, buckets)
+                script, letter_word = scripts_of(points), np.repeat(np.arange(len(start) - 1), np.diff(start))
+                for name, all_times in zip(names, times, strict=True):
+                    n = all_times[low : low + WORDS_AT_ONCE]
+                    if name not in totals:
+                        totals[name] = np.zeros(buckets + len(SCRIPTS))
+                    totals[name][:buckets] += np.bincount(gram, n[owner], minlength=buckets)
+                    totals[name][buckets:] += np.bincount(script, n[letter_word], minlength=len(SCRIPTS))
         for name, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], ["lang", "bucket", "n"])
@@ -133,6 +137,10 @@ class LanguageModel:
 
     def word_scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """words x languages, and the letters of each word."""
+        parts = [self._word_scores(words.slice(low, WORDS_AT_ONCE)) for low in range(0, max(1, len(words)), WORDS_AT_ONCE)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _word_scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         points, start = words_as_points(words)
         gram, owner = gram_buckets(points, start, self.buckets)
         n = np.diff(start)
@@ -194,40 +202,35 @@ def train(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     """Counts over all training texts with a language; what is gathered is bounded by buckets x languages."""
     small_batches(docs.sparkSession)
     rows = docs.where(is_training & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.mapInArrow(_counts(buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(_counts(buckets)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return LanguageModel(counts.toPandas().astype({"n": "float64"}), buckets)
 
 
-def _predict(shared, with_spans: bool):
-    def predict(batches):
-        model = shared.value
-        for batch in slices(batches, "text"):
-            words, at = words_of(batch.column("text"))
-            found = words.dictionary_encode()
-            codes = np.asarray(found.indices, dtype=np.int64)
-            n_texts = len(at) - 1
-            names = [UNDETERMINED] * n_texts
-            score, spans = np.zeros(n_texts), [""] * n_texts
-            if model.names:
-                scores, n_letters = model.word_scores(found.dictionary)
-                label = model.label(scores, codes, at)
-                text = np.repeat(np.arange(n_texts), np.diff(at))
-                share = np.bincount(text * len(model.names) + label, n_letters[codes], minlength=n_texts * len(model.names)).reshape(n_texts, -1)
-                total, best = share.sum(1), share.argmax(1)
-                score = np.where(total > 0, share.max(1) / np.maximum(total, 1), 0.0)
-                names = [model.names[b] if t else UNDETERMINED for b, t in zip(best.tolist(), total.tolist(), strict=True)]
-                if with_spans:
-                    first = np.ones(len(label), bool)
-                    first[1:] = (label[1:] != label[:-1]) | (text[1:] != text[:-1])
-                    begin = np.flatnonzero(first)
-                    stop = np.append(begin[1:], len(label))
-                    owner = text[begin]
-                    cut = np.searchsorted(owner, np.arange(n_texts + 1))
-                    parts = [f"{model.names[v]}:{a}:{b}" for v, a, b in zip(label[begin].tolist(), (begin - at[owner]).tolist(), (stop - at[owner]).tolist(), strict=True)]
-                    spans = [",".join(parts[a:b]) if total[k] else "" for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())], ["id", "lang_pred", "score", "spans"])
-
-    return predict
+def labelled(model: LanguageModel, texts: pa.Array, with_spans: bool) -> tuple[list[str], np.ndarray, list[str]]:
+    """The language of each text, its share of the letters, and the spans if asked."""
+    words, at = words_of(texts)
+    found = words.dictionary_encode()
+    codes = np.asarray(found.indices, dtype=np.int64)
+    n_texts = len(at) - 1
+    if not model.names:
+        return [UNDETERMINED] * n_texts, np.zeros(n_texts), [""] * n_texts
+    scores, n_letters = model.word_scores(found.dictionary)
+    label = model.label(scores, codes, at)
+    text = np.repeat(np.arange(n_texts), np.diff(at))
+    share = np.bincount(text * len(model.names) + label, n_letters[codes], minlength=n_texts * len(model.names)).reshape(n_texts, -1)
+    total, best = share.sum(1), share.argmax(1)
+    score = np.where(total > 0, share.max(1) / np.maximum(total, 1), 0.0)
+    names = [model.names[b] if t else UNDETERMINED for b, t in zip(best.tolist(), total.tolist(), strict=True)]
+    if not with_spans:
+        return names, score, [""] * n_texts
+    first = np.ones(len(label), bool)
+    first[1:] = (label[1:] != label[:-1]) | (text[1:] != text[:-1])
+    begin = np.flatnonzero(first)
+    stop = np.append(begin[1:], len(label))
+    owner = text[begin]
+    cut = np.searchsorted(owner, np.arange(n_texts + 1))
+    parts = [f"{model.names[v]}:{a}:{b}" for v, a, b in zip(label[begin].tolist(), (begin - at[owner]).tolist(), (stop - at[owner]).tolist(), strict=True)]
+    return names, score, [",".join(parts[a:b]) if total[k] else "" for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))]
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,40 +239,48 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     score is the share of the letters that lie in spans of lang_pred; spans
     lists language:first word:end word.  Texts that are null or without a
     letter, and all texts if nothing was learned, are ``und`` with score 0 and
-    no spans.  Ties go to the language first by name.  Other columns aren't
-    read; nothing is shuffled.
+    no spans.  Ties go to the language first by name.  Repeated rows and null
+    ids are rows like others.  Other columns aren't read; nothing is shuffled.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    shared = shipped(docs.sparkSession, model)
+
+    def run(batches):
+        model = opened(shared)
+        for batch in slices(batches, "text"):
+            names, score, spans = labelled(model, batch.column("text"), True)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())], ["id", "lang_pred", "score", "spans"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_predict(shared, True), f"id {kind}, lang_pred string, score double, spans string")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double, spans string")
     return out.withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Learn from the rows whose crc32(id) mod 4 isn't 2, and predict all rows; adds held_out."""
+    """Learn from the rows whose crc32(id) mod 4 isn't 2, and predict all rows; adds held_out.
+
+    Rows without a language aren't learned from; an empty table gives no rows.
+    """
     held_out = crc_mod(id_col, 4) == 2
     out = predict(docs, train(docs, ~held_out, id_col), id_col)
     return out.withColumn("held_out", held_out).select(id_col, "held_out", "lang_pred", "score", "spans")
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """All columns of the documents that have a language.
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the documents that have a language, whatever the other columns are called.
 
-    Rejected are texts without a letter, and texts of which no language holds
-    half of the letters.
+    Rejected are texts that are null, empty or without a letter, and texts of
+    which no language holds half of the letters.  Repeated rows are kept or
+    rejected alike.  The model learns from all rows that have a language; if
+    none has, all are rejected.
     """
-    model = train(docs, F.lit(True), id_col)
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    schema = docs.schema
+    small_batches(docs.sparkSession)
+    shared = shipped(docs.sparkSession, train(docs, F.lit(True), id_col, text_col))
 
     def keep(batches):
-        for batch in slices(batches, "text"):
-            found = pa.Table.from_batches(list(_predict(shared, False)(iter([batch.rename_columns(["id" if c == id_col else c for c in batch.schema.names])]))))
-            ok = pc.and_(pc.not_equal(found["lang_pred"], UNDETERMINED), pc.greater_equal(found["score"], 0.5))
-            yield from pa.Table.from_batches([batch]).filter(ok).to_batches()
+        model = opened(shared)
+        for batch in slices(batches, text_col):
+            names, score, _ = labelled(model, batch.column(text_col), False)
+            yield batch.filter(pa.array((np.array(names, object) != UNDETERMINED) & (score >= 0.5)))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -9,8 +9,9 @@ source that runs out leaves its slots empty; the others keep their pace.
 
 The schedule has one entry for each block.  The driver makes it, in exact
 integers and in parts of PART_BLOCKS entries, and holds one part and a few
-numbers for each source.  All that has to do with rows is DataFrame
-operations, with no Python on executors.
+numbers for each source; larger tables want larger blocks, which is a
+parameter.  All that has to do with rows is DataFrame operations, with no
+Python on executors.
 """
 
 from __future__ import annotations
@@ -20,23 +21,22 @@ import math
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
+from itertools import islice
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, NumericType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from .common import materialize
+from .common import fresh_path, materialize
 
 BLOCK_ROWS = 32
 #: The slots that the column weight_slots counts by.
 SLOTS = 1000
-#: Rows of a source that one task numbers.
-RUN_ROWS = 5_000
+#: Rows of a source that one task numbers, and runs that are put end to end together.
+RUN_ROWS, LOT_RUNS = 1_000, 1_024
 #: Blocks of a part of the schedule.
-PART_BLOCKS = 1 << 20
+PART_BLOCKS = 1 << 18
 #: Slots from here on aren't used.
 LAST_SLOT = 1 << 62
 
@@ -88,13 +88,52 @@ def schedule(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int,
 
 def slot_table(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
     """The schedule as a table: __ix, __block, __slot."""
-    steps, parts, left = schedule(weights, blocks), [], PART_BLOCKS
-    while left == PART_BLOCKS:
-        part = np.fromiter((x for _, step in zip(range(PART_BLOCKS), steps) for x in step), np.int64).reshape(-1, 3)
-        left = len(part)
-        table = pa.table({name: part[:, k] for k, name in enumerate(("__ix", "__block", "__slot"))})
-        parts.append(materialize(spark.createDataFrame(table), "mix-slots"))
-    return reduce(DataFrame.unionByName, parts)
+    steps, path = schedule(weights, blocks), fresh_path(spark, "mix-slots")
+    while True:
+        slots: dict[int, tuple[int, list[int]]] = {}
+        for s, block, slot in islice(steps, PART_BLOCKS):  # the blocks of a source come in order
+            slots.setdefault(s, (block, []))[1].append(slot)
+        part = spark.createDataFrame([(s, first, own) for s, (first, own) in slots.items()], "__ix long, __first long, __slots array<long>")
+        part.select("__ix", "__first", F.posexplode("__slots").alias("__n", "__slot")).select("__ix", (F.col("__first") + F.col("__n")).alias("__block"), "__slot").write.mode("append").parquet(path)
+        if sum(len(own) for _, own in slots.values()) < PART_BLOCKS:
+            return spark.read.schema("__ix long, __block long, __slot long").parquet(path)
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None, block_rows: int, slots: int, id_col: str, source_col: str, columns: list[str]) -> DataFrame:
+    """``columns`` of each row with __at, its number in the source, and __block, __weight, __slot and __slot_row."""
+    spark = docs.sparkSession
+    runs = max(1, docs.count() // RUN_ROWS)
+    same = [F.col(c) for c in columns if isinstance(docs.schema[c].dataType, (StringType, NumericType))]
+    keyed = docs.select(*[F.col(c) for c in columns]).withColumn("__h", F.xxhash64(F.col(id_col))).withColumn("__run", F.pmod(F.shiftright("__h", 20), F.lit(runs)))
+    per_run = materialize(keyed.groupBy(F.col(source_col).alias("__source"), "__run").agg(F.count(F.lit(1)).alias("__rows")), "mix-runs")
+    rows = [tuple(r) for r in per_run.groupBy("__source").agg(F.sum("__rows")).orderBy("__source").collect()]  # one for each source
+    exact = target_weights(rows, weights)
+    kind = StructType([StructField("__name", docs.schema[source_col].dataType), StructField("__ix", LongType()), StructField("__weight", DoubleType())])
+    sources = spark.createDataFrame([(s, k, float(Fraction(slots * a, sum(exact)))) for k, ((s, _), a) in enumerate(zip(rows, exact, strict=True))], kind)
+    at = slot_table(spark, exact, [-(-n // block_rows) for _, n in rows])
+
+    # rows of a source before each run: lots of runs are put end to end, then the runs of each lot
+    counted = per_run.join(sources, F.col("__source").eqNullSafe(F.col("__name"))).select("__ix", "__run", "__rows", F.floor(F.col("__run") / LOT_RUNS).alias("__lot"))
+    earlier = lambda w: F.coalesce(F.sum("__rows").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lots = counted.groupBy("__ix", "__lot").agg(F.sum("__rows").alias("__rows")).select("__ix", "__lot", earlier(W.partitionBy("__ix").orderBy("__lot")).alias("__lot_before"))
+    before = counted.withColumn("__in_lot", earlier(W.partitionBy("__ix", "__lot").orderBy("__run"))).join(lots, ["__ix", "__lot"])
+    before = before.select("__ix", "__run", "__rows", (F.col("__lot_before") + F.col("__in_lot")).alias("__before"))
+    # the slots of the blocks of each run, in order; its first block may have begun in the run before
+    first, last = (F.floor(x / block_rows) for x in (F.col("__before"), F.col("__before") + F.col("__rows") - 1))
+    held = before.withColumn("__block", F.explode(F.sequence(first, last))).join(at, ["__ix", "__block"])
+    held = held.groupBy("__ix", "__run", "__before").agg(F.array_sort(F.collect_list(F.struct("__block", "__slot"))).alias("__slots"))
+
+    # both sides of the join are dealt by __ix and __run, so rows are shuffled once
+    keyed = keyed.join(sources, F.col(source_col).eqNullSafe(F.col("__name")))
+    rank = F.row_number().over(W.partitionBy("__ix", "__run").orderBy("__h", F.col(id_col), *same))
+    ranked = keyed.withColumn("__n", rank).join(held, ["__ix", "__run"])
+    ranked = ranked.withColumn("__at", F.col("__before") + F.col("__n") - 1).withColumn("__block", F.floor(F.col("__at") / block_rows)).withColumn("__slot_row", (F.col("__at") % block_rows).cast("int"))
+    slot = F.col("__slots")[(F.col("__block") - F.col("__slots")[0]["__block"]).cast("int")]["__slot"]
+    return ranked.select(*columns, "__block", "__weight", slot.alias("__slot"), "__slot_row")
+
+
+#: What `mix_order` adds.
+ADDED = ("source_block", "weight_slots", "slot", "slot_row")
 
 
 def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, slots: int = SLOTS, id_col: str = "doc_id", source_col: str = "source", columns: list[str] | None = None) -> DataFrame:
@@ -102,45 +141,25 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block_ro
 
     Adds source_block, weight_slots (the target of the source in ``slots``
     slots, not rounded), slot and slot_row to the id, the source and
-    ``columns``; (slot, slot_row) orders the mix and tells rows apart.  Every
-    row stays, and rows of a source are dealt in the order of a hash of the
-    id, those of one id by ``columns``.  Null is a source like others.  Sources of weight 0 follow all others.
-    An empty table gives an empty result.
+    ``columns``; of ``columns`` those named like one of these are left out.
+    (slot, slot_row) orders the mix and tells rows apart.  Every row stays,
+    repeated ones too, and rows of a source are dealt in the order of a hash
+    of the id, those of one id (or of none) by ``columns``.  Null is a source
+    like others.  Sources of weight 0 follow all others; a source that has run
+    out leaves its slots empty.  An empty table gives an empty result.
 
     A hot source is numbered in runs of about RUN_ROWS rows, by many tasks,
     and the runs are put end to end by their counts.
     """
-    spark = docs.sparkSession
-    runs = max(1, docs.count() // RUN_ROWS)
-    named = list(dict.fromkeys([id_col, source_col, *(columns or [])]))
-    same = [F.col(c) for c in columns or [] if isinstance(docs.schema[c].dataType, (StringType, NumericType))]
-    keyed = docs.select(*[F.col(c) for c in named]).withColumn("__h", F.xxhash64(F.col(id_col))).withColumn("__run", F.pmod(F.shiftright("__h", 20), F.lit(runs)))
-    source = F.col(source_col).alias("source")
-    per_run = materialize(keyed.groupBy(source, "__run").agg(F.count(F.lit(1)).alias("n")), "mix-runs")
-    rows = [tuple(r) for r in per_run.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").collect()]  # one for each source
-    exact = target_weights(rows, weights)
-    blocks = [-(-n // block_rows) for _, n in rows]
-    kind = StructType([StructField("__source", docs.schema[source_col].dataType), StructField("__ix", LongType()), StructField("weight_slots", DoubleType())])
-    sources = spark.createDataFrame([(s, k, float(Fraction(slots * a, sum(exact)))) for k, ((s, _), a) in enumerate(zip(rows, exact, strict=True))], kind)
-    at = slot_table(spark, exact, blocks)
-
-    before = per_run.withColumn("__before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("__run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    before = before.join(sources, F.col("source").eqNullSafe(F.col("__source"))).select("__ix", "__run", "__before", "n")
-    # the slots of the blocks of each run, in order; its first block may have begun in the run before
-    first, last = (F.floor(x / block_rows) for x in (F.col("__before"), F.col("__before") + F.col("n") - 1))
-    held = before.withColumn("__block", F.explode(F.sequence(first, last))).join(at, ["__ix", "__block"])
-    held = held.groupBy("__ix", "__run", "__before").agg(F.array_sort(F.collect_list(F.struct("__block", "__slot"))).alias("__slots"))
+    named = list(dict.fromkeys([id_col, source_col, *(c for c in columns or [] if c not in ADDED)]))
+    placed = _placed(docs, weights, block_rows, slots, id_col, source_col, named)
+    return placed.select(*named, *[F.col(c).alias(name) for c, name in zip(("__block", "__weight", "__slot", "__slot_row"), ADDED, strict=True)])
 
-    # both sides of the join are dealt by __ix and __run, so rows are shuffled once
-    keyed = keyed.join(sources, F.col(source_col).eqNullSafe(F.col("__source")))
-    rank = F.row_number().over(W.partitionBy("__ix", "__run").orderBy("__h", F.col(id_col), *same))
-    ranked = keyed.withColumn("__n", rank).join(held, ["__ix", "__run"])
-    ranked = ranked.withColumn("__at", F.col("__before") + F.col("__n") - 1).withColumn("source_block", F.floor(F.col("__at") / block_rows)).withColumn("slot_row", (F.col("__at") % block_rows).cast("int"))
-    slot = F.col("__slots")[(F.col("source_block") - F.col("__slots")[0]["__block"]).cast("int")]["__slot"]
-    return ranked.select(*named, "source_block", "weight_slots", slot.alias("slot"), "slot_row")
 
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """All rows and columns of ``docs``, whatever they are called, sorted into the order of the mix.
 
-def mixed(docs: DataFrame, **kw) -> DataFrame:
-    """All rows and columns of ``docs``, sorted into the order of the mix."""
-    out = mix_order(docs, columns=docs.columns, **kw)
-    return out.orderBy("slot", "slot_row").select(*docs.columns)
+    As in `mix_order`, null is a source, and no row is lost; an empty table
+    gives an empty result.
+    """
+    return _placed(docs, weights, block_rows, SLOTS, id_col, source_col, docs.columns).orderBy("__slot", "__slot_row").select(*docs.columns)

@@ -7,6 +7,10 @@ best way has the largest sum of scores.  For BPE files a sum of scores isn't
 what the file means: there exactly one of the pieces that end at a place
 follows the best way to its start as merging would have it, and the relaxing
 step looks for that one.
+
+Texts are cut between two characters that stand together in no piece, which
+no piece can cross; so each distinct part is encoded once, and long texts
+without spaces fall into short parts.
 """
 
 from __future__ import annotations
@@ -19,13 +23,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, utf8_buffer
+from .common import opened, shipped, slices, small_batches, tidy, utf8_buffer
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct words whose pieces a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words whose pieces a task remembers.
+REMEMBERED = 100_000
+#: Words of more bytes are read one by one, shorter ones many at once.
+LONG_WORD = 256
+#: Text bytes that are encoded together.
+ENCODE_BYTES = 1 << 20
+#: Bits by which pairs of neighbouring characters are told apart; a collision only leaves words together.
+PAIR_BITS = 20
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -78,10 +88,10 @@ class PieceModel:
         self.unknown = self.types.index(UNKNOWN)
         self.byte_ids = np.array([next((i for i, p in enumerate(self.pieces) if t == f"<0x{b:02X}>".encode() and self.types[i] == BYTE and p == t), self.unknown) for b in range(256) for t in [f"<0x{b:02X}>".encode()]]) if BYTE in self.types else None
         self._tables = None
-        self._known: dict[bytes, np.ndarray] = {}
+        self._known: dict[bytes, bytes] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_tables": None, "_known": {}}
+        return self.__dict__ | {"_known": {}}
 
     @property
     def tables(self) -> Tables:
@@ -90,6 +100,13 @@ class PieceModel:
         return self._tables
 
 
+def pair_slots(points: np.ndarray) -> np.ndarray:
+    """A slot for each pair of neighbouring code points."""
+    with np.errstate(over="ignore"):
+        mixed = (points[:-1] * np.uint32(0x9E3779B1) ^ points[1:]) * np.uint32(0x85EBCA6B)
+        return mixed >> np.uint32(32 - PAIR_BITS)
+
+
 def merge(word: list[int], pairs: dict[tuple[int, int], int], scores) -> list[tuple[int, int, int]]:
     """BPE by merging.  Returns the merges as (left, right, merged), then what is left with left -1."""
     n = len(word)
@@ -130,8 +147,14 @@ class Tables:
             self._merges(usable, model)
             usable = {p: i for p, i in usable.items() if self.reached[i]}
         self._automaton(usable)
-        self.cache_key = np.full(1 << 20, -1, np.int64)
-        self.cache_ok = np.zeros(1 << 20, bool)
+        self.cache_key = np.full(1 << 18, -1, np.int64)
+        self.cache_ok = np.zeros(1 << 18, bool)
+        #: Pairs of characters that stand together in a piece, and whether a space's mark ever follows another character.
+        texts = [p.decode("utf-8", "replace") for p in usable]
+        self.together = np.zeros(1 << PAIR_BITS, bool)
+        self.together[pair_slots(np.frombuffer("\0\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))] = True
+        self.mark_inside = any(a != SPACE and b == SPACE for t in texts for a, b in zip(t, t[1:], strict=False))
+        self._pairs: dict[int, int] | None = None
 
     def _merges(self, usable: dict[bytes, int], model: PieceModel) -> None:
         """left and right part of each piece; the pairs that merge; the pieces that merging makes of their own text."""
@@ -236,20 +259,90 @@ class Tables:
         return ok
 
 
+    def follows_one(self, a: int, b: int) -> bool:
+        """`_follows` of one pair."""
+        if a < 0 or b < 0:
+            return True
+        if self._pairs is None:
+            self._pairs = dict(zip(self.pair_key.tolist(), self.pair_piece.tolist(), strict=True))
+        limit = 1 << 60
+        while True:
+            merged = self._pairs.get(a << 32 | b)
+            if merged is not None and self.rank[merged] < limit:
+                return False
+            ra, rb = int(self.rank[a]), int(self.rank[b])
+            if ra == 0 and rb == 0:
+                return True
+            if ra > rb:
+                limit, a = ra, int(self.right[a])
+            else:
+                limit, b = rb + 1, int(self.left[b])
+
+
 def encode_words(model: PieceModel, words: list[bytes]) -> list[np.ndarray]:
     """The ids of each word, where a word is what no piece crosses the border of."""
+    return [np.frombuffer(x, np.int32) for x in coded_words(model, words)]
+
+
+def coded_words(model: PieceModel, words: list[bytes]) -> list[bytes]:
+    """The ids of each word as the bytes of 32-bit integers."""
     known = model._known
     fresh = [w for w in words if w not in known]
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
         fresh = words
     for start in range(0, len(fresh), 50_000):
-        part = fresh[start : start + 50_000]
+        part = [w for w in fresh[start : start + 50_000] if len(w) <= LONG_WORD]
         known.update(zip(part, _encode(model, part), strict=True))
-    return [known[w] for w in words]
+        known.update((w, _encode_long(model, w)) for w in fresh[start : start + 50_000] if len(w) > LONG_WORD)
+    out = [known[w] for w in words]
+    if len(known) > REMEMBERED:
+        known.clear()
+    return out
+
+
+def _encode_long(model: PieceModel, word: bytes) -> bytes:
+    """One long word, byte by byte."""
+    t = model.tables
+    size = len(word)
+    last, since, best = [-2] * (size + 1), [0] * (size + 1), [-np.inf] * (size + 1)
+    last[0], best[0] = -1, 0.0
+    state = char_start = 0
+    floor = float(t.score.min()) - 10.0
+    fits: dict[tuple[int, int], bool] = {}
+    for k, byte in enumerate(word):
+        if byte & 0xC0 != 0x80:
+            char_start = k
+        state = int(t.step[state * t.width + t.column[byte]])
+        node = state if t.piece[state] >= 0 else int(t.link[state])
+        while node:
+            piece = int(t.piece[node])
+            length = int(t.length[piece])
+            came = last[k + 1 - length]
+            if came != -2 and model.kind == BPE:
+                if (came, piece) not in fits:
+                    fits[came, piece] = t.follows_one(came, piece)
+                if fits[came, piece]:
+                    last[k + 1], since[k + 1] = piece, length
+                    break
+            elif came != -2 and (reach := best[k + 1 - length] + float(t.score[piece])) > best[k + 1]:
+                last[k + 1], since[k + 1], best[k + 1] = piece, length, reach
+            node = int(t.link[node])
+        if last[k + 1] == -2 and (k + 1 == size or word[k + 1] & 0xC0 != 0x80):
+            length = k + 1 - char_start
+            last[k + 1], since[k + 1], best[k + 1] = -1, length, best[char_start] + floor
+    out, at = [], size
+    while at > 0:
+        if last[at] >= 0:
+            out.append(last[at])
+        else:
+            text = np.frombuffer(word[at - since[at] : at], np.uint8)
+            out += model.byte_ids[text].tolist()[::-1] if model.byte_ids is not None else [model.unknown]
+        at -= since[at]
+    return np.array(out[::-1], np.int32).tobytes()
 
 
-def _encode(model: PieceModel, words: list[bytes]) -> list[np.ndarray]:
+def _encode(model: PieceModel, words: list[bytes]) -> list[bytes]:
     t = model.tables
     size = np.array([len(w) for w in words], np.int64)
     order = np.argsort(-size, kind="stable")
@@ -304,7 +397,7 @@ def _encode(model: PieceModel, words: list[bytes]) -> list[np.ndarray]:
     return _traced(model, words, order, size, start, place, raw, last, since)
 
 
-def _traced(model, words, order, size, start, place, raw, last, since) -> list[np.ndarray]:
+def _traced(model, words, order, size, start, place, raw, last, since) -> list[bytes]:
     rows, at = np.arange(len(words)), size.copy()
     found_row, found_at, found_id = [], [], []
     live = at > 0
@@ -324,21 +417,17 @@ def _traced(model, words, order, size, start, place, raw, last, since) -> list[n
             found_id.append(ids)
         at = at - length
         rows, at = rows[at > 0], at[at > 0]
-    out: list = [None] * len(words)
+    out = [b""] * len(words)
     if found_row:
         row, pos, ids = np.concatenate(found_row), np.concatenate(found_at), np.concatenate(found_id)
         by = np.lexsort((pos, row))
-        parts = np.split(ids[by].astype(np.int32), np.cumsum(np.bincount(row, minlength=len(words)))[:-1])
-    else:
-        parts = [np.zeros(0, np.int32)] * len(words)
-    for k, r in enumerate(order.tolist()):
-        out[r] = parts[k]
+        flat = ids[by].astype(np.int32).tobytes()
+        cut = 4 * np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(words)))))
+        for r, a, b in zip(order.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            out[r] = flat[a:b]
     return out
 
 
-_MARK = np.frombuffer(SPACE.encode(), np.uint8)
-
-
 def escaped(model: PieceModel, texts: pa.Array) -> pa.Array:
     texts = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), " ", SPACE)
     return pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()) if model.prefix else pa.scalar("", pa.large_string()), texts, pa.scalar("", pa.large_string())))
@@ -349,20 +438,21 @@ def encode(model: PieceModel, texts: pa.Array) -> pa.ListArray:
     raw, at = utf8_buffer(escaped(model, texts))
     if not len(raw):
         return pa.array([[]] * len(texts), pa.list_(pa.int32()))
-    # words start at marks that follow no mark; the model has no piece with a mark after other characters
-    mark = np.zeros(len(raw), bool)
-    mark[:-2] = (raw[:-2] == _MARK[0]) & (raw[1:-1] == _MARK[1]) & (raw[2:] == _MARK[2])
-    after = np.zeros(len(raw), bool)
-    after[3:] = mark[:-3]
-    first = mark & ~after
-    first[at[:-1][at[:-1] < len(raw)]] = True
-    starts = np.flatnonzero(first)
+    t = model.tables
+    begins = np.flatnonzero((raw & 0xC0) != 0x80)
+    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    first = np.ones(len(points), bool)
+    first[1:] = ~t.together[pair_slots(points)]
+    if not t.mark_inside:
+        first[1:] |= (points[1:] == ord(SPACE)) & (points[:-1] != ord(SPACE))
+    first[np.searchsorted(begins, at[:-1][at[:-1] < len(raw)])] = True
+    starts = begins[first]
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
     found = words.dictionary_encode()
-    each = encode_words(model, found.dictionary.to_pylist())
+    each = coded_words(model, found.dictionary.to_pylist())
     codes = np.asarray(found.indices, dtype=np.int64)
-    count = np.array([len(x) for x in each], np.int64)
-    pool, begin = np.concatenate(each), np.concatenate(([0], np.cumsum(count)))
+    count = np.array([len(x) // 4 for x in each], np.int64)
+    pool, begin = np.frombuffer(b"".join(each), np.int32), np.concatenate(([0], np.cumsum(count)))
     n = count[codes]
     ends = np.cumsum(n)
     ids = pool[np.repeat(begin[codes] - (ends - n), n) + np.arange(ends[-1])]
@@ -393,47 +483,57 @@ def decode(model: PieceModel, ids: pa.ListArray) -> pa.Array:
 
 
 def load_model(path: str = MODEL_PATH) -> PieceModel:
+    """The model of a file, with its automaton."""
     with open(path, "rb") as f:
-        return PieceModel(f.read())
+        model = PieceModel(f.read())
+    assert model.tables
+    return model
 
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, decode it again: id, ids, n_ids, round_trip.
 
-    One row for each row of ``docs``; null and empty texts have no ids and
-    round_trip is true.  round_trip says that decoding gives the text back,
-    which fails only where the text holds the mark that stands for a space.
-    Other columns of ``docs`` are not read.  The model file is read on the
-    driver and goes to the executors by broadcast; its size doesn't depend on
-    the data.  Nothing is shuffled.
+    One row for each row of ``docs``, repeated rows too; null and empty texts
+    have no ids and round_trip is true.  round_trip says that decoding gives
+    the text back, which fails only where the text holds the mark that stands
+    for a space.  Other columns of ``docs`` are not read.  The driver reads
+    the model file and builds the automaton; both go to the executors by
+    broadcast, and their size doesn't depend on the data.  Nothing is
+    shuffled.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(load_model(model_path))
+    shared = shipped(spark, load_model(model_path))
 
     def run(batches):
-        model = shared.value
-        for batch in slices(batches, "text"):
+        model = opened(shared)
+        for batch in slices(batches, "text", ENCODE_BYTES):
             ids = encode(model, batch.column("text"))
             same = pc.equal(decode(model, ids), pc.fill_null(batch.column("text"), "").cast(pa.large_binary()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), ids, pc.list_value_length(ids).cast(pa.int64()), same], ["id", "ids", "n_ids", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, n_ids long, round_trip boolean")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, ids array<int>, n_ids long, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Texts of lists of ids; bytes that are no UTF-8 become replacement characters, a null list a null text."""
+    """id and text of each list of ids, one row for each row.
+
+    Bytes that are no UTF-8 become replacement characters; a null list gives
+    a null text, an empty one an empty text.  An id that the model doesn't
+    have, or a null in a list, raises.
+    """
     spark = encoded.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(load_model(model_path))
+    shared = shipped(spark, load_model(model_path))
 
     def run(batches):
+        model = opened(shared)
         for batch in batches:
             lists = batch.column("ids")
-            texts = decode(shared.value, pc.fill_null(lists, pa.scalar([], lists.type)))
+            texts = decode(model, pc.fill_null(lists, pa.scalar([], lists.type)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([None if null else x.decode("utf-8", "replace") for x, null in zip(texts.to_pylist(), lists.is_null().to_pylist(), strict=True)], pa.string())], ["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
