@@ -18,24 +18,33 @@ from tidemill.llm.pieces import encode_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language."""
+    """Keeps the documents that have a language; those with a null, empty or letterless text go, and of mixed texts those that no language holds half of."""
     return accepted(docs)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of documents with equal texts, the one with the largest id."""
+    """Keeps, of documents with equal texts, the one with the largest id.
+
+    A null text counts as empty.  Of null and other ids the others stay; rows
+    that repeat the text and the id that stays are all kept.
+    """
     dropped = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("__dropped"), F.col("text_sha256").alias("__sha")).distinct()
     # by id and text: other rows of an id, or of no id, may be no copies
     return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__dropped")) & (F.sha2(text_of().cast("binary"), 256) == F.col("__sha")), "left_anti")
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the one with the smallest id."""
+    """Keeps, of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the one with the smallest id.
+
+    One row of each component stays, even of several with one id; null ids
+    stay only where all of the component are null.  Null and empty texts link
+    with nothing, so they stay.
+    """
     return one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts all documents into the order of the mix."""
+    """Puts all documents into the order of the mix; none is lost, and null is a source like others."""
     return mixed(docs)
 
 
@@ -44,7 +53,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Files don't keep the order of rows, and ``documents`` has no column for
     it, so the places, which depend on nothing but the rows, are taken here:
-    (slot, slot_row) orders the mix.
+    (slot, slot_row) orders the mix.  Null and empty texts have no ids.
     """
     placed = mix_order(docs, columns=["text"]).select(F.struct("doc_id", "slot", "slot_row").alias("at"), "text")
     return encode_documents(placed, id_col="at").select("at.doc_id", "ids", "n_ids", "round_trip", "at.slot", "at.slot_row")
