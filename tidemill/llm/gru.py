@@ -1,69 +1,130 @@
 """A gated recurrent language model in numpy, with a class-factored softmax.
 
-Words are numbered by frequency; word w is member w % MEMBERS of class
-w // MEMBERS, so P(w) = P(class) * P(member | class).  Texts are laid end to
-end in lanes.  A window of steps is worked on at once; the state goes on into
-the next window, and starts anew where a text starts.
+Words are numbered by frequency and fall into classes of neighbours, small
+ones for frequent words and larger ones for rare words, so P(w) = P(class) *
+P(word | class) costs little for most words.  Texts are laid end to end in
+lanes.  A window of steps is worked on at once; the state goes on into the
+next window, and starts anew where a text starts.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import numpy as np
 
-#: Words with a number of their own, END and OTHER among them; classes; hidden size.
-WORDS, CLASSES, HIDDEN = 1024, 32, 16
-MEMBERS = WORDS // CLASSES
+HIDDEN = 16
 END, OTHER = 0, 1
+#: Words of the smallest vocabulary, END and OTHER among them, and of its smallest class.
+LEAST_WORDS, LEAST_CLASS = 1024, 8
 #: Steps that a gradient goes back, and lanes.
 WINDOW, LANES = 16, 256
 SCORE_WINDOW, SCORE_LANES = 32, 512
-#: In training the state starts anew after so many words of a text; in scoring it never does.
-TRAIN_WORDS = 1024
-SHAPES = {"x": (WORDS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "cw": (HIDDEN, CLASSES), "cb": (CLASSES,), "mw": (CLASSES, HIDDEN, MEMBERS), "mb": (CLASSES, MEMBERS)}
+#: In training texts of more words are laid in several lanes; a part that goes on a text first reads so many words before it.
+TRAIN_WORDS, BURN = 1024, 32
 
 
-def initial(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
+@dataclass(frozen=True)
+class Layout:
+    """How many words there are, and where the classes start and end."""
+
+    words: int
+    bounds: tuple[int, ...]
+
+    @property
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        classes = len(self.bounds) - 1
+        return {"x": (self.words, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "cw": (HIDDEN, classes), "cb": (classes,), "mw": (self.words, HIDDEN), "mb": (self.words,)}
+
+    def class_of(self, words: np.ndarray) -> np.ndarray:
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))[words]
+
+
+def layout(distinct: int) -> Layout:
+    """The vocabulary grows as twice the square root of the distinct words, the number of classes as its root."""
+    words = max(LEAST_WORDS, 1 << round(np.log2(max(1.0, 2 * distinct**0.5))))
+    classes = max(32, int(words**0.5) // 2)
+    low, high = 1.0, 2.0
+    for _ in range(60):  # sizes grow by a factor from class to class
+        grow = (low + high) / 2
+        low, high = (grow, high) if LEAST_CLASS * (grow ** np.arange(classes)).sum() < words else (low, grow)
+    bounds = np.minimum(words, np.concatenate(([0], np.cumsum(np.maximum(1, LEAST_CLASS * low ** np.arange(classes)).astype(int)))))
+    bounds[-1] = words
+    return Layout(words, tuple(bounds.tolist()))
+
+
+def initial(counts: np.ndarray, own: Layout, seed: int = 7) -> dict[str, np.ndarray]:
     """Small random weights; the biases start at the words' frequencies."""
     rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * (0.3 if k == "x" else 0.2)).astype(np.float32) for k, s in SHAPES.items()}
+    p = {k: (rng.standard_normal(s) * (0.3 if k == "x" else 0.2)).astype(np.float32) for k, s in own.shapes.items()}
     p["cw"] *= 0.1
     p["mw"] *= 0.1
     p["x"][:, HIDDEN : 2 * HIDDEN] += 0.5
-    n = (counts + 0.5).reshape(CLASSES, MEMBERS)
-    p["cb"], p["mb"] = np.log(n.sum(1)).astype(np.float32), np.log(n).astype(np.float32)
+    n = counts + 0.5
+    p["cb"], p["mb"] = np.log(np.add.reduceat(n, own.bounds[:-1])).astype(np.float32), np.log(n).astype(np.float32)
     return p
 
 
-def lanes(words: np.ndarray, start: np.ndarray, docs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Targets, text numbers (-1 beyond a lane's end) and starts, steps x lanes, long lanes first.
+@dataclass
+class Runs:
+    """Runs of words that are laid in lanes: where each begins, its words, the words read before it, and whether its text ends with it."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    burn: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
+
+
+def whole(start: np.ndarray, docs: np.ndarray) -> Runs:
+    size = np.diff(start)[docs]
+    return Runs(start[:-1][docs], size, np.zeros(len(docs), np.int64), np.ones(len(docs), bool), docs)
+
 
-    Each text is its words and then END.
+def parts(start: np.ndarray, docs: np.ndarray) -> Runs:
+    """The texts ``docs`` in parts of TRAIN_WORDS words at most, all of each text."""
+    size = np.diff(start)[docs]
+    count = np.maximum(1, -(-size // TRAIN_WORDS))
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = nth * TRAIN_WORDS
+    return Runs(np.repeat(start[:-1][docs], count) + at, np.minimum(TRAIN_WORDS, np.repeat(size, count) - at), np.where(nth > 0, BURN, 0), nth == np.repeat(count, count) - 1, np.repeat(docs, count))
+
+
+def lanes(words: np.ndarray, runs: Runs, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What each step is given, its target, its text (-1 beyond a lane's end, -2 where nothing is learned) and where runs begin: steps x lanes, long lanes first.
+
+    A text is its words and then END; what comes before it counts as END.
     """
-    size = np.diff(start)[docs] + 1
+    size = runs.burn + runs.size + runs.ends
     total = int(size.sum())
-    # more lanes than this would wait for the longest text
-    n = int(np.clip(2 * total // max(1, int(size.max(initial=1))), 1, min(most, max(1, len(docs)))))
+    # more lanes than this would wait for the longest run
+    n = int(np.clip(2 * total // max(1, int(size.max(initial=1))), 1, min(most, max(1, len(size)))))
     heap, held = [(0, k) for k in range(n)], [[] for _ in range(n)]
-    for d in np.argsort(-size, kind="stable").tolist():
+    for r in np.argsort(-size, kind="stable").tolist():
         load, k = heapq.heappop(heap)
-        held[k].append(d)
-        heapq.heappush(heap, (load + int(size[d]), k))
-    length = np.array([sum(int(size[d]) for d in h) for h in held])
+        held[k].append(r)
+        heapq.heappush(heap, (load + int(size[r]), k))
+    length = np.array([sum(int(size[r]) for r in h) for h in held])
     by = np.argsort(-length, kind="stable")
-    target = np.zeros((int(length.max(initial=0)), n), np.int16)
-    text, begins = np.full(target.shape, -1, np.int32), np.zeros(target.shape, bool)
+    target = np.zeros((int(length.max(initial=0)), n), np.int32)
+    given, text, begins = np.full(target.shape, END, np.int32), np.full(target.shape, -1, np.int32), np.zeros(target.shape, bool)
     for lane, k in enumerate(by.tolist()):
         at = 0
-        for d in held[k]:
-            a, b = start[docs[d]], start[docs[d] + 1]
+        for r in held[k]:
+            burn = int(runs.burn[r])
+            a, b = int(runs.begin[r]) - burn, int(runs.begin[r] + runs.size[r])
             target[at : at + b - a, lane] = words[a:b]
-            target[at + b - a, lane] = END
-            text[at : at + b - a + 1, lane] = docs[d]
+            given[at + 1 : at + b - a + 1, lane] = words[a:b][: len(target) - at - 1]
+            if burn:
+                given[at, lane] = words[a - 1]
+            stop = at + int(size[r])
+            text[at : at + burn, lane] = -2
+            text[at + burn : stop, lane] = runs.text[r]
+            given[stop : stop + 1, lane] = END
             begins[at, lane] = True
-            at += b - a + 1
-    return target, text, begins
+            at = stop
+    return given, target, text, begins
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -92,10 +153,10 @@ def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, x @ np.ones(x.shape[1], np.float32)
 
 
-def output(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
+def output(p: dict, own: Layout, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log of each target's probability, and the gradient of minus their sum by ``h``."""
     n = np.arange(len(h))
-    cls, member = target // MEMBERS, target % MEMBERS
+    cls = own.class_of(target)
     q, total = _exp(h @ p["cw"] + p["cb"])
     logp = np.log(q[n, cls]) - np.log(total)
     dh = None
@@ -105,70 +166,58 @@ def output(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tu
         grads["cw"] += h.T @ q
         grads["cb"] += q.sum(0)
         dh = q @ p["cw"].T
-    by = np.argsort(cls.astype(np.int8), kind="stable")
-    cut = np.searchsorted(cls[by], np.arange(CLASSES + 1))
-    own, member = h[by], member[by]
+    by = np.argsort(cls.astype(np.int16), kind="stable")
+    cut = np.searchsorted(cls[by], np.arange(len(own.bounds)))
+    mine, member = h[by], target[by]
     inner = np.empty(len(h), np.float32)
     back = np.empty_like(h) if grads is not None else None
-    for c in range(CLASSES):
-        s = slice(cut[c], cut[c + 1])
+    for c in range(len(own.bounds) - 1):
+        s, w = slice(cut[c], cut[c + 1]), slice(own.bounds[c], own.bounds[c + 1])
         m = cut[c + 1] - cut[c]
         if not m:
             continue
-        q, total = _exp(own[s] @ p["mw"][c] + p["mb"][c])
+        q, total = _exp(mine[s] @ p["mw"][w].T + p["mb"][w])
         k = n[:m]
-        inner[s] = np.log(q[k, member[s]]) - np.log(total)
+        inner[s] = np.log(q[k, member[s] - w.start]) - np.log(total)
         if grads is not None:
             q /= total[:, None]
-            q[k, member[s]] -= 1.0
-            grads["mw"][c] += own[s].T @ q
-            grads["mb"][c] += np.ones(m, np.float32) @ q
-            back[s] = q @ p["mw"][c].T
+            q[k, member[s] - w.start] -= 1.0
+            grads["mw"][w] += q.T @ mine[s]
+            grads["mb"][w] += np.ones(m, np.float32) @ q
+            back[s] = q @ p["mw"][w]
     logp[by] += inner
     if grads is not None:
         dh[by] += back
     return logp, dh
 
 
-def windows(target: np.ndarray, text: np.ndarray, begins: np.ndarray, size: int):
+def windows(given: np.ndarray, target: np.ndarray, text: np.ndarray, begins: np.ndarray, size: int):
     """given, target, text and keep of each window, for the lanes that still go on."""
-    given = np.zeros_like(target)
-    given[1:] = target[:-1]
-    given[begins] = END
     for at in range(0, len(target), size):
-        live = int((text[at] >= 0).sum())
+        live = int((text[at] != -1).sum())
         s = np.s_[at : at + size, :live]
         yield given[s].astype(np.int64), target[s].astype(np.int64), text[s], (~begins[s]).astype(np.float32)[:, :, None]
 
 
-def score(p: dict, words: np.ndarray, start: np.ndarray) -> np.ndarray:
+def score(p: dict, own: Layout, words: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each whole text, its end included."""
     n_docs = len(start) - 1
     total = np.zeros(n_docs)
     h = None
-    for given, target, text, keep in windows(*lanes(words, start, np.arange(n_docs), SCORE_LANES), SCORE_WINDOW):
+    for given, target, text, keep in windows(*lanes(words, whole(start, np.arange(n_docs)), SCORE_LANES), SCORE_WINDOW):
         h = np.zeros((given.shape[1], HIDDEN), np.float32) if h is None else h[: given.shape[1]]
         out, h = steps(p, given, keep, h, None)
         live = text >= 0
-        logp, _ = output(p, out[live], target[live], None)
+        logp, _ = output(p, own, out[live], target[live], None)
         total += np.bincount(text[live], logp, minlength=n_docs)
     return total
 
 
-def pieces(words: np.ndarray, start: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts ``docs``, cut into pieces of TRAIN_WORDS words at most."""
-    size = np.diff(start)[docs]
-    whole = np.repeat(start[:-1][docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    count = np.maximum(1, -(-size // TRAIN_WORDS))
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    length = np.minimum(TRAIN_WORDS, np.repeat(size, count) - nth * TRAIN_WORDS)
-    return words[whole], np.concatenate(([0], np.cumsum(length))), np.arange(len(length))
-
-
 class Trainer:
     """Adam over windows of truncated backpropagation."""
 
-    def __init__(self, p: dict[str, np.ndarray], rate: float):
+    def __init__(self, p: dict[str, np.ndarray], own: Layout, rate: float):
+        self.own = own
         self.p, self.rate, self.t = {k: v.copy() for k, v in p.items()}, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
         self.seen = 0
@@ -177,7 +226,7 @@ class Trainer:
         if not len(docs):
             return
         h = None
-        laid = lanes(*pieces(words, start, docs), LANES)
+        laid = lanes(words, parts(start, docs), LANES)
         for given, target, text, keep in windows(*laid, WINDOW):
             h = np.zeros((given.shape[1], HIDDEN), np.float32) if h is None else h[: given.shape[1]]
             h = self.window(given, target, text >= 0, keep, h)
@@ -186,8 +235,10 @@ class Trainer:
         p, trace = self.p, []
         grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
         out, last = steps(p, given, keep, h, trace)
-        _, dh = output(p, out[live], target[live], grads)
+        _, dh = output(p, self.own, out[live], target[live], grads)
         n = int(live.sum())
+        if not n:
+            return last
         self.seen += n
         each = np.zeros_like(out)
         each[live] = dh / n
@@ -225,13 +276,13 @@ class Trainer:
             self.p[k][at] -= (rate * m[at] / (np.sqrt(v[at]) + 1e-7)).astype(np.float32)
 
 
-def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES]).astype(np.float32)
+def flat(p: dict[str, np.ndarray], own: Layout) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in own.shapes]).astype(np.float32)
 
 
-def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
+def shaped(values: np.ndarray, own: Layout) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in own.shapes.items():
         n = int(np.prod(s))
         out[k] = values[at : at + n].reshape(s).astype(np.float32)
         at += n

@@ -4,7 +4,7 @@ The counts of all training tokens give the base score, the vocabulary of the
 recurrent model, and the probability of each word outside it.  The recurrent
 model is trained by all training texts, each once: in every round each task
 goes on from the same weights over its share, and the weights are averaged by
-the tokens seen.
+the tokens seen, in a tree.  The vocabulary grows with the corpus.
 """
 
 from __future__ import annotations
@@ -12,25 +12,24 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import materialize, starts_of, unpacked, unpacked_words, word_slices
+from .common import at_least, discard, materialize, opened, shipped, starts_of, tidy, unpacked, unpacked_words, word_slices
 
 #: Shares of the training texts (in sixteenths) and step sizes of the rounds.
 ROUNDS = ((1, 0.02), (3, 0.01), (5, 0.006), (7, 0.003))
 #: No word has a space, so it stands for the end of a text.
 END_WORD = " "
-#: Numbers of the model that are averaged in one task.
-CHUNK = 4096
+#: Numbers of the model that are averaged in one task, replicas at most, and replicas that are averaged together.
+CHUNK, REPLICAS, BRANCH = 4096, 4096, 64
 #: Tokens that a task scores together.
-SCORE_TOKENS = 4_000_000
-#: Most frequent words that are looked up without a shuffle.
-FREQUENT = 16_384
+SCORE_TOKENS = 2_000_000
+#: Most frequent words, in vocabularies, that are looked up without a shuffle.
+FREQUENT = 4
 
 
 def crc(ids: list) -> np.ndarray:
@@ -55,11 +54,10 @@ def _word_counts(batches):
 class Vocabulary:
     """The numbered words, and the frequent words with their counts."""
 
-    def __init__(self, top: pd.DataFrame):
-        words = [w for w in top["word"] if w != END_WORD]
-        self.numbered = words[: gru.WORDS - 2]
-        self.frequent = pa.array(top["word"], pa.string())
-        self.counts = top["n"].to_numpy(np.int64)
+    def __init__(self, top: list[tuple[str, int]], own: gru.Layout):
+        self.numbered = [w for w, _ in top if w != END_WORD][: own.words - 2]
+        self.frequent = pa.array([w for w, _ in top], pa.string())
+        self.counts = np.array([n for _, n in top], np.int64)
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         found = pc.index_in(words, pa.array(self.numbered, pa.string()))
@@ -75,39 +73,44 @@ def _coded(batch: pa.RecordBatch, row: int, vocabulary: Vocabulary):
     return ids, at, codes, number, words
 
 
-def train(slices: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> np.ndarray:
+def train(slices: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, own: gru.Layout) -> np.ndarray:
     """The averaged weights after all rounds."""
     spark = slices.sparkSession
-    weights = gru.flat(gru.initial(counts))
+    weights = gru.flat(gru.initial(counts, own), own)
     low = 0
     for share, rate in ROUNDS:
-        shared = spark.sparkContext.broadcast((weights, vocabulary))
+        shared = shipped(spark, (weights, vocabulary))
         span = (low, low + share)
         low += share
 
         def fit(batches, shared=shared, span=span, rate=rate):
-            values, vocabulary = shared.value
-            trainer = gru.Trainer(gru.shaped(values), rate)
+            from pyspark import TaskContext
+
+            values, vocabulary = opened(shared)
+            trainer = gru.Trainer(gru.shaped(values, own), own, rate)
             for batch in batches:
                 for row in range(batch.num_rows):
                     ids, at, codes, number, _ = _coded(batch, row, vocabulary)
                     c = crc(ids)
                     part = c // 5 % 16
-                    trainer.fit(number[codes].astype(np.int16) if len(codes) else np.zeros(0, np.int16), at, np.flatnonzero((c % 5 != 1) & (part >= span[0]) & (part < span[1])))
+                    trainer.fit(number[codes].astype(np.int32) if len(codes) else np.zeros(0, np.int32), at, np.flatnonzero((c % 5 != 1) & (part >= span[0]) & (part < span[1])))
             if trainer.seen:
-                values = gru.flat(trainer.p)
+                values = gru.flat(trainer.p, own)
+                branch = TaskContext.get().partitionId() // BRANCH
                 for k in range(0, len(values), CHUNK):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([float(trainer.seen)]), pa.array([values[k : k + CHUNK].tobytes()], pa.binary())], ["chunk", "seen", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([branch], pa.int32()), pa.array([float(trainer.seen)]), pa.array([values[k : k + CHUNK].tobytes()], pa.binary())], ["chunk", "branch", "seen", "part"])
 
         def mean(table: pa.Table) -> pa.Table:
             seen = np.asarray(table["seen"])
             total = sum(s * np.frombuffer(x, np.float32).astype(np.float64) for s, x in zip(seen, table["part"].to_pylist(), strict=True))
-            return pa.table({"chunk": table["chunk"].slice(0, 1), "part": pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-        fitted = slices.select("doc_ids", "n_words", "codes", "words").mapInArrow(fit, "chunk int, seen double, part binary")
-        parts = fitted.groupBy("chunk").applyInArrow(mean, "chunk int, part binary").collect()  # as long as the model
-        if parts:
-            weights = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(parts, key=lambda r: r.chunk)])
+            return pa.table({"chunk": table["chunk"].slice(0, 1), "seen": pa.array([seen.sum()]), "part": pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+        # no task averages more than max(BRANCH, REPLICAS / BRANCH) parts
+        kind = "chunk int, seen double, part binary"
+        fitted = slices.coalesce(REPLICAS).select("doc_ids", "n_words", "codes", "words").mapInArrow(tidy(fit), "chunk int, branch int, seen double, part binary")
+        means = fitted.groupBy("chunk", "branch").applyInArrow(mean, kind).groupBy("chunk").applyInArrow(mean, kind).collect()  # as long as the model
+        if means:
+            weights = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(means, key=lambda r: r.chunk)])
     return weights
 
 
@@ -118,39 +121,44 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     mod 5 isn't 1 are learned from; null and empty texts are an end alone.
     ``score`` is the log10 probability of the whole text by the recurrent
     model, which is a proper distribution over texts of the words counted and
-    one unseen word.  Repeated rows are scored alike and counted each.  Other
-    columns aren't read.
+    one unseen word.  Repeated rows are scored alike and counted each, and a
+    null id counts as an empty one.  Other columns aren't read; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     slices = materialize(word_slices(docs, id_col, text_col, lower=True), "lm-slices")
-    occurrences = slices.mapInArrow(_word_counts, "slice_id long, pos int, word string, n long")
+    occurrences = slices.mapInArrow(tidy(_word_counts), "slice_id long, pos int, word string, n long")
     counts = materialize(occurrences.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "lm-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = int(total.n or 0), int(total.v)
-    top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toPandas()  # bounded by FREQUENT
-    vocabulary = Vocabulary(top)
-    own = dict(zip(top["word"], top["n"], strict=True))
-    numbered = np.array([own.get(END_WORD, 0), 0, *(own[w] for w in vocabulary.numbered)], np.float64)
-    numbered = np.pad(numbered, (0, gru.WORDS - len(numbered)))
-    n_other, v_other = n_all - numbered.sum(), v_all - len(vocabulary.numbered) - (END_WORD in own)
+    own = gru.layout(v_all)
+    cut = at_least(counts, "n", FREQUENT * own.words)
+    top = sorted(((r.word, r.n) for r in counts.where(F.col("n") >= cut).collect()), key=lambda x: (-x[1], x[0]))  # bounded by FREQUENT vocabularies
+    vocabulary = Vocabulary(top, own)
+    times = dict(top)
+    own_end = int(counts.where(F.col("word") == END_WORD).agg(F.sum("n")).first()[0] or 0)
+    numbered = np.array([own_end, 0, *(times[w] for w in vocabulary.numbered)], np.float64)
+    numbered = np.pad(numbered, (0, own.words - len(numbered)))
+    n_other, v_other = n_all - numbered.sum(), v_all - len(vocabulary.numbered) - (own_end > 0)
     numbered[gru.OTHER] = n_other
-    weights = train(slices, vocabulary, numbered)
+    weights = train(slices, vocabulary, numbered, own)
 
     # counts of the words of each slice: frequent words by broadcast, the others by a join
-    rare = occurrences.select("slice_id", "pos", "word").join(F.broadcast(spark.createDataFrame(top[["word"]], "word string")), "word", "left_anti")
-    back = rare.join(counts, "word").groupBy("slice_id").agg(F.collect_list(F.struct("pos", "n")).alias("found"))
-    shared = spark.sparkContext.broadcast((weights, vocabulary))
+    frequent = spark.createDataFrame([(w,) for w, _ in top], "word string")
+    rare = occurrences.select("slice_id", "pos", "word").join(F.broadcast(frequent), "word", "left_anti")
+    back = rare.join(counts.where(F.col("n") < cut), "word").groupBy("slice_id").agg(F.collect_list(F.struct("pos", "n")).alias("found"))
+    shared = shipped(spark, (weights, vocabulary))
 
     def score(batches):
-        values, vocabulary = shared.value
-        p = gru.shaped(values)
+        values, vocabulary = opened(shared)
+        p = gru.shaped(values, own)
         norm = np.log10(n_all + 0.5 * (v_all + 1))
         held: list[tuple] = []
 
         def flush():
             number = np.concatenate([x[1] for x in held])
             size = np.concatenate([np.diff(x[2]) for x in held])
-            lm = gru.score(p, number, starts_of(size)) / np.log(10)
+            lm = gru.score(p, own, number, starts_of(size)) / np.log(10)
             done = 0
             for ids, _, at, base, other, n_known in held:
                 n = len(ids)
@@ -177,12 +185,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 sums = lambda x, text=text, codes=codes, n=len(ids): np.bincount(text, x[codes], minlength=n) if len(codes) else np.zeros(n)
                 other = sums(np.where(number == gru.OTHER, np.log10(count + 0.5) - np.log10(n_other + 0.5 * (v_other + 1)), 0.0))
                 base = sums(np.log10(count + 0.5) - norm) + np.log10(own_end + 0.5) - norm
-                held.append((ids, number[codes].astype(np.int16), at, base, other, sums(count > 0).astype(np.int64) + (own_end > 0)))
+                held.append((ids, number[codes].astype(np.int32), at, base, other, sums(count > 0).astype(np.int64) + (own_end > 0)))
                 if sum(len(x[1]) for x in held) >= SCORE_TOKENS:
                     yield from flush()
         if held:
             yield from flush()
 
-    own_end = int(own.get(END_WORD, 0))
     scored = slices.join(back, "slice_id", "left").select("doc_ids", "n_words", "codes", "words", "found")
-    return scored.mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    return scored.mapInArrow(tidy(score), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
