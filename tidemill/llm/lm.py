@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import at_least, discard, materialize, opened, shipped, starts_of, tidy, unpacked, unpacked_words, word_slices
+from .common import at_least, materialize, opened, shipped, starts_of, tidy, unpacked, unpacked_words, word_slices
 
 #: Shares of the training texts (in sixteenths) and step sizes of the rounds.
 ROUNDS = ((1, 0.02), (3, 0.01), (5, 0.006), (7, 0.003))
@@ -29,7 +29,7 @@ CHUNK, REPLICAS, BRANCH = 4096, 4096, 64
 #: Tokens that a task scores together.
 SCORE_TOKENS = 2_000_000
 #: Most frequent words, in vocabularies, that are looked up without a shuffle.
-FREQUENT = 4
+FREQUENT = 32
 
 
 def crc(ids: list) -> np.ndarray:
@@ -51,6 +51,20 @@ def _word_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), batch.column("slice_id")[row].as_py())), pa.array(np.arange(len(out), dtype=np.int32)), out, pa.array(counts.astype(np.int64))], ["slice_id", "pos", "word", "n"])
 
 
+def _rare_words(shared):
+    """slice_id, pos and word of the distinct words of each slice that aren't frequent."""
+
+    def run(batches):
+        frequent = opened(shared).frequent
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = unpacked_words(batch.column("words")[row].as_py()).cast(pa.string())
+                pos = np.flatnonzero(~np.asarray(pc.is_in(words, value_set=frequent))) if len(words) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), batch.column("slice_id")[row].as_py(), np.int64)), pa.array(pos.astype(np.int32)), words.take(pa.array(pos))], ["slice_id", "pos", "word"])
+
+    return run
+
+
 class Vocabulary:
     """The numbered words, and the frequent words with their counts."""
 
@@ -144,8 +158,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     weights = train(slices, vocabulary, numbered, own)
 
     # counts of the words of each slice: frequent words by broadcast, the others by a join
-    frequent = spark.createDataFrame([(w,) for w, _ in top], "word string")
-    rare = occurrences.select("slice_id", "pos", "word").join(F.broadcast(frequent), "word", "left_anti")
+    rare = slices.select("slice_id", "words").mapInArrow(tidy(_rare_words(shipped(spark, vocabulary))), "slice_id long, pos int, word string")
     back = rare.join(counts.where(F.col("n") < cut), "word").groupBy("slice_id").agg(F.collect_list(F.struct("pos", "n")).alias("found"))
     shared = shipped(spark, (weights, vocabulary))
 
