@@ -19,7 +19,7 @@ END, OTHER = 0, 1
 #: Words of the smallest vocabulary, END and OTHER among them, and of its smallest class.
 LEAST_WORDS, LEAST_CLASS = 1024, 8
 #: Steps that a gradient goes back, and lanes.
-WINDOW, LANES = 16, 256
+WINDOW, LANES = 16, 512
 SCORE_WINDOW, SCORE_LANES = 32, 512
 #: In training texts of more words are laid in several lanes; a part that goes on a text first reads so many words before it.
 TRAIN_WORDS, BURN = 1024, 32

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import at_least, materialize, opened, shipped, starts_of, tidy, unpacked, unpacked_words, word_slices
+from .common import at_least, discard, materialize, opened, packed, shipped, starts_of, tidy, unpacked, unpacked_words, word_slices
 
 #: Shares of the training texts (in sixteenths) and step sizes of the rounds.
-ROUNDS = ((1, 0.02), (3, 0.01), (5, 0.006), (7, 0.003))
+ROUNDS = ((1, 0.03), (3, 0.015), (5, 0.009), (7, 0.0045))
 #: No word has a space, so it stands for the end of a text.
 END_WORD = " "
 #: Numbers of the model that are averaged in one task, replicas at most, and replicas that are averaged together.
@@ -87,27 +87,43 @@ def _coded(batch: pa.RecordBatch, row: int, vocabulary: Vocabulary):
     return ids, at, codes, number, words
 
 
+def _numbered(shared):
+    """round, n_words and numbers of the training texts of each slice, a row for each round."""
+    ends = np.cumsum([share for share, _ in ROUNDS])
+
+    def run(batches):
+        vocabulary = opened(shared)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, at, codes, number, _ = _coded(batch, row, vocabulary)
+                c = crc(ids)
+                turn = np.where(c % 5 != 1, np.searchsorted(ends, c // 5 % 16, side="right"), -1)
+                size = np.diff(at)
+                of_word = np.repeat(turn, size)
+                for k in range(len(ROUNDS)):
+                    if (turn == k).any():
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([size[turn == k]], pa.list_(pa.int32())), pa.array([packed(number[codes[of_word == k]])], pa.binary())], ["round", "n_words", "numbers"])
+
+    return run
+
+
 def train(slices: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, own: gru.Layout) -> np.ndarray:
     """The averaged weights after all rounds."""
     spark = slices.sparkSession
     weights = gru.flat(gru.initial(counts, own), own)
-    low = 0
-    for share, rate in ROUNDS:
-        shared = shipped(spark, (weights, vocabulary))
-        span = (low, low + share)
-        low += share
+    numbered = slices.select("doc_ids", "n_words", "codes", "words").mapInArrow(tidy(_numbered(shipped(spark, vocabulary))), "round int, n_words array<int>, numbers binary")
+    numbered = materialize(numbered, "lm-numbered")
+    for turn, (_, rate) in enumerate(ROUNDS):
+        shared = shipped(spark, weights)
 
-        def fit(batches, shared=shared, span=span, rate=rate):
+        def fit(batches, shared=shared, rate=rate):
             from pyspark import TaskContext
 
-            values, vocabulary = opened(shared)
-            trainer = gru.Trainer(gru.shaped(values, own), own, rate)
+            trainer = gru.Trainer(gru.shaped(opened(shared), own), own, rate)
             for batch in batches:
                 for row in range(batch.num_rows):
-                    ids, at, codes, number, _ = _coded(batch, row, vocabulary)
-                    c = crc(ids)
-                    part = c // 5 % 16
-                    trainer.fit(number[codes].astype(np.int32) if len(codes) else np.zeros(0, np.int32), at, np.flatnonzero((c % 5 != 1) & (part >= span[0]) & (part < span[1])))
+                    at = starts_of(np.asarray(batch.column("n_words")[row].values))
+                    trainer.fit(unpacked(batch.column("numbers")[row].as_py()), at, np.arange(len(at) - 1))
             if trainer.seen:
                 values = gru.flat(trainer.p, own)
                 branch = TaskContext.get().partitionId() // BRANCH
@@ -121,10 +137,11 @@ def train(slices: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, own: gr
 
         # no task averages more than max(BRANCH, REPLICAS / BRANCH) parts
         kind = "chunk int, seen double, part binary"
-        fitted = slices.coalesce(REPLICAS).select("doc_ids", "n_words", "codes", "words").mapInArrow(tidy(fit), "chunk int, branch int, seen double, part binary")
+        fitted = numbered.where(F.col("round") == turn).coalesce(REPLICAS).mapInArrow(tidy(fit), "chunk int, branch int, seen double, part binary")
         means = fitted.groupBy("chunk", "branch").applyInArrow(mean, kind).groupBy("chunk").applyInArrow(mean, kind).collect()  # as long as the model
         if means:
             weights = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(means, key=lambda r: r.chunk)])
+    discard(numbered)
     return weights
 
 
