@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: accented Latin letters and their base letters
-ACCENTED = "áàâäãåéèêëíìîïóòôöõőúùûüűñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕŐÚÙÛÜŰÑÇÝ"
-PLAIN = "".join(("a" * 6, "e" * 4, "i" * 4, "o" * 6, "u" * 5, "n", "c", "yy", "A" * 6, "E" * 4, "I" * 4, "O" * 6, "U" * 5, "N", "C", "Y"))
+
+def _bases() -> dict[str, str]:
+    """Letters of the Latin blocks that Unicode decomposes into one character and marks, and that character."""
+    found = {}
+    for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if base != c and len(base) == 1:
+            found[c] = base
+    return found
+
+
+_FOLDED = _bases()
+#: Marks that stand by themselves are deleted.
+ACCENTED, PLAIN = "".join(_FOLDED) + "".join(map(chr, range(0x300, 0x370))), "".join(_FOLDED.values())
 
 # fixed values: carriers and the domains that they send from
 CARRIERS = {
@@ -84,10 +98,28 @@ def compact_party(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(name), r"(^|[^a-z])(kft|zrt|nyrt|bt|ltd|gmbh|inc|llc)([^a-z]|$)", " "), "[^a-z0-9]+", "")
 
 
+# fixed values: legal forms at the end of a company's name
+LEGAL_FORMS = ("kft", "zrt", "nyrt", "bt", "rt", "gmbh", "ltd", "llc", "inc", "ag", "sro", "as", "oy", "ab")
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """Equal, or one edit apart where both have four letters or more."""
+    return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= 1) & (F.least(F.length(a), F.length(b)) >= 4) & (F.levenshtein(a, b) <= 1))
+
+
 def same_party(a: Column, b: Column) -> Column:
-    """Equal keys, containment where both have five letters, or one edit where both have."""
+    """Whether two text keys name one party.
+
+    Equal; one in the other where both have five letters; or, without legal
+    forms, as many words (two at least) of which one is one edit apart and
+    the others are equal.
+    """
     long = (F.length(a) >= 5) & (F.length(b) >= 5)
-    return (a == b) | (long & (a.contains(b) | b.contains(a) | ((F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b) <= 1))))
+    forms = rf"^(.+?)(?: (?:{'|'.join(LEGAL_FORMS)}))*$"
+    x, y = (F.split(F.regexp_extract(k, forms, 1), " ") for k in (a, b))
+    pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
+    alike = (F.size(x) >= 2) & (F.size(x) == F.size(y)) & F.forall(pairs, lambda p: one_edit(p["x"], p["y"])) & (F.size(F.filter(pairs, lambda p: p["x"] != p["y"])) == 1)
+    return (a != "") & (b != "") & ((a == b) | (long & (a.contains(b) | b.contains(a))) | alike)
 
 
 def html_text(html: Column) -> Column:
@@ -97,19 +129,123 @@ def html_text(html: Column) -> Column:
     return F.trim(html)
 
 
+def plain_text(html: Column) -> Column:
+    """Roughly the text of a page, for filters: no scripts, styles and tags."""
+    for pattern, by in ((r"(?is)<script\b[^>]*>.*?</script>", " "), (r"(?is)<style\b[^>]*>.*?</style>", " "), (r"<[^>]+>", " "), (r"(?i)&nbsp;", " "), (r"(?i)&amp;", "&")):
+        html = F.regexp_replace(html, pattern, by)
+    return html
+
+
+#: Entities that are decoded; others stay.
+ENTITY = r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[aA][mM][pP]|[aA][pP][oO][sS]|[gG][tT]|[lL][tT]|[nN][bB][sS][pP]|[qQ][uU][oO][tT]);"
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric entities as characters, each once."""
+    named = F.create_map(*[F.lit(x) for pair in {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"'}.items() for x in pair])
+
+    def char(e: Column) -> Column:
+        code = F.when(F.lower(F.substring(e, 2, 1)) == "x", F.conv(F.substring(e, 3, 9), 16, 10)).otherwise(F.substring(e, 2, 9)).cast("int")
+        return F.when(e.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(named[F.lower(e)])
+
+    parts = F.split(text, ENTITY, -1)
+    chars = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)), char)
+    return F.array_join(F.flatten(F.zip_with(parts, chars, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
+
+
+def protocol_text(html: Column) -> Column:
+    """Text of a page, lines kept: no comments, styles, scripts and tags, entities decoded."""
+    for pattern, by in ((r"(?s)<!--.*?-->", " "), (r"(?is)<style\b.*?</style>", " "), (r"(?is)<script\b.*?</script>", " "), (r"(?i)<(?:br|hr)\b[^>]*>", "\n"), (r"(?i)</(?:p|div|li|tr|h[1-6])>", "\n"), (r"<[^>]+>", " ")):
+        html = F.regexp_replace(html, pattern, by)
+    return F.trim(F.regexp_replace(F.regexp_replace(decode_entities(html), r"[\t\r ]+", " "), r" *\n+ *", "\n"))
+
+
+JSON_LD = r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
+TYPE_KEY, STRING = r'"@type"\s*:\s*("[^"\\]*"|\[[^\[\]{}]*\])', r'"([^"\\]+)"'
+
+
+def json_ld(html: Column) -> Column:
+    """The blocks of JSON-LD, entities decoded, those left out that are no JSON."""
+    blocks = F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1))
+    decoded = F.transform(blocks, lambda b: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(b), "(?i)&quot;|&#34;", '"'), "(?i)&apos;|&#39;", "'"), "(?i)&amp;", "&"), r"^<!--\s*|\s*-->$", "")))
+    return F.filter(decoded, lambda b: F.try_parse_json(b).isNotNull())
+
+
+def type_names(urls: Column) -> Column:
+    return F.transform(urls, lambda t: F.regexp_extract(t, r"([^/#]+)[/#]*$", 1))
+
+
+def json_ld_types(html: Column) -> Column:
+    """Every ``@type`` at any depth of the JSON-LD blocks, single or in a list, sorted."""
+    keys = F.flatten(F.transform(json_ld(html), lambda b: F.regexp_extract_all(b, F.lit(TYPE_KEY), F.lit(1))))
+    names = F.flatten(F.transform(keys, lambda k: F.regexp_extract_all(k, F.lit(STRING), F.lit(1))))
+    return F.array_sort(F.array_distinct(type_names(names)))
+
+
+def item_types(html: Column) -> Column:
+    """Types of microdata of the common vocabulary, sorted."""
+    values = F.regexp_extract_all(html, F.lit(r"(?i)\bitemtype\s*=\s*[\"']?([^\"'>]+)"), F.lit(1))
+    urls = F.filter(F.flatten(F.transform(values, lambda v: F.split(v, r"\s+"))), lambda u: F.lower(u).contains("schema.org"))
+    return F.array_sort(F.array_distinct(type_names(urls)))
+
+
 def markup_types(html: Column) -> Column:
     """Commerce types named in structured markup, sorted."""
-    named = F.regexp_extract_all(html, F.lit(r'"@type"\s*:\s*"([A-Za-z]+)"'), F.lit(1))
-    items = F.regexp_extract_all(html, F.lit(r"itemtype=[\"']https?://schema\.org/([A-Za-z]+)"), F.lit(1))
-    return F.array_sort(F.array_intersect(F.array_distinct(F.concat(named, items)), F.array(*[F.lit(t) for t in COMMERCE_TYPES])))
+    return F.array_sort(F.array_intersect(F.array_union(json_ld_types(html), item_types(html)), F.array(*[F.lit(t) for t in COMMERCE_TYPES])))
+
+
+# fixed values: lines that begin what a reply quotes
+HISTORY = (r"(?i)^\s*-{2,}\s*(?:original message|eredeti uzenet|forwarded message|tovabbitott uzenet)\s*-{2,}\s*$", r"(?i)^\s*begin forwarded message\s*:\s*$", r"(?i)^\s*on\s+.{1,300}\s+wrote\s*:\s*$", r"(?i)^\s*.{1,300}\bezt\s+irta\s*:\s*$")
 
 
 def without_history(text: Column) -> Column:
-    """A reply without what it quotes: lines up to a separator, less those that begin with >."""
+    """A folded reply without what it quotes.
+
+    That is what follows a separator or a quoted head (a sender, and within
+    eight lines a recipient and a subject), and lines that begin with >.
+    """
     lines = F.split(text, "\r?\n")
-    separator = F.transform(lines, lambda x: x.rlike(r"(?i)^\s*(-{2,}.*(original message|forwarded message).*|on .+ wrote:\s*|_{5,}\s*)$"))
-    stop = F.coalesce(F.nullif(F.array_position(separator, True), F.lit(0)) - 1, F.size(lines))
-    return F.array_join(F.filter(F.slice(lines, F.lit(1), stop.cast("int")), lambda x: ~x.rlike(r"^\s*>")), "\n")
+    separator = F.transform(lines, lambda x: reduce(Column.__or__, [x.rlike(p) for p in HISTORY]))
+    ahead = lambda i, p: F.exists(F.slice(lines, i + 1, 8), lambda x: x.rlike(p))
+    head = F.transform(lines, lambda x, i: x.rlike(r"^\s*(?:from|felado)\s*:") & ahead(i, r"^\s*(?:to|cimzett)\s*:") & ahead(i, r"^\s*(?:subject|targy)\s*:"))
+    stops = F.zip_with(separator, head, lambda a, b: a | b)
+    stop = F.coalesce(F.nullif(F.array_position(stops, True), F.lit(0)) - 1, F.size(lines))
+    fresh = F.filter(F.slice(lines, F.lit(1), stop.cast("int")), lambda x: ~x.rlike(r"^\s*>"))
+    return F.trim(F.regexp_replace(F.array_join(fresh, "\n"), r"\n{3,}", "\n\n"))
+
+
+def labelled_line(text: Column, labels: tuple[str, ...]) -> Column:
+    """What stands after the first label on its line, or else on the next line."""
+    found = []
+    for label in labels:
+        for pattern in (rf"(?:^|\n)[ \t]*{label}[ \t]*[:#-][ \t]*([^\n]{{2,120}})", rf"(?:^|\n)[ \t]*{label}[ \t]*\n[ \t]*([^\n]{{2,120}})"):
+            found.append(F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit("")))
+    return F.coalesce(*found)
+
+
+# fixed values: second-level names that belong to a country's suffix
+SECOND_LEVEL = ("co", "com", "net", "org", "gov", "edu")
+
+
+def merchant_name(host: Column, countries: bool = True) -> Column:
+    """A merchant's name from its domain: short words are initials, longer ones begin with a capital."""
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    last, second, third = (F.try_element_at(labels, F.lit(-k)) for k in (1, 2, 3))
+    plain = F.coalesce(second, last, host)
+    root = F.when((F.length(last) == 2) & second.isin(*SECOND_LEVEL) & third.isNotNull(), third).otherwise(plain) if countries else plain
+    words = F.transform(F.filter(F.split(root, "[-_]+"), lambda w: w != ""), lambda w: F.when(F.length(w) <= 3, F.upper(w)).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1000))))
+    return F.coalesce(F.nullif(F.array_join(words, " "), F.lit("")), host)
+
+
+def header_domains(headers: Column) -> Column:
+    """dkim, return_path and transport of a message's headers (name, value): domains that passed, of the return path, and hosts it came from."""
+    values = lambda *names: F.transform(F.filter(headers, lambda h: F.lower(h["name"]).isin(*names)), lambda h: h["value"])
+    passed = F.flatten(F.transform(values("authentication-results", "arc-authentication-results"), lambda v: F.regexp_extract_all(v, F.lit(r"(?i)(?:^|;)\s*dkim\s*=\s*pass\b([^;]*)"), F.lit(1))))
+    found = F.flatten(F.transform(passed, lambda v: F.concat(F.regexp_extract_all(v, F.lit(r"(?i)\bheader\.d\s*=\s*([^\s;]+)"), F.lit(1)), F.regexp_extract_all(v, F.lit(r"(?i)\bheader\.i\s*=\s*@?([^\s;]+)"), F.lit(1)))))
+    after_at = lambda x: domain(F.regexp_replace(F.substring_index(x, "@", -1), "[<>]", ""))
+    hosts = F.transform(values("received"), lambda v: F.nullif(F.lower(F.regexp_extract(v, r"(?i)\bfrom\s+([a-z0-9._-]+\.[a-z0-9._-]+)\b", 1)), F.lit("")))
+    paths = F.transform(F.filter(values("return-path"), lambda v: v.contains("@")), after_at)
+    return F.struct(F.array_distinct(F.transform(found, after_at)).alias("dkim"), F.array_distinct(paths).alias("return_path"), F.array_distinct(F.array_compact(hosts)).alias("transport"))
 
 
 def money(text: Column) -> Column:

@@ -53,17 +53,31 @@ def inserted_if_new(target: DataFrame, rows: DataFrame, keys: list[str], order:
     return fresh.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("__row")).select(*keys, "__row.*")
 
 
-def lifecycle_state(old: Column, event: Column, has_shipment: Column, payment: Column) -> Column:
+# fixed values: states that nothing follows, and states of a parcel on its way
+FINAL, MOVING = ("cancelled", "refunded", "returned", "delivered"), ("in_transit", "shipped")
+PROGRESS = ("order_processing", "order_packing", "ready_to_ship")
+
+
+def lifecycle_state(old: Column, event: Column, has_shipment: Column, payment: Column, newer: Column | None = None) -> Column:
     """The state of a purchase after an event.
 
-    Failed payments and cancellations change nothing that is final or on its
-    way; progress never takes back a failure.
+    ``newer`` is the status of a shipment whose latest time is after the
+    event, null if there is none; it overrules progress and delays.  A failed
+    payment never overrides a paid one, and restores it; cancellations change
+    nothing that is final or on its way; progress never takes back a failure.
     """
-    final = old.isin(*TERMINAL)
-    moving = old.isin("shipped", "in_transit", "out_for_delivery", "ready_for_pickup", "delivered")
+    newer = F.lit(None).cast("string") if newer is None else newer
+    final, moving = old.isin(*FINAL), old.isin(*MOVING)
     failed = F.when(payment == "paid", F.when(old == "payment_failed", "paid").otherwise(old)).when(final | moving | (old == "paid"), old).otherwise("payment_failed")
     cancelled = F.when(final | moving | has_shipment, old).otherwise("cancelled")
-    blocked = final | (old == "payment_failed")
-    progress = F.when(blocked | moving | (payment == "failed"), old).otherwise("processing")
-    delayed = F.when(blocked, old).otherwise("delayed")
-    return F.when(event == "payment_failed", failed).when(event == "cancelled", cancelled).when(event.isin("order_processing", "order_packing", "ready_to_ship"), progress).when(event == "delayed", delayed).otherwise(old)
+    recovered = F.when(newer == "delivered", "delivered").when(newer.isNotNull(), "in_transit")
+    progress = F.when(final | moving | (old == "payment_failed") | F.coalesce(payment == "failed", F.lit(False)), old).otherwise(F.coalesce(recovered, F.lit("processing")))
+    delayed = F.when(final | (old == "payment_failed"), old).otherwise(F.coalesce(recovered, F.lit("delayed")))
+    return F.when(event == "payment_failed", failed).when(event == "cancelled", cancelled).when(event.isin(*PROGRESS), progress).when(event == "delayed", delayed).otherwise(old)
+
+
+def latest_shipment(rows: DataFrame, keys: list[str], times: tuple[str, ...] = ("last_event_at", "delivered_at", "shipped_at"), tie: str = "shipment_id") -> DataFrame:
+    """keys, at and status: the latest of all times of a key's shipments, and the status of its row; ties go to the first row."""
+    at = F.greatest(*times)
+    dated = rows.where(at.isNotNull())
+    return dated.groupBy(*keys).agg(F.max(at).alias("at"), F.max_by("status", F.struct(at.alias("at"), (-F.col(tie)).alias("first"))).alias("status"))

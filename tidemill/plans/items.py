@@ -108,13 +108,6 @@ def shipment_upsert_merge(spark, d):
     return merge.merged(side(items.where("l_linenumber <= 3")), side(items.where("l_linenumber >= 3")), ["l_orderkey", "l_suppkey"], {"shipped_at": "least", "last_at": "greatest", "status": "status"})
 
 
-@query("""WITH o AS (SELECT o_custkey AS user_id, max(o_totalprice) AS total, min(o_orderdate) AS since FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS user_id, max(o_totalprice) AS total, min(o_orderdate) AS since FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
-    SELECT user_id, coalesce(n.total, o.total) AS total, coalesce(o.since, n.since) AS since FROM o FULL JOIN n USING (user_id)""")
-def purchase_upsert_merge(spark, d):
-    side = lambda k: table(spark, d, "orders").where(F.col("o_orderkey") % k == 0).groupBy(F.col("o_custkey").alias("user_id")).agg(F.max("o_totalprice").alias("total"), F.min("o_orderdate").alias("since"))
-    return merge.merged(side(2), side(3), ["user_id"], {"total": "new", "since": "old"})
-
-
 @query("""WITH a AS (SELECT l_partkey, max(l_discount) AS confidence FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), r AS (SELECT l_partkey, max(l_discount) AS confidence FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
     SELECT l_partkey, greatest(coalesce(a.confidence, r.confidence), coalesce(r.confidence, a.confidence)) AS confidence FROM a FULL JOIN r USING (l_partkey)""")
 def document_upsert_merge(spark, d):
@@ -134,14 +127,6 @@ def identifier_normalise(spark, d):
     return table(spark, d, "part").select("p_partkey", identifier(F.concat_ws("-", "p_brand", "p_name")).alias("id"))
 
 
-@query("""WITH n AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1), k AS (SELECT id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, split_part(p_name, ' ', 1) AS w FROM n)
-    SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.w = b.w AND a.id < b.id WHERE a.key = b.key OR (length(a.key) >= 5 AND length(b.key) >= 5 AND (contains(a.key, b.key) OR contains(b.key, a.key) OR levenshtein(a.key, b.key) <= 1))""")
-def party_fuzzy_match(spark, d):
-    k = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", text_key(F.col("p_name")).alias("key"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w"))
-    a, b = k.select(F.col("id").alias("a"), F.col("key").alias("ak"), "w"), k.select(F.col("id").alias("b"), F.col("key").alias("bk"), "w")
-    return a.join(b, "w").where("a < b").where(same_party(F.col("ak"), F.col("bk"))).select("a", "b")
-
-
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'express-one' WHEN 1 THEN 'dpd' WHEN 2 THEN 'mpl' ELSE regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END AS slug, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS party FROM supplier""")
 def carrier_slug_compact_party(spark, d):
     prefix = F.element_at(F.array(F.lit("DHL Express "), F.lit("DPD "), F.lit("MPL "), F.lit("")), (F.col("s_suppkey") % 4 + 1).cast("int"))

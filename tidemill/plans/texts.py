@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.rules import Rule, evaluate
 from ..sources.tables import table
 from .registry import query
 
@@ -46,9 +45,9 @@ def domain_suffix_join(spark, d):
     return p.where(F.col("suffix").isin(*SUFFIXES))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(left(text, 200))), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def accent_fold_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.text_key(F.left("text", F.lit(200))).alias("key"))
+    return table(spark, d, "documents").select("doc_id", T.text_key(F.col("text")).alias("key"))
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages), b AS (SELECT page_id, regexp_replace(h, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS h FROM a),
@@ -59,16 +58,6 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(T.html_text(F.col("html")), 256).alias("text_sha"))
 
 
-@query()
-def jsonld_types(spark, d):
-    return table(spark, d, "pages").select("page_id", T.markup_types(F.col("html")).alias("types"))
-
-
-@query()
-def quoted_history_strip(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.without_history(F.col("text")), 256).alias("kept_sha"))
-
-
 @query(r"SELECT doc_id, coalesce(nullif(regexp_extract(text, 'Version ([0-9.]+)', 1), ''), nullif(regexp_extract(text, 'version ([0-9]+)', 1), '')) AS raw FROM documents WHERE text LIKE '%ersion %'")
 def first_match_extract(spark, d):
     found = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in ("Version ([0-9.]+)", "version ([0-9]+)")])
@@ -82,25 +71,6 @@ def money_parse(spark, d):
     return m.select("doc_id", T.money(F.col("s")).cast("double").alias("amount"))
 
 
-@query("SELECT doc_id, (contains(lower(text), 'license'))::INT + (contains(text, '@'))::INT + (contains(text, '***'))::INT AS signals, concat_ws(',', CASE WHEN contains(lower(text), 'license') THEN 'licence' END, CASE WHEN contains(text, '@') THEN 'address' END, CASE WHEN contains(text, '***') THEN 'junk' END) AS reasons FROM documents WHERE contains(lower(text), 'license') OR contains(text, '@') OR contains(text, '***')")
-def noise_filter_reasons(spark, d):
-    why = T.reasons(("licence", F.lower("text").contains("license")), ("address", F.col("text").contains("@")), ("junk", F.col("text").contains("***")))
-    return table(spark, d, "documents").select("doc_id", why.alias("why")).where(F.size("why") > 0).select("doc_id", F.size("why").alias("signals"), F.array_join("why", ",").alias("reasons"))
-
-
-RULES = [
-    Rule("licence", "document", "licensed? under", 0.2), Rule("licence", "document", "version [0-9]", 0.15, required=False), Rule("licence", "document", "\\*\\*\\*", negative=True),
-    Rule("contact", "person", "@[a-z]+", 0.3), Rule("contact", "person", "[0-9]{3}-[0-9]{4}", 0.1, required=False),
-]
-
-
-@query(r"""WITH m AS (SELECT doc_id, regexp_matches(text, '(?i)licensed? under') AS l, regexp_matches(text, '(?i)version [0-9]') AS v, regexp_matches(text, '\*\*\*') AS x, regexp_matches(text, '(?i)@[a-z]+') AS a, regexp_matches(text, '(?i)[0-9]{3}-[0-9]{4}') AS p FROM documents)
-    SELECT doc_id, 'licence' AS profile, 'document' AS event, round(0.5 + 0.2 + CASE WHEN v THEN 0.15 ELSE 0 END, 4) AS confidence, x AS blocked FROM m WHERE l
-    UNION ALL SELECT doc_id, 'contact', 'person', round(0.5 + 0.3 + CASE WHEN p THEN 0.1 ELSE 0 END, 4), false FROM m WHERE a""")
-def rule_engine_eval(spark, d):
-    return evaluate(table(spark, d, "documents"), RULES, id_col="doc_id")
-
-
 @query(f"WITH p AS (SELECT {_HOST} AS host FROM pages) SELECT host, CASE WHEN host IN ('gmail.com', 'outlook.com') THEN 'public' ELSE 'unknown' END AS role, count(*) AS n FROM p GROUP BY 1, 2")
 def role_dimension(spark, d):
     p = table(spark, d, "pages").select(T.url_domain(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
@@ -113,24 +83,6 @@ def first_link_lookup(spark, d):
     return t.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("x")).select("conv_id", "x.role", "x.text")
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licensed under') THEN 'licensed' WHEN regexp_matches(text, '(?i)released under') THEN 'released' WHEN contains(text, '@') THEN 'contact' END AS parsed FROM documents")
-def parser_chain(spark, d):
-    text = F.col("text")
-    parsed = F.coalesce(F.when(text.rlike("(?i)licensed under"), "licensed"), F.when(text.rlike("(?i)released under"), "released"), F.when(text.contains("@"), "contact"))
-    return table(spark, d, "documents").select("doc_id", parsed.alias("parsed"))
-
-
-@query(r"WITH o AS (SELECT doc_id, 'licence' AS event FROM documents WHERE regexp_matches(text, '(?i)license') UNION ALL SELECT doc_id, 'contact' FROM documents WHERE contains(text, '@')) SELECT event, count(*) AS n, count(DISTINCT doc_id) AS docs FROM o GROUP BY 1")
-def multi_observation_explode(spark, d):
-    seen = T.reasons(("licence", F.col("text").rlike("(?i)license")), ("contact", F.col("text").contains("@")))
-    return table(spark, d, "documents").select("doc_id", F.explode(seen).alias("event")).groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
-
-
-@query("SELECT count(*) AS pages, count(*) FILTER (WHERE contains(html, '<script>')) AS with_script, count(*) FILTER (WHERE contains(html, '\"@type\"')) AS with_markup, count(DISTINCT regexp_extract(html, '<html lang=\"([a-z]+)\"', 1)) AS langs FROM pages")
-def markup_audit(spark, d):
-    return table(spark, d, "pages").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("html").contains("<script>")).alias("with_script"), F.count_if(F.col("html").contains('"@type"')).alias("with_markup"), F.count_distinct(F.regexp_extract("html", '<html lang="([a-z]+)"', 1)).alias("langs"))
-
-
-@query("SELECT page_id, lower(split_part(split_part(url, '?', 1), '/', -1)) AS last_part, left(coalesce(url, 'none'), 80) AS code, trim(regexp_replace(left(html, 120), '[ \\t\\n]+', ' ', 'g'), ' ') AS term FROM pages")
+@query("SELECT page_id, lower(split_part(split_part(url, '?', 1), '/', -1)) AS last_part, left(coalesce(url, 'none'), 80) AS code, trim(regexp_replace(html, '[ \\t\\n]+', ' ', 'g'), ' ') AS term FROM pages")
 def misc_strings(spark, d):
-    return table(spark, d, "pages").select("page_id", F.lower(F.substring_index(F.substring_index("url", "?", 1), "/", -1)).alias("last_part"), F.left(F.coalesce("url", F.lit("none")), F.lit(80)).alias("code"), F.trim(F.regexp_replace(F.left("html", F.lit(120)), r"[ \t\n]+", " ")).alias("term"))
+    return table(spark, d, "pages").select("page_id", F.lower(F.substring_index(F.substring_index("url", "?", 1), "/", -1)).alias("last_part"), F.left(F.coalesce("url", F.lit("none")), F.lit(80)).alias("code"), F.trim(F.regexp_replace("html", r"[ \t\n]+", " ")).alias("term"))

@@ -18,9 +18,9 @@ def drain(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def replay_counts(spark: SparkSession, source: str, schema, checkpoint: str, name: str) -> DataFrame:
-    """Rows by event type of a folder of Parquet read as a stream, duplicates gone."""
+def replayed(spark: SparkSession, source: str, schema, folder: str) -> DataFrame:
+    """The rows of a folder of Parquet, read as a stream to its end, without duplicates; they come out as files."""
     rows = deduplicated(spark.readStream.schema(schema).parquet(source), ["event_id"], "ts")
-    query = rows.groupBy("event_type").count().writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
