@@ -48,8 +48,83 @@ def test_text(spark):
 
 def test_parties(spark):
     close = lambda a, b: one(spark, T.same_party(F.col("a"), F.col("b")), a=a, b=b)
-    assert close("limone", "limona") and close("gymbeam", "gymbeamhungary") and close("ab", "ab")
-    assert not close("abc", "abd") and not close("limone", "lemona")
+    assert close("limone bolt kft", "limona bolt") and close("gymbeam", "gymbeamhungary") and close("ab", "ab")
+    # one edit counts in names of two words or more, in one of them, and in words of four letters
+    assert not close("limone", "limona") and not close("abc x", "abd x") and not close("limone bolt", "limona bolx") and not close("limone bolt", "lemona bolt")
+    assert not close("", "") and not close("kft", "zrt")
+
+
+def test_folding(spark):
+    assert one(spark, T.fold(F.col("x")), x="Šŕžł ÁŰő ǅ e\u0301\u00a0Ǹ ḿ") == "srzł auo ǆ e n m"
+
+
+def test_entities_and_headers(spark):
+    assert one(spark, T.decode_entities(F.col("x")), x="&amp;#65; &#65;&#x1F600; &lt;&bogus; &#233;") == "&#65; A\U0001f600 <&bogus; é"
+    headers = F.array(F.struct(F.lit("Authentication-Results").alias("name"), F.col("x").alias("value")))
+    row = spark.createDataFrame([("mx; dkim=pass header.i=@Mail.Shop.HU. header.b=x; dkim=fail header.d=evil.hu",)], "x string")
+    assert row.select(T.header_domains(headers)["dkim"]).first()[0] == ["mail.shop.hu"]
+
+
+def test_validator(spark):
+    from tidemill.operators.validate import trusted, validated
+
+    columns = "id int, event string, confidence double, carrier boolean, context string, merchant string, order_number string, total double, currency string, payment_status string, paid_amount double, paid_currency string, cod_amount double, cod_currency string, n_products int"
+    rows = [
+        (1, "order_created", 0.95, False, "total 10 eur", "M", "O", 10.0, "EUR", None, None, None, None, None, 1), (2, "order_created", 0.85, False, "", "M", "O", None, None, None, None, None, None, None, 0),
+        (3, "order_created", 0.95, True, "", "M", "O", 5.0, None, None, None, None, -1.0, "HUF", 2), (4, "payment_completed", 0.9, False, "paid 3", None, None, None, None, "paid", 3.0, None, None, None, 0),
+        (5, "payment_completed", 0.9, False, "", None, None, None, None, None, None, None, None, None, 0), (6, "order_created", 0.7, None, None, None, None, None, None, None, None, None, None, None, None), (7, "shipment", 0.9, False, "amount", None, None, 3.0, "usd", None, None, None, None, None, 0),
+    ]
+    got = {r.id: (r.status, r.event, r.confidence, r.eligible, r.reasons, r.blocked) for r in validated(spark.createDataFrame(rows, columns)).collect()}
+    assert got[1] == ("validated", "order_created", 0.95, True, "", "")
+    assert got[2] == ("guardrailed", "order_created", 0.85, False, "order_created_requires_corroboration", "")
+    assert got[3] == ("guardrailed", "shipment", 0.85, False, "carrier_sender_blocks_purchase_creation,carrier_sender_event_downgraded_to_shipment,carrier_sender_cleared_purchase_fields,negative_cod_amount_blocked", "merchant,order_number,total,products,cod_amount,cod_currency")
+    assert got[4][0] == "validated" and got[5][:1] + got[5][4:5] == ("review", "payment_completed_without_explicit_paid_status")
+    assert got[6][0] == "review" and got[6][4] == "order_created_not_auto_eligible"
+    assert got[7][4] == "total_currency_lacks_evidence" and got[7][5] == "total,currency"
+    t = lambda a, b, p: spark.createDataFrame([(a, b, p)], "a string, b string, p string").select(trusted(F.col("a"), F.col("b"), F.col("p"))).first()[0]
+    assert t("review", "validated", None) and not t("validated", "review", "x") and not t("validated", None, "generic-lifecycle-v13.2") and not t(None, None, None)
+
+
+def test_purchases_by_role_first(spark):
+    from tidemill.operators.resolve import purchases
+
+    rows = [
+        (1, 1, "gmail.com", 7, "shipment", 0.9, 1, None), (2, 1, "gls.hu", 7, "order_created", 0.99, 1, "M"), (3, 1, "a.hu", 7, "shipment", 0.9, 1, "M"), (4, 1, "b.hu", 7, "order_created", 0.95, 1, None), (5, 1, "c.hu", 7, "order_created", 0.95, 2, "M"),
+        (6, 1, "c.hu", 7, "order_created", 0.95, 1, "N"), (7, 1, "d.hu", 7, "order_created", 0.82, 1, "M"), (8, 1, "d.hu", 7, "delivery", 0.5, 2, None), (9, None, "e.hu", 7, "order_created", 0.9, 1, "M"), (10, 1, "", 7, "order_created", 0.9, 1, "M"),
+    ]
+    e = spark.createDataFrame(rows, "source_id long, user_id long, sender string, order_key int, event string, confidence double, received_at int, merchant string")
+    got = {r.sender: (r.decision, r.confidence, r.merchant) for r in purchases(e).collect()}
+    assert got == {"gmail.com": ("review", 0.0, None), "gls.hu": ("lifecycle_only", 0.0, "M"), "a.hu": ("lifecycle_only", 0.0, "M"), "b.hu": ("review", 0.95, None), "c.hu": ("create_direct", 0.95, "N"), "d.hu": ("create_corroborated", 0.9, "M")}
+
+
+def test_rules(spark):
+    from tidemill.operators import rules as R
+
+    rule = R.Rule("a", "body", "shipped", 0.3, sources=("s",))
+    p = [R.Profile("x", status, (R.Event("e", 0.6, (rule,), (R.Rule("n", "subject", "test"),)),), domains=("shop.hu",), provenance={"s": "observed_real_email"}) for status in ("production", "test")]
+    rows = [(1, "shop.hu", "it SHIPPED", "x"), (2, "mail.shop.hu", "shipped", "a test"), (3, "fakeshop.hu", "shipped", ""), (4, "shop.hu", "nothing", ""), (5, None, None, None)]
+    m = spark.createDataFrame(rows, "id int, sender string, body string, subject string").withColumn("address", F.col("sender")).withColumn("attachments", F.array().cast("array<string>"))
+    got = [(r.id, r.confidence, r.blocked, r.eligible) for r in R.evaluate(m, p).orderBy("id", F.col("eligible").desc()).collect()]
+    assert got == [(1, 0.9, False, True), (1, 0.9, False, False), (2, 0.9, True, False), (2, 0.9, True, False)]
+    assert R.diagnostics(R.evaluate(m, R.registered(p, "test"))).where("would_write").count() == 0
+    with pytest.raises(Exception, match="became eligible"):
+        R.diagnostics(R.evaluate(m, p)).collect()
+
+
+def test_amounts_meet_by_cells(spark):
+    """Pairs by amounts in cells, against all pairs, at every tolerance."""
+    import random
+
+    from tidemill.plans.resolution import _keyed
+
+    rng = random.Random(3)
+    make = lambda n, name: [(k, rng.randrange(3), "s", k, k + (10_000 if name == "b" else 0), round(rng.choice([5, 500, 40_000, 2_000_000]) * rng.uniform(0.98, 1.02), 2)) for k in range(n)]
+    a, b = make(150, "a"), make(150, "b")
+    da = spark.createDataFrame(a, "source_id long, user_id long, sender string, order_key long, k long, value double")
+    db = spark.createDataFrame([(*r[:3], r[3] + 10_000, *r[4:]) for r in b], "purchase_id long, user_id long, sender string, order_key long, k long, value double")
+    for tolerance, relative in ((1.0, 0.005), (1.0, 0.0), (3.0, 0.001)):
+        got = {tuple(r) for r in _keyed(da, db, tolerance, relative).collect()}
+        assert got == {(x[0], y[0]) for x in a for y in b if x[1] == y[1] and abs(x[5] - y[5]) <= max(tolerance, abs(y[5]) * relative)}
 
 
 def test_messages(spark):
@@ -72,8 +147,16 @@ def test_merge(spark):
 
 @pytest.mark.parametrize(
     ("old", "event", "ship", "paid", "want"),
-    [("created", "payment_failed", False, None, "payment_failed"), ("payment_failed", "payment_failed", False, "paid", "paid"), ("in_transit", "cancelled", False, None, "in_transit"), ("created", "cancelled", True, None, "created"), ("created", "cancelled", False, None, "cancelled"), ("created", "order_processing", False, None, "processing"), ("refunded", "delayed", False, None, "refunded"), ("created", "delayed", False, None, "delayed")],
+    [("created", "payment_failed", False, None, "payment_failed"), ("payment_failed", "payment_failed", False, "paid", "paid"), ("in_transit", "cancelled", False, None, "in_transit"), ("created", "cancelled", True, None, "created"), ("created", "cancelled", False, None, "cancelled"), ("created", "order_processing", False, None, "processing"), ("refunded", "delayed", False, None, "refunded"), ("created", "delayed", False, None, "delayed"), ("delivered", "order_packing", True, None, "delivered"), ("created", "ready_to_ship", False, "failed", "created")],
 )
 def test_lifecycle(spark, old, event, ship, paid, want):
     row = spark.createDataFrame([(old, event, ship, paid)], "o string, e string, s boolean, p string")
     assert row.select(merge.lifecycle_state(F.col("o"), F.col("e"), F.col("s"), F.col("p"))).first()[0] == want
+
+
+def test_newer_shipments_overrule(spark):
+    row = spark.createDataFrame([("processing", "delayed", True)], "o string, e string, s boolean")
+    state = lambda newer: row.select(merge.lifecycle_state(F.col("o"), F.col("e"), F.col("s"), F.lit(None).cast("string"), F.lit(newer).cast("string"))).first()[0]
+    assert [state(x) for x in (None, "delivered", "incoming")] == ["delayed", "delivered", "in_transit"]
+    rows = spark.createDataFrame([(1, 1, "a", 5, 9, 1), (1, 2, "b", None, 9, None), (2, 3, "c", None, None, None)], "p int, shipment_id int, status string, last_event_at int, delivered_at int, shipped_at int")
+    assert [tuple(r) for r in merge.latest_shipment(rows, ["p"]).collect()] == [(1, 9, "a")]

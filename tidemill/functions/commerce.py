@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import address_domain, domain, fold, in_domain, labelled_line, markup_types, plain_text, reasons, sender_role
@@ -84,20 +84,20 @@ def promotional_noise(text: Column) -> Column:
     return (text != "") & ~any_of(text, ANCHORS) & (any_of(text, REPURCHASE) | (signs >= 2))
 
 
-def commerce_reasons(subject: Column, body_html: Column, address: Column, folders: Column, attachments: Column) -> Column:
-    """Why a message is one of commerce, or why it is left out.
+def commerce_reasons(messages: DataFrame) -> DataFrame:
+    """``messages`` (subject, html, address, folders, attachments) with ``why``: why each is one of commerce, or why it is left out.
 
-    Null subjects and bodies count as empty.  The message is relevant if the
-    list has a reason that doesn't begin with ``excluded``.
+    Null subjects and bodies count as empty.  A message is relevant if its
+    list has a reason that doesn't begin with ``excluded``.  Texts are made
+    once, in projections of their own, before any pattern reads them.
     """
-    subject, html = F.coalesce(subject, F.lit("")), F.coalesce(body_html, F.lit(""))
-    sender = sender_domain(F.coalesce(address, F.lit("")))
-    spoken = F.trim(F.regexp_replace(fold(F.concat_ws("\n", subject, plain_text(html))), r"\s+", " "))
-    pickup, promotion = pickup_noise(sender, fold(F.concat_ws("\n", subject, html))), promotional_noise(spoken)
-    searched = F.lower(F.concat_ws(" ", subject, F.array_join(attachments, " ")))
-    keyword = reduce(Column.__or__, [searched.contains(k) for k in KEYWORDS])
-    signals = reasons(("gmail_category_purchases", F.array_contains(F.transform(folders, F.upper), "CATEGORY_PURCHASES")), ("structured_commerce_markup", F.size(markup_types(html)) > 0), ("known_carrier_sender", sender_role(sender) == "carrier"), ("commerce_keyword", keyword))
-    return F.when(pickup, F.array(F.lit("excluded_pickup_service"))).when(promotion, F.array(F.lit("excluded_promotional_marketing"))).otherwise(signals)
+    subject, html = F.coalesce("subject", F.lit("")), F.coalesce("html", F.lit(""))
+    texts = messages.withColumn("__plain", fold(F.concat_ws("\n", subject, plain_text(html)))).withColumn("__raw", fold(F.concat_ws("\n", subject, html))).withColumn("__sender", sender_domain(F.coalesce("address", F.lit("")))).withColumn("__types", markup_types(html))
+    texts = texts.withColumn("__spoken", F.trim(F.regexp_replace("__plain", r"\s+", " "))).withColumn("__searched", F.lower(F.concat_ws(" ", subject, F.array_join("attachments", " "))))
+    keyword = reduce(Column.__or__, [F.col("__searched").contains(k) for k in KEYWORDS])
+    signals = reasons(("gmail_category_purchases", F.array_contains(F.transform("folders", lambda f: F.upper(f)), "CATEGORY_PURCHASES")), ("structured_commerce_markup", F.size("__types") > 0), ("known_carrier_sender", sender_role(F.col("__sender")) == "carrier"), ("commerce_keyword", keyword))
+    why = F.when(pickup_noise(F.col("__sender"), F.col("__raw")), F.array(F.lit("excluded_pickup_service"))).when(promotional_noise(F.col("__spoken")), F.array(F.lit("excluded_promotional_marketing"))).otherwise(signals)
+    return texts.withColumn("why", why).drop("__plain", "__raw", "__sender", "__types", "__spoken", "__searched")
 
 
 def identity(text: Column, patterns: tuple[str, ...]) -> Column:

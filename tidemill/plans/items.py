@@ -18,10 +18,10 @@ from .registry import query
     SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(n_items, 0) AS n_items, coalesce(n_shipments, 0) AS n_shipments, CAST(subtotal AS DOUBLE) AS subtotal, preview FROM orders LEFT JOIN i ON l_orderkey = o_orderkey LEFT JOIN n ON n.l_orderkey = o_orderkey""")
 def purchase_list_assembly(spark, d):
     """Orders with counts of their items and shipments, and their first two items."""
-    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n_items"), F.count_distinct("l_suppkey").alias("n_shipments"), F.sum(F.col("l_extendedprice").cast("decimal(14,2)")).cast("double").alias("subtotal"),
-        F.slice(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), 1, 2).alias("first"),
-    )
+    item = F.struct("l_linenumber", "l_partkey")
+    # by supplier first: distinct suppliers are then rows, and of the items of each only two are kept
+    parts = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(14,2)")).alias("sub"), F.slice(F.array_sort(F.collect_list(item)), 1, 2).alias("first"))
+    items = parts.groupBy("l_orderkey").agg(F.sum("n").alias("n_items"), F.count("l_suppkey").alias("n_shipments"), F.sum("sub").cast("double").alias("subtotal"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 2).alias("first"))
     out = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("o_orderkey", "o_custkey", "o_orderstatus", zero("n_items"), zero("n_shipments"), "subtotal", F.array_join(F.transform("first", lambda x: x["l_partkey"].cast("string")), ",").alias("preview"))
@@ -31,7 +31,7 @@ def purchase_list_assembly(spark, d):
     SELECT o_orderkey, CAST(CASE WHEN n = n_priced AND n_currencies = 1 THEN subtotal ELSE CAST(o_totalprice AS DECIMAL(14, 2)) END AS DOUBLE) AS subtotal, n_currencies, currency, abs(subtotal - CAST(o_totalprice AS DECIMAL(14, 2))) <= 0.01 AS reconciled FROM orders JOIN s ON o_orderkey = l_orderkey""")
 def subtotal_reconcile(spark, d):
     money = lambda c: F.col(c).cast("decimal(14,2)")
-    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count("l_extendedprice").alias("n_priced"), F.sum(money("l_extendedprice")).alias("sub"), F.count_distinct(F.upper("l_returnflag")).alias("n_currencies"), F.max(F.when(F.col("l_quantity") > 10, F.col("l_returnflag"))).alias("currency"))
+    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count("l_extendedprice").alias("n_priced"), F.sum(money("l_extendedprice")).alias("sub"), F.size(F.collect_set(F.upper("l_returnflag"))).cast("long").alias("n_currencies"), F.max(F.when(F.col("l_quantity") > 10, F.col("l_returnflag"))).alias("currency"))
     out = table(spark, d, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey"))
     return out.select("o_orderkey", F.when((F.col("n") == F.col("n_priced")) & (F.col("n_currencies") == 1), F.col("sub")).otherwise(money("o_totalprice")).cast("double").alias("subtotal"), "n_currencies", "currency", (F.abs(F.col("sub") - money("o_totalprice")) <= 0.01).alias("reconciled"))
 

@@ -105,9 +105,9 @@ _SIGNALS = f"""list_filter([CASE WHEN list_contains(list_transform(folders, lamb
     SELECT id, array_to_string(CASE WHEN pickup THEN ['excluded_pickup_service'] WHEN promo THEN ['excluded_promotional_marketing'] ELSE signals END, ',') AS reasons, NOT pickup AND NOT promo AND len(signals) > 0 AS relevant FROM f""")
 def noise_filter_reasons(spark, d):
     """Which messages are of commerce, and why; bookings of pickups and advertisements are left out."""
-    why = C.commerce_reasons(F.col("subject"), F.col("html"), F.col("address"), F.col("folders"), F.col("attachments"))
-    m = messages(spark, d).select("id", why.alias("why"))
-    return m.select("id", F.array_join("why", ",").alias("reasons"), (F.size("why") > 0).__and__(~F.get("why", F.lit(0)).startswith("excluded")).alias("relevant")).withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    m = C.commerce_reasons(messages(spark, d)).select("id", "why")
+    relevant = F.coalesce((F.size("why") > 0) & ~F.get("why", F.lit(0)).startswith("excluded"), F.lit(False))
+    return m.select("id", F.array_join("why", ",").alias("reasons"), relevant.alias("relevant"))
 
 
 PROFILES = [
@@ -310,7 +310,9 @@ def parser_chain(spark, d):
     m = _message_texts(messages(spark, d))
     sender, subject, body = F.col("sender"), F.col("folded_subject"), F.col("folded_body")
     context = F.concat_ws("\n", subject, body)
-    carrier, order, invoice = C.carrier_message(sender, context), C.generic_order(sender, subject, body), C.identity(context, C.INVOICE_IDS)
+    # each parser in a projection of its own, so that what is asked of it several times is read once
+    m = m.withColumn("carrier", C.carrier_message(sender, context)).withColumn("order", C.generic_order(sender, subject, body)).withColumn("invoice", C.identity(context, C.INVOICE_IDS))
+    carrier, order, invoice = F.col("carrier"), F.col("order"), F.col("invoice")
     out = lambda parser, event, identity, confidence: F.struct(F.lit(parser).alias("parser"), event.alias("event"), identity.alias("identity"), confidence.cast("double").alias("confidence"))
     chain = F.coalesce(
         F.when(carrier.isNotNull(), out("carrier", carrier["event"], carrier["tracking"], F.lit(0.96))), F.when(order.isNotNull(), out("generic_order", F.lit("order_created"), order["order_id"], order["confidence"])),

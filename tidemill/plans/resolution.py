@@ -295,10 +295,10 @@ def _shipments_of_orders(spark, d):
     return s.select("l_orderkey", "l_suppkey", F.when(done, "delivered").otherwise("in_transit").alias("status"), "shipped_at", F.when(done, F.expr("last + INTERVAL 2 DAYS")).alias("delivered_at"), F.when(F.col("l_suppkey") % 3 > 0, F.expr("last + INTERVAL 1 DAY")).alias("last_event_at"))
 
 
-@query(f"WITH {_LIFE} SELECT l_orderkey, la.at AS "at", status FROM la")
+@query(f"WITH {_LIFE} SELECT l_orderkey, la.at AS latest_at, status FROM la")
 def latest_of_three(spark, d):
     """The latest of three times over all shipments of an order, and the status of the shipment that has it."""
-    return merge.latest_shipment(_shipments_of_orders(spark, d), ["l_orderkey"], tie="l_suppkey")
+    return merge.latest_shipment(_shipments_of_orders(spark, d), ["l_orderkey"], tie="l_suppkey").withColumnRenamed("at", "latest_at")
 
 
 @query(f"""WITH {_LIFE}, x AS (SELECT o_orderkey, {_STATES} AS state, (['payment_failed', 'cancelled', 'order_packing', 'delayed', 'order_processing'])[o_orderkey % 5 + 1] AS event, CASE o_orderkey % 4 WHEN 0 THEN 'paid' WHEN 1 THEN 'failed' END AS payment, la.l_orderkey IS NOT NULL AS has, CASE WHEN la.at > o_orderdate + INTERVAL 40 DAY THEN la.status END AS newer FROM orders LEFT JOIN la ON l_orderkey = o_orderkey),
