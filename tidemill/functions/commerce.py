@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import address_domain, domain, fold, in_domain, labelled_line, markup_types, plain_text, reasons, sender_role
+from .text import address_domain, domain, fold, in_domain, labelled_line, let, markup_types, plain_text, reasons, sender_role
 
 # fixed values: words that make a subject, a snippet or a file name one of commerce
 KEYWORDS = (
@@ -103,7 +103,7 @@ def commerce_reasons(messages: DataFrame) -> DataFrame:
 def identity(text: Column, patterns: tuple[str, ...]) -> Column:
     """The first group of the first pattern that matches; what has no digit in it is no identity."""
     found = [F.regexp_replace(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), r"[.,;:)]+$", "") for p in patterns]
-    return F.coalesce(*[F.when(x.rlike("[0-9]"), x) for x in found])
+    return F.coalesce(*[let(x, lambda v: F.when(v.rlike("[0-9]"), v)) for x in found])
 
 
 def without_promises(body: Column) -> Column:
@@ -125,17 +125,18 @@ def currency_of(token: Column) -> Column:
 
 def local_money(raw: Column, currency: Column) -> Column:
     """An amount by the last of comma and point: what stands before it groups thousands; forints have no point."""
-    v = F.regexp_replace(raw, "[^0-9,.-]", "")
-    comma, dot = F.length(v) - F.instr(F.reverse(v), ","), F.length(v) - F.instr(F.reverse(v), ".")
-    has_comma, has_dot = v.contains(","), v.contains(".")
-    after_comma, after_dot = F.instr(F.reverse(v), ",") - 1, F.instr(F.reverse(v), ".") - 1
-    no = lambda c: F.replace(v, F.lit(c), F.lit(""))
-    text = (
-        F.when(has_comma & has_dot & (comma > dot), F.replace(no("."), F.lit(","), F.lit("."))).when(has_comma & has_dot, no(","))
-        .when(has_comma & (after_comma == 2), F.replace(v, F.lit(","), F.lit("."))).when(has_comma, no(","))
-        .when(has_dot & (after_dot != 2) & (currency == "HUF"), no(".")).otherwise(v)
-    )
-    return F.nullif(text, F.lit("")).try_cast("decimal(14,2)")
+
+    def parsed(m: Column) -> Column:
+        v, currency = m["v"], m["currency"]
+        comma, dot = F.instr(F.reverse(v), ","), F.instr(F.reverse(v), ".")  # from the end, 0 without
+        no = lambda c: F.replace(v, F.lit(c), F.lit(""))
+        text = (
+            F.when((comma > 0) & (dot > 0) & (comma < dot), F.replace(no("."), F.lit(","), F.lit("."))).when((comma > 0) & (dot > 0), no(","))
+            .when(comma == 3, F.replace(v, F.lit(","), F.lit("."))).when(comma > 0, no(",")).when((dot > 0) & (dot != 3) & (currency == "HUF"), no(".")).otherwise(v)
+        )
+        return F.nullif(text, F.lit("")).try_cast("decimal(14,2)")
+
+    return let(F.struct(F.regexp_replace(raw, "[^0-9,.-]", "").alias("v"), currency.alias("currency")), parsed)
 
 
 #: Currencies after an amount.
@@ -147,9 +148,9 @@ def labelled_money(text: Column, labels: tuple[str, ...]) -> Column:
     found = []
     for label in labels:
         pattern = rf"(?:^|\n|\b){label}\s*[:#-]?\s*([0-9][0-9 .,]*)\s*{CURRENCY}"
-        currency = currency_of(F.regexp_extract(text, pattern, 2))
-        amount = local_money(F.regexp_extract(text, pattern, 1), currency)
-        found.append(F.when(amount.isNotNull() & currency.isNotNull(), F.struct(amount.alias("amount"), currency.alias("currency"))))
+        parts = F.struct(F.regexp_extract(text, pattern, 1).alias("raw"), currency_of(F.regexp_extract(text, pattern, 2)).alias("currency"))
+        both = let(parts, lambda m: F.struct(local_money(m["raw"], m["currency"]).alias("amount"), m["currency"].alias("currency")))
+        found.append(F.when(text.contains(label), let(both, lambda m: F.when(m["amount"].isNotNull() & m["currency"].isNotNull(), m))))
     return F.coalesce(*found)
 
 
@@ -174,11 +175,17 @@ def generic_order(sender: Column, subject: Column, body: Column) -> Column:
     nothing, and two of six signs must corroborate the order's number.
     """
     context = F.concat_ws("\n", subject, body)
-    order, money = identity(context, ORDER_IDS), labelled_money(body, TOTALS)
-    signs = (money.isNotNull(), labelled_line(body, PAYMENTS).isNotNull(), labelled_line(body, SHIPPINGS).isNotNull(), F.size(product_rows(body)) > 0, context.rlike(DETAILS), any_of(subject, CONFIRMING_SUBJECTS))
-    n = reduce(Column.__add__, [s.cast("int") for s in signs])
-    ok = (sender != "") & (sender_role(sender) == "unknown") & order.isNotNull() & any_of(context, CONFIRMATIONS) & (n >= 2)
-    return F.when(ok, F.struct(order.alias("order_id"), n.alias("signs"), F.when(n >= 4, 0.97).when(n == 3, 0.95).otherwise(0.92).alias("confidence"), money["amount"].alias("total"), money["currency"].alias("currency")))
+    read = F.struct(
+        identity(context, ORDER_IDS).alias("order"), labelled_money(body, TOTALS).alias("money"), labelled_line(body, PAYMENTS).isNotNull().alias("payment"), labelled_line(body, SHIPPINGS).isNotNull().alias("shipping"), (F.size(product_rows(body)) > 0).alias("rows"), context.rlike(DETAILS).alias("details"),
+        any_of(subject, CONFIRMING_SUBJECTS).alias("subject"), ((sender != "") & (sender_role(sender) == "unknown") & any_of(context, CONFIRMATIONS)).alias("confirms"),
+    )
+
+    def decided(r: Column) -> Column:
+        n = reduce(Column.__add__, [r[x].cast("int") for x in ("payment", "shipping", "rows", "details", "subject")], r["money"].isNotNull().cast("int"))
+        out = F.struct(r["order"].alias("order_id"), n.alias("signs"), F.when(n >= 4, 0.97).when(n == 3, 0.95).otherwise(0.92).alias("confidence"), r["money"]["amount"].alias("total"), r["money"]["currency"].alias("currency"))
+        return F.when(r["confirms"] & r["order"].isNotNull() & (n >= 2), out)
+
+    return let(read, decided)
 
 
 def carrier_message(sender: Column, text: Column) -> Column:

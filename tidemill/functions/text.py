@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from functools import reduce
 
@@ -44,6 +45,11 @@ PUBLIC_MAILBOXES = (
 COMMERCE_TYPES = ("Order", "ParcelDelivery", "Invoice", "Product", "Offer", "OrderAction", "TrackAction", "DeliveryEvent", "ReceiveAction", "ReturnAction", "CancelAction")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value made once a row, however often the body asks for it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; a translate, so it stays in generated code."""
     return F.lower(F.translate(F.translate(text, " ", " "), ACCENTED, PLAIN))
@@ -219,7 +225,7 @@ def labelled_line(text: Column, labels: tuple[str, ...]) -> Column:
     found = []
     for label in labels:
         for pattern in (rf"(?:^|\n)[ \t]*{label}[ \t]*[:#-][ \t]*([^\n]{{2,120}})", rf"(?:^|\n)[ \t]*{label}[ \t]*\n[ \t]*([^\n]{{2,120}})"):
-            found.append(F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit("")))
+            found.append(F.when(text.contains(label), F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))))  # most texts lack the label
     return F.coalesce(*found)
 
 
@@ -270,3 +276,17 @@ def reasons(*pairs: tuple[str, Column]) -> Column:
 
 def dedupe_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+
+
+def hmac_sha256(key: bytes, text: Column) -> Column:
+    """HMAC-SHA256 of a text in lower-case hex, by two hashes: it stays in generated code."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
+
+
+def file_kind(name: Column) -> Column:
+    """The letters and digits after a file name's last point, none without."""
+    clean = F.regexp_replace(F.lower(F.trim(name)), "[?#].*$", "")
+    ending = F.left(F.regexp_replace(F.substring_index(clean, ".", -1), "[^a-z0-9]", ""), F.lit(12))
+    return F.when(~clean.contains(".") | clean.endswith("."), "none").otherwise(F.coalesce(F.nullif(ending, F.lit("")), F.lit("other")))

@@ -115,13 +115,6 @@ def document_upsert_merge(spark, d):
     return merge.merged(side("A"), side("R"), ["l_partkey"], {"confidence": "greatest"})
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, lower(trim(p_name)) || '|' || p_brand AS source_key, CAST(CAST(l_extendedprice AS DECIMAL(14, 2)) AS DOUBLE) AS total FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 0 AND l_quantity <= 1000 AND l_extendedprice >= 0 AND l_discount <= 0.07 AND length(p_name) <= 500""")
-def product_row_sanitise(spark, d):
-    ok = F.expr("l_quantity > 0 and l_quantity <= 1000 and l_extendedprice >= 0 and l_discount <= 0.07 and length(p_name) <= 500")
-    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).where(ok)
-    return j.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lower(F.trim("p_name")), F.lit("|"), F.col("p_brand")).alias("source_key"), F.col("l_extendedprice").cast("decimal(14,2)").cast("double").alias("total"))
-
-
 @query("SELECT p_partkey, upper(regexp_replace(p_brand || '-' || p_name, '[^a-zA-Z0-9]', '', 'g')) AS id FROM part")
 def identifier_normalise(spark, d):
     return table(spark, d, "part").select("p_partkey", identifier(F.concat_ws("-", "p_brand", "p_name")).alias("id"))
@@ -133,21 +126,6 @@ def carrier_slug_compact_party(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", carrier_slug(F.concat(prefix, "s_name")).alias("slug"), compact_party(F.concat("s_name", F.lit(" Kft."))).alias("party"))
 
 
-@query("""WITH s AS (SELECT l_orderkey, min(l_shipdate) AS shipped FROM lineitem GROUP BY 1)
-    SELECT o_orderkey, 1 + (o_orderstatus <> 'P')::INT + (shipped < TIMESTAMP '1998-01-01' AND o_orderstatus <> 'P')::INT AS done, CASE WHEN o_orderstatus = 'P' THEN 'paid' WHEN shipped < TIMESTAMP '1998-01-01' THEN 'delivered' ELSE 'shipped' END AS current FROM orders JOIN s ON l_orderkey = o_orderkey""")
-def timeline_steps(spark, d):
-    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("shipped"))
-    paid = F.col("o_orderstatus") != "P"
-    done = F.array(F.lit(True), paid, paid & (F.col("shipped") < F.expr("TIMESTAMP_NTZ '1998-01-01'")), F.lit(False))
-    j = table(spark, d, "orders").join(s, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("open", F.array_position(done, False))
-    return j.select("o_orderkey", (F.col("open") - 1).cast("int").alias("done"), F.element_at(F.array(F.lit("ordered"), F.lit("paid"), F.lit("shipped"), F.lit("delivered")), F.col("open").cast("int")).alias("current"))
-
-
-@query("SELECT p_partkey, p_size BETWEEN 1 AND 40 AS size_ok, p_retailprice >= 0 AND p_retailprice <= 1500 AS price_ok, length(p_brand) <= 8 AS brand_ok FROM part")
-def edit_patch_validation(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.col("p_size").between(1, 40).alias("size_ok"), ((F.col("p_retailprice") >= 0) & (F.col("p_retailprice") <= 1500)).alias("price_ok"), (F.length("p_brand") <= 8).alias("brand_ok"))
-
-
 @query("""WITH m AS (SELECT l_orderkey, l_suppkey, l_shipdate, l_linenumber FROM lineitem WHERE l_returnflag = 'N'), c AS (SELECT l_orderkey, l_partkey, l_shipdate FROM lineitem WHERE l_returnflag = 'A'),
     p AS (SELECT m.l_orderkey, m.l_linenumber, m.l_suppkey, c.l_partkey FROM m JOIN c ON m.l_orderkey = c.l_orderkey AND c.l_shipdate BETWEEN m.l_shipdate AND m.l_shipdate + INTERVAL 3 DAY)
     SELECT l_orderkey, l_linenumber, l_suppkey, min(l_partkey) AS tracking FROM p GROUP BY 1, 2, 3 HAVING count(DISTINCT l_partkey) = 1""")
