@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import binary_array, grams, materialize, starts_of, unpacked, unpacked_words, utf8_buffer, word_hashes, word_slices
+from .common import binary_array, discard, grams, materialize, starts_of, tidy, unpacked, unpacked_words, utf8_buffer, word_hashes, word_slices
 from .fm import FMIndex, interval_minima
 
 WINDOW = 13
@@ -265,16 +264,19 @@ def joined(own: Slice, keep: np.ndarray, kept: np.ndarray) -> list[bytes]:
 
 def routed(slices: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """The segments with their shards, and the anchors of each slice whose segments are cut."""
-    anchors = slices.mapInArrow(_anchors(window), "slice_id long, anchor long, several boolean, n long")
-    every = W.partitionBy("anchor")
-    counted = anchors.withColumn("slices", F.count(F.lit(1)).over(every)).withColumn("any", F.max("several").over(every)).withColumn("total", F.sum("n").over(every)).where("slices > 1 or any")
+    anchors = slices.mapInArrow(tidy(_anchors(window)), "slice_id long, anchor long, several boolean, n long")
+    # totals are combined first, and only anchors that matter meet the slices' rows again: a join, which Spark may split where an anchor is hot
+    totals = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("slices"), F.max("several").alias("any"), F.sum("n").alias("total")).where("slices > 1 or any")
+    totals = materialize(totals.select("anchor", "total"), "substring-totals")
+    counted = anchors.select("slice_id", "anchor", "n").join(totals, "anchor")
     way = F.when(F.col("total") > SHARD_SEGMENTS, CUT).when(F.col("total") * OWN_SHARD > SHARD_SEGMENTS, OWN).otherwise(SHARED)
     # rows that go to shared shards; a cut segment has at most as many windows as there are places for its anchor
     load = F.when(F.col("way") == CUT, F.col("n") * (window - ANCHOR + 1)).when(F.col("way") == SHARED, F.col("n")).otherwise(0)
     lists = [F.collect_list(F.when(F.col("way") == k, F.col("anchor"))).alias(name) for k, name in ((SHARED, "shared"), (OWN, "alone"), (CUT, "cut"))]
     wanted = materialize(counted.withColumn("way", way).groupBy("slice_id").agg(*lists, F.sum(load).alias("load")), "substring-anchors")
+    discard(totals)
     shards = 2 * int(wanted.agg(F.sum("load")).first()[0] or 0) // SHARD_SEGMENTS + 1
-    segments = slices.join(wanted, "slice_id").mapInArrow(_segments(window, shards), "shard long, content long, doc_id long, words binary, slice_id long")
+    segments = slices.join(wanted, "slice_id").mapInArrow(tidy(_segments(window, shards)), "shard long, content long, doc_id long, words binary, slice_id long")
     return segments, wanted.where(F.size("cut") > 0).select("slice_id", "cut")
 
 
@@ -296,5 +298,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     found = matched.groupBy("slice_id").agg(F.collect_list(F.struct("content", "bits")).alias("found"))
     found = found.join(cut, "slice_id", "full")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = slices.join(found, "slice_id", "left").mapInArrow(_remove(window, "__id"), "`__id` long, n_words long, n_removed long, kept_sha256 string, kept_text binary")
+    out = slices.join(found, "slice_id", "left").mapInArrow(tidy(_remove(window, "__id")), "`__id` long, n_words long, n_removed long, kept_sha256 string, kept_text binary")
     return out.select(F.col("__id").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")
