@@ -560,3 +560,15 @@ print("all ran")
     env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "all ran" in out.stdout, out.stderr[-3000:]
+
+
+def test_held_out_by_crc(spark):
+    import zlib
+
+    from tidemill.llm import langid
+
+    docs = spark.createDataFrame([(k - 40 if k else None, "abc def", "en") for k in range(90)], "doc_id long, text string, lang string")
+    out = langid.identify(docs).collect()
+    assert len(out) == 90
+    for r in out:
+        assert r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 4 == 2) and r.lang_pred == "en" and r.score == 1.0
