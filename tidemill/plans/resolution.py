@@ -14,7 +14,7 @@ from ..operators.joins import interval_join
 from ..operators.resolve import best_and_margin, purchases, shipments
 from ..operators.validate import may_write_document, may_write_purchase, may_write_shipment
 from ..sources.tables import EVIDENCE_SQL, evidence, table
-from ..streaming.inbox import replayed
+from ..streaming.inbox import drain, replayed
 from .registry import query
 
 E = f"WITH {EVIDENCE_SQL}"
@@ -406,9 +406,8 @@ def review_support(spark, d):
     return g.select("user_id", "order_key", raised.alias("confidence"), F.array_join(reasons(("lifecycle", F.col("lifecycle") >= 0.7), ("payment", F.col("paid") >= 0.75), ("shipment", F.col("tracked") >= 0.75)), ",").alias("support"))
 
 
-@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
-def stream_dedupe_counts(spark, d):
-    """The event table read as a stream, in one run over all that is there; what comes out is a table of files."""
+def _stream_folder(spark) -> str:
+    """A new folder in the one that driver and executors share."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -416,11 +415,29 @@ def stream_dedupe_counts(spark, d):
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="tidemill-")
-    rows = table(spark, d, "events")
-    out = replayed(spark, f"{d}/event[s].parquet", rows.schema, f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+def stream_dedupe_counts(spark, d):
+    """The event table read as a stream, in one run over all that is there; what comes out is a table of files."""
+    out = replayed(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema, _stream_folder(spark))
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT user_id, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
+def inbox_drain(spark, d):
+    """The event table drained batch by batch into a table of sums, one part for each batch; a batch that is repeated replaces its part."""
+    folder = _stream_folder(spark)
+
+    def merge_batch(batch, number: int) -> None:
+        sums = batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+        sums.write.mode("overwrite").parquet(f"{folder}/sums/batch={number}")
+
+    drain(spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/event[s].parquet"), merge_batch, f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/sums").groupBy("user_id").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+
 PARTY_GRAM = 3
 
 
