@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.numbers import backoff_minutes, boosted, clamp4, days_apart, score_band, time_points
+from ..functions.numbers import backoff_minutes, boosted, clamp4, days_apart, micros
 from ..functions.text import dedupe_key
 from ..operators import merge
 from ..operators.joins import guarded, interval_join
-from ..operators.resolve import best_and_margin, latest, purchases
+from ..operators.resolve import latest
 from ..sources.messages import disposition
 from ..sources.tables import EVIDENCE_SQL, evidence, table
 from .registry import query
@@ -29,12 +29,12 @@ def first_last_event_times(spark, d):
 
 
 @query(E + """, a AS (SELECT source_id AS anchor_id, user_id, k, received_at AS anchor_at FROM ev WHERE event = 'order_created'), b AS (SELECT source_id AS carrier_id, user_id, k AS carrier_k, received_at AS carrier_at FROM ev WHERE event = 'shipment')
-    SELECT anchor_id, count(*) AS n, min(carrier_id) AS first_carrier, count(*) FILTER (WHERE k = carrier_k) AS n_same FROM a JOIN b USING (user_id) WHERE carrier_at BETWEEN anchor_at AND anchor_at + INTERVAL 36 HOUR GROUP BY 1""")
+    SELECT anchor_id, count(*) AS n, min(carrier_id) AS first_carrier, count(*) FILTER (WHERE k = carrier_k) AS n_same, min(epoch_us(carrier_at) - epoch_us(anchor_at)) / 3600e6 AS lag_hours FROM a JOIN b USING (user_id) WHERE carrier_at BETWEEN anchor_at AND anchor_at + INTERVAL 36 HOUR GROUP BY 1""")
 def bridge_interval_directional(spark, d):
     e = evidence(spark, d)
     a = e.where("event = 'order_created'").select(F.col("source_id").alias("anchor_id"), "user_id", "k", F.col("received_at").alias("anchor_at"))
     b = e.where("event = 'shipment'").select(F.col("source_id").alias("carrier_id"), "user_id", F.col("k").alias("carrier_k"), F.col("received_at").alias("carrier_at"))
-    return interval_join(a, b, ["user_id"], "anchor_at", "carrier_at", 36).groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n"), F.min("carrier_id").alias("first_carrier"), F.count_if(F.col("k") == F.col("carrier_k")).alias("n_same"))
+    return interval_join(a, b, ["user_id"], "anchor_at", "carrier_at", 36).groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n"), F.min("carrier_id").alias("first_carrier"), F.count_if(F.col("k") == F.col("carrier_k")).alias("n_same"), (F.min(micros(F.col("carrier_at")) - micros(F.col("anchor_at"))) / 3_600e6).alias("lag_hours"))
 
 
 @query(E + """, a AS (SELECT * FROM ev WHERE event = 'invoice_or_receipt'), b AS (SELECT * FROM ev WHERE event = 'shipment')
@@ -47,12 +47,13 @@ def bridge_interval_symmetric(spark, d):
 
 
 @query(E + """, a AS (SELECT * FROM ev WHERE event = 'invoice_or_receipt' AND confidence >= 0.65), b AS (SELECT * FROM ev WHERE event <> 'invoice_or_receipt' AND confidence >= 0.75)
-    SELECT a.source_id, count(*) AS n_support, count(DISTINCT b.event) AS n_kinds FROM a JOIN b ON a.user_id = b.user_id AND a.k = b.k AND b.received_at BETWEEN a.received_at - INTERVAL 14 DAY AND a.received_at + INTERVAL 14 DAY GROUP BY 1""")
+    SELECT a.source_id, count(*) AS n_support, count(DISTINCT b.event) AS n_kinds, count(*) FILTER (WHERE b.event = 'shipment' AND b.confidence >= 0.85 AND abs(epoch_us(b.received_at) - epoch_us(a.received_at)) <= 7 * 86400000000) AS n_carrier FROM a JOIN b ON a.user_id = b.user_id AND a.k = b.k AND b.received_at BETWEEN a.received_at - INTERVAL 14 DAY AND a.received_at + INTERVAL 14 DAY GROUP BY 1""")
 def chain_14d_support(spark, d):
     e = evidence(spark, d)
     a = e.where("event = 'invoice_or_receipt' and confidence >= 0.65").select("source_id", "user_id", "k", F.col("received_at").alias("a_at"))
-    b = e.where("event <> 'invoice_or_receipt' and confidence >= 0.75").select("user_id", "k", "event", F.col("received_at").alias("b_at"))
-    return interval_join(a, b, ["user_id", "k"], "a_at", "b_at", 336, symmetric=True).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_support"), F.count_distinct("event").alias("n_kinds"))
+    b = e.where("event <> 'invoice_or_receipt' and confidence >= 0.75").select("user_id", "k", "event", F.col("confidence").alias("b_confidence"), F.col("received_at").alias("b_at"))
+    proof = F.expr("event = 'shipment' and b_confidence >= 0.85") & (days_apart(F.col("a_at"), F.col("b_at")) <= 7)
+    return interval_join(a, b, ["user_id", "k"], "a_at", "b_at", 336, symmetric=True).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_support"), F.size(F.collect_set("event")).cast("long").alias("n_kinds"), F.count_if(proof).alias("n_carrier"))
 
 
 @query(E + """, p AS (SELECT DISTINCT a.source_id, b.source_id AS candidate FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.event = 'payment_completed' AND abs(a.value - b.value) <= 1 AND b.received_at BETWEEN a.received_at AND a.received_at + INTERVAL 14 DAY WHERE a.event = 'order_created')

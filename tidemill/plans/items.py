@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.numbers import amount_close
-from ..functions.text import carrier_slug, compact_party, identifier, same_party, text_key
+from ..functions.text import carrier_slug, compact_party, identifier
 from ..operators import merge
 from ..operators.resolve import latest
+from ..sources.mail import listed, picked
 from ..sources.tables import table
 from .registry import query
 
@@ -120,10 +121,16 @@ def identifier_normalise(spark, d):
     return table(spark, d, "part").select("p_partkey", identifier(F.concat_ws("-", "p_brand", "p_name")).alias("id"))
 
 
-@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'express-one' WHEN 1 THEN 'dpd' WHEN 2 THEN 'mpl' ELSE regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END AS slug, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS party FROM supplier""")
+_CALLED = ("DHL Express", "DPD Hungária Kft.", "MPL", "Magyar Posta Logisztika", "GLS (General)", "Foxpost Zrt", "Packeta", "Ampl Bt", "Kő & Bor Inc", "--", "UPS-Standard")
+_NAME = f"({listed(_CALLED)})[s_suppkey % {len(_CALLED)} + 1] || CASE WHEN s_suppkey % 3 = 0 THEN ' ' || s_name ELSE '' END"
+_LOW = f"lower({_NAME})"
+
+
+@query(rf"""SELECT s_suppkey, CASE WHEN contains({_LOW}, 'express') THEN 'express-one' WHEN contains({_LOW}, 'dpd') THEN 'dpd' WHEN contains({_LOW}, 'gls') THEN 'gls' WHEN contains({_LOW}, 'foxpost') THEN 'foxpost' WHEN contains({_LOW}, 'packeta') THEN 'packeta' WHEN regexp_matches({_LOW}, '\bmpl\b') OR contains({_LOW}, 'magyar posta logisztika') THEN 'mpl'
+    ELSE nullif(regexp_replace(regexp_replace(lower(strip_accents({_NAME})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '') END AS slug, regexp_replace(regexp_replace(lower(strip_accents({_NAME})), '\b(kft|zrt|nyrt|bt|ltd|gmbh|inc|llc)\b', ' ', 'g'), '[^a-z0-9]+', '', 'g') AS party FROM supplier""")
 def carrier_slug_compact_party(spark, d):
-    prefix = F.element_at(F.array(F.lit("DHL Express "), F.lit("DPD "), F.lit("MPL "), F.lit("")), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    return table(spark, d, "supplier").select("s_suppkey", carrier_slug(F.concat(prefix, "s_name")).alias("slug"), compact_party(F.concat("s_name", F.lit(" Kft."))).alias("party"))
+    name = F.concat(picked(_CALLED, F.col("s_suppkey")), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" "), "s_name")).otherwise(""))
+    return table(spark, d, "supplier").select("s_suppkey", carrier_slug(name).alias("slug"), compact_party(name).alias("party"))
 
 
 @query("""WITH m AS (SELECT l_orderkey, l_suppkey, l_shipdate, l_linenumber FROM lineitem WHERE l_returnflag = 'N'), c AS (SELECT l_orderkey, l_partkey, l_shipdate FROM lineitem WHERE l_returnflag = 'A'),

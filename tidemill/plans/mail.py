@@ -39,7 +39,7 @@ def _in_domain(x: str, d: str) -> str:
     return f"({x} = {lit(d)} OR ends_with({x}, {lit('.' + d)}))"
 
 
-def _role(x: str) -> str:
+def sql_role(x: str) -> str:
     carriers = " OR ".join(_in_domain(x, d) for own in T.CARRIERS.values() for d in own)
     return f"CASE WHEN {carriers} THEN 'carrier' WHEN {x} IN ({', '.join(map(lit, T.PUBLIC_MAILBOXES))}) THEN 'public' ELSE 'unknown' END"
 
@@ -97,7 +97,7 @@ _TEXTS = f"tx AS (SELECT *, {_DOMAIN} AS sender, {_fold('subject')} AS folded_su
 _SPOKEN = f"trim(regexp_replace({_fold('subject || chr(10) || ' + _PLAIN)}, '\\s+', ' ', 'g'))"
 _RAW = _fold("subject || chr(10) || html")
 _SIGNALS = f"""list_filter([CASE WHEN list_contains(list_transform(folders, lambda f: upper(f)), 'CATEGORY_PURCHASES') THEN 'gmail_category_purchases' END, CASE WHEN len(mk.types) > 0 THEN 'structured_commerce_markup' END,
-    CASE WHEN {_role("sender")} = 'carrier' THEN 'known_carrier_sender' END, CASE WHEN {" OR ".join(f"contains(lower(subject || ' ' || array_to_string(attachments, ' ')), {lit(k)})" for k in C.KEYWORDS)} THEN 'commerce_keyword' END], lambda x: x IS NOT NULL)"""
+    CASE WHEN {sql_role("sender")} = 'carrier' THEN 'known_carrier_sender' END, CASE WHEN {" OR ".join(f"contains(lower(subject || ' ' || array_to_string(attachments, ' ')), {lit(k)})" for k in C.KEYWORDS)} THEN 'commerce_keyword' END], lambda x: x IS NOT NULL)"""
 
 
 @query(f"""{M}, {_TEXTS}, {_WALK}, f AS (SELECT tx.id, {_in_domain("sender", C.PICKUP_DOMAIN)} AND regexp_matches({_RAW}, {lit(C.PICKUP_TERM)}) AND ({_any(_RAW, C.PICKUP_URLS)} OR {_any(_RAW, C.PICKUP_WORDS)}) AS pickup,
@@ -287,7 +287,7 @@ _ROOT = f"CASE WHEN len({_LABELS}[-1]) = 2 AND {_LABELS}[-2] IN ({', '.join(map(
 
 
 @query(f"""{M}, {_TEXTS} SELECT sender, coalesce(nullif(array_to_string(list_transform(list_filter(regexp_split_to_array({_ROOT}, '[-_]+'), lambda w: w <> ''), lambda w: CASE WHEN len(w) <= 3 THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' '), ''), sender) AS merchant,
-    bool_or(lower(address) ILIKE '%@foxpost.hu') AS foxpost, {_role("sender")} AS role, count(*) AS n FROM tx GROUP BY sender""")
+    bool_or(lower(address) ILIKE '%@foxpost.hu') AS foxpost, {sql_role("sender")} AS role, count(*) AS n FROM tx GROUP BY sender""")
 def merchant_names(spark, d):
     """Merchants named by their domains, the role of each sender, and a suffix of addresses in either case."""
     m = messages(spark, d).select("address", C.sender_domain(F.col("address")).alias("sender")).groupBy("sender").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("address").ilike("%@foxpost.hu")).alias("foxpost"))
@@ -298,7 +298,7 @@ _CONTEXT = "folded_subject || chr(10) || folded_body"
 _HAS_ROWS = f"""len(list_filter(list_zip({_part("folded_body", 1)}, {_part("folded_body", 2)}), lambda z: CAST(z[2] AS INT) > 0 AND NOT regexp_matches(trim(z[1]), {lit(C.SUMS)}))) > 0"""
 _SIGNS = f"({_FIRST_TOTAL} IS NOT NULL)::INT + ({_line('folded_body', C.PAYMENTS)} IS NOT NULL)::INT + ({_line('folded_body', C.SHIPPINGS)} IS NOT NULL)::INT + ({_HAS_ROWS})::INT + regexp_matches({_CONTEXT}, {lit(C.DETAILS)})::INT + {_any('folded_subject', C.CONFIRMING_SUBJECTS)}::INT"
 _PHASE = "CASE WHEN contains({0}, 'delivered') OR contains({0}, 'kezbesitve') THEN 'delivered' WHEN contains({0}, 'out for delivery') OR contains({0}, 'kiszallitas alatt') THEN 'out_for_delivery' WHEN contains({0}, 'shipped') OR contains({0}, 'feladva') THEN 'shipped' WHEN contains({0}, 'label created') OR contains({0}, 'rogzitve') THEN 'created' END"
-_PARSED = f"""pr AS (SELECT *, {_role("sender")} AS role, {_identity(_CONTEXT, C.ORDER_IDS)} AS o, {_identity(_CONTEXT, C.TRACKING_IDS)} AS t, {_identity(_CONTEXT, C.INVOICE_IDS)} AS i, {_SIGNS} AS signs, {_any(_CONTEXT, C.CONFIRMATIONS)} AS confirms, {_PHASE.format(_CONTEXT)} AS phase FROM tx)"""
+_PARSED = f"""pr AS (SELECT *, {sql_role("sender")} AS role, {_identity(_CONTEXT, C.ORDER_IDS)} AS o, {_identity(_CONTEXT, C.TRACKING_IDS)} AS t, {_identity(_CONTEXT, C.INVOICE_IDS)} AS i, {_SIGNS} AS signs, {_any(_CONTEXT, C.CONFIRMATIONS)} AS confirms, {_PHASE.format(_CONTEXT)} AS phase FROM tx)"""
 
 
 @query(f"""{M}, {_TEXTS}, {_PARSED} SELECT id, CASE WHEN role = 'carrier' AND t IS NOT NULL THEN 'carrier' WHEN role = 'unknown' AND o IS NOT NULL AND confirms AND signs >= 2 THEN 'generic_order' WHEN role = 'unknown' AND i IS NOT NULL THEN 'invoice' ELSE 'fallback' END AS parser,
@@ -322,7 +322,7 @@ def parser_chain(spark, d):
 
 
 @query(f"""{M}, {_TEXTS}, q AS (SELECT id, sender, folded_subject || chr(10) || array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(folded_body, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '' AND NOT {_any("x", C.PROMISES)}), chr(10)) AS c FROM tx),
-    k AS (SELECT id, {_identity("c", C.ORDER_IDS)} AS o, {_identity("c", C.TRACKING_IDS)} AS t, {_identity("c", C.INVOICE_IDS)} AS i, {_PHASE.format("c")} AS phase FROM q WHERE {_role("sender")} = 'unknown' AND sender NOT IN ('szamlazz.hu'))
+    k AS (SELECT id, {_identity("c", C.ORDER_IDS)} AS o, {_identity("c", C.TRACKING_IDS)} AS t, {_identity("c", C.INVOICE_IDS)} AS i, {_PHASE.format("c")} AS phase FROM q WHERE {sql_role("sender")} = 'unknown' AND sender NOT IN ('szamlazz.hu'))
     SELECT id, 'invoice' AS event, i AS identity, NULL AS phase FROM k WHERE i IS NOT NULL UNION ALL SELECT id, CASE phase WHEN 'delivered' THEN 'delivery' ELSE 'shipment' END, coalesce(o, t), phase FROM k WHERE phase IS NOT NULL AND (o IS NOT NULL OR t IS NOT NULL)""")
 def multi_observation_explode(spark, d):
     """A message may tell of an invoice, of a shipment or delivery, of both or of neither; promises don't count."""
@@ -391,7 +391,7 @@ def _extractions(m):
     )
 
 
-_EXTRACTIONS = f"""ex AS (SELECT id, (['order_created', 'order_updated', 'payment_completed', 'shipment', 'invoice_or_receipt', 'other'])[id % 6 + 1] AS event, 0.74::DOUBLE + (id % 9) * 0.03::DOUBLE AS confidence, {_role(_DOMAIN)} = 'carrier' AS carrier, lower(subject || chr(10) || body) AS context,
+_EXTRACTIONS = f"""ex AS (SELECT id, (['order_created', 'order_updated', 'payment_completed', 'shipment', 'invoice_or_receipt', 'other'])[id % 6 + 1] AS event, 0.74::DOUBLE + (id % 9) * 0.03::DOUBLE AS confidence, {sql_role(_DOMAIN)} = 'carrier' AS carrier, lower(subject || chr(10) || body) AS context,
     CASE WHEN id % 5 > 0 THEN 'Shop' END AS merchant, CASE WHEN id % 7 > 0 THEN 'O-' || id END AS order_number, CASE WHEN id % 4 > 0 THEN (id % 90 - 5)::DOUBLE END AS total, (['HUF', 'eur', NULL, 'XYZ', 'GBP'])[id % 5 + 1] AS currency, (['paid', 'pending', NULL])[id % 3 + 1] AS payment_status,
     CASE WHEN id % 11 < 4 THEN (id % 13)::DOUBLE END AS paid_amount, ([NULL, 'EUR', 'HUF'])[id % 3 + 1] AS paid_currency, CASE WHEN id % 17 < 3 THEN (id % 3 - 1)::DOUBLE END AS cod_amount, CASE WHEN id % 34 < 3 THEN 'HUF' END AS cod_currency, id % 3 AS n_products FROM msg)"""
 _SPEAKS = "(" + " OR ".join(f"contains(context, {lit(w)})" for w in C.MONEY_WORDS) + ")"
@@ -460,3 +460,12 @@ def gateway_messages(spark, d):
     receipt = F.struct(F.array(to).alias("recipients"), status(nth("PASS", "FAIL", "gray", "odd")).alias("spamVerdict"), status(nth("PASS", "PASS", "FAIL")).alias("virusVerdict"))
     raw = m.select(F.when(i % 10 == 9, F.lit("{broken")).otherwise(F.to_json(F.struct(F.lit("Received").alias("notificationType"), mail.alias("mail"), receipt.alias("receipt")))).alias("value"))
     return inbound(raw, "in.example.org").select("message_id", "subject", "sender", F.array_join("recipients", ",").alias("recipients"), "spam", disposition(F.col("virus"), F.col("spam")).alias("disposition"))
+
+
+@query(f"{M}, {_GUARDED}, s AS (SELECT id, e, {_STATUS} AS status FROM v) SELECT id FROM s WHERE status IN ('validated', 'guardrailed') AND e IN ('other', 'subscription') AND NOT EXISTS (SELECT 1 FROM msg l WHERE l.id = s.id AND l.id % 4 = 0)")
+def unlinked_noise(spark, d):
+    """Trusted messages that are of no kind of commerce and linked to nothing."""
+    m = messages(spark, d)
+    linked = m.where("id % 4 = 0").select("id")
+    v = V.validated(_extractions(m)).where(F.col("event").isin("other", "subscription") & V.trusted(F.col("status"), F.lit(None).cast("string"), F.lit(None).cast("string")))
+    return v.select("id").join(linked, "id", "left_anti")

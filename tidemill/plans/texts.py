@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import CARRIERS, PUBLIC_MAILBOXES
+from ..sources.mail import listed, lit, picked
 from ..sources.tables import table
+from .mail import sql_role
 from .registry import query
 
 SUFFIXES = ("example.com", "example.org")
@@ -58,10 +61,14 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(T.html_text(F.col("html")), 256).alias("text_sha"))
 
 
-@query(r"SELECT doc_id, coalesce(nullif(regexp_extract(text, 'Version ([0-9.]+)', 1), ''), nullif(regexp_extract(text, 'version ([0-9]+)', 1), '')) AS raw FROM documents WHERE text LIKE '%ersion %'")
+_VERSIONS = ("Version ([0-9A-Za-z.]+)", "version ([0-9a-z.]+)", "(?:Licen[sc]ed?|licen[sc]ed?) ([A-Za-z0-9.-]+)")
+_FOUND = [f"regexp_replace(nullif(regexp_extract(text, {lit(p)}, 1), ''), '[.,;:]+$', '')" for p in _VERSIONS]
+
+
+@query(f"SELECT doc_id, coalesce({', '.join(f"CASE WHEN regexp_matches({x}, '[0-9]') THEN {x} END" for x in _FOUND)}) AS raw FROM documents")
 def first_match_extract(spark, d):
-    found = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in ("Version ([0-9.]+)", "version ([0-9]+)")])
-    return table(spark, d, "documents").where("text like '%ersion %'").select("doc_id", found.alias("raw"))
+    """The first of several patterns whose group has a digit, without what ends a sentence."""
+    return table(spark, d, "documents").select("doc_id", T.first_match(F.col("text"), list(_VERSIONS)).alias("raw"))
 
 
 @query(r"""WITH m AS (SELECT doc_id, regexp_extract(text, '([0-9][0-9.,]*[0-9])', 1) AS s FROM documents WHERE regexp_matches(text, '[0-9][0-9.,]*[0-9]')), x AS (SELECT doc_id, s, regexp_matches(s, '[.,][0-9]{1,2}$') AS dec FROM m)
@@ -71,9 +78,15 @@ def money_parse(spark, d):
     return m.select("doc_id", T.money(F.col("s")).cast("double").alias("amount"))
 
 
-@query(f"WITH p AS (SELECT {_HOST} AS host FROM pages) SELECT host, CASE WHEN host IN ('gmail.com', 'outlook.com') THEN 'public' ELSE 'unknown' END AS role, count(*) AS n FROM p GROUP BY 1, 2")
+#: Hosts as mail would come from: the page's own, public mailboxes, carriers and look-alikes of both.
+_SENT_FROM = (*PUBLIC_MAILBOXES, *(d for own in CARRIERS.values() for d in own), "mail.dpd.hu", "fakedpd.hu", "gmail.com.evil.org", "eu.gmail.com")
+_SENT_SQL = f"CASE WHEN page_id % 4 = 0 THEN {_HOST} ELSE ({listed(_SENT_FROM)})[page_id % {len(_SENT_FROM)} + 1] END"
+
+
+@query(f"WITH p AS (SELECT {_SENT_SQL} AS host FROM pages) SELECT host, {sql_role('host')} AS role, count(*) AS n FROM p GROUP BY 1, 2")
 def role_dimension(spark, d):
-    p = table(spark, d, "pages").select(T.url_domain(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    host = F.when(F.col("page_id") % 4 == 0, T.url_domain(F.col("url"))).otherwise(picked(_SENT_FROM, F.col("page_id")))
+    p = table(spark, d, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n"))
     return p.select("host", T.sender_role(F.col("host")).alias("role"), "n")
 
 

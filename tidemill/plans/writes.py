@@ -157,3 +157,18 @@ def subtotal_global_tolerance(spark, d):
     total = F.when(F.col("l_orderkey") % 2 == 0, made + off).otherwise(money(F.col("o_totalprice")))
     ok = F.col("complete") & (F.abs(made - total) <= F.lit("0.01").cast("decimal(14,2)"))
     return j.select("l_orderkey", ok.alias("reconciled"), F.when(ok, F.col("products").cast("double")).alias("subtotal"))
+
+
+@query(E + """, t AS (SELECT user_id, order_key, k % 3 AS number, max(confidence) AS confidence, min(source_id) AS message FROM ev WHERE event = 'invoice_or_receipt' AND confidence >= 0.85 GROUP BY 1, 2, 3),
+    c AS (SELECT a.user_id, a.order_key, a.k % 3 AS number, a.source_id, a.confidence FROM ev a WHERE event = 'invoice_or_receipt' AND confidence >= 0.65 AND confidence < 0.85 AND EXISTS (SELECT 1 FROM ev b WHERE b.user_id = a.user_id AND b.order_key = a.order_key AND b.event IN ('shipment', 'order_updated') AND b.confidence >= 0.7 AND b.source_id <> a.source_id)),
+    n AS (SELECT user_id, order_key, number, max(confidence) AS confidence, count(*) AS n FROM c GROUP BY 1, 2, 3)
+    SELECT user_id, order_key, number, greatest(coalesce(t.confidence, n.confidence), coalesce(n.confidence, t.confidence)) AS confidence, CASE WHEN t.confidence IS NULL THEN 'added' WHEN n.confidence IS NULL THEN 'kept' ELSE 'duplicate' END AS outcome, coalesce(n.n, 0) AS n_sources FROM t FULL JOIN n USING (user_id, order_key, number)""")
+def corroborated_document_upsert(spark, d):
+    """Doubtful invoices that other evidence of their order supports join the documents, once for each number, with the greater confidence."""
+    e, keys = evidence(spark, d), ["user_id", "order_key", "number"]
+    invoices = e.where("event = 'invoice_or_receipt'").withColumn("number", F.col("k") % 3)
+    target = invoices.where("confidence >= 0.85").groupBy(*keys).agg(F.max("confidence").alias("old"))
+    support = e.where("event in ('shipment', 'order_updated') and confidence >= 0.7").select("user_id", "order_key").distinct()  # other events than invoices, so other sources
+    new = invoices.where("confidence >= 0.65 and confidence < 0.85").join(support, ["user_id", "order_key"], "left_semi").groupBy(*keys).agg(F.max("confidence").alias("new"), F.count(F.lit(1)).alias("n"))
+    j = target.join(new, keys, "full")
+    return j.select(*keys, F.greatest("old", "new").alias("confidence"), F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "kept").otherwise("duplicate").alias("outcome"), F.coalesce("n", F.lit(0)).alias("n_sources"))
