@@ -81,3 +81,27 @@ def latest_shipment(rows: DataFrame, keys: list[str], times: tuple[str, ...] = (
     at = F.greatest(*times)
     dated = rows.where(at.isNotNull())
     return dated.groupBy(*keys).agg(F.max(at).alias("at"), F.max_by("status", F.struct(at.alias("at"), (-F.col(tie)).alias("first"))).alias("status"))
+
+
+#: States of a purchase that `folded_states` starts from.
+STATES = ("ordered", "paid", "processing", "payment_failed", "cancelled", "refunded", "returned", "shipped", "in_transit", "delayed", "delivered")
+
+
+def folded_states(events: DataFrame, keys: list[str], span: Column, order: list[str], first: str = "ordered") -> DataFrame:
+    """keys, state and n: the state of each key after all its events, in order.
+
+    ``events`` has event, payment (null, paid or failed) and has_shipment.
+    ``span`` cuts a key's events into spans that follow each other in order.
+    What a span does to every state is found by itself, so a key with many
+    events is folded in as many tasks as it has spans; then the spans are
+    applied one after the other.
+    """
+    step = lambda state, x: lifecycle_state(state, x["event"], F.coalesce(x["has_shipment"], F.lit(False)), x["payment"])
+    fold = lambda state: F.aggregate("__events", state.cast("string"), step)
+    row = F.struct(*order, "event", "payment", "has_shipment")
+    spans = events.withColumn("__span", span).groupBy(*keys, "__span").agg(F.array_sort(F.collect_list(row)).alias("__events"))
+    done = spans.select(*keys, "__span", F.size("__events").alias("__n"), F.transform(F.array(*map(F.lit, STATES)), fold).alias("__after"))
+    runs = done.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__span", "__after"))).alias("__runs"), F.sum("__n").alias("n"))
+    place = lambda state: F.array_position(F.array(*map(F.lit, STATES)), state).cast("int")
+    state = F.aggregate("__runs", F.lit(first), lambda s, r: F.element_at(r["__after"], place(s)))
+    return runs.select(*keys, state.alias("state"), "n")
