@@ -93,9 +93,9 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id_col: str
     suspects = materialize(both.union(again).distinct(), "dedup-suspects")
     discard(batch, snapshot.groups, snapshot.filters)
 
-    # byte checks: copies are combined by their whole texts, in each task first
+    # byte checks: copies are combined by their whole texts, in each task first; the join before is a query of its own, so Spark may split a hot digest
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    checked = texts.join(suspects.hint("merge"), "sha", "left_semi")
+    checked = materialize(texts.join(suspects.hint("merge"), "sha", "left_semi"), "dedup-checked")
     kept = materialize(checked.groupBy("sha", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-kept")
     # rows find their group by the digest; only digests that stand for several texts, if any, need the texts again
     clash = materialize(kept.groupBy("sha").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1").select("sha"), "dedup-clashes")
@@ -103,8 +103,8 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id_col: str
     plain = kept.join(clash, "sha", "left_anti") if (clashes := not clash.isEmpty()) else kept
     multiple = flat.select("id", "sha").join(plain.select("sha", "keep_id", "group_size").hint("merge"), "sha").select(*columns)
     if clashes:
-        multiple = multiple.unionByName(texts.join(clash, "sha", "left_semi").join(kept, ["sha", "text"]).select(*columns))
+        multiple = multiple.unionByName(checked.join(clash, "sha", "left_semi").join(kept, ["sha", "text"]).select(*columns))
     multiple = materialize(multiple, "dedup-groups")
-    discard(kept, clash)
+    discard(checked, kept, clash)
     single = flat.select("id", "sha").join(suspects, "sha", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return single.unionByName(multiple).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
