@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import commerce as C
 from ..functions import text as T
+from ..operators import programs as P
 from ..operators import rules as R
 from ..operators import validate as V
-from ..sources.mail import MESSAGES_SQL, inbound, lit, listed, messages
+from ..sources.mail import MESSAGES_SQL, NOTICES_SQL, inbound, listed, lit, messages, notices
 from ..sources.messages import disposition
 from .registry import query
 
@@ -469,3 +470,26 @@ def unlinked_noise(spark, d):
     linked = m.where("id % 4 = 0").select("id")
     v = V.validated(_extractions(m)).where(F.col("event").isin("other", "subscription") & V.trusted(F.col("status"), F.lit(None).cast("string"), F.lit(None).cast("string")))
     return v.select("id").join(linked, "id", "left_anti")
+
+
+def _program_sql() -> str:
+    cases = {c: [] for c in ("name", "event", "phase", "confidence", "identity", "extra")}
+    for p in P.PROGRAMS:
+        gate = " OR ".join([*[_in_domain("sender", x) for x in p.domains], *[f"lower(trim(address)) = {lit(a)}" for a in p.addresses]])
+        fields = {"subject": "folded_subject", "body": "folded_body"}
+        group = lambda where, fields=fields: f"upper(trim(regexp_extract({fields[where[0]]}, {lit(where[1])}, 1)))"
+        hits = [f"regexp_matches(folded_subject, {lit(x)})" for x in p.subject] + [f"regexp_matches(folded_body, {lit(x)})" for x in p.body] + [f"{group(p.identity)} <> ''"] + ([f"{group(p.identity)} = {group(p.agrees)}"] if p.agrees else [])
+        when = f"WHEN ({gate}) AND {' AND '.join(hits)} THEN "
+        extra = " || ';' || ".join(f"{lit(k + '=')} || trim(regexp_extract(folded_body, {lit(v)}, 1))" for k, v in p.extracts.items()) or "''"
+        for c, v in (("name", lit(p.name)), ("event", lit(p.event)), ("phase", lit(p.phase) if p.phase else "NULL"), ("confidence", f"{p.confidence}::DOUBLE"), ("identity", group(p.identity)), ("extra", extra)):
+            cases[c].append(when + v)
+    return ", ".join(f"CASE {' '.join(v)} END AS {c}" for c, v in cases.items())
+
+
+@query(f"WITH {NOTICES_SQL}, tx AS (SELECT *, {_DOMAIN} AS sender, {_fold('subject')} AS folded_subject, {_fold('body')} AS folded_body FROM nt), r AS (SELECT id, {_program_sql()} FROM tx) SELECT * FROM r WHERE name IS NOT NULL")
+def merchant_programs(spark, d):
+    """Notices of single merchants and carriers, each read by the first program of its sender that takes it."""
+    m = _message_texts(notices(spark, d))
+    m = m.withColumn("p", P.parsed(F.col("sender"), F.col("address"), F.col("folded_subject"), F.col("folded_body"))).where("p is not null")
+    extra = F.array_join(F.transform(F.map_entries("p.extracts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return m.select("id", "p.name", "p.event", "p.phase", "p.confidence", "p.identity", extra.alias("extra"))

@@ -93,3 +93,25 @@ def inbound(raw: DataFrame, own_domain: str, column: str = "value") -> DataFrame
     named = F.transform(F.concat(F.coalesce("receipt.recipients", empty), F.coalesce("mail.destination", empty)), lambda r: F.lower(F.trim(r)))
     own = F.slice(F.array_distinct(F.filter(named, lambda r: r.endswith(f"@{own_domain}"))), 1, MOST_PARTS)
     return n.select(F.col("mail.messageId").alias("message_id"), F.left(F.trim("mail.commonHeaders.subject"), F.lit(SUBJECT_CHARACTERS)).alias("subject"), F.try_element_at("mail.commonHeaders.from", F.lit(1)).alias("sender"), own.alias("recipients"), verdict(F.col("receipt.spamVerdict.status")).alias("spam"), verdict(F.col("receipt.virusVerdict.status")).alias("virus")).where(F.size("recipients") > 0)
+
+
+#: Notices of single senders, each in a form that its program takes and some in one that it must not; {n} is a number.
+NOTICES = (
+    ("csomag@posta.hu", "Csomagot adtak fel neked", "Értesítünk, hogy csomagot adtak fel Neked.\nFeladó: Tea Bolt Kft\nCsomagazonosító: [ PNTM{n}0"), ("csomag@posta.hu", "Csomagod a kézbesítőnél van", "A csomagod a kézbesítőnél van\nFeladó: X Bt\nCsomagazonosító: PNTM{n}1"), ("csomag@posta.hu", "Csomagod a postán átvehető", "Csomagod mostantól\nátvehető az alábbi postán\nFeladó: Y\nCsomagazonosító: PNTM{n}2"),
+    ("other@posta.hu", "Csomagot adtak fel neked", "Értesítünk, hogy csomagot adtak fel Neked.\nFeladó: Z Z\nCsomagazonosító: PNTM{n}3"), ("info@foxpost.hu", "Előértesítés csomagról", "még nem adták át a Foxpost részére\nFeladó: Bolt\nCsomagszám: CLFOX{n}"), ("info@mail.foxpost.hu", "Csomagod megérkezett", "megérkezett, amely átvehető. Csomagátvétel határideje: holnap\nFeladó: Bolt\nCsomagszám: CLFOX{n}"), ("info@foxpost.hu", "Csomagod megérkezett", "megérkezett\nFeladó: Bolt\nCsomagszám: CLFOX{n}"),
+    ("hello@gyerekjatekbolt.hu", "Fizetés", "Sikertelen bankkártyás fizetés. Rendelésszám: #{n}"), ("hello@gyerekjatekbolt.hu", "Állapot", "Jelenlegi állapot: törölve\nRendelésszám: {n}"), ("x@gymbeam.hu", "Ellenőrizzük a kézbesítést", "A 10{n} rendelése késik."), ("x@gymbeam.hu", "Megrendelésed úton van", "Becsomagoltuk! Hamarosan a futárszolgálat kezébe kerül. A 10{n} számú rendelésed. A TRK-{n}-77 számmal követheted a csomagot"),
+    ("rendeles@marketa.hu", "{n} rendelésed: elkezdtük rendelésed összekészítését", "raktárunk már elkezdte becsomagolni és 1-2 munkanapon belül átadja azt a futárszolgálatnak"), ("a@dorko.hu", "Dorko: Rendelés elküldve", "Megrendelése feladásra került a megadott címre. Rendelés azonosító: DK{n}"), ("a@fakedorko.hu", "Dorko: Rendelés elküldve", "Megrendelése feladásra került a megadott címre. Rendelés azonosító: DK{n}"), ("b@aboutyou.hu", "Szállítási információk: AYHU-123-{n}", "Szállítás megerősítése\nA csomag úton van"),
+    ("c@alza.hu", "Vedd át 123{n} sz. megrendelésed", "Megrendelésed megérkezett az AlzaBoxba. 123{n} sz. megrendelésed"), ("c@alza.hu", "Vedd át 123{n} sz. megrendelésed", "Megrendelésed megérkezett az AlzaBoxba. 999{n} sz. megrendelésed"), ("szidibox@gmail.com", "SO-2024-{n} Megrendelését összekészítettük", "kartonshop.hu: összekészítettük és hamarosan átadjuk a futárszolgálat részére. Rendelésszám: SO-2024-{n}"), ("slip@expressone.hu", "Fizetési bizonylat", "Status: success\nTransaction type: Vásárlás\nTotal HUF: 12 990"), ("slip@expressone.hu", "Fizetési bizonylat", "Status: declined\nTransaction type: Vásárlás\nTotal HUF: 12 990"),
+)
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, address, subject, body: one notice for each event."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    n = F.concat(F.lit("1"), F.lpad(i.cast("string"), 6, "0"))
+    part = lambda k: F.replace(picked(tuple(x[k] for x in NOTICES), i), F.lit("{n}"), n)
+    return e.select(i.alias("id"), part(0).alias("address"), part(1).alias("subject"), part(2).alias("body"))
+
+
+_PARTS = ", ".join(f"replace({_pick(tuple(x[k] for x in NOTICES), 'event_id')}, '{{n}}', '1' || lpad(CAST(event_id AS VARCHAR), 6, '0')) AS {name}" for k, name in enumerate(("address", "subject", "body")))
+NOTICES_SQL = f"nt AS (SELECT event_id AS id, {_PARTS} FROM events)"
