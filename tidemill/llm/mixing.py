@@ -17,6 +17,7 @@ Python on executors.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -25,7 +26,7 @@ from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, NumericType, StringType, StructField, StructType
+from pyspark.sql.types import NumericType, StringType
 from pyspark.sql.window import Window as W
 
 from .common import fresh_path, materialize
@@ -86,6 +87,11 @@ def schedule(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int,
             slot += 1
 
 
+def _rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of the driver's values, made without Python workers."""
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows, default=str)), f"array<struct<{schema}>>")))
+
+
 def slot_table(spark: SparkSession, weights: list[int], blocks: list[int]) -> DataFrame:
     """The schedule as a table: __ix, __block, __slot."""
     steps, path = schedule(weights, blocks), fresh_path(spark, "mix-slots")
@@ -93,7 +99,7 @@ def slot_table(spark: SparkSession, weights: list[int], blocks: list[int]) -> Da
         slots: dict[int, tuple[int, list[int]]] = {}
         for s, block, slot in islice(steps, PART_BLOCKS):  # the blocks of a source come in order
             slots.setdefault(s, (block, []))[1].append(slot)
-        part = spark.createDataFrame([(s, first, own) for s, (first, own) in slots.items()], "__ix long, __first long, __slots array<long>")
+        part = _rows(spark, [{"__ix": s, "__first": first, "__slots": own} for s, (first, own) in slots.items()], "__ix: bigint, __first: bigint, __slots: array<bigint>")
         part.select("__ix", "__first", F.posexplode("__slots").alias("__n", "__slot")).select("__ix", (F.col("__first") + F.col("__n")).alias("__block"), "__slot").write.mode("append").parquet(path)
         if sum(len(own) for _, own in slots.values()) < PART_BLOCKS:
             return spark.read.schema("__ix long, __block long, __slot long").parquet(path)
@@ -108,8 +114,8 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, block_rows: int,
     per_run = materialize(keyed.groupBy(F.col(source_col).alias("__source"), "__run").agg(F.count(F.lit(1)).alias("__rows")), "mix-runs")
     rows = [tuple(r) for r in per_run.groupBy("__source").agg(F.sum("__rows")).orderBy("__source").collect()]  # one for each source
     exact = target_weights(rows, weights)
-    kind = StructType([StructField("__name", docs.schema[source_col].dataType), StructField("__ix", LongType()), StructField("__weight", DoubleType())])
-    sources = spark.createDataFrame([(s, k, float(Fraction(slots * a, sum(exact)))) for k, ((s, _), a) in enumerate(zip(rows, exact, strict=True))], kind)
+    named = [{"__name": s, "__ix": k, "__weight": float(Fraction(slots * a, sum(exact)))} for k, ((s, _), a) in enumerate(zip(rows, exact, strict=True))]
+    sources = _rows(spark, named, f"__name: {docs.schema[source_col].dataType.simpleString()}, __ix: bigint, __weight: double")
     at = slot_table(spark, exact, [-(-n // block_rows) for _, n in rows])
 
     # rows of a source before each run: lots of runs are put end to end, then the runs of each lot
