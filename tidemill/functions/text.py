@@ -290,3 +290,22 @@ def file_kind(name: Column) -> Column:
     clean = F.regexp_replace(F.lower(F.trim(name)), "[?#].*$", "")
     ending = F.left(F.regexp_replace(F.substring_index(clean, ".", -1), "[^a-z0-9]", ""), F.lit(12))
     return F.when(~clean.contains(".") | clean.endswith("."), "none").otherwise(F.coalesce(F.nullif(ending, F.lit("")), F.lit("other")))
+
+
+#: A link with an absolute address of 500 characters at most, what goes beyond them dropped; and one without a label.
+LINK = r"""(?is)<a\b[^>]*href\s*=\s*["'](http:[^"']{1,495}|https:[^"']{1,494})[^"']*["'][^>]*>(.*?)</a>"""
+BARE_LINK = r"""(?is)<a\b[^>]*href\s*=\s*["'](http:[^"']{1,495}|https:[^"']{1,494})[^"']*["'][^>]*>(?:\s|&nbsp;|<[^>]*>)*</a>"""
+# fixed values: what is replaced after links, in order
+COMPACT = (
+    (r"(?is)<script\b[^>]*>.*?</script>", " "), (r"(?is)<style\b[^>]*>.*?</style>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)<br\s*/?\s*>", "\n"), (r"(?i)</p\s*>", "\n"), (r"(?i)</tr\s*>", "\n"), (r"(?i)</li\s*>", "\n"), (r"<[^>]+>", " "),
+    (r"(?i)&nbsp;", " "), (r"(?i)&amp;", "&"), (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">"), (r"(?i)&quot;", '"'), ("&#39;", "'"), (r"[ \t]+", " "), (r"\n\s*\n+", "\n"),
+)
+
+
+def compact_text(html: Column, most: int | None = None) -> Column:
+    """Text of a page with the addresses of its links, ``most`` characters of it if asked."""
+    html = F.regexp_replace(html, BARE_LINK, "link [URL: $1]")
+    html = F.regexp_replace(html, LINK, "$2 [URL: $1]")
+    for pattern, by in COMPACT:
+        html = F.regexp_replace(html, pattern, by)
+    return F.trim(html) if most is None else F.left(F.trim(html), F.lit(most))

@@ -11,11 +11,17 @@ from ..operators import rules as R
 from ..operators import validate as V
 from ..sources.mail import MESSAGES_SQL, NOTICES_SQL, inbound, listed, lit, messages, notices
 from ..sources.messages import disposition
+from ..sources.tables import table
 from .registry import query
 
 M = f"WITH {MESSAGES_SQL}"
 
 
+#: A secret of the tests, and its two pads in hex, by which DuckDB makes the same HMAC.
+SECRET = b"a shared secret"
+SQL_PADS = {k: "'" + bytes(b ^ v for b in SECRET.ljust(64, b"\0")).hex() + "'" for k, v in {"i": 0x36, "o": 0x5C}.items()}
+
+
 # how the functions read in DuckDB
 
 
@@ -493,3 +499,30 @@ def merchant_programs(spark, d):
     m = m.withColumn("p", P.parsed(F.col("sender"), F.col("address"), F.col("folded_subject"), F.col("folded_body"))).where("p is not null")
     extra = F.array_join(F.transform(F.map_entries("p.extracts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return m.select("id", "p.name", "p.event", "p.phase", "p.confidence", "p.identity", extra.alias("extra"))
+
+
+_LINKED = """html || '<p>See <a class="x" href="https://x.example/track?id=' || page_id || '"><b>your</b> parcel</a> or <A HREF=''http://y.example/' || repeat('z', 600) || '''> <img></A></p>&lt;end&gt;'"""
+
+
+def _compact_sql(x: str) -> str:
+    x = f"regexp_replace(regexp_replace({x}, {lit(T.BARE_LINK)}, 'link [URL: \\1]', 'g'), {lit(T.LINK)}, '\\2 [URL: \\1]', 'g')"
+    return _chain(x, *[(p, "chr(10)" if by == "\n" else lit(by)) for p, by in T.COMPACT])
+
+
+@query(f"WITH p AS (SELECT page_id, {_LINKED} AS html FROM pages) SELECT page_id, sha256(trim({_compact_sql('html')}, ' ')) AS text_sha, contains({_compact_sql('html')}, 'your parcel [URL: https://x.example/track?id=' || page_id || ']') AS linked FROM p")
+def html_compact_text(spark, d):
+    """Texts of pages with the addresses of their links."""
+    i = F.col("page_id")
+    html = F.concat("html", F.lit('<p>See <a class="x" href="https://x.example/track?id='), i, F.lit("\"><b>your</b> parcel</a> or <A HREF='http://y.example/"), F.repeat(F.lit("z"), F.lit(600)), F.lit("'> <img></A></p>&lt;end&gt;"))
+    p = table(spark, d, "pages").select("page_id", T.compact_text(html).alias("text"))
+    return p.select("page_id", F.sha2("text", 256).alias("text_sha"), F.col("text").contains(F.concat(F.lit("your parcel [URL: https://x.example/track?id="), i, F.lit("]"))).alias("linked"))
+
+
+_ORDERS_FOUND = "role = 'unknown' AND o IS NOT NULL AND confirms AND signs >= 2"
+
+
+@query(f"""{M}, {_TEXTS}, {_PARSED} SELECT id, CASE WHEN signs >= 4 THEN 0.97 WHEN signs = 3 THEN 0.95 ELSE 0.92 END::DOUBLE AS confidence, left(sha256(unhex({SQL_PADS['o']} || sha256(unhex({SQL_PADS['i']} || hex(encode(sender)))))), 24) AS sender_fingerprint, {_FIRST_TOTAL} IS NOT NULL AS has_total, 'review' AS status, false AS would_write FROM pr WHERE {_ORDERS_FOUND}""")
+def generic_shadow(spark, d):
+    """What the generic order parser would have found, with a fingerprint in place of the sender; never written."""
+    m = _message_texts(messages(spark, d)).withColumn("order", C.generic_order(F.col("sender"), F.col("folded_subject"), F.col("folded_body"))).where("order is not null")
+    return m.select("id", F.col("order.confidence").cast("double").alias("confidence"), F.left(T.hmac_sha256(SECRET, F.col("sender")), F.lit(24)).alias("sender_fingerprint"), F.col("order.total").isNotNull().alias("has_total"), F.lit("review").alias("status"), F.lit(False).alias("would_write"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import file_kind, hmac_sha256
+from ..sources.mail import listed, picked
 from ..sources.messages import message_events, normalized
 from ..sources.tables import EVIDENCE_SQL, evidence, table
+from .mail import SECRET, SQL_PADS
 from .registry import query
 
 E = f"WITH {EVIDENCE_SQL}"
@@ -99,15 +101,10 @@ def file_kinds(spark, d):
     return table(spark, d, "pages").groupBy(file_kind(name).alias("kind")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "kind")
 
 
-_PAD = {"i": 0x36, "o": 0x5C}
-_SECRET = b"a shared secret"
-_SQL_PADS = {k: "'" + bytes(b ^ v for b in _SECRET.ljust(64, b"\0")).hex() + "'" for k, v in _PAD.items()}
-
-
-@query(f"SELECT event_id, left(sha256(unhex({_SQL_PADS['o']} || sha256(unhex({_SQL_PADS['i']} || hex(encode(concat_ws('|', user_id, event_type))))))), 24) AS fingerprint, event_id % 3 > 0 AS verified FROM events")
+@query(f"SELECT event_id, left(sha256(unhex({SQL_PADS['o']} || sha256(unhex({SQL_PADS['i']} || hex(encode(concat_ws('|', user_id, event_type))))))), 24) AS fingerprint, event_id % 3 > 0 AS verified FROM events")
 def keyed_fingerprints(spark, d):
     """HMAC fingerprints of what must not be stored, and whether a signature holds."""
-    mac = hmac_sha256(_SECRET, F.concat_ws("|", "user_id", "event_type"))
+    mac = hmac_sha256(SECRET, F.concat_ws("|", "user_id", "event_type"))
     sent = F.when(F.col("event_id") % 3 > 0, mac).otherwise(F.reverse(mac))
     return table(spark, d, "events").select("event_id", F.left(mac, F.lit(24)).alias("fingerprint"), (mac == sent).alias("verified"))
 
@@ -160,3 +157,24 @@ def invoice_search_plan(spark, d):
     g = interval_join(a, support, keys, "anchor_at", "at", 336, symmetric=True).groupBy(*keys, "anchor_id").agg(F.count(F.lit(1)).alias("n"), has("order_updated"), has("payment_completed"), has("shipment"))
     why = reasons(("invoice_identity_without_purchase", F.lit(True)), ("lifecycle_update", F.col("order_updated")), ("payment", F.col("payment_completed")), ("shipment", F.col("shipment")))
     return g.select("anchor_id", "n", F.array_join(why, ",").alias("reasons"), dedupe_key(F.col("user_id"), F.lit("invoice-anchor"), F.col("k")).alias("search_key"))
+
+
+_PAYLOADS = ('{"confidence": 0.5, "merchant": " Shop ", "order": {"n": 1}}', '{"confidence": "0.5", "merchant": 7}', '{"confidence": null, "merchant": " "}', '{"confidence": {"a": 1}, "order": [1]}', "[1, 2]", "{broken", '{"confidence": 3}')
+
+
+@query(f"""WITH p AS (SELECT event_id, ({listed(_PAYLOADS)})[event_id % {len(_PAYLOADS)} + 1] AS raw FROM events), j AS (SELECT event_id, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw END AS j FROM p)
+    SELECT event_id, CASE WHEN json_type(j, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END AS confidence, CASE WHEN json_type(j, '$.merchant') = 'VARCHAR' THEN nullif(trim(json_extract_string(j, '$.merchant')), '') END AS merchant, coalesce(json_type(j, '$.order') = 'OBJECT', false) AS has_order FROM j""")
+def typed_getters(spark, d):
+    """Values of documents of unknown shape, null where they are of another type than asked for."""
+    v = F.try_parse_json(picked(_PAYLOADS, F.col("event_id")))
+    rows = table(spark, d, "events").select("event_id", v.alias("v"))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    number, text = kind("$.confidence").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), kind("$.merchant") == "STRING"
+    return rows.select("event_id", F.when(number, F.try_variant_get("v", "$.confidence", "double")).alias("confidence"), F.when(text, F.nullif(F.trim(F.try_variant_get("v", "$.merchant", "string")), F.lit(""))).alias("merchant"), F.coalesce(kind("$.order").startswith("OBJECT"), F.lit(False)).alias("has_order"))
+
+
+@query("""SELECT o_orderkey AS id, 'Shop ' || o_custkey % 7 AS "merchantName", o_totalprice AS "totalAmount", CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'ordered' ELSE 'processing' END AS "currentState", o_orderdate AS "orderedAt" FROM orders""")
+def public_purchases(spark, d):
+    """Purchases in the shape that clients see, without the columns that are not theirs."""
+    state = F.when(F.col("o_orderstatus") == "F", "delivered").when(F.col("o_orderstatus") == "O", "ordered").otherwise("processing")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Shop "), F.col("o_custkey") % 7).alias("merchantName"), F.col("o_totalprice").alias("totalAmount"), state.alias("currentState"), F.col("o_orderdate").alias("orderedAt"))
