@@ -72,6 +72,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """Like ``materialize``, in buckets by ``key``: joins by it shuffle the other side only.
+
+    The files are in the shared folder; the session's catalog has a table of
+    a name of its own for them.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    n = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.table(name)
+    _PATHS[out] = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in tables:

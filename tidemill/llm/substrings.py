@@ -21,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, discard, grams, materialize, starts_of, tidy, unpacked, unpacked_words, utf8_buffer, word_hashes, word_slices
+from .common import binary_array, bucketed, discard, grams, materialize, starts_of, tidy, unpacked, unpacked_words, utf8_buffer, word_hashes, word_slices
 from .fm import FMIndex, interval_minima
 
 WINDOW = 13
 #: Words of an anchor.
 ANCHOR = 3
 #: Segments that a shard holds at most, copies of one segment from other slices aside.
-SHARD_SEGMENTS = 50_000
+SHARD_SEGMENTS = 25_000
 #: Segments of an anchor from which it has a shard of its own, as a share of SHARD_SEGMENTS.
-OWN_SHARD = 50
+OWN_SHARD = 25
 #: Segments of an anchor in a slice from which equal ones are counted once.
 COUNTED = 32
 #: How the segments of an anchor find their shard.
@@ -276,7 +276,7 @@ def routed(slices: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     wanted = materialize(counted.withColumn("way", way).groupBy("slice_id").agg(*lists, F.sum(load).alias("load")), "substring-anchors")
     discard(totals)
     shards = 2 * int(wanted.agg(F.sum("load")).first()[0] or 0) // SHARD_SEGMENTS + 1
-    segments = slices.join(wanted, "slice_id").mapInArrow(tidy(_segments(window, shards)), "shard long, content long, doc_id long, words binary, slice_id long")
+    segments = slices.join(wanted.hint("merge"), "slice_id").mapInArrow(tidy(_segments(window, shards)), "shard long, content long, doc_id long, words binary, slice_id long")
     return segments, wanted.where(F.size("cut") > 0).select("slice_id", "cut")
 
 
@@ -292,11 +292,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     """
     if not ANCHOR < window <= ANCHOR + 40:
         raise ValueError("windows have 4 to 43 words")
-    slices = materialize(word_slices(docs, id_col, text_col, lower=False), "substring-slices")
+    # slices are large rows: they meet their anchors and their findings where they are
+    slices = bucketed(word_slices(docs, id_col, text_col, lower=False), "substring-slices", "slice_id")
     segments, cut = routed(slices, window)
     matched = segments.groupBy("shard").applyInArrow(_match(window), "slice_id long, content long, bits long")
     found = matched.groupBy("slice_id").agg(F.collect_list(F.struct("content", "bits")).alias("found"))
     found = found.join(cut, "slice_id", "full")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = slices.join(found, "slice_id", "left").mapInArrow(tidy(_remove(window, "__id")), "`__id` long, n_words long, n_removed long, kept_sha256 string, kept_text binary")
+    out = slices.join(found.hint("merge"), "slice_id", "left").mapInArrow(tidy(_remove(window, "__id")), "`__id` long, n_words long, n_removed long, kept_sha256 string, kept_text binary")
     return out.select(F.col("__id").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")
