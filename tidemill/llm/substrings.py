@@ -157,12 +157,11 @@ def _segments(window: int, shards: int):
                 by = by[np.concatenate(([True], content[by][1:] != content[by][:-1]))] if len(by) else by
                 slice_id = batch.column("slice_id")[row].as_py()
                 size = count[by] + window - 1
-                h = (own.hashes >> np.uint64(32)).astype(np.uint32)
                 for low in range(0, len(by), 8192):
                     part, n = by[low : low + 8192], size[low : low + 8192]
                     ends = np.cumsum(n)
                     places = np.repeat(first[part] - (ends - n), n) + np.arange(ends[-1])
-                    words = binary_array(h[own.codes[places]].view(np.uint8), np.concatenate(([0], 4 * ends))).cast(pa.binary())
+                    words = binary_array(own.hashes[own.codes[places]].view(np.uint8), np.concatenate(([0], 8 * ends))).cast(pa.binary())
                     # the windows of a cut anchor go by their words, other segments by their anchor
                     key = np.where(np.isin(anchor[part], hot), content[part], anchor[part])
                     shard = np.where(np.isin(key, alone) & (key == anchor[part]), -1 - (key & LAST), (key.view(np.uint64) % np.uint64(shards)).astype(np.int64))
@@ -176,8 +175,8 @@ def shard_matches(content: np.ndarray, doc_id: np.ndarray, words: list[bytes], w
     by = np.lexsort((doc_id, content))
     by = by[np.concatenate(([True], content[by][1:] != content[by][:-1]))]
     content, doc_id = content[by], doc_id[by]
-    size = np.array([len(words[k]) // 4 for k in by], np.int64)
-    flat = np.frombuffer(b"".join(words[k] for k in by), np.uint32)
+    size = np.array([len(words[k]) // 8 for k in by], np.int64)
+    flat = np.frombuffer(b"".join(words[k] for k in by), np.uint64)
     # symbols are the distinct words, 0 closes a segment
     distinct, symbol = np.unique(flat, return_inverse=True)
     begin = np.concatenate(([0], np.cumsum(size + 1)))
