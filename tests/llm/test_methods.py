@@ -124,7 +124,7 @@ def test_lexer_is_linear():
     chain = f'x0 = "{S}"\n' + "".join(f"x{k} = x{k - 1}\n" for k in range(1, 4000)) + "password = x3999\n"
     started = time.time()
     assert named(chain) == [S]
-    for text in ('a="b";' * 100_000, '"' * 200_000, "<b " * 50_000, "a = " * 20_000, 'x = x + "abcdefgh1"\n' * 20_000, "{" * 100_000, "/*" * 100_000, "token:\n" * 30_000, "'''" * 50_001, "def f\n" * 30_000):
+    for text in ('a="b";' * 100_000, '"' * 200_000, "<b " * 50_000, "a = " * 20_000, 'x = x + "abcdefgh1"\n' * 20_000, "{" * 100_000, "/*" * 100_000, "token:\n" * 30_000, "'''" * 50_001, "def f\n" * 30_000, "def f\n" + " {a = 1\n" * 60_000):
         named(text)
     assert time.time() - started < 15
 

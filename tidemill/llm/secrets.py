@@ -108,6 +108,7 @@ class Lexer:
         self.frames = [Frame("", 0)]
         self.open = dict.fromkeys(("{", "[", "(", "tag", "def"), 0)
         self.serial = 0
+        self.defs: list[int] = []
         self.bound: dict[str, list[tuple[Given, int]]] = {}
         self.all: list[Given] = []
         self.last_tag = text.rfind("<")
@@ -116,6 +117,8 @@ class Lexer:
     def push(self, kind: str, indent: int = 0, owner: str = "", given: Given | None = None) -> None:
         self.serial += 1
         self.frames.append(Frame(kind, self.serial, indent, owner, given))
+        if kind == "def":
+            self.defs.append(self.serial)
         self.open[kind] += 1
 
     def pop(self, kind: str) -> Frame | None:
@@ -123,6 +126,8 @@ class Lexer:
         while self.open[kind]:
             frame = self.frames.pop()
             self.open[frame.kind] -= 1
+            if frame.kind == "def":
+                self.defs.pop()
             for name in frame.declared:
                 self.bound[name].pop()
             if frame.kind == kind:
@@ -131,7 +136,7 @@ class Lexer:
 
     def bind(self, name: str, given: Given, local: bool) -> None:
         held = self.bound.setdefault(name, [])
-        inner = next((f.serial for f in reversed(self.frames) if f.kind == "def"), 0) if self.open["def"] else 0
+        inner = self.defs[-1] if self.defs else 0
         if held and not local and held[-1][1] >= inner:
             held[-1] = (given, held[-1][1])
         else:
