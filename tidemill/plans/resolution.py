@@ -101,13 +101,25 @@ def _keyed(a, b, tolerance: float, relative: float = 0.0):
 
 
 def _nearest_days(a, b):
-    """source_id and days to the nearest row of ``b`` of its user: one pass over both in the order of time."""
+    """source_id and days to the nearest row of ``b`` of its user.
+
+    Within a day both are read in the order of time; days of a user are put in
+    order by their first and last rows alone.  So a user with many rows is
+    spread over as many tasks as days.
+    """
     both = a.select("user_id", F.col("received_at").alias("at"), "source_id").unionByName(b.select("user_id", F.col("ordered_at").alias("at"), F.lit(None).cast("long").alias("source_id")))
-    t = micros(F.col("at"))
-    mark = F.when(F.col("source_id").isNull(), t)
-    w = W.partitionBy("user_id").orderBy("at")
-    before, after = F.max(mark).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)), F.min(mark).over(W.partitionBy("user_id").orderBy(F.col("at").desc()).rangeBetween(W.unboundedPreceding, W.currentRow))
-    return both.select("source_id", (F.least(t - before, after - t) / 86_400e6).alias("days")).where("source_id is not null")
+    both = both.withColumn("day", F.to_date("at")).withColumn("t", micros(F.col("at")))
+    mark = F.when(F.col("source_id").isNull(), F.col("t"))
+    seen = lambda w: w.rangeBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("user_id", "day")
+    before, after = F.max(mark).over(seen(inside.orderBy("t"))), F.min(mark).over(seen(inside.orderBy(F.col("t").desc())))
+    days = both.groupBy("user_id", "day").agg(F.min(mark).alias("first"), F.max(mark).alias("last"))
+    user = W.partitionBy("user_id")
+    earlier, later = F.max("last").over(user.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.min("first").over(user.orderBy(F.col("day").desc()).rowsBetween(W.unboundedPreceding, -1))
+    days = days.select("user_id", "day", earlier.alias("earlier"), later.alias("later"))
+    near = both.withColumn("before", before).withColumn("after", after).where("source_id is not null").join(days, ["user_id", "day"])
+    t = F.col("t")
+    return near.select("source_id", (F.least(t - F.col("before"), F.col("after") - t, t - F.col("earlier"), F.col("later") - t) / 86_400e6).alias("days"))
 
 
 def _scored(spark, d):
