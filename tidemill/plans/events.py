@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.numbers import backoff_minutes, boosted, clamp4, days_apart, micros
 from ..functions.text import dedupe_key

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.numbers import amount_close
 from ..functions.text import carrier_slug, compact_party, identifier
 from ..operators import merge
-from ..operators.resolve import latest
 from ..sources.mail import listed, picked
 from ..sources.tables import table
 from .registry import query
