@@ -147,7 +147,7 @@ def json_props_extract(spark, d):
 @query(E + " SELECT user_id, k, count(*) AS n, count(DISTINCT source_id) AS sources, max(confidence) AS confidence, min(received_at) AS first_at, count(DISTINCT order_key) = 1 AS consistent FROM ev WHERE event = 'shipment' AND k >= 10 GROUP BY 1, 2 HAVING count(*) >= 1 AND max(confidence) >= 0.75")
 def carrier_clusters(spark, d):
     g = evidence(spark, d).where("event = 'shipment' and k >= 10").groupBy("user_id", "k")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_id").alias("sources"), F.max("confidence").alias("confidence"), F.min("received_at").alias("first_at"), (F.count_distinct("order_key") == 1).alias("consistent")).where("confidence >= 0.75")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_id").alias("sources"), F.max("confidence").alias("confidence"), F.min("received_at").alias("first_at"), F.coalesce(F.min("order_key") == F.max("order_key"), F.lit(False)).alias("consistent")).where("confidence >= 0.75")
 
 
 @query(E + """, g AS (SELECT user_id, order_key, max(confidence) FILTER (WHERE event = 'order_created') AS anchor, max(confidence) FILTER (WHERE event IN ('shipment', 'order_updated')) AS trusted, count(*) FILTER (WHERE event IN ('shipment', 'order_updated') AND confidence >= 0.72) AS n_support FROM ev GROUP BY 1, 2)

@@ -475,3 +475,32 @@ def party_fuzzy_match(spark, d):
     asked = asked.withColumn("place", F.row_number().over(W.partitionBy("name").orderBy("times", "run"))).where("place <= 4")
     pairs = asked.select(F.col("name").alias("x"), F.col("key").alias("x_key"), "run").join(held.select(F.col("name").alias("y"), F.col("key").alias("y_key"), "run"), "run").where("x <> y").where(same_party(F.col("x_key"), F.col("y_key")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+_LANES = """, g AS (SELECT user_id, sender, order_key, bool_or(event = 'order_created') AS ordered, max(confidence) FILTER (WHERE event = 'order_updated') AS auxiliary, bool_or(coalesce(phase = 'delivered', false)) AS delivered, min(received_at) AS since FROM ev WHERE role = 'merchant' GROUP BY 1, 2, 3),
+    i AS (SELECT user_id, sender, order_key, source_id AS invoice_id, received_at AS at FROM ev WHERE role = 'merchant' AND event = 'invoice_or_receipt' AND confidence >= 0.65 QUALIFY row_number() OVER (PARTITION BY user_id, sender, order_key ORDER BY confidence DESC, received_at, source_id) = 1),
+    s AS (SELECT i.user_id, i.sender, i.order_key, invoice_id, ev.k // 10 AS tracking, ev.received_at AS s_at, ev.slug FROM i JOIN ev USING (user_id, sender, order_key) WHERE ev.event = 'shipment' AND ev.confidence >= 0.75 AND ev.k >= 10 AND ev.slug IS NOT NULL AND abs(epoch_us(ev.received_at) - epoch_us(i.at)) <= 14 * 86400000000),
+    p AS (SELECT s.user_id, s.sender, s.order_key, invoice_id, count(DISTINCT c.source_id) AS n_proofs FROM s JOIN ev c ON c.user_id = s.user_id AND c.role = 'carrier' AND c.event = 'shipment' AND c.confidence >= 0.85 AND c.k // 10 = s.tracking AND abs(epoch_us(c.received_at) - epoch_us(s.s_at)) <= 7 * 86400000000 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(E + _LANES + """ SELECT i.invoice_id, coalesce(n_proofs, 0) AS n_proofs, CASE WHEN coalesce(n_proofs, 0) > 0 AND auxiliary >= 0.7 AND (i.user_id + i.order_key) % 3 >= 1 THEN 'reconstruct' ELSE 'wait' END AS decision, CASE WHEN coalesce(n_proofs, 0) > 0 AND auxiliary >= 0.7 AND (i.user_id + i.order_key) % 3 >= 1 THEN CASE WHEN delivered THEN 0.9 ELSE 0.88 END END::DOUBLE AS confidence, since FROM i JOIN g USING (user_id, sender, order_key) LEFT JOIN p USING (user_id, sender, order_key, invoice_id) WHERE NOT ordered""")
+def reconstruction_lane(spark, d):
+    """Invoices without an order confirmation whose parcel the merchant announced and the carrier confirms.
+
+    The merchant's word is within fourteen days of the invoice, the carrier's
+    within seven of that, by the same number; some other update of the order
+    and a search that found nothing must support them.
+    """
+    e, keys = evidence(spark, d), ["user_id", "sender", "order_key"]
+    merchants = e.where("role = 'merchant'")
+    invoice = F.when(F.expr("event = 'invoice_or_receipt' and confidence >= 0.65"), F.struct((-F.col("confidence")).alias("c"), "received_at", "source_id"))
+    g = merchants.groupBy(*keys).agg(F.min(invoice).alias("i"), F.bool_or(F.col("event") == "order_created").alias("ordered"), F.max(F.when(F.col("event") == "order_updated", F.col("confidence"))).alias("auxiliary"), F.bool_or(F.coalesce(F.col("phase") == "delivered", F.lit(False))).alias("delivered"), F.min("received_at").alias("since"))
+    g = g.where("not ordered and i is not null").select(*keys, F.col("i.source_id").alias("invoice_id"), F.col("i.received_at").alias("at"), "auxiliary", "delivered", "since")
+    number = F.floor(F.col("k") / 10).alias("tracking")
+    announced = merchants.where("event = 'shipment' and confidence >= 0.75 and k >= 10 and slug is not null").select(*keys, number, F.col("received_at").alias("s_at"))
+    s = interval_join(g.select(*keys, "invoice_id", "at"), announced, keys, "at", "s_at", 336, symmetric=True).select("user_id", "invoice_id", "tracking", "s_at")
+    carried = e.where("role = 'carrier' and event = 'shipment' and confidence >= 0.85").select("user_id", number, F.col("received_at").alias("c_at"), "source_id")
+    proofs = interval_join(s, carried, ["user_id", "tracking"], "s_at", "c_at", 168, symmetric=True).groupBy("invoice_id").agg(F.count_distinct("source_id").alias("n_proofs"))
+    j = g.join(proofs, "invoice_id", "left").withColumn("n_proofs", F.coalesce("n_proofs", F.lit(0)))
+    ok = F.coalesce((F.col("n_proofs") > 0) & (F.col("auxiliary") >= 0.7) & ((F.col("user_id") + F.col("order_key")) % 3 >= 1), F.lit(False))
+    return j.select("invoice_id", "n_proofs", F.when(ok, "reconstruct").otherwise("wait").alias("decision"), F.when(ok, F.when(F.col("delivered"), 0.9).otherwise(0.88)).alias("confidence"), "since")
