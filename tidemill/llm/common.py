@@ -101,6 +101,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def trim() -> None:
+    """Give the system back what this process has freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(free := ctypes.CDLL(None), "malloc_trim"):
+        free.malloc_trim(0)
+
+
 def shipped(spark: SparkSession, value) -> Broadcast:
     """A broadcast of bytes that hold ``value`` with its classes: executors need no copy of this package.
 
@@ -108,7 +116,10 @@ def shipped(spark: SparkSession, value) -> Broadcast:
     the compressed bytes.
     """
     raw = cloudpickle.dumps(value)
-    return spark.sparkContext.broadcast(b"%d:" % len(raw) + pa.compress(raw, codec="zstd", asbytes=True))
+    body = b"%d:" % len(raw) + pa.compress(raw, codec="zstd", asbytes=True)
+    del raw, value
+    trim()
+    return spark.sparkContext.broadcast(body)
 
 
 def opened(shared: Broadcast):
@@ -123,12 +134,6 @@ def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     cycles and in the allocators would add up to what the next one needs.
     """
 
-    def trim() -> None:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(free := ctypes.CDLL(None), "malloc_trim"):
-            free.malloc_trim(0)
-
     def run(batches: Iterator) -> Iterator:
         trim()
         try:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import opened, shipped, slices, small_batches, tidy, utf8_buffer
+from .common import opened, shipped, slices, small_batches, tidy, trim, utf8_buffer
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -487,6 +487,7 @@ def load_model(path: str = MODEL_PATH) -> PieceModel:
     with open(path, "rb") as f:
         model = PieceModel(f.read())
     assert model.tables
+    trim()
     return model
 
 
