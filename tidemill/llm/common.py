@@ -72,16 +72,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
-    """Like ``materialize``, in buckets by ``key``: joins by it shuffle the other side only.
+def bucketed(df: DataFrame, tag: str, key: str, n: int = 0) -> DataFrame:
+    """Like ``materialize``, in ``n`` buckets by ``key``: joins by it shuffle the other side only.
 
-    The files are in the shared folder; the session's catalog has a table of
-    a name of its own for them.
+    There are at least as many buckets as shuffle partitions.  The files are
+    in the shared folder; the session's catalog names them only while they
+    are written.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    n = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = min(100_000, max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
@@ -89,6 +90,8 @@ def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.table(name)
+    out.schema  # noqa: B018  the plan holds the files and buckets from here on
+    spark.sql(f"DROP TABLE `{name}`")
     _PATHS[out] = path
     return out
 

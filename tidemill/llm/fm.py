@@ -30,6 +30,24 @@ class WaveletMatrix:
             at = np.where(symbols >> level & 1, self.zeros[k] + ones, at - ones)
         return at
 
+    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        """How many set bits of the ``k``-th level stand before each place."""
+        word = at >> 6
+        return self.before[k][word] + np.bitwise_count(self.words[k][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def report(self, low: np.ndarray, high: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """query, symbol: all symbols from ``least`` on and below ``most`` at the places from ``low`` on and below ``high``, for many rectangles at once."""
+        query = np.flatnonzero((high > low) & (most > least))
+        low, high, symbol = low[query], high[query], np.zeros(len(query), np.int64)
+        for k, level in enumerate(range(self.levels - 1, -1, -1)):
+            ones = self._ones(k, low), self._ones(k, high)
+            low, high = (np.concatenate((x - n, self.zeros[k] + n)) for x, n in zip((low, high), ones, strict=True))
+            query, symbol = np.concatenate((query, query)), np.concatenate((symbol, symbol | 1 << level))
+            live = np.flatnonzero((high > low) & (symbol < most[query]) & (symbol + (1 << level) > least[query]))
+            low, high, query, symbol = low[live], high[live], query[live], symbol[live]
+        times = high - low
+        return np.repeat(query, times), np.repeat(symbol, times)
+
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its place."""
         return self._down(symbols, at) - self.base[symbols]
