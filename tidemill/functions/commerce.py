@@ -61,8 +61,10 @@ INVOICE_IDS = (r"\b(?:szamla(?:szam|\s+sorszama)?|invoice\s*(?:number|no\.?))\s*
 MONEY_WORDS = ("total", "amount", "paid", "payment", "price", "összesen", "fizetendő", "fizetendo", "összeg", "osszeg", "ár", "ar:", "végösszeg", "vegosszeg", "utánvét", "utanvet", "cash on delivery")
 # fixed values: wordings by which a delivery is told from a shipment
 DELIVERED = ("kezbesitve", "sikeres kezbesit", "kezbesites megtortent", "sikeresen atadva", "delivered", "delivery complete")
-# fixed values: what the parts of an order are called
-TOTALS, PAYMENTS, SHIPPINGS = ("total", "order total", "osszesen", "vegosszeg"), ("payment method", "fizetesi mod"), ("shipping method", "szallitasi mod")
+# fixed values: what the parts of an order are called, in order of preference
+TOTALS = ("grand total", "order total", "amount due", "vegosszeg", "fizetendo", "osszesen fizetendo", "gesamtbetrag", "gesamtsumme", "total ttc", "total de la commande", "total del pedido")
+PAYMENTS = ("payment method", "payment", "fizetesi mod", "zahlungsart", "mode de paiement", "methode de paiement", "metodo de pago")
+SHIPPINGS = ("shipping method", "delivery method", "szallitasi mod", "versandart", "mode de livraison", "metodo de envio")
 
 
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:

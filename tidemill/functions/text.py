@@ -221,10 +221,10 @@ def without_history(text: Column) -> Column:
 
 
 def labelled_line(text: Column, labels: tuple[str, ...]) -> Column:
-    """What stands after the first label on its line, or else on the next line."""
+    """What stands after the first label and its sign, or else on the line after it."""
     found = []
     for label in labels:
-        for pattern in (rf"(?:^|\n)[ \t]*{label}[ \t]*[:#-][ \t]*([^\n]{{2,120}})", rf"(?:^|\n)[ \t]*{label}[ \t]*\n[ \t]*([^\n]{{2,120}})"):
+        for pattern in (rf"(?:^|\n)\s*{label}\s*[:#-]\s*([^\n]{{2,120}})", rf"(?:^|\n)\s*{label}\s*\n\s*([^\n]{{2,120}})"):
             found.append(F.when(text.contains(label), F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))))  # most texts lack the label
     return F.coalesce(*found)
 

@@ -59,7 +59,7 @@ def _identity(x: str, patterns) -> str:
 def _line(x: str, labels) -> str:
     each = []
     for label in labels:
-        for p in (rf"(?:^|\n)[ \t]*{label}[ \t]*[:#-][ \t]*([^\n]{{2,120}})", rf"(?:^|\n)[ \t]*{label}[ \t]*\n[ \t]*([^\n]{{2,120}})"):
+        for p in (rf"(?:^|\n)\s*{label}\s*[:#-]\s*([^\n]{{2,120}})", rf"(?:^|\n)\s*{label}\s*\n\s*([^\n]{{2,120}})"):
             each.append(f"nullif(trim(regexp_extract({x}, {lit(p)}, 1)), '')")
     return "coalesce(" + ", ".join(each) + ")"
 
