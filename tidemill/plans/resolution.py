@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.numbers import boosted, days_apart, micros, score_band, time_points
-from ..functions.text import LEGAL_FORMS, dedupe_key, reasons, same_party, text_key
+from ..functions.numbers import amount_close, boosted, micros, score_band, time_points
+from ..functions.text import LEGAL_FORMS, dedupe_key, fold, reasons, same_party, text_key
 from ..operators import merge
+from ..operators.candidates import DAY, alike_names, amount_pairs, best_of_all, standing
 from ..operators.joins import interval_join
-from ..operators.resolve import best_and_margin, purchases, shipments
+from ..operators.resolve import purchases, shipments
 from ..operators.validate import may_write_document, may_write_purchase, may_write_shipment
 from ..sources.tables import EVIDENCE_SQL, evidence, table
 from ..streaming.inbox import drain, replayed
@@ -70,127 +71,139 @@ def shipment_write_gate(spark, d):
     return s.select("user_id", "tracking", may_write_shipment(*map(F.col, ("decision", "slug", "status", "n", "n_physical", "n_anchors")), F.col("n_carrier") * 2).alias("by_tracking"), may_write_document(F.col("decision"), F.lit("invoice"), F.col("confidence")).alias("as_invoice"))
 
 
-_SCORED = _EXISTING + f""", a AS (SELECT * FROM ev WHERE event = 'payment_completed'), near AS (SELECT a.source_id, min({_DAYS.format("a.received_at", "p.ordered_at")}) AS days FROM a JOIN px p USING (user_id) GROUP BY 1),
-    s AS (SELECT a.source_id, p.purchase_id, (CASE WHEN a.k = p.k THEN 140 ELSE 0 END) + (CASE WHEN a.sender = p.sender AND a.order_key = p.order_key THEN 75 ELSE 0 END) + (CASE WHEN a.sender = p.sender AND a.role = 'merchant' THEN 35 ELSE 0 END) + (CASE WHEN abs(a.value - p.value) <= greatest(1.0, abs(p.value) * 0.005) THEN 25 ELSE 0 END)
-      + CASE WHEN {_DAYS.format("a.received_at", "p.ordered_at")} <= 2 THEN 15 WHEN {_DAYS.format("a.received_at", "p.ordered_at")} <= 7 THEN 10 WHEN {_DAYS.format("a.received_at", "p.ordered_at")} <= 30 THEN 4 ELSE 0 END AS score, a.k = p.k AS anchored
-      FROM a JOIN px p ON a.user_id = p.user_id AND (a.k = p.k OR (a.sender = p.sender AND a.order_key = p.order_key) OR abs(a.value - p.value) <= greatest(1.0, abs(p.value) * 0.005))),
+#: What payments and purchases say beside the columns of evidence: a thread, an order number of one of three lengths, a currency and a name.
+_SAID = """CASE WHEN {0} % 5 < 2 THEN ({0} // 3) % 40 END AS thread, CASE WHEN k % 9 = 8 THEN NULL WHEN order_key % 3 = 0 THEN 'A-' || k WHEN order_key % 3 = 1 THEN 'ab-' || lpad(CAST(k AS VARCHAR), 3, '0') ELSE 'ABC ' || lpad(CAST(k AS VARCHAR), 4, '0') END AS order_no, CASE WHEN {0} % 2 = 0 THEN 'HUF' ELSE 'EUR' END AS currency"""
+_KEY = "upper(regexp_replace({0}, '[^a-zA-Z0-9]', '', 'g'))"
+_ALL_PAIRS = _EXISTING + f""", a AS (SELECT *, {_SAID.format("source_id")}, source_id % 13 = 0 AS recurring FROM ev WHERE event = 'payment_completed'), b AS (SELECT * REPLACE (merchant || CASE WHEN purchase_id % 4 = 0 THEN ' Kft' ELSE '' END AS merchant), {_SAID.format("purchase_id")} FROM px),
+    ab AS (SELECT a.source_id, a.confidence, a.recurring, b.purchase_id, a.k = b.k AS tracked, coalesce(a.thread = b.thread, false) AS threaded, coalesce({_KEY.format("a.order_no")} = {_KEY.format("b.order_no")}, false) AS ordered, length({_KEY.format("a.order_no")}) AS order_length, a.sender = b.sender AS dom,
+        abs(a.value - b.value) AS apart, abs(b.value) AS size, a.currency = b.currency AS coin, a.currency AS currency, lower(a.merchant) AS name_a, lower(b.merchant) AS name_b, {_DAYS.format("a.received_at", "b.ordered_at")} AS days FROM a LEFT JOIN b USING (user_id))"""
+_SCORED = _ALL_PAIRS + """, x AS (SELECT *, coalesce(name_a = name_b OR (length(name_a) >= 5 AND length(name_b) >= 5 AND (contains(name_a, name_b) OR contains(name_b, name_a))), false) AS nam, coin AND apart <= greatest(1.0, size * 0.005) AS amt FROM ab),
+    s AS (SELECT *, coalesce(140 * tracked::INT + 130 * threaded::INT + CASE WHEN NOT ordered THEN 0 WHEN order_length >= 6 THEN 105 WHEN order_length = 5 THEN 75 ELSE 55 END + 35 * dom::INT + 25 * nam::INT + 25 * amt::INT + CASE WHEN days <= 2 THEN 15 WHEN days <= 7 THEN 10 WHEN days <= 30 THEN 4 ELSE 0 END, 0) AS score FROM x),
     r AS (SELECT *, row_number() OVER w AS rn, lead(score, 1, 0) OVER w AS runner_up FROM s WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, purchase_id)),
-    t AS (SELECT a.source_id, a.confidence, r.purchase_id, coalesce(r.score, CASE WHEN days <= 2 THEN 15 WHEN days <= 7 THEN 10 WHEN days <= 30 THEN 4 ELSE 0 END, 0) AS score, coalesce(r.runner_up, 0) AS runner_up, coalesce(r.anchored, false) AS anchored FROM a LEFT JOIN r ON r.source_id = a.source_id AND rn = 1 LEFT JOIN near ON near.source_id = a.source_id),
-    u AS (SELECT *, runner_up > 0 AND score >= 80 AND score - runner_up < 30 AS ambiguous FROM t)"""
+    u AS (SELECT source_id, confidence, purchase_id, score, runner_up, runner_up > 0 AND score >= 80 AND score - runner_up < 30 AS ambiguous, coalesce(tracked OR threaded OR (ordered AND (order_length >= 6 OR dom OR nam OR amt)), false) AS anchored FROM r WHERE rn = 1),
+    v AS (SELECT *, CASE WHEN score = 0 THEN 'unmatched' WHEN confidence < 0.8 THEN 'review' WHEN score >= 110 AND anchored AND NOT ambiguous THEN 'linkable' WHEN score >= 80 THEN 'review' ELSE 'unmatched' END AS decision FROM u)"""
 
 
-def _keyed(a, b, tolerance: float, relative: float = 0.0):
-    """Pairs (source_id, purchase_id) that share a tracking number, an order, or nearly an amount: three equi-joins, no pair by user alone.
+def _said(rows, number: str):
+    """The thread, the order number, the currency and a name of each row."""
+    i, k = F.col(number), F.col("k")
+    order_no = F.when(k % 9 == 8, None).when(F.col("order_key") % 3 == 0, F.concat(F.lit("A-"), k)).when(F.col("order_key") % 3 == 1, F.concat(F.lit("ab-"), F.lpad(k.cast("string"), 3, "0"))).otherwise(F.concat(F.lit("ABC "), F.lpad(k.cast("string"), 4, "0")))
+    return rows.withColumns({"thread": F.when(i % 5 < 2, F.floor(i / 3) % 40), "order_no": order_no, "currency": F.when(i % 2 == 0, "HUF").otherwise("EUR")})
+
+
+def _sides(spark, d):
+    """Payments and purchases with what each says of itself."""
+    e = evidence(spark, d)
+    a, b = _said(e.where("event = 'payment_completed'"), "source_id"), _said(_existing(e), "purchase_id")
+    b = b.withColumn("merchant", F.concat("merchant", F.when(F.col("purchase_id") % 4 == 0, " Kft").otherwise("")))
+    key = F.upper(F.regexp_replace("order_no", "[^a-zA-Z0-9]", ""))
+    own = a.select(F.col("source_id").alias("probe"), "user_id", "confidence", "k", "thread", key.alias("order"), "sender", "value", "currency", "merchant", micros(F.col("received_at")).alias("t"))
+    theirs = b.select(F.col("purchase_id").alias("id"), "user_id", "k", "thread", key.alias("order"), "sender", F.col("value").alias("b_value"), "currency", "merchant", micros(F.col("ordered_at")).alias("t"))
+    return own, theirs
+
+
+def _rare(own, theirs, keys: tuple[str, ...]):
+    """Pairs of a user that share one of the keys or may share an amount, each once, with the columns of both sides (``b_``...)."""
+    named = theirs.select("user_id", *[F.col(c).alias(c if c in ("id", "b_value") else f"b_{c}") for c in theirs.columns if c != "user_id"])
+    # a pair that shares several keys comes of the first one only
+    met = None
+    for n, c in enumerate(keys):
+        pairs = own.join(named, (own["user_id"] == named["user_id"]) & (own[c] == named[f"b_{c}"])).drop(named["user_id"])
+        for before in keys[:n]:
+            pairs = pairs.where(~F.coalesce(F.col(before) == F.col(f"b_{before}"), F.lit(False)))
+        met = pairs if met is None else met.unionByName(pairs)
+    amounts = amount_pairs(own, named, ["user_id"])
+    for before in keys:
+        amounts = amounts.where(~F.coalesce(F.col(before) == F.col(f"b_{before}"), F.lit(False)))
+    return met.unionByName(amounts)
 
-    Amounts meet in buckets as wide as the tolerance and in the two beside;
-    wider tolerances of large amounts make wider buckets, by powers of two.
-    """
-    link = lambda x, y, keys: x.join(y, keys).select("source_id", "purchase_id")
-    of_a, of_b = a.select("source_id", "user_id", "sender", "order_key", "k", "value"), b.select("purchase_id", "user_id", "sender", "order_key", "k", F.col("value").alias("b_value"))
-    allowed = F.greatest(F.lit(tolerance), F.abs("b_value") * relative)
-    level = F.ceil(F.log2(allowed)).cast("int")  # an amount is within 2 ** level
-    top = b.agg(F.ceil(F.log2(F.greatest(F.lit(tolerance), F.max(F.abs("value")) * relative))).cast("int").alias("n")).first()[0] or 0
-    low = int(max(0, -(-(tolerance - 1) // 1))) if tolerance >= 1 else 0
-    levels = F.sequence(F.lit(low), F.lit(max(low, top)))
-    cell = lambda v, n: F.floor(v / F.pow(F.lit(2.0), n)).cast("long")
-    left = of_a.withColumn("level", F.explode(levels)).withColumn("cell", cell(F.col("value"), F.col("level")))
-    right = of_b.withColumn("level", F.greatest(F.lit(low), level)).withColumn("cell", F.explode(F.array(*[cell(F.col("b_value"), F.col("level")) + n for n in (-1, 0, 1)])))
-    amounts = left.select("source_id", "user_id", "value", "level", "cell").join(right.select("purchase_id", "user_id", "b_value", "level", "cell"), ["user_id", "level", "cell"]).where(F.abs(F.col("value") - F.col("b_value")) <= allowed)
-    pairs = link(of_a.select("source_id", "user_id", "k"), of_b.select("purchase_id", "user_id", "k"), ["user_id", "k"]).unionByName(link(of_a.select("source_id", "user_id", "sender", "order_key"), of_b.select("purchase_id", "user_id", "sender", "order_key"), ["user_id", "sender", "order_key"]))
-    return pairs.unionByName(amounts.select("source_id", "purchase_id")).distinct()
-
-
-def _nearest_days(a, b):
-    """source_id and days to the nearest row of ``b`` of its user.
-
-    Within a day both are read in the order of time; days of a user are put in
-    order by their first and last rows alone.  So a user with many rows is
-    spread over as many tasks as days.
-    """
-    both = a.select("user_id", F.col("received_at").alias("at"), "source_id").unionByName(b.select("user_id", F.col("ordered_at").alias("at"), F.lit(None).cast("long").alias("source_id")))
-    both = both.withColumn("day", F.to_date("at")).withColumn("t", micros(F.col("at")))
-    mark = F.when(F.col("source_id").isNull(), F.col("t"))
-    seen = lambda w: w.rangeBetween(W.unboundedPreceding, W.currentRow)
-    inside = W.partitionBy("user_id", "day")
-    before, after = F.max(mark).over(seen(inside.orderBy("t"))), F.min(mark).over(seen(inside.orderBy(F.col("t").desc())))
-    days = both.groupBy("user_id", "day").agg(F.min(mark).alias("first"), F.max(mark).alias("last"))
-    user = W.partitionBy("user_id")
-    earlier, later = F.max("last").over(user.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.min("first").over(user.orderBy(F.col("day").desc()).rowsBetween(W.unboundedPreceding, -1))
-    days = days.select("user_id", "day", earlier.alias("earlier"), later.alias("later"))
-    near = both.withColumn("before", before).withColumn("after", after).where("source_id is not null").join(days, ["user_id", "day"])
-    t = F.col("t")
-    return near.select("source_id", (F.least(t - F.col("before"), F.col("after") - t, t - F.col("earlier"), F.col("later") - t) / 86_400e6).alias("days"))
+
+_BITS = {0: ["user_id"], 1: ["user_id", "sender"], 2: ["user_id", "alike"], 3: ["user_id", "sender", "alike"]}
+
+
+def _band(days, *steps: int):
+    out = F.lit(len(steps))
+    for n, most in reversed(list(enumerate(steps))):
+        out = F.when(days <= most, n).otherwise(out)
+    return out
 
 
 def _scored(spark, d):
-    e = evidence(spark, d)
-    a, b = e.where("event = 'payment_completed'"), _existing(e)
-    own = a.select("source_id", "k", "sender", "order_key", "role", "value", "received_at")
-    theirs = b.select("purchase_id", F.col("k").alias("b_k"), F.col("sender").alias("b_sender"), F.col("order_key").alias("b_order"), F.col("value").alias("b_value"), "ordered_at")
-    p = _keyed(a, b, 1.0, 0.005).join(own, "source_id").join(theirs, "purchase_id")
-    same = F.col("sender") == F.col("b_sender")
-    points = lambda c, n: F.when(c, n).otherwise(0)
-    score = points(F.col("k") == F.col("b_k"), 140) + points(same & (F.col("order_key") == F.col("b_order")), 75) + points(same & (F.col("role") == "merchant"), 35) + points(F.abs(F.col("value") - F.col("b_value")) <= F.greatest(F.lit(1.0), F.abs("b_value") * 0.005), 25)
-    score = score + time_points(days_apart(F.col("received_at"), F.col("ordered_at")))
-    best = best_and_margin(p.select("source_id", "purchase_id", score.alias("score"), (F.col("k") == F.col("b_k")).alias("anchored")), ["source_id"], "purchase_id")
-    t = a.select("source_id", "confidence").join(best, "source_id", "left").join(_nearest_days(a, b), "source_id", "left")
-    score, runner_up = F.coalesce("score", time_points(F.col("days")), F.lit(0)), F.coalesce("runner_up", F.lit(0))
-    t = t.select("source_id", "confidence", "purchase_id", score.alias("score"), runner_up.alias("runner_up"), F.coalesce("anchored", F.lit(False)).alias("anchored"))
-    return t.withColumn("ambiguous", (F.col("runner_up") > 0) & (F.col("score") >= 80) & (F.col("score") - F.col("runner_up") < 30))
-
-
-@query(E + _SCORED + """ SELECT source_id, purchase_id, score, runner_up, ambiguous, CASE WHEN score = 0 THEN 'unmatched' WHEN confidence < 0.8 THEN 'review' WHEN score >= 110 AND (anchored OR score >= 135) AND NOT ambiguous THEN 'linkable' WHEN score >= 80 THEN 'review' ELSE 'unmatched' END AS decision FROM u""")
+    own, theirs = _sides(spark, d)
+    name = lambda c: F.trim(F.regexp_replace(fold(F.col(c)), "[^a-z0-9]+", " "))
+    own, theirs = own.withColumn("name", name("merchant")), theirs.withColumn("name", name("merchant"))
+    # names are few beside the rows that bear them
+    names = alike_names(own.select("name"), theirs.select("name"))
+    asking = own.join(names, "name", "left")
+    common = standing(asking, theirs.withColumn("alike", F.nullif("name", F.lit(""))), _BITS, (2, 7, 30))
+    p = _rare(own, theirs, ("k", "thread", "order"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    left, right = F.col("name"), F.col("b_name")
+    p = p.withColumns({
+        "tracked": flag(F.col("k") == F.col("b_k")), "threaded": flag(F.col("thread") == F.col("b_thread")), "ordered": flag(F.col("order") == F.col("b_order")), "dom": flag(F.col("sender") == F.col("b_sender")), "days": F.abs(F.col("t") - F.col("b_t")) / DAY,
+        "nam": flag((left != "") & (right != "") & ((left == right) | ((F.length(left) >= 5) & (F.length(right) >= 5) & (left.contains(right) | right.contains(left))))), "amt": flag((F.col("currency") == F.col("b_currency")) & amount_close(F.col("value"), F.col("b_value"))),
+    }).where("tracked or threaded or ordered or amt")
+    size = F.length("order")
+    n = lambda c: F.col(c).cast("int")
+    score = 140 * n("tracked") + 130 * n("threaded") + F.when(~F.col("ordered"), 0).when(size >= 6, 105).when(size == 5, 75).otherwise(55) + 35 * n("dom") + 25 * n("nam") + 25 * n("amt") + time_points(F.col("days"))
+    anchored = F.col("tracked") | F.col("threaded") | (F.col("ordered") & ((size >= 6) | F.col("dom") | F.col("nam") | F.col("amt")))
+    pairs = p.select("probe", "id", score.alias("score"), (n("dom") + 2 * n("nam")).alias("mask"), _band(F.col("days"), 2, 7, 30).alias("band"), anchored.alias("flags"))
+    t = best_of_all(own.select("probe", "confidence"), common, pairs, {0: 0, 1: 35, 2: 25, 3: 60}, (15, 10, 4, 0))
+    t = t.select(F.col("probe").alias("source_id"), "confidence", F.col("best.id").alias("purchase_id"), F.coalesce("best.score", F.lit(0)).alias("score"), "runner_up", F.coalesce("best.flags", F.lit(False)).alias("anchored"))
+    t = t.withColumn("ambiguous", (F.col("runner_up") > 0) & (F.col("score") >= 80) & (F.col("score") - F.col("runner_up") < 30))
+    decided = F.when(F.col("score") == 0, "unmatched").when(F.col("confidence") < 0.8, "review").when((F.col("score") >= 110) & F.col("anchored") & ~F.col("ambiguous"), "linkable").when(F.col("score") >= 80, "review").otherwise("unmatched")
+    return t.withColumn("decision", decided)
+
+
+@query(E + _SCORED + " SELECT source_id, CASE WHEN decision <> 'unmatched' THEN purchase_id END AS purchase_id, score, runner_up, ambiguous, decision FROM v")
 def top2_margin_match(spark, d):
-    """The purchase that a payment fits best, and by what margin.
-
-    Candidates share a key with the payment; of the others only the time
-    counts, which never links, so the nearest of them stands for all.
-    """
-    anchored = F.col("anchored") | (F.col("score") >= 135)
-    decided = F.when(F.col("score") == 0, "unmatched").when(F.col("confidence") < 0.8, "review").when((F.col("score") >= 110) & anchored & ~F.col("ambiguous"), "linkable").when(F.col("score") >= 80, "review").otherwise("unmatched")
-    return _scored(spark, d).select("source_id", "purchase_id", "score", "runner_up", "ambiguous", decided.alias("decision"))
+    """The purchase of all of its user's that a payment fits best, and by what margin: tracking, thread, order number by its length, domain, name, amount in its currency, and time."""
+    return _scored(spark, d).select("source_id", F.when(F.col("decision") != "unmatched", F.col("purchase_id")).alias("purchase_id"), "score", "runner_up", "ambiguous", "decision")
 
 
-@query(E + _SCORED + " SELECT CASE WHEN score <= 0 THEN 'none' WHEN score < 80 THEN 'weak' WHEN score < 170 THEN 'review' ELSE 'strict' END AS band, count(*) AS n FROM u GROUP BY 1")
+@query(E + _SCORED + " SELECT CASE WHEN score <= 0 THEN 'none' WHEN score < 80 THEN 'weak' WHEN score < 170 THEN 'review' ELSE 'strict' END AS band, count(*) AS n FROM v GROUP BY 1")
 def distance_bands(spark, d):
     return _scored(spark, d).groupBy(score_band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_CURRENCY = "CASE WHEN {0} % 2 = 0 THEN 'HUF' ELSE 'EUR' END"
-_TOLERANCE = "CASE WHEN ca = 'HUF' THEN 1 ELSE 0.01 END"
-_PAY = _EXISTING + f""", a AS (SELECT *, {_CURRENCY.format("source_id")} AS ca, source_id % 13 = 0 AS recurring FROM ev WHERE event = 'payment_completed'), b AS (SELECT *, {_CURRENCY.format("purchase_id")} AS cb FROM px),
-    x AS (SELECT a.source_id, a.confidence, b.purchase_id, a.sender = b.sender AND a.role = 'merchant' AS dom, coalesce(a.merchant = b.merchant, false) AS nam, ca = cb AND abs(a.value - b.value) <= {_TOLERANCE} AS amt, a.sender = b.sender AND a.order_key = b.order_key AS ref, {_DAYS.format("a.received_at", "b.ordered_at")} AS days
-        FROM a JOIN b USING (user_id) WHERE NOT recurring AND ((a.sender = b.sender AND a.order_key = b.order_key) OR (ca = cb AND abs(a.value - b.value) <= {_TOLERANCE}) OR a.k = b.k)),
-    s AS (SELECT *, 90 * dom::INT + 40 * nam::INT + 60 * amt::INT + 30 * ref::INT + CASE WHEN NOT (dom OR nam OR amt OR ref) THEN 0 WHEN days <= 2 THEN 20 WHEN days <= 7 THEN 8 ELSE 0 END AS score, dom AND amt AND days <= 2 AS strict FROM x),
-    r AS (SELECT *, row_number() OVER w AS rn, count(*) FILTER (WHERE strict) OVER (PARTITION BY source_id) AS n_strict FROM s WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, purchase_id)),
-    t AS (SELECT a.source_id, a.recurring, r.purchase_id, coalesce(r.score, 0) AS score, coalesce(r.n_strict, 0) AS n_strict, CASE WHEN a.recurring OR coalesce(r.score, 0) = 0 THEN 'unmatched' WHEN n_strict > 1 THEN 'review' WHEN n_strict = 1 AND strict THEN CASE WHEN a.confidence < 0.95 THEN 'review' ELSE 'shadow_linkable' END WHEN score >= 80 AND (dom OR nam OR amt) THEN 'review' ELSE 'unmatched' END AS decision
-        FROM a LEFT JOIN r ON r.source_id = a.source_id AND rn = 1)"""
+_CORE = "trim(regexp_replace(regexp_replace({0}, '\\b(?:kft|zrt|bt|nyrt|ltd|limited|inc|llc|gmbh)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+_PAY = _ALL_PAIRS + f""", x AS (SELECT *, coalesce({_CORE.format("name_a")} = {_CORE.format("name_b")}, false) AS nam, coalesce(coin AND apart <= CASE WHEN currency = 'HUF' THEN 1 ELSE 0.01 END, false) AS amt FROM ab),
+    s AS (SELECT *, CASE WHEN recurring OR purchase_id IS NULL THEN 0 ELSE 90 * dom::INT + 40 * nam::INT + 60 * amt::INT + 30 * ordered::INT + CASE WHEN NOT (dom OR nam OR amt OR ordered) THEN 0 WHEN days <= 2 THEN 20 WHEN days <= 7 THEN 8 ELSE 0 END END AS score, coalesce(dom AND amt AND days <= 2 AND NOT recurring, false) AS strict FROM x),
+    r AS (SELECT *, row_number() OVER w AS rn, lead(score, 1, 0) OVER w AS runner_up, count(*) FILTER (WHERE strict) OVER (PARTITION BY source_id) AS n_strict FROM s WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, purchase_id)),
+    t AS (SELECT source_id, recurring, purchase_id, score, runner_up, n_strict, CASE WHEN recurring OR score = 0 THEN 'unmatched' WHEN n_strict > 1 THEN 'review' WHEN n_strict = 1 AND strict THEN CASE WHEN confidence < 0.95 THEN 'review' ELSE 'shadow_linkable' END WHEN score >= 80 AND (dom OR nam OR amt) THEN 'review' ELSE 'unmatched' END AS decision FROM r WHERE rn = 1)"""
 
 
 def _payments(spark, d):
-    e = evidence(spark, d)
-    currency = lambda c: F.when(F.col(c) % 2 == 0, "HUF").otherwise("EUR")
-    a, b = e.where("event = 'payment_completed'").withColumn("recurring", F.col("source_id") % 13 == 0), _existing(e)
-    own = a.select("source_id", "k", "sender", "order_key", "role", "value", "received_at", "merchant", currency("source_id").alias("ca"))
-    theirs = b.select("purchase_id", F.col("k").alias("b_k"), F.col("sender").alias("b_sender"), F.col("order_key").alias("b_order"), F.col("value").alias("b_value"), F.col("merchant").alias("b_merchant"), "ordered_at", currency("purchase_id").alias("cb"))
-    x = _keyed(a.where("not recurring"), b, 1.0).join(own, "source_id").join(theirs, "purchase_id")
-    same, within = F.col("sender") == F.col("b_sender"), F.when(F.col("ca") == "HUF", 1.0).otherwise(0.01)
-    flags = {"dom": same & (F.col("role") == "merchant"), "nam": F.coalesce(F.col("merchant") == F.col("b_merchant"), F.lit(False)), "amt": (F.col("ca") == F.col("cb")) & (F.abs(F.col("value") - F.col("b_value")) <= within), "ref": same & (F.col("order_key") == F.col("b_order"))}
-    x = x.select("source_id", "purchase_id", (F.col("k") == F.col("b_k")).alias("same_k"), days_apart(F.col("received_at"), F.col("ordered_at")).alias("days"), *[c.alias(n) for n, c in flags.items()]).where("same_k or ref or amt")
-    some = F.expr("dom or nam or amt or ref")
-    score = sum((F.col(n).cast("int") * w for n, w in (("nam", 40), ("amt", 60), ("ref", 30))), F.col("dom").cast("int") * 90) + F.when(some & (F.col("days") <= 2), 20).when(some & (F.col("days") <= 7), 8).otherwise(0)
-    x = x.withColumn("score", score).withColumn("strict", F.expr("dom and amt and days <= 2")).withColumn("n_strict", F.sum(F.col("strict").cast("int")).over(W.partitionBy("source_id")))
-    r = x.withColumn("rn", F.row_number().over(W.partitionBy("source_id").orderBy(F.col("score").desc(), "purchase_id"))).where("rn = 1")
-    t = a.select("source_id", "confidence", "recurring").join(r, "source_id", "left")
-    strict = (F.col("n_strict") == 1) & F.col("strict")
-    decided = F.when(F.col("recurring") | (F.coalesce("score", F.lit(0)) == 0), "unmatched").when(F.col("n_strict") > 1, "review").when(strict & (F.col("confidence") < 0.95), "review").when(strict, "shadow_linkable").when((F.col("score") >= 80) & F.expr("dom or nam or amt"), "review").otherwise("unmatched")
-    return t.select("source_id", "recurring", "purchase_id", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("n_strict", F.lit(0)).cast("long").alias("n_strict"), decided.alias("decision"))
-
-
-@query(E + _PAY + " SELECT source_id, purchase_id, score, n_strict, decision FROM t")
+    own, theirs = _sides(spark, d)
+    core = lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(fold(F.col(c)), r"\b(?:kft|zrt|bt|nyrt|ltd|limited|inc|llc|gmbh)\b", " "), "[^a-z0-9]+", " ")), F.lit(""))
+    own, theirs = own.withColumn("alike", core("merchant")).withColumn("recurring", F.col("probe") % 13 == 0), theirs.withColumn("alike", core("merchant"))
+    asking = own.where("not recurring")
+    common = standing(asking, theirs, {m: keys for m, keys in _BITS.items() if m}, (2, 7))
+    p = _rare(asking, theirs, ("order",))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    within = F.when(F.col("currency") == "HUF", 1.0).otherwise(0.01)
+    p = p.withColumns({
+        "ref": flag(F.col("order") == F.col("b_order")), "dom": flag(F.col("sender") == F.col("b_sender")), "nam": flag(F.col("alike") == F.col("b_alike")), "days": F.abs(F.col("t") - F.col("b_t")) / DAY,
+        "amt": flag((F.col("currency") == F.col("b_currency")) & (F.abs(F.col("value") - F.col("b_value")) <= within)),
+    }).where("ref or amt")
+    n = lambda c: F.col(c).cast("int")
+    score = 90 * n("dom") + 40 * n("nam") + 60 * n("amt") + 30 * n("ref") + F.when(F.col("days") <= 2, 20).when(F.col("days") <= 7, 8).otherwise(0)
+    strict, some = F.expr("dom and amt and days <= 2"), F.expr("dom or nam or amt")
+    p = p.withColumn("strict", strict)
+    pairs = p.select("probe", "id", score.alias("score"), (n("dom") + 2 * n("nam")).alias("mask"), _band(F.col("days"), 2, 7).alias("band"), F.struct("strict", some.alias("some")).alias("flags"))
+    t = best_of_all(own.select("probe", "confidence", "recurring"), common, pairs, {1: 90, 2: 40, 3: 130}, (20, 8, 0))
+    t = t.join(p.where("strict").groupBy("probe").agg(F.count(F.lit(1)).alias("n_strict")), "probe", "left").withColumn("n_strict", F.coalesce("n_strict", F.lit(0)))
+    score, strict = F.coalesce("best.score", F.lit(0)), (F.col("n_strict") == 1) & F.coalesce("best.flags.strict", F.lit(False))
+    # a pair of common features alone has a domain or a name
+    some = F.coalesce("best.flags.some", F.lit(True))
+    decided = F.when(F.col("recurring") | (score == 0), "unmatched").when(F.col("n_strict") > 1, "review").when(strict & (F.col("confidence") < 0.95), "review").when(strict, "shadow_linkable").when((score >= 80) & some, "review").otherwise("unmatched")
+    return t.select(F.col("probe").alias("source_id"), "recurring", F.col("best.id").alias("purchase_id"), score.alias("score"), "runner_up", F.col("n_strict").cast("long").alias("n_strict"), decided.alias("decision"))
+
+
+@query(E + _PAY + " SELECT source_id, CASE WHEN decision <> 'unmatched' THEN purchase_id END AS purchase_id, score, runner_up, n_strict, decision FROM t")
 def payment_scored_match(spark, d):
-    """Payments against purchases: domain, name, amount in its currency's tolerance, reference, and time beside one of them."""
-    return _payments(spark, d).drop("recurring")
+    """Payments against all purchases of their user: domain, name, amount in its currency's tolerance, reference, and time beside one of them."""
+    return _payments(spark, d).drop("recurring").withColumn("purchase_id", F.when(F.col("decision") != "unmatched", F.col("purchase_id")))
 
 
 @query(E + _PAY + " SELECT CASE WHEN recurring THEN 'recurring' ELSE 'purchase' END AS context, CASE WHEN score <= 0 THEN 'none' WHEN score < 80 THEN 'weak' WHEN score < 170 THEN 'review' ELSE 'strict' END AS band, decision, n_strict > 1 AS ambiguous, count(*) AS n, false AS would_write FROM t GROUP BY ALL")
