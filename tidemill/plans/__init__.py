@@ -1,4 +1,4 @@
 """Named queries over the star-schema and text tables, with DuckDB SQL for each."""
 
-from . import events, items, mail, orders, resolution, texts, views, writes  # noqa: F401
+from . import events, items, mail, orders, resolution, streams, texts, views, writes  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
