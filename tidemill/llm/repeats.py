@@ -72,21 +72,33 @@ def gram_hashes(raw: np.ndarray, n: int) -> np.ndarray:
 
 def string_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, kind: int) -> np.ndarray:
     """A 64-bit hash of ``size`` bytes from each place on."""
-    base = _BASE[kind]
+    if kind not in _POWERS:
+        _POWERS[kind] = []
+        for base in (pow(_BASE[kind], -1, 1 << 64), _BASE[kind]):
+            powers = np.full(STRETCH + 2 * WINDOW, np.uint64(base))
+            powers[0] = 1
+            _POWERS[kind].append(np.cumprod(powers))
     with np.errstate(over="ignore"):
-        powers = np.full(len(raw) + 1, np.uint64(pow(base, -1, 1 << 64)))
-        powers[0] = 1
-        powers = np.cumprod(powers)  # of the inverse, so that hashes don't depend on the place
+        inverse, powers = (_powers(p, len(raw) + 1) for p in _POWERS[kind])
+        # of the inverse, so that hashes don't depend on the place
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[kind][raw] * powers[:-1], out=sums[1:])
-        back = np.full(len(raw) + 1, np.uint64(base))
-        back[0] = 1
-        np.cumprod(back, out=back)
-        return mixed((sums[first + size] - sums[first]) * back[first] + size.astype(np.uint64))
+        np.cumsum(_BYTE[kind][raw] * inverse[:-1], out=sums[1:])
+        return mixed((sums[first + size] - sums[first]) * powers[first] + size.astype(np.uint64))
 
 
-def segments(raw: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """The segments of documents that lie end to end: anchor, first window, number of windows, document, and two hashes of the bytes."""
+_POWERS: dict[int, list[np.ndarray]] = {}
+
+
+def _powers(known: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(known):
+        return known[:n]
+    more = np.full(n, known[1])
+    more[0] = 1
+    return np.cumprod(more)
+
+
+def segments(raw: np.ndarray, at: np.ndarray, window: int, hashes: int = 2) -> np.ndarray:
+    """The segments of documents that lie end to end: anchor, first window, number of windows, document, and two hashes of the bytes (or one)."""
     out = [np.zeros(0, SEGMENT)]
     span = window - ANCHOR + 1
     for low in range(0, len(raw) - window + 1, STRETCH):
@@ -121,7 +133,8 @@ def segments(raw: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
         found["anchor"], found["first"], found["count"] = gram[place[first]], first + low, count
         found["doc"] = np.searchsorted(at, found["first"], side="right") - 1
         size = count + window - 1
-        found["one"], found["two"] = string_hashes(part, first, size, 0), string_hashes(part, first, size, 1)
+        for kind, name in enumerate(("one", "two")[:hashes]):
+            found[name] = string_hashes(part, first, size, kind)
         out.append(found)
     return np.concatenate(out)
 
@@ -222,7 +235,7 @@ def _ask_anchors(window: int, buckets: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 own = Slice(batch, row)
-                anchor, n = anchors_of(segments(own.raw, own.at, window))
+                anchor, n = anchors_of(segments(own.raw, own.at, window, 1))
                 number = batch.column("slice_id")[row].as_py()
                 rows = [(number, bucket, anchor[part].tobytes() + np.minimum(n[part], 1 << 31).astype("<u4").tobytes()) for bucket, part in grouped((anchor % np.uint64(buckets)).astype(np.int64))]
                 yield from _send(["slice_id", "bucket", "body"], rows)
@@ -232,14 +245,18 @@ def _ask_anchors(window: int, buckets: int):
 
 def anchors_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct anchors, in order, and the number of segments of each; equal segments count as one, but two at least if there are several."""
-    by = np.lexsort((found["two"], found["one"], found["anchor"]))
-    a = found[by]
-    if not len(a):
-        return a["anchor"], np.zeros(0, np.int64)
-    new = np.concatenate((np.ones(1, bool), a["anchor"][1:] != a["anchor"][:-1]))
-    unlike = new | np.concatenate((np.ones(1, bool), (a["one"][1:] != a["one"][:-1]) | (a["two"][1:] != a["two"][:-1])))
-    first = np.flatnonzero(new)
-    return a["anchor"][first], np.maximum(np.add.reduceat(unlike.astype(np.int64), first), np.minimum(np.diff(np.append(first, len(a))), 2))
+    anchor, times = np.unique(found["anchor"], return_counts=True)
+    n = times.astype(np.int64)
+    # most anchors stand once; the bytes of others are compared by one hash, which may count some as one
+    several = np.flatnonzero(times > 1)
+    at = np.searchsorted(anchor[several], found["anchor"])
+    at = np.minimum(at, max(0, len(several) - 1))
+    own = np.flatnonzero(anchor[several][at] == found["anchor"]) if len(several) else np.zeros(0, np.int64)
+    by = np.lexsort((found["one"][own], at[own]))
+    group, one = at[own][by], found["one"][own][by]
+    unlike = np.concatenate((np.ones(1, bool), (group[1:] != group[:-1]) | (one[1:] != one[:-1]))) if len(own) else np.zeros(0, bool)
+    n[several] = np.maximum(2, np.bincount(group[unlike], minlength=len(several)))
+    return anchor, n
 
 
 def _tell_anchors(most: int):
@@ -270,7 +287,7 @@ def _ask_first(window: int, buckets: int):
                 own = Slice(batch, row)
                 found = segments(own.raw, own.at, window)
                 told = told_to(batch, row, "ways")
-                anchor, _ = anchors_of(found)
+                anchor = np.unique(found["anchor"])
                 way = np.zeros(len(anchor), np.uint8)
                 for bucket, part in grouped((anchor % np.uint64(buckets)).astype(np.int64)):
                     way[part] = np.frombuffer(told[bucket], np.uint8)
@@ -364,7 +381,9 @@ def repeated(text: np.ndarray, sizes: np.ndarray, order: np.ndarray, window: int
     owner = np.repeat(np.arange(len(sizes)), count)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     places = begin[owner] + number
-    rank = suffix_ranks(symbols, window)[places]
+    wanted = np.zeros(len(symbols), bool)
+    wanted[places] = True
+    rank = suffix_ranks(symbols, window, wanted)[places]
     by = np.argsort(rank)
     plain = np.zeros(len(symbols), np.uint8)
     plain[inner] = text

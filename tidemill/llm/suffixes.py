@@ -42,8 +42,8 @@ def joint(high: list[np.ndarray], low: list[np.ndarray]) -> list[np.ndarray]:
     return [h * width + x for h, x in zip(high, low, strict=True)]
 
 
-def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """A rank from 1 on for each suffix; suffixes that differ within ``depth`` symbols are in their order.
+def suffix_ranks(symbols: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Ranks from 1 on of the suffixes at the ``wanted`` places (a mask; without one, of all); suffixes that differ within ``depth`` symbols are in their order.
 
     Symbols are 0 or more.  Suffixes at places that 3 does not divide are the
     sample: their triples are sorted and named, and the names, one class of
@@ -51,7 +51,7 @@ def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     are distinct or reach ``depth``.  The remaining suffixes are sorted by
     their first symbol and the rank after it, and merged with the sample.
     Past the end of ``symbols`` stand zeros; suffixes that reach it within
-    ``depth`` symbols are in some order.
+    ``depth`` symbols are in some order.  Ranks of other places are 0.
     """
     n = len(symbols)
     if n < 3:
@@ -64,26 +64,38 @@ def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     sample = np.concatenate((one, two))
     named = names([s[sample], s[sample + 1], s[sample + 2]])
     if depth > 3 and int(named.max()) < len(sample):
-        deeper = suffix_ranks(np.concatenate((named[: len(one)], np.zeros(1, np.int64), named[len(one) :])), -(-depth // 3))
+        deeper = suffix_ranks(np.concatenate((named[: len(one)], np.zeros(1, np.int64), named[len(one) :])), -(-depth // 3), None if wanted is None else _asked(wanted, one, two))
         named = np.concatenate((deeper[: len(one)], deeper[len(one) + 1 :]))
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = named
-    sample = sample[np.argsort(named)]
+    if wanted is not None:
+        sample, rest = sample[wanted[sample]], rest[wanted[rest]]
+    sample = sample[np.argsort(rank[sample])]
     one, two = sample[sample % 3 == 1], sample[sample % 3 == 2]
     # against class 1: a symbol and the rank after it; against class 2: two symbols and the rank after them
     mine, theirs = joint([s[rest], s[one]], [rank[rest + 1], rank[one + 1]])
-    rest = rest[np.argsort(mine)]
-    mine.sort()
+    by = np.argsort(mine)
+    rest, mine = rest[by], mine[by]
     before = np.searchsorted(np.maximum.accumulate(theirs), mine)
     pairs = joint([s[rest], s[two]], [s[rest + 1], s[two + 1]])
     mine, theirs = joint(pairs, [rank[rest + 2], rank[two + 2]])
     before = np.maximum.accumulate(before + np.searchsorted(np.maximum.accumulate(theirs), mine)) if len(two) else before
-    out = np.empty(n, np.int64)
+    out = np.zeros(n, np.int64)
     out[rest] = before + np.arange(1, len(rest) + 1)
     out[sample] = np.arange(1, len(sample) + 1) + np.searchsorted(before, np.arange(len(sample)), side="right")
     return out
 
 
+def _asked(wanted: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which places of the names must be ranked, so that the wanted places can be: what the keys of each class read."""
+    asked = np.zeros(len(wanted) + 2, bool)
+    for kind, ahead in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
+        for k in ahead:
+            places = wanted[kind::3]
+            asked[kind + k :: 3][: len(places)] |= places
+    return np.concatenate((asked[one], np.zeros(1, bool), asked[two]))
+
+
 def equal_to_last(text: np.ndarray, places: np.ndarray, length: int, rows: int = 1 << 17) -> np.ndarray:
     """Whether each place's ``length`` bytes equal those of the place before it in ``places``."""
     out = np.zeros(len(places), bool)
