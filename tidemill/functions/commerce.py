@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import address_domain, domain, fold, in_domain, labelled_line, let, markup_types, plain_text, reasons, sender_role
+from .text import address_domain, domain, fold, in_domain, labelled_line, let, markup_types, plain_text, reasons, sender_role, without_history
 
 # fixed values: words that make a subject, a snippet or a file name one of commerce
 KEYWORDS = (
@@ -50,13 +50,115 @@ PROMISES = (
     r"\bmiutan\b[^.!?\n]{0,120}\b(?:kaptal|kapott|kapsz|kapja|kap)\b[^.!?\n]{0,120}\bertesitest\b[^.!?\n]{0,160}\batveheto\b", r"\bcsak\s+akkor\b[^.!?\n]{0,220}\bmiutan\b[^.!?\n]{0,220}\bertesitest\b[^.!?\n]{0,160}\batveheto\b",
     r"\bwe(?:'ll|\s+will)\s+(?:notify|email|send)[^.!?\n]{0,180}\b(?:when|once|as\s+soon\s+as)\b", r"\byou(?:'ll|\s+will)\s+(?:be\s+notified|receive)[^.!?\n]{0,180}\b(?:when|once|as\s+soon\s+as)\b",
 )
-# fixed values: how identities are written, in order of preference
+# fixed values: how orders are named in confirmations, in order of preference
 ORDER_IDS = (
-    r"\border\s*(?:number|no\.?|id)\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b", r"\border\s*#\s*([a-z0-9][a-z0-9._/-]{3,39})\b",
-    r"\b(?:rendeles(?:szam|\s+szama|\s+azonosito)|megrendeles(?:szam|\s+szama|\s+azonosito))\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b", r"\b(?:bestellnummer|bestellnr\.?|auftragsnummer)\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
-)
+    r"\border\s*(?:number|no\.?|id)\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\border\s*#\s*[:#-]?\s*([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\b(?:rendeles|megrendeles)\s*:\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\b(?:rendeles(?:szam|\s+szama|\s+azonosito)|megrendeles(?:szam|\s+szama|\s+azonosito))\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\b(?:bestellnummer|bestellnr\.?|auftragsnummer)\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\b(?:numero de commande|commande n[°o]?|n[°o]? de commande)\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\b(?:numero de pedido|pedido n[°o]?|pedido)\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+)
+# fixed values: how orders are named in later messages, in order of preference
+LATER_ORDER_IDS = (
+    r"\border\s*(?:number|no\.?|id)\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\border\s*#\s*([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\b(?:rendeles(?:szam|\s+szama|\s+azonosito)|megrendeles(?:szam|\s+szama|\s+azonosito))\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\b(?:a\s+)?(?:rendeles|megrendeles)\s*#\s*([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"#([a-z0-9][a-z0-9._/-]{3,39})\s+szamu\s+(?:rendeleshez|megrendeleshez)\b",
+    r"\b(?:a\s+)?([a-z0-9][a-z0-9._/-]{3,39})\s+(?:szamu\s+)?(?:rendelest|megrendelest|rendelesedet|megrendelesedet|rendeleset|megrendeleset|rendelesed|megrendelesed|rendelese|megrendelese)\b",
+    r"(?m)^([a-z]{1,8}\d{4,20})\s*-\s*(?:rendelesed|megrendelesed)\b",
+    r"\b(?:bestellnummer|bestellnr\.?|auftragsnummer)\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+    r"\b(?:numero de commande|commande n[°o]?|numero de pedido|pedido n[°o]?)\s*[:#-]?\s*#?([a-z0-9][a-z0-9._/-]{3,39})\b",
+)
+# fixed values: how parcels and invoices are named, in order of preference
 TRACKING_IDS = (r"\b(?:tracking(?:\s*(?:number|no\.?|id))?|nyomkovetesi\s*(?:szam|azonosito)|csomag(?:szam|azonosito)|kuldemeny(?:szam|azonosito)|parcel(?:\s*(?:number|no\.?|id))|shipment(?:\s*(?:number|no\.?|id)))\s*[:#-]?\s*([a-z0-9][a-z0-9-]{7,39})\b",)
-INVOICE_IDS = (r"\b(?:szamla(?:szam|\s+sorszama)?|invoice\s*(?:number|no\.?))\s*[:#-]?\s*([a-z0-9][a-z0-9./_-]{3,39})\b", r"\binvoice\s+([a-z0-9][a-z0-9./_-]{3,39})(?:\s|$)")
+INVOICE_IDS = (
+    r"\b(?:szamla(?:szam|\s+sorszama)?|invoice\s*(?:number|no\.?))\s*[:#-]?\s*([a-z0-9][a-z0-9./_-]{3,39})\b",
+    r"(?m)^\s*szamla\s+([a-z0-9][a-z0-9./_-]{3,39})(?:\s|-|$)",
+    r"\binvoice\s+([a-z0-9][a-z0-9./_-]{3,39})(?:\s|$)",
+)
+# fixed values: wordings by which a message says that it accepts no order
+DISCLAIMERS = (
+    r"\b(?:ez az|ez a) e-?mail nem minosul (?:a )?megrendeles visszaigazolasanak\b",
+    r"\b(?:ez az|ez a) (?:uzenet|ertesites) nem minosul (?:a )?megrendeles visszaigazolasanak\b",
+    r"\b(?:csak|csupan) (?:a )?veteli ajanlat (?:be)?erkezeserol ertesit(?:unk|es)\b",
+    r"\b(?:a )?(?:rendeles|megrendeles) (?:rogzitese|beerk(?:ezese|ezese)) nem jelenti (?:a )?(?:rendeles|megrendeles) elfogadasat\b",
+    r"\b(?:ez (?:egy |az |a )?)?(?:automatikusan kuldott |automatikus )?(?:e-?mail|email|uzenet|ertesites|visszaigazolas)[^\n.]{0,140}\bnem jelent(?:i)?\b[^\n.]{0,140}\b(?:automatikus )?szerzodeskotes(?:t|et)?\b",
+    r"\b(?:ez (?:egy |az |a )?)?(?:automatikusan kuldott |automatikus )?(?:e-?mail|email|uzenet|ertesites|visszaigazolas)[^\n.]{0,140}\bnem jelent(?:i)?\b[^\n.]{0,160}\b(?:a )?szerzodes(?: megkoteset| letrejottet)\b",
+    r"\b(?:ez (?:egy |az |a )?)?(?:automatikusan kuldott |automatikus )?(?:e-?mail|email|uzenet|ertesites|visszaigazolas)[^\n.]{0,160}\bnem jelent(?:i)?\b[^\n.]{0,180}\b(?:a )?(?:veteli (?:szerzodes megkotesere vonatkozo )?)?ajanlat elfogadasat\b",
+    r"\b(?:csak|csupan) (?:azt )?(?:igazolja|erositi meg),? hogy (?:a )?(?:rendelest|megrendelest) megkaptuk\b",
+    r"\bthis (?:e-?mail|email|message) does not constitute (?:an? )?(?:order confirmation|acceptance of (?:your )?(?:order|offer))\b",
+    r"\bthis (?:e-?mail|email|message) is not (?:an? )?(?:order confirmation|acceptance of (?:your )?(?:order|offer))\b",
+    r"\bthis (?:e-?mail|email|message|acknowledg(?:e)?ment)[^\n.]{0,120}\bdoes not mean\b[^\n.]{0,120}\ba contract has been (?:formed|concluded)\b",
+    r"\bthis (?:e-?mail|email|message|acknowledg(?:e)?ment)[^\n.]{0,120}\bdoes not constitute\b[^\n.]{0,120}\b(?:a )?contract\b",
+    r"\byour order has not yet been accepted\b",
+    r"\bwe (?:have )?received your order,? but (?:it|your order) has not (?:yet )?been accepted\b",
+    r"\bwe (?:have )?received your order,? but (?:we )?have not (?:yet )?accepted it\b",
+    r"\b(?:only|merely) acknowledges? receipt of (?:your )?(?:purchase offer|order request|order)\b",
+    r"\backnowledges? receipt (?:only|solely)\b",
+)
+# fixed values: senders of many merchants' messages, and of their invoices, which no merchant's name follows from
+SHARED_SENDERS = ("shopifyemail.com", "my.store-emails.com", "squarespace.info")
+INFRASTRUCTURE = ("chameleoon.sk", "szamlazz.hu", "billingo.hu", "myshoprenter.hu")
+# fixed values: domains whose messages have parsers of their own
+OWN_PARSERS = ("service.gymbeam.hu", "gyerekjatekbolt.com", "alza.hu", "aboutyou.hu", "service-mail.zalando.hu", "dorko.hu", "jatektenger.hu")
+# fixed values: wordings of the present state of an order or a parcel, by phase, the furthest first
+PHASES = {
+    "delivered": (
+        r"\b(?:rendelesed|megrendelesed|csomagod) (?:sikeresen )?kezbesitve\b",
+        r"\b(?:rendelesedet|megrendelesedet|rendeleset|megrendeleset|csomagodat) (?:sikeresen )?kezbesitett(?:uk|ek)\b",
+        r"\b(?:your )?(?:order|package) (?:has been |was )?delivered\b",
+        r"\bdelivered successfully\b",
+    ),
+    "ready_for_pickup": (
+        r"\b(?:rendelesed|megrendelesed|csomagod) (?:mar )?atveheto\b",
+        r"\batveheto (?:az|a) (?:uzletben|atvevohelyen|automataban|csomagautomataban|ponton)\b",
+        r"\b(?:your )?(?:order|package) is ready for (?:collection|pickup)\b",
+        r"\bready for (?:collection|pickup)\b",
+    ),
+    "out_for_delivery": (
+        r"\b(?:rendelesed|megrendelesed|csomagod) (?:mar )?(?:a )?kezbesitonel van\b",
+        r"\b(?:ma|a mai napon) kezbesit(?:juk|ik) (?:a )?(?:rendelesedet|megrendelesedet|rendeleset|megrendeleset|csomagodat)\b",
+        r"\b(?:your )?(?:order|package) is out for delivery\b",
+        r"\bout for delivery\b",
+    ),
+    "shipped": (
+        r"\b(?:rendelesedet|megrendelesedet|rendeleset|megrendeleset|rendelesed|megrendelesed|rendelese|megrendelese|csomagodat|rendelt csomagot) [^\n.]{0,80}\b(?:feladtuk|elkuld(?:tuk|tek))\b",
+        r"\b(?:rendelesedet|megrendelesedet|rendeleset|megrendeleset|rendelesed|megrendelesed|rendelese|megrendelese|csomagodat) [^\n.]{0,100}\batadtuk [^\n.]{0,60}\b(?:futarnak|futarszolgalatnak|szallitonak)\b",
+        r"\b(?:your )?(?:order|package) (?:has been |was )?shipped\b",
+        r"\bwe (?:have )?shipped (?:your )?(?:order|package)\b",
+    ),
+    "in_transit": (
+        r"\b(?:csomagod|csomagja) (?:mar )?uton van\b",
+        r"\b(?:your )?package is on (?:its|the) way\b",
+        r"\b(?:your )?package is in transit\b",
+    ),
+}
+# fixed values: an order that is on its way is a parcel only where the message speaks of one
+ORDER_ON_ITS_WAY = (
+    r"\b(?:rendelesed|megrendelesed|rendelese|megrendelese) (?:mar )?uton van\b",
+    r"\b(?:your )?order is on (?:its|the) way\b",
+    r"\b(?:your )?order is in transit\b",
+)
+OF_PARCELS = (
+    r"\bcsomag(?:od|ja|odat|jat|ok|ot)?\b", r"\bfutar(?:nak|szolgalat(?:nak)?)?\b", r"\bkuldemeny(?:ed|e|szam|azonosito|\s+azonositoja)?\b", r"\bnyomkovet",
+    r"\btracking\b", r"\bparcel\b", r"\bshipment\b", r"\bcourier\b", r"\bcarrier\b",
+)
+# fixed values: wordings that tell of an order's invoice
+INVOICING = (
+    r"\b(?:rendelesedhez|megrendelesedhez|rendeleshez|megrendeleshez) tartozo szamla\b",
+    r"\bszamlad (?:elkeszult|kiallitottuk)\b",
+    r"\belektronikus szamla(?:d)? [^\n.]{0,80}\b(?:kiallitva|kiallitottuk|kerult kiallit(?:asra|va))\b",
+    r"\buj elektronikus szamlad erkezett\b",
+    r"\bmellekeltuk (?:a )?szamlad\b",
+    r"\bmellekletekent kuldjuk [^\n.]{0,100}\b(?:rendelesed|megrendelesed|rendelese|megrendelese) szamlajat\b",
+    r"\b(?:csatolva|mellekletben|mellekletekent) [^\n.]{0,120}\b(?:elkeszult )?szamla(?:t|dat|jat)\b",
+    r"\b(?:rendelesed|megrendelesed|rendelese|megrendelese) szamla(?:ja|jat|dat)\b",
+    r"\binvoice (?:for|for your) (?:order|purchase)\b",
+    r"\byour invoice (?:is ready|has been issued)\b",
+)
 # fixed values: words that make an amount credible
 MONEY_WORDS = ("total", "amount", "paid", "payment", "price", "összesen", "fizetendő", "fizetendo", "összeg", "osszeg", "ár", "ar:", "végösszeg", "vegosszeg", "utánvét", "utanvet", "cash on delivery")
 # fixed values: wordings by which a delivery is told from a shipment
@@ -102,10 +204,13 @@ def commerce_reasons(messages: DataFrame) -> DataFrame:
     return texts.withColumn("why", why).drop("__plain", "__raw", "__sender", "__types", "__spoken", "__searched")
 
 
-def identity(text: Column, patterns: tuple[str, ...]) -> Column:
-    """The first group of the first pattern that matches; what has no digit in it is no identity."""
-    found = [F.regexp_replace(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), r"[.,;:)]+$", "") for p in patterns]
-    return F.coalesce(*[let(x, lambda v: F.when(v.rlike("[0-9]"), v)) for x in found])
+def identity(text: Column, patterns: tuple[str, ...], every: bool = False) -> Column:
+    """The first group of the first pattern whose first match has a digit in it; with ``every``, of the first match of all that has one."""
+    clean = lambda x: F.regexp_replace(F.nullif(x, F.lit("")), r"[.,;:)]+$", "")
+    if every:
+        found = [F.get(F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), clean), lambda v: v.rlike("[0-9]")), F.lit(0)) for p in patterns]
+        return F.coalesce(*found)
+    return F.coalesce(*[let(clean(F.regexp_extract(text, p, 1)), lambda v: F.when(v.rlike("[0-9]"), v)) for p in patterns])
 
 
 def without_promises(body: Column) -> Column:
@@ -141,45 +246,60 @@ def local_money(raw: Column, currency: Column) -> Column:
     return let(F.struct(F.regexp_replace(raw, "[^0-9,.-]", "").alias("v"), currency.alias("currency")), parsed)
 
 
-#: Currencies after an amount.
-CURRENCY = r"(ft|huf|eur|usd|gbp|€|\$|£)"
+#: A currency, an amount.
+CURRENCY, AMOUNT = r"(ft|huf|eur|usd|gbp|€|\$|£)", r"([0-9][0-9 .,'’]*)"
 
 
 def labelled_money(text: Column, labels: tuple[str, ...]) -> Column:
-    """amount and currency after the first label that has both, null without."""
+    """amount and currency at the first label that has both; the currency stands before the amount or after it.  Null without."""
     found = []
     for label in labels:
-        pattern = rf"(?:^|\n|\b){label}\s*[:#-]?\s*([0-9][0-9 .,]*)\s*{CURRENCY}"
-        parts = F.struct(F.regexp_extract(text, pattern, 1).alias("raw"), currency_of(F.regexp_extract(text, pattern, 2)).alias("currency"))
+        pattern = rf"(?:^|\n|\b){label}\s*[:#-]?\s*(?:([a-z]{{3}}|€|\$|£)\s*)?{AMOUNT}(?:\s*{CURRENCY})?"
+        known = F.regexp_extract(text, pattern, 1).rlike(f"^{CURRENCY}$")
+        token = F.when(known, F.regexp_extract(text, pattern, 1)).otherwise(F.regexp_extract(text, pattern, 3))
+        parts = F.struct(F.regexp_extract(text, pattern, 2).alias("raw"), currency_of(token).alias("currency"))
         both = let(parts, lambda m: F.struct(local_money(m["raw"], m["currency"]).alias("amount"), m["currency"].alias("currency")))
         found.append(F.when(text.contains(label), let(both, lambda m: F.when(m["amount"].isNotNull() & m["currency"].isNotNull(), m))))
     return F.coalesce(*found)
 
 
-ROW = r"(?:^|\n)[ \t]*([^\n|]{3,160}?)[ \t]*\|[ \t]*(?:qty|quantity|mennyiseg|menge|qte)[ \t]*[:x]?[ \t]*([0-9]+)[ \t]*\|[ \t]*([0-9][0-9 .,]*)[ \t]*(ft|huf|eur|usd|gbp)\b"
+# fixed values: rows of products, with bars or with a cross
+ROWS = (
+    r"(?:^|\n)\s*([^\n|]{3,160}?)\s*\|\s*(?:qty|quantity|mennyiseg|menge|qte)\s*[:x]?\s*(\d+)\s*\|\s*([0-9][0-9 .,'’]*)\s*(ft|huf|eur|usd|gbp|€|\$|£)\b",
+    r"(?:^|\n)\s*([^\n]{3,160}?)\s+[x×]\s*(\d+)\s+([0-9][0-9 .,'’]*)\s*(ft|huf|eur|usd|gbp|€|\$|£)\b",
+)
 SUMS = r"^(?:subtotal|shipping|delivery|discount|total|osszesen|szallitas|kedvezmeny)\b"
 
 
 def product_rows(text: Column) -> Column:
-    """name, quantity, total and currency of the rows ``name | qty: n | amount currency`` of a folded text, fifty at most."""
-    part = lambda k: F.regexp_extract_all(text, F.lit(ROW), F.lit(k))
-    rows = F.transform(
-        F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), part(4).alias("d")),
-        lambda r: F.struct(F.trim(r["a"]).alias("name"), r["b"].cast("int").alias("quantity"), local_money(r["c"], currency_of(r["d"])).alias("total"), currency_of(r["d"]).alias("currency")),
-    )
-    return F.slice(F.filter(rows, lambda r: (r["quantity"] > 0) & r["total"].isNotNull() & ~r["name"].rlike(SUMS)), 1, 50)
+    """name, quantity, total and currency of the rows ``name | qty: n | amount currency``, then of those ``name x n amount currency``, of a folded text; fifty at most."""
+    found = []
+    for pattern in ROWS:
+        part = lambda k, pattern=pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+        found.append(F.transform(
+            F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), part(4).alias("d")),
+            lambda r: F.struct(F.trim(r["a"]).alias("name"), r["b"].try_cast("int").alias("quantity"), local_money(r["c"], currency_of(r["d"])).alias("total"), currency_of(r["d"]).alias("currency")),
+        ))
+    return F.slice(F.filter(F.concat(*found), lambda r: (r["quantity"] > 0) & r["total"].isNotNull() & ~r["name"].rlike(SUMS)), 1, 50)
 
 
 def generic_order(sender: Column, subject: Column, body: Column) -> Column:
     """order, corroborators, confidence, total and currency of a message that confirms an order; null of others.
 
-    ``subject`` and ``body`` are folded.  Carriers and public mailboxes confirm
-    nothing, and two of six signs must corroborate the order's number.
+    ``subject`` and ``body`` are folded; what the body quotes says nothing.
+    Carriers, public mailboxes and senders of many shops confirm nothing, a
+    message that says it is no acceptance neither, and two of six signs must
+    corroborate the order's number.
     """
+    return let(F.struct(subject.alias("subject"), without_history(body).alias("body")), lambda m: _fresh_order(sender, m["subject"], m["body"]))
+
+
+def _fresh_order(sender: Column, subject: Column, body: Column) -> Column:
     context = F.concat_ws("\n", subject, body)
+    shared = reduce(Column.__or__, [in_domain(sender, d) for d in SHARED_SENDERS])
     read = F.struct(
-        identity(context, ORDER_IDS).alias("order"), labelled_money(body, TOTALS).alias("money"), labelled_line(body, PAYMENTS).isNotNull().alias("payment"), labelled_line(body, SHIPPINGS).isNotNull().alias("shipping"), (F.size(product_rows(body)) > 0).alias("rows"), context.rlike(DETAILS).alias("details"),
-        any_of(subject, CONFIRMING_SUBJECTS).alias("subject"), ((sender != "") & (sender_role(sender) == "unknown") & any_of(context, CONFIRMATIONS)).alias("confirms"),
+        identity(context, ORDER_IDS, every=True).alias("order"), labelled_money(body, TOTALS).alias("money"), labelled_line(body, PAYMENTS).isNotNull().alias("payment"), labelled_line(body, SHIPPINGS).isNotNull().alias("shipping"), (F.size(product_rows(body)) > 0).alias("rows"), context.rlike(DETAILS).alias("details"),
+        any_of(subject, CONFIRMING_SUBJECTS).alias("subject"), ((sender != "") & (sender_role(sender) == "unknown") & ~shared & any_of(context, CONFIRMATIONS) & ~any_of(context, DISCLAIMERS)).alias("confirms"),
     )
 
     def decided(r: Column) -> Column:
@@ -190,6 +310,38 @@ def generic_order(sender: Column, subject: Column, body: Column) -> Column:
     return let(read, decided)
 
 
+def phase_of(text: Column) -> Column:
+    """The furthest phase that a folded text says an order or a parcel is in; null where it says none."""
+    transit = any_of(text, PHASES["in_transit"]) | (any_of(text, ORDER_ON_ITS_WAY) & any_of(text, OF_PARCELS))
+    return F.coalesce(*[F.when(transit if name == "in_transit" else any_of(text, patterns), F.lit(name)) for name, patterns in PHASES.items()])
+
+
+def observations(sender: Column, subject: Column, body: Column) -> Column:
+    """event, phase, order, tracking, invoice and confidence of what a single merchant's message tells: an invoice, a parcel, both or nothing.
+
+    ``subject`` and ``body`` are folded.  What is quoted and what is promised
+    says nothing; senders that speak for many, carriers, public mailboxes and
+    merchants with parsers of their own are left to others.
+    """
+
+    def fresh(m: Column) -> Column:
+        context = F.trim(F.concat_ws("\n", m["subject"], m["body"]))
+        named = F.struct(identity(context, LATER_ORDER_IDS).alias("order"), F.upper(identity(context, TRACKING_IDS)).alias("tracking"), identity(context, INVOICE_IDS).alias("invoice"), F.concat_ws("\n", m["subject"], without_promises(m["body"])).alias("now"))
+        return let(named, told)
+
+    def told(r: Column) -> Column:
+        seen = lambda event, phase, order, tracking, invoice, confidence: F.struct(event.alias("event"), phase.alias("phase"), order.alias("order"), tracking.alias("tracking"), invoice.alias("invoice"), confidence.alias("confidence"))
+        none = F.lit(None).cast("string")
+        bill = F.when(r["order"].isNotNull() & any_of(r["now"], INVOICING), seen(F.lit("invoice_or_receipt"), none, r["order"], none, r["invoice"], F.when(r["invoice"].isNotNull(), 0.95).otherwise(0.93)))
+        both = F.when(r["order"].isNotNull() & r["tracking"].isNotNull(), 0.96).otherwise(0.93)
+        parcel = F.when(F.coalesce(r["order"], r["tracking"]).isNotNull(), let(phase_of(r["now"]), lambda p: F.when(p.isNotNull(), seen(F.when(p == "delivered", "delivery").otherwise("shipment"), p, r["order"], r["tracking"], none, both))))
+        return F.array_compact(F.array(bill, parcel))
+
+    others = reduce(Column.__or__, [in_domain(sender, d) for d in (*SHARED_SENDERS, *INFRASTRUCTURE)])
+    safe = (sender != "") & (sender_role(sender) == "unknown") & ~others & ~sender.isin(*OWN_PARSERS)
+    return F.when(safe, let(F.struct(subject.alias("subject"), without_history(body).alias("body")), fresh))
+
+
 def carrier_message(sender: Column, text: Column) -> Column:
     """tracking, phase and event of a carrier's message; the furthest phase counts."""
     tracking = identity(text, TRACKING_IDS)

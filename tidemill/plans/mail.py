@@ -51,7 +51,10 @@ def sql_role(x: str) -> str:
     return f"CASE WHEN {carriers} THEN 'carrier' WHEN {x} IN ({', '.join(map(lit, T.PUBLIC_MAILBOXES))}) THEN 'public' ELSE 'unknown' END"
 
 
-def _identity(x: str, patterns) -> str:
+def _identity(x: str, patterns, every: bool = False) -> str:
+    if every:
+        clean = r"regexp_replace(v, '[.,;:)]+$', '')"
+        return "coalesce(" + ", ".join(f"list_filter(list_transform(regexp_extract_all({x}, {lit(p)}, 1), lambda v: {clean}), lambda v: regexp_matches(v, '[0-9]'))[1]" for p in patterns) + ")"
     each = [rf"regexp_replace(nullif(regexp_extract({x}, {lit(p)}, 1), ''), '[.,;:)]+$', '')" for p in patterns]
     return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({e}, '[0-9]') THEN {e} END" for e in each) + ")"
 
@@ -76,9 +79,10 @@ def _amount(x: str, currency: str) -> str:
 
 
 def _money(x: str, label: str) -> tuple[str, str]:
-    p = lit(rf"(?:^|\n|\b){label}\s*[:#-]?\s*([0-9][0-9 .,]*)\s*{C.CURRENCY}")
-    currency = f"({_currency(f'regexp_extract({x}, {p}, 2)')})"
-    return _amount(f"regexp_extract({x}, {p}, 1)", currency), currency
+    p = lit(rf"(?:^|\n|\b){label}\s*[:#-]?\s*(?:([a-z]{{3}}|€|\$|£)\s*)?{C.AMOUNT}(?:\s*{C.CURRENCY})?")
+    part = lambda k: f"regexp_extract({x}, {p}, {k})"
+    currency = f"({_currency(f'CASE WHEN regexp_matches({part(1)}, {lit(f"^{C.CURRENCY}$")}) THEN {part(1)} ELSE {part(3)} END')})"
+    return _amount(part(2), currency), currency
 
 
 _PLAIN = _chain("html", (r"(?is)<script\b[^>]*>.*?</script>", "' '"), (r"(?is)<style\b[^>]*>.*?</style>", "' '"), (r"<[^>]+>", "' '"), (r"(?i)&nbsp;", "' '"), (r"(?i)&amp;", "'&'"))
@@ -264,14 +268,14 @@ def future_sentence_filter(spark, d):
     return m.select("id", (n(F.regexp_replace("body", r"([.!?])\s+", "$1\n")) - n("kept")).cast("long").alias("dropped"), F.sha2("kept", 256).alias("kept_sha"))
 
 
-def _part(x: str, k: int) -> str:
-    return f"regexp_extract_all({x}, {lit(C.ROW)}, {k})"
+def _rows_of(texts: str, body: str) -> str:
+    """All rows of products of the texts, in either form."""
+    each = [f"SELECT id, {n} AS form, " + ", ".join(f"unnest(regexp_extract_all({body}, {lit(p)}, {k})) AS {name}" for k, name in enumerate(("name", "q", "a", "c"), 1)) + f" FROM {texts}" for n, p in enumerate(C.ROWS)]
+    return f"""r AS ({" UNION ALL ".join(each)}), p AS (SELECT id, trim(name) AS name, TRY_CAST(q AS INT) AS quantity, {_amount("a", f"({_currency('c')})")} AS total, {_currency("c")} AS currency FROM r),
+    pr_rows AS (SELECT * FROM p WHERE quantity > 0 AND total IS NOT NULL AND NOT regexp_matches(name, {lit(C.SUMS)}))"""
 
 
-
-@query(f"""{M}, {_TEXTS}, r AS (SELECT id, unnest({_part("folded_body", 1)}) AS name, unnest({_part("folded_body", 2)}) AS q, unnest({_part("folded_body", 3)}) AS a, unnest({_part("folded_body", 4)}) AS c FROM tx),
-    p AS (SELECT id, trim(name) AS name, CAST(q AS INT) AS quantity, {_amount("a", f"({_currency('c')})")} AS total, {_currency("c")} AS currency FROM r)
-    SELECT * FROM p WHERE quantity > 0 AND total IS NOT NULL AND NOT regexp_matches(name, {lit(C.SUMS)})""")
+@query(f"{M}, {_TEXTS}, {_rows_of('tx', 'folded_body')} SELECT * FROM pr_rows")
 def product_rows(spark, d):
     m = _message_texts(messages(spark, d)).select("id", F.explode(C.product_rows(F.col("folded_body"))).alias("p"))
     return m.select("id", "p.name", "p.quantity", F.col("p.total").cast("double").alias("total"), "p.currency")
@@ -301,11 +305,15 @@ def merchant_names(spark, d):
     return m.select("sender", T.merchant_name(F.col("sender")).alias("merchant"), "foxpost", T.sender_role(F.col("sender")).alias("role"), "n")
 
 
-_CONTEXT = "folded_subject || chr(10) || folded_body"
-_HAS_ROWS = f"""len(list_filter(list_zip({_part("folded_body", 1)}, {_part("folded_body", 2)}), lambda z: CAST(z[2] AS INT) > 0 AND NOT regexp_matches(trim(z[1]), {lit(C.SUMS)}))) > 0"""
-_SIGNS = f"({_FIRST_TOTAL} IS NOT NULL)::INT + ({_line('folded_body', C.PAYMENTS)} IS NOT NULL)::INT + ({_line('folded_body', C.SHIPPINGS)} IS NOT NULL)::INT + ({_HAS_ROWS})::INT + regexp_matches({_CONTEXT}, {lit(C.DETAILS)})::INT + {_any('folded_subject', C.CONFIRMING_SUBJECTS)}::INT"
+_CONTEXT, _NOW = "folded_subject || chr(10) || folded_body", "folded_subject || chr(10) || fresh"
+#: The messages with what their bodies say themselves, without what they quote.
+_FRESH = f"""ll AS (SELECT id, regexp_split_to_array(folded_body, '\\r?\\n') AS lines FROM tx), ln AS (SELECT id, lines, i FROM ll, unnest(range(1, len(lines) + 1)) u(i)), st AS (SELECT id, min(i) AS stop FROM ln WHERE {_any("lines[i]", T.HISTORY)} OR ({_HEAD}) GROUP BY 1),
+    fr AS (SELECT tx.*, trim(regexp_replace(array_to_string(list_filter(lines[1:coalesce(stop - 1, len(lines))], lambda x: NOT regexp_matches(x, '^\\s*>')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ') AS fresh FROM tx JOIN ll USING (id) LEFT JOIN st USING (id))"""
+_FRESH_TOTAL = "coalesce(" + ", ".join(f"CASE WHEN {a} IS NOT NULL AND {c} IS NOT NULL THEN {k} END" for k, (a, c) in enumerate(_money("fresh", label) for label in C.TOTALS)) + ")"
+_SIGNS = f"({_FRESH_TOTAL} IS NOT NULL)::INT + ({_line('fresh', C.PAYMENTS)} IS NOT NULL)::INT + ({_line('fresh', C.SHIPPINGS)} IS NOT NULL)::INT + (fr.id IN (SELECT id FROM pr_rows))::INT + regexp_matches({_NOW}, {lit(C.DETAILS)})::INT + {_any('folded_subject', C.CONFIRMING_SUBJECTS)}::INT"
 _PHASE = "CASE WHEN contains({0}, 'delivered') OR contains({0}, 'kezbesitve') THEN 'delivered' WHEN contains({0}, 'out for delivery') OR contains({0}, 'kiszallitas alatt') THEN 'out_for_delivery' WHEN contains({0}, 'shipped') OR contains({0}, 'feladva') THEN 'shipped' WHEN contains({0}, 'label created') OR contains({0}, 'rogzitve') THEN 'created' END"
-_PARSED = f"""pr AS (SELECT *, {sql_role("sender")} AS role, {_identity(_CONTEXT, C.ORDER_IDS)} AS o, {_identity(_CONTEXT, C.TRACKING_IDS)} AS t, {_identity(_CONTEXT, C.INVOICE_IDS)} AS i, {_SIGNS} AS signs, {_any(_CONTEXT, C.CONFIRMATIONS)} AS confirms, {_PHASE.format(_CONTEXT)} AS phase FROM tx)"""
+_SHARED = " OR ".join(_in_domain("sender", x) for x in C.SHARED_SENDERS)
+_PARSED = f"""{_FRESH}, {_rows_of('fr', 'fresh')}, pr AS (SELECT *, {sql_role("sender")} AS role, {_identity(_NOW, C.ORDER_IDS, every=True)} AS o, {_identity(_CONTEXT, C.TRACKING_IDS)} AS t, {_identity(_CONTEXT, C.INVOICE_IDS)} AS i, {_SIGNS} AS signs, {_FRESH_TOTAL} IS NOT NULL AS has_total, {_any(_NOW, C.CONFIRMATIONS)} AND NOT {_any(_NOW, C.DISCLAIMERS)} AND NOT ({_SHARED}) AS confirms, {_PHASE.format(_CONTEXT)} AS phase FROM fr)"""
 
 
 @query(f"""{M}, {_TEXTS}, {_PARSED} SELECT id, CASE WHEN role = 'carrier' AND t IS NOT NULL THEN 'carrier' WHEN role = 'unknown' AND o IS NOT NULL AND confirms AND signs >= 2 THEN 'generic_order' WHEN role = 'unknown' AND i IS NOT NULL THEN 'invoice' ELSE 'fallback' END AS parser,
@@ -328,19 +336,19 @@ def parser_chain(spark, d):
     return m.select("id", chain.alias("c")).select("id", "c.*")
 
 
-@query(f"""{M}, {_TEXTS}, q AS (SELECT id, sender, folded_subject || chr(10) || array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(folded_body, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '' AND NOT {_any("x", C.PROMISES)}), chr(10)) AS c FROM tx),
-    k AS (SELECT id, {_identity("c", C.ORDER_IDS)} AS o, {_identity("c", C.TRACKING_IDS)} AS t, {_identity("c", C.INVOICE_IDS)} AS i, {_PHASE.format("c")} AS phase FROM q WHERE {sql_role("sender")} = 'unknown' AND sender NOT IN ('szamlazz.hu'))
-    SELECT id, 'invoice' AS event, i AS identity, NULL AS phase FROM k WHERE i IS NOT NULL UNION ALL SELECT id, CASE phase WHEN 'delivered' THEN 'delivery' ELSE 'shipment' END, coalesce(o, t), phase FROM k WHERE phase IS NOT NULL AND (o IS NOT NULL OR t IS NOT NULL)""")
+_OTHERS = " OR ".join(_in_domain("sender", x) for x in (*C.SHARED_SENDERS, *C.INFRASTRUCTURE)) + f" OR list_contains({listed(C.OWN_PARSERS)}, sender)"
+_KEPT = f"array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(fresh, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '' AND NOT {_any('x', C.PROMISES)}), chr(10))"
+_NOW_PHASE = "CASE " + " ".join(f"WHEN {_any('c', p)}" + (f" OR ({_any('c', C.ORDER_ON_ITS_WAY)} AND {_any('c', C.OF_PARCELS)})" if name == "in_transit" else "") + f" THEN {lit(name)}" for name, p in C.PHASES.items()) + " END"
+
+
+@query(f"""{M}, {_TEXTS}, {_FRESH}, q AS (SELECT id, {_identity(f"trim({_NOW})", C.LATER_ORDER_IDS)} AS o, upper({_identity(f"trim({_NOW})", C.TRACKING_IDS)}) AS t, {_identity(f"trim({_NOW})", C.INVOICE_IDS)} AS i, folded_subject || chr(10) || {_KEPT} AS c FROM fr WHERE {sql_role("sender")} = 'unknown' AND sender <> '' AND NOT ({_OTHERS})),
+    k AS (SELECT *, {_NOW_PHASE} AS now, {_any("c", C.INVOICING)} AS bills FROM q)
+    SELECT id, 'invoice_or_receipt' AS event, NULL AS phase, o AS order_number, NULL AS tracking, i AS invoice, CASE WHEN i IS NOT NULL THEN 0.95 ELSE 0.93 END::DOUBLE AS confidence FROM k WHERE o IS NOT NULL AND bills
+    UNION ALL SELECT id, CASE now WHEN 'delivered' THEN 'delivery' ELSE 'shipment' END, now, o, t, NULL, CASE WHEN o IS NOT NULL AND t IS NOT NULL THEN 0.96 ELSE 0.93 END::DOUBLE FROM k WHERE now IS NOT NULL AND (o IS NOT NULL OR t IS NOT NULL)""")
 def multi_observation_explode(spark, d):
-    """A message may tell of an invoice, of a shipment or delivery, of both or of neither; promises don't count."""
-    m = _message_texts(messages(spark, d)).where((T.sender_role(F.col("sender")) == "unknown") & (F.col("sender") != "szamlazz.hu"))
-    m = m.select("id", F.concat_ws("\n", "folded_subject", C.without_promises(F.col("folded_body"))).alias("c"))
-    c = F.col("c")
-    phase = F.when(c.contains("delivered") | c.contains("kezbesitve"), "delivered").when(c.contains("out for delivery") | c.contains("kiszallitas alatt"), "out_for_delivery").when(c.contains("shipped") | c.contains("feladva"), "shipped").when(c.contains("label created") | c.contains("rogzitve"), "created")
-    named, invoice = F.coalesce(C.identity(c, C.ORDER_IDS), C.identity(c, C.TRACKING_IDS)), C.identity(c, C.INVOICE_IDS)
-    seen = lambda event, identity, phase: F.struct(event.alias("event"), identity.alias("identity"), phase.alias("phase"))
-    rows = F.array_compact(F.array(F.when(invoice.isNotNull(), seen(F.lit("invoice"), invoice, F.lit(None).cast("string"))), F.when(phase.isNotNull() & named.isNotNull(), seen(F.when(phase == "delivered", "delivery").otherwise("shipment"), named, phase))))
-    return m.select("id", F.explode(rows).alias("o")).select("id", "o.*")
+    """A message may tell of an order's invoice, of a shipment or delivery, of both or of neither; promises and quotations don't count."""
+    m = _message_texts(messages(spark, d)).select("id", F.explode(C.observations(F.col("sender"), F.col("folded_subject"), F.col("folded_body"))).alias("o"))
+    return m.select("id", "o.event", "o.phase", F.col("o.order").alias("order_number"), "o.tracking", "o.invoice", "o.confidence")
 
 
 # fixed values: wordings of two payment providers' receipts
@@ -521,7 +529,7 @@ def html_compact_text(spark, d):
 _ORDERS_FOUND = "role = 'unknown' AND o IS NOT NULL AND confirms AND signs >= 2"
 
 
-@query(f"""{M}, {_TEXTS}, {_PARSED} SELECT id, CASE WHEN signs >= 4 THEN 0.97 WHEN signs = 3 THEN 0.95 ELSE 0.92 END::DOUBLE AS confidence, left(sha256(unhex({SQL_PADS['o']} || sha256(unhex({SQL_PADS['i']} || hex(encode(sender)))))), 24) AS sender_fingerprint, {_FIRST_TOTAL} IS NOT NULL AS has_total, 'review' AS status, false AS would_write FROM pr WHERE {_ORDERS_FOUND}""")
+@query(f"""{M}, {_TEXTS}, {_PARSED} SELECT id, CASE WHEN signs >= 4 THEN 0.97 WHEN signs = 3 THEN 0.95 ELSE 0.92 END::DOUBLE AS confidence, left(sha256(unhex({SQL_PADS['o']} || sha256(unhex({SQL_PADS['i']} || hex(encode(sender)))))), 24) AS sender_fingerprint, has_total, 'review' AS status, false AS would_write FROM pr WHERE {_ORDERS_FOUND}""")
 def generic_shadow(spark, d):
     """What the generic order parser would have found, with a fingerprint in place of the sender; never written."""
     m = _message_texts(messages(spark, d)).withColumn("order", C.generic_order(F.col("sender"), F.col("folded_subject"), F.col("folded_body"))).where("order is not null")

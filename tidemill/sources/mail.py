@@ -23,6 +23,19 @@ TAILS = (
     "From: a@b.c\nTo: d@e.f\nSubject: old\nquoted", "> quoted only\nfresh line\n\n\n\nend", "---- Original Message ----\nold",
     "We have received your order\nOrder no. XY77\norder summary\nPayment method\ncash on delivery\nTotal: 12 500 Ft", "SimplePay tranzakció azonosító: 55501\nKereskedő: www.shop.example.com\nFizetett összeg: 12990 Ft\nsikeres fizetés megtörténését igazolja\nOnline rendelés adatai:",
     "Fizetés Barion azonosítója: B-77\nSikeresen fizettél 4500 Ft\nElfogadóhely neve: Tea Bolt\nEmail: hello@teabolt.example.hu", "nothing here",
+    # every label, in the languages of the shops, and rows of products in either form
+    "Thank you for your order\nOrder number: A-1001\nGrand total: EUR 1,234.50\nPayment: PayPal\nDelivery method: courier", "Vielen Dank für Ihre Bestellung\nBestellnummer: DE-77120\nGesamtbetrag: 49,90 €\nZahlungsart: Rechnung\nVersandart: DHL\nBestellübersicht", "Bestellbestätigung\nAuftragsnummer 556677\nGesamtsumme 12,00 EUR\nTeekanne x 2 12,00 EUR",
+    "Merci pour votre commande\nNuméro de commande : FR-9081\nTotal TTC : 89,00 €\nMode de paiement : carte\nMode de livraison : point relais\nDétails de la commande", "Confirmation de commande\nCommande n° 7781\nTotal de la commande 15,50 EUR\nMéthode de paiement\ncarte", "Gracias por tu pedido\nPedido n° ES-4410\nTotal del pedido: 35.00 EUR\nMétodo de pago: tarjeta\nMétodo de envío: mensajero\nResumen del pedido",
+    "Köszönjük a rendelésedet\nMegrendelés: #HU-3312\nVégösszeg: 12.990 Ft\nFizetési mód: utánvét\nSzállítási mód: futár\nRendelés részletei", "Rendelés visszaigazolás\nRendelésazonosító? rendelés azonosító: none, rendelés azonosító: 88123\nFizetendő\n4 500 Ft\nÖsszesen fizetendő: 4 500 Ft", "We've received your order\norder # 55-12\nAmount due: $ 20.00\nOrder total: GBP 18.00\nTea cup x 3 9.00 GBP\nDiscount x 1 2 GBP",
+    # said not to be an acceptance, each in its own way
+    "Köszönjük a rendelésed\nRendelésszám: NA-0101\nEz az e-mail nem minősül a megrendelés visszaigazolásának\norder details\npayment: x y", "Thank you for your order. Order number: NA-0102\nEz az üzenet nem minősül megrendelés visszaigazolásának\norder details\npayment: card", "Thank you for your order. Order number: NA-0103\ncsupán a vételi ajánlat beérkezéséről értesítünk\norder details\npayment: card",
+    "Thank you for your order. Order number: NA-0104\nA rendelés rögzítése nem jelenti a rendelés elfogadását\norder details\npayment: card", "Thank you for your order. Order number: NA-0105\nEz az automatikus e-mail nem jelent automatikus szerződéskötést\norder details\npayment: card", "Thank you for your order. Order number: NA-0106\nEz a visszaigazolás nem jelenti a szerződés létrejöttét\norder details\npayment: card",
+    "Thank you for your order. Order number: NA-0107\nEz az értesítés nem jelenti a vételi ajánlat elfogadását\norder details\npayment: card", "Thank you for your order. Order number: NA-0108\ncsak azt igazolja, hogy a rendelést megkaptuk\norder details\npayment: card", "Thank you for your order. Order number: NA-0109\nThis email does not constitute acceptance of your order\norder details\npayment: card",
+    "Thank you for your order. Order number: NA-0110\nThis message is not an order confirmation\norder details\npayment: card", "Thank you for your order. Order number: NA-0111\nThis acknowledgement does not mean that a contract has been concluded\norder details\npayment: card", "We have received your order. Order number: NA-0112\nYour order has not yet been accepted\norder details\npayment: card",
+    "We have received your order, but it has not been accepted. Order number: NA-0113\norder details\npayment: card", "Thank you for your order. Order number: NA-0114\nIt merely acknowledges receipt of your order request\norder details\npayment: card",
+    # later news of orders and parcels, by phase; some only promised, some only quoted
+    "A rendelésed sikeresen kézbesítve\nRendelésszám: LC-2201", "Csomagod már átvehető a csomagautomatában\nCsomagszám: HU12345678", "LC2203 - megrendelésed a kézbesítőnél van\nout for delivery", "Csomagodat ma átadtuk a GLS futárnak\nrendelés #LC-2204\nNyomkövetési szám: GL99887766", "Your order is on its way with our courier. Order no. LC-2205",
+    "Számlád elkészült. #LC-2206 számú rendeléshez\nSzámla SZ-2024/9\nYour order has been shipped", "We will notify you when your order has been shipped. Order number: LC-2207\n> Your order was delivered", "Your order is in transit. Order id LC-2208",
 )
 MARKUP = (
     '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Order","acceptedOffer":{"@type":["Offer","https://schema.org/Product"],"name":"x"},"orderDelivery":[{"@type":"ParcelDelivery"}]}</script>',
