@@ -37,17 +37,20 @@ KEYS = {"api", "access", "private", "secret", "signing", "encryption", "master",
 NAMING, VALUES = {"name", "key", "id", "variable"}, {"value", "val", "default", "content"}
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|change_?me.*|example.*|your[_-].*|placeholder.*|none|null|true|false|todo.*)$|^\$\{|^\{\{|^<|^%")
+#: Strings are possessive, and an escaped character outside of one is a token: so an unclosed quote is read to the end of its line once for each kind of quote.
 TOKEN = re.compile(
-    r"""(?P<triple>\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})|(?P<string>"(?:\\.|[^"\\\n])*"|(?<!\w)'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)|(?P<tag><[A-Za-z_][\w:.-]*)"""
-    r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[:=+,;(){}\[\]>])|(?P<line>\n[ \t]*)|(?P<space>\s+)|(?P<other>[^\s\w"'`<]+|.)""",
+    r"""(?P<triple>\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})|(?P<string>"(?:\\.|[^"\\\n])*+"|(?<!\w)'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\\n])*+`)|(?P<tag><[A-Za-z_][\w:.-]*)"""
+    r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|\+=|\|\||\?\?|[:=+,;(){}\[\]>])|(?P<comment>\#|//)|(?P<line>\n[ \t]*)|(?P<space>\s+)|(?P<other>\\.|[^\s\w"'`<\\#/|?]+|.)""",
     re.ASCII,
 )
+#: The sign of a block scalar after a key's colon, and the line that follows.
+BLOCK, DEEPER = re.compile(r"[ \t]*[|>][+-]?[ \t]*(?=\n)"), re.compile(r"\n([ \t]+)(\S[^\n]*?)[ \t]*(?=\n|$)")
 UNQUOTED = re.compile(r"""[^\s"'`,;(){}\[\]<>|]+""")
 _WORD = r"(?i:pwd|pass|secret|token|key|credential|bearer|auth|signature|private)[A-Za-z0-9_$.-]*"
 #: RE2; a text that it doesn't match can hold no span of any kind.
 SCREEN = "|".join((
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}""",
-    _WORD + r"""(?:["'`]?\]?\s*(?::=|=>|[:=>])|["'`]\s*[,}/>\n]|(?:\s*,\s*[A-Za-z0-9_$.]+)+\s*=)""",
+    _WORD + r"""(?:["'`]?\]?\s*\+?(?::=|=>|[:=>])|["'`]\s*[,}/>\n]|(?:\s*,\s*[A-Za-z0-9_$.]+)+\s*=)""",
     r"""[:=]\x20*["'`]?[A-Za-z0-9_$.-]*""" + _WORD + r"""["'`]?\s*\n|--[A-Za-z0-9_-]*""" + _WORD + r"\x20",
 ))
 
@@ -112,6 +115,8 @@ class Lexer:
         self.bound: dict[str, list[tuple[Given, int]]] = {}
         self.all: list[Given] = []
         self.last_tag = text.rfind("<")
+        self.comment = -1  # where the comment ends that was met last
+        self.indent = 0  # of the line
 
     # scopes
     def push(self, kind: str, indent: int = 0, owner: str = "", given: Given | None = None) -> None:
@@ -174,9 +179,15 @@ class Lexer:
             i = after
         literals, came_from, pieces, chain = [], [], [], [name]
         keyword = self.open["("] > 0  # of a call; nothing is bound
-        if self.is_op(i, "("):
-            self.push("(")
+        if self.is_op(i, "(") and tokens[i][1] >= self.comment:
+            self.push("(", self.indent)
             i = self.over_lines(i + 1)
+        if op == "+=" and self.bound.get(name):
+            came_from.append(self.bound[name][-1][0])
+        if op == ":" and (block := BLOCK.match(text, tokens[i - 1][2])) and (scalar := self.block(block.end())):
+            literals.append(scalar)
+            while tokens[i][0] != "end" and tokens[i][1] < scalar[1]:
+                i += 1
         while True:
             kind, a, b = tokens[i]
             if self.is_op(i, "[", "{") and not (pieces or came_from or literals):  # members belong to the name
@@ -214,8 +225,16 @@ class Lexer:
                 else:
                     i += 1
                     break
+                if self.is_op(i, "||", "??") and whole:
+                    # what stands before is asked first, and what follows is given without it
+                    literals = [x for x in literals if x[0] != a]
             else:
                 break
+            if self.is_op(i, "||", "??"):
+                i = self.over_lines(i + 1)
+                if self.is_string(i):
+                    continue
+                break
             # joined by an operator, or by standing together
             if self.is_op(i, "+"):
                 i = self.over_lines(i + 1)
@@ -244,6 +263,13 @@ class Lexer:
             frame.naming = ""
         return i
 
+    def block(self, at: int) -> tuple[int, int, str] | None:
+        """The first line of a block scalar that starts on the line at ``at``, if it is deeper than the line of its key."""
+        found = DEEPER.match(self.text, at)
+        if not found or len(found[1]) <= self.indent:
+            return None
+        return found.start(2), found.end(2), found[2]
+
     def element(self, frame: Frame, at: int) -> None:
         """The text of an XML element that starts at ``at``."""
         stop = self.text.find("<", at) if at <= self.last_tag else -1
@@ -264,14 +290,26 @@ class Lexer:
                 if self.open["def"] and after[0] not in ("line", "end"):
                     while self.frames[-1].kind == "def" and b - a - 1 <= self.frames[-1].indent:
                         self.pop("def")
+                if after[0] not in ("line", "end"):
+                    self.indent = b - a - 1
+                    # a call that is still open ends where a statement begins that isn't deeper than it
+                    while self.frames[-1].kind == "(" and self.indent <= self.frames[-1].indent and not self.is_op(i + 1, ")", "]", "}"):
+                        self.pop("(")
                 fresh, i = True, i + 1
                 continue
             begins, fresh = fresh, False
-            if kind == "op":
+            if kind == "comment" and a < self.comment:
+                i += 1
+            elif kind == "comment":
+                self.comment = (text.find("\n", a) + 1 or len(text) + 1) - 1
+                i += 1
+            elif kind == "op" and a < self.comment:
+                i += 1
+            elif kind == "op":
                 c = text[a:b]
-                if c in "{[(":
-                    self.push(c)
-                elif c in "}])":
+                if c in ("{", "[", "("):
+                    self.push(c, self.indent)
+                elif c in ("}", "]", ")"):
                     self.pop({"}": "{", "]": "[", ")": "("}[c])
                 elif c == ">" and self.frames[-1].kind == "tag":
                     frame = self.pop("tag")
@@ -290,7 +328,7 @@ class Lexer:
                     continue
                 if self.is_op(j, "[") and tokens[j][1] == b and self.is_string(j + 1) and self.is_op(j + 2, "]"):
                     name, j = self.content(j + 1)[2], j + 3
-                if self.is_op(j, "=", ":", ":=", "=>") and len(name) <= 200:
+                if self.is_op(j, "=", ":", ":=", "=>", "+=") and len(name) <= 200:
                     op = text[tokens[j][1] : tokens[j][2]]
                     local = i > 0 and tokens[i - 1][0] == "name" and text[tokens[i - 1][2] : a].strip(" ") == "" and kind == "name"
                     i = self.value(j + 1, name, op, local)
