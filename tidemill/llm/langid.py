@@ -1,7 +1,8 @@
 """Language identification with spans of mixed-language text.
 
-Training counts hashed character n-grams of all training texts by language.
-Prediction scores each distinct word once: the script of its letters narrows
+Words are cut where their script changes, and in scripts without spaces at
+marks and every few letters.  Training counts hashed character n-grams of all
+training texts by language.  Prediction scores each distinct piece once: the script of its letters narrows
 the languages to those that use it, and its n-grams give a log-likelihood for
 each.  A Viterbi pass over the words of a text, with a penalty for each change
 of language, labels them all; runs of one label are the spans, and the
@@ -36,6 +37,10 @@ UNDETERMINED = "und"
 #: First code points of ranges, and their scripts.
 SCRIPT_RANGES = ((0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Other"), (0x0900, "Devanagari"), (0x0980, "Indic"), (0x0E00, "Thai"), (0x0E80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3130, "Hangul"), (0x3190, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"), (0x32000, "Other"))
 SCRIPTS = tuple(dict.fromkeys(name for _, name in SCRIPT_RANGES))
+#: Scripts that are written without spaces, and how many of their letters make a piece.
+UNSPACED, PIECE_LETTERS = ("Han", "Kana", "Thai"), 4
+#: Words that have letters beyond those of Europe's Latin may hold several scripts.
+BEYOND_LATIN = "[\u0370-\u1dff\u1f00-\U0010ffff]"
 _CACHE: dict = {}
 
 
@@ -58,6 +63,51 @@ def words_as_points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, np.searchsorted(word, np.arange(len(words) + 1))
 
 
+def cut(word: str) -> list[str]:
+    """The pieces of a word: runs of one script, Han and Kana together; short ones of scripts without spaces."""
+    found, group, n, begin = [], None, 0, 0
+    for k, c in enumerate(word):
+        if not c.isalpha():
+            if n and group in UNSPACED:
+                found.append(word[begin:k])
+                group, n, begin = None, 0, k
+            continue
+        script = SCRIPTS[scripts_of(np.array([ord(c)]))[0]] if c not in _CACHE else _CACHE[c]
+        _CACHE[c] = script
+        own = "Han" if script == "Kana" else script
+        if group is not None and (own != group or (group in UNSPACED and n == PIECE_LETTERS)):
+            found.append(word[begin:k])
+            n, begin = 0, k
+        group, n = own, n + 1
+    return [*found, word[begin:]]
+
+
+def pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all words, end to end, and where each word's start."""
+    words = words.cast(pa.large_string())
+    several = np.asarray(pc.match_substring_regex(words, BEYOND_LATIN)) if len(words) else np.zeros(0, bool)
+    if not several.any():
+        return words, np.arange(len(words) + 1)
+    parts = [cut(w) if s else [w] for w, s in zip(words.to_pylist(), several.tolist(), strict=True)]
+    return pa.array([p for own in parts for p in own], pa.large_string()), np.concatenate(([0], np.cumsum([len(own) for own in parts])))
+
+
+def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pieces of all texts, the codes of their pieces end to end, and where each text's start."""
+    words, at = words_of(texts)
+    found = words.dictionary_encode()
+    codes = np.asarray(found.indices, dtype=np.int64)
+    distinct, start = pieces(found.dictionary)
+    if len(distinct) == len(found.dictionary):
+        return distinct, codes, at
+    again = distinct.dictionary_encode()
+    own = np.asarray(again.indices, dtype=np.int64)
+    times = np.diff(start)[codes]
+    ends = np.concatenate(([0], np.cumsum(times)))
+    place = np.repeat(start[:-1][codes] - ends[:-1], times) + np.arange(ends[-1])
+    return again.dictionary, own[place], ends[at]
+
+
 def gram_buckets(points: np.ndarray, start: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """bucket and word of each n-gram of each word, with an edge mark at both ends."""
     n = np.diff(start)
@@ -95,15 +145,13 @@ def _counts(buckets: int):
     def count(batches):
         totals: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
-            words, at = words_of(batch.column("text"))
-            found = words.dictionary_encode()
-            codes = np.asarray(found.indices, dtype=np.int64)
+            distinct, codes, at = pieces_of(batch.column("text"))
             lang = batch.column("lang").dictionary_encode()
             of_word = np.repeat(np.asarray(lang.indices, dtype=np.int64), np.diff(at))
             names = lang.dictionary.to_pylist()
-            times = [np.bincount(codes[of_word == k], minlength=len(found.dictionary)).astype(np.float64) for k in range(len(names))]
-            for low in range(0, len(found.dictionary), WORDS_AT_ONCE):
-                points, start = words_as_points(found.dictionary.slice(low, WORDS_AT_ONCE))
+            times = [np.bincount(codes[of_word == k], minlength=len(distinct)).astype(np.float64) for k in range(len(names))]
+            for low in range(0, len(distinct), WORDS_AT_ONCE):
+                points, start = words_as_points(distinct.slice(low, WORDS_AT_ONCE))
                 gram, owner = gram_buckets(points, start, buckets)
                 script, letter_word = scripts_of(points), np.repeat(np.arange(len(start) - 1), np.diff(start))
                 for name, all_times in zip(names, times, strict=True):
@@ -151,9 +199,12 @@ class LanguageModel:
         out /= len(ORDERS)
         out -= out.max(1, keepdims=True, initial=-np.inf)
         out = np.maximum(out, -MOST_EVIDENCE)
-        # the script of a word's first letter narrows the languages, if any of them uses it
+        # a piece's script narrows the languages, if any of them uses it; with Kana in it, it is Kana
         have = np.flatnonzero(n)
-        allowed = self.uses[scripts_of(points[start[:-1][have]])]
+        script = scripts_of(points[start[:-1][have]])
+        kana = np.flatnonzero(scripts_of(points) == SCRIPTS.index("Kana"))
+        script[np.isin(have, np.searchsorted(start, kana, side="right") - 1)] = SCRIPTS.index("Kana")
+        allowed = self.uses[script]
         allowed[~allowed.any(1)] = True
         out[have] = np.where(allowed, out[have], -4 * MOST_EVIDENCE)
         out[n == 0] = 0
@@ -208,13 +259,11 @@ def train(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
 
 def labelled(model: LanguageModel, texts: pa.Array, with_spans: bool) -> tuple[list[str], np.ndarray, list[str]]:
     """The language of each text, its share of the letters, and the spans if asked."""
-    words, at = words_of(texts)
-    found = words.dictionary_encode()
-    codes = np.asarray(found.indices, dtype=np.int64)
+    distinct, codes, at = pieces_of(texts)
     n_texts = len(at) - 1
     if not model.names:
         return [UNDETERMINED] * n_texts, np.zeros(n_texts), [""] * n_texts
-    scores, n_letters = model.word_scores(found.dictionary)
+    scores, n_letters = model.word_scores(distinct)
     label = model.label(scores, codes, at)
     text = np.repeat(np.arange(n_texts), np.diff(at))
     share = np.bincount(text * len(model.names) + label, n_letters[codes], minlength=n_texts * len(model.names)).reshape(n_texts, -1)
@@ -237,7 +286,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """id, lang_pred, score, spans: one row for each row of ``docs``.
 
     score is the share of the letters that lie in spans of lang_pred; spans
-    lists language:first word:end word.  Texts that are null or without a
+    lists language:first piece:end piece; pieces are words, cut where the
+    script changes and in scripts without spaces every few letters.  Texts that are null or without a
     letter, and all texts if nothing was learned, are ``und`` with score 0 and
     no spans.  Ties go to the language first by name.  Repeated rows and null
     ids are rows like others.  Other columns aren't read; nothing is shuffled.
