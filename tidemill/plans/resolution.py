@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 from ..functions.numbers import amount_close, boosted, micros, score_band, time_points
 from ..functions.text import LEGAL_FORMS, dedupe_key, fold, reasons, same_party, text_key
 from ..operators import merge
+from ..operators.bridge import bridged
 from ..operators.candidates import DAY, alike_names, amount_pairs, best_of_all, standing
 from ..operators.joins import interval_join
 from ..operators.resolve import purchases, shipments
@@ -236,40 +237,36 @@ def _sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-_BRIDGE = f""", p AS (SELECT source_id AS purchase_id, user_id, k, slug AS expected, {_party_key(f"({_sql_list(_NAMES)})[source_id % {len(_NAMES)} + 1]")} AS name FROM ev WHERE event = 'order_created' AND role = 'merchant' AND source_id % 4 <> 3),
-    an AS (SELECT a.source_id AS anchor_id, p.purchase_id, p.user_id, p.expected, p.name, a.received_at AS anchor_at, a.confidence AS anchor_confidence, a.slug AS anchor_slug, CASE WHEN a.source_id % 2 = 0 THEN a.k END AS anchor_tracking FROM p JOIN ev a ON a.user_id = p.user_id AND a.k = p.k AND a.event = 'order_updated' AND a.role = 'merchant'),
-    cr AS (SELECT source_id AS carrier_id, user_id, coalesce(slug, 'mpl') AS slug, k // 2 AS tracking_2, k AS tracking, received_at AS carrier_at, confidence, CASE WHEN source_id % 3 > 0 THEN {_party_key(f"({_sql_list(_CALLED)})[source_id % {len(_CALLED)} + 1]")} END AS consignor FROM ev WHERE event = 'shipment' AND k >= 10),
-    cl AS (SELECT user_id, slug, tracking, max(confidence) AS confidence, count(*) AS n, list_sort(list(DISTINCT consignor) FILTER (WHERE consignor IS NOT NULL)) AS consignors FROM cr GROUP BY 1, 2, 3),
-    j AS (SELECT cl.user_id, cl.slug, cl.tracking, an.purchase_id, bool_or(coalesce(an.anchor_slug = cl.slug, false)) AS names_carrier, bool_or(coalesce(an.expected = cl.slug, false)) AS expected FROM an JOIN cr ON cr.user_id = an.user_id JOIN cl ON cl.user_id = cr.user_id AND cl.slug = cr.slug AND cl.tracking = cr.tracking
-        WHERE (an.anchor_tracking IS NULL OR an.anchor_tracking = cr.tracking) AND (an.anchor_confidence >= 0.8 OR (an.anchor_confidence >= 0.75 AND an.anchor_tracking = cr.tracking)) AND cr.carrier_at >= an.anchor_at AND epoch_us(cr.carrier_at) - epoch_us(an.anchor_at) <= CASE WHEN an.anchor_tracking = cr.tracking THEN 168 ELSE 36 END * 3600000000
-          AND (cl.consignors IS NULL OR len(list_filter(cl.consignors, lambda c: {_same_party("c", "an.name")})) > 0) GROUP BY 1, 2, 3, 4),
-    c AS (SELECT user_id, slug, tracking, count(*) AS n_purchases, min(purchase_id) AS purchase_id FROM j WHERE names_carrier GROUP BY 1, 2, 3)"""
+#: A number that counts as a parcel's has ten characters at least; a purchase may have a parcel of the same carrier stored.
+_NUMBER = "CASE WHEN {0} >= 10 THEN 'TRK' || lpad(CAST({0} AS VARCHAR), 7, '0') ELSE 'T' || {0} END"
+_BRIDGE = f""", p AS (SELECT source_id AS purchase_id, user_id, k, slug AS expected, {_party_key(f"({_sql_list(_NAMES)})[source_id % {len(_NAMES)} + 1]")} AS name, CASE WHEN source_id % 5 = 0 THEN {_party_key(f"({_sql_list(_CALLED)})[source_id % {len(_CALLED)} + 1]")} END AS legal FROM ev WHERE event = 'order_created' AND role = 'merchant' AND source_id % 4 <> 3),
+    st AS (SELECT purchase_id, coalesce(expected, 'mpl') AS slug, {_NUMBER.format("(k + purchase_id % 2)")} AS tracking FROM p WHERE purchase_id % 6 = 0),
+    an AS (SELECT p.purchase_id, p.user_id, a.received_at AS at, a.confidence, a.slug, a.source_id % 3 = 0 AS delivers, CASE WHEN a.source_id % 2 = 0 THEN {_NUMBER.format("a.k")} END AS tracking FROM p JOIN ev a ON a.user_id = p.user_id AND a.k = p.k AND a.event = 'order_updated' AND a.role = 'merchant'),
+    cr AS (SELECT source_id AS carrier_id, user_id, coalesce(slug, 'mpl') AS slug, {_NUMBER.format("k")} AS tracking, received_at AS at, confidence, coalesce(phase = 'delivered', false) AS delivers, CASE WHEN source_id % 3 > 0 THEN {_party_key(f"({_sql_list(_CALLED)})[source_id % {len(_CALLED)} + 1]")} END AS consignor FROM ev WHERE event = 'shipment' AND k >= 10),
+    cl AS (SELECT user_id, slug, tracking, max(confidence) AS confidence, count(*) AS n, list(DISTINCT consignor) FILTER (WHERE consignor IS NOT NULL) AS consignors FROM cr GROUP BY 1, 2, 3),
+    ta AS (SELECT cl.slug AS c_slug, cl.tracking AS c_tracking, an.*, coalesce(an.tracking = cl.tracking, false) AS exact FROM cl JOIN an USING (user_id) WHERE (an.tracking IS NULL OR length(an.tracking) < 10 OR an.tracking = cl.tracking) AND (an.confidence >= 0.8 OR (an.confidence >= 0.75 AND an.tracking = cl.tracking))),
+    sa AS (SELECT ta.user_id, c_slug, c_tracking, purchase_id, bool_or(coalesce(ta.slug = c_slug, false)) AS names_carrier FROM ta JOIN cr ON cr.user_id = ta.user_id AND cr.slug = c_slug AND cr.tracking = c_tracking AND NOT cr.delivers
+        WHERE NOT ta.delivers AND epoch_us(cr.at) - epoch_us(ta.at) BETWEEN 0 AND CASE WHEN exact THEN 168 ELSE 36 END * 3600000000 GROUP BY 1, 2, 3, 4),
+    da AS (SELECT DISTINCT ta.user_id, c_slug, c_tracking, purchase_id FROM ta JOIN cr ON cr.user_id = ta.user_id AND cr.slug = c_slug AND cr.tracking = c_tracking WHERE ta.delivers AND epoch_us(ta.at) - epoch_us(cr.at) BETWEEN 0 AND 36 * 3600000000),
+    c AS (SELECT sa.user_id, sa.c_slug AS slug, sa.c_tracking AS tracking, count(*) AS n_purchases, min(purchase_id) AS purchase_id, bool_or(da.purchase_id IS NOT NULL) AS delivered FROM sa JOIN p USING (user_id, purchase_id) JOIN cl ON cl.user_id = sa.user_id AND cl.slug = sa.c_slug AND cl.tracking = sa.c_tracking LEFT JOIN da USING (user_id, c_slug, c_tracking, purchase_id)
+        WHERE (names_carrier OR (p.expected = sa.c_slug AND da.purchase_id IS NOT NULL)) AND (cl.consignors IS NULL OR len(list_filter(cl.consignors, lambda c: {_same_party("c", "p.name")} OR coalesce({_same_party("c", "p.legal")}, false))) > 0)
+          AND NOT EXISTS (SELECT 1 FROM st WHERE st.purchase_id = sa.purchase_id AND st.slug = sa.c_slug AND st.tracking <> sa.c_tracking) GROUP BY 1, 2, 3)"""
 
 
-@query(E + _BRIDGE + """ SELECT cl.user_id, cl.slug, cl.tracking, cl.n, CASE WHEN cl.confidence < 0.85 THEN 'review' WHEN n_purchases = 1 THEN 'linkable' WHEN n_purchases > 1 THEN 'review' ELSE 'unmatched' END AS decision, CASE WHEN cl.confidence >= 0.85 AND n_purchases = 1 THEN c.purchase_id END AS purchase_id FROM cl LEFT JOIN c USING (user_id, slug, tracking)""")
+@query(E + _BRIDGE + """ SELECT cl.user_id, cl.slug, cl.tracking, cl.n, CASE WHEN cl.confidence < 0.85 THEN 'review' WHEN n_purchases = 1 THEN 'linkable' WHEN n_purchases > 1 THEN 'review' ELSE 'unmatched' END AS decision, CASE WHEN cl.confidence >= 0.85 AND n_purchases = 1 THEN c.purchase_id END AS purchase_id, cl.confidence >= 0.85 AND n_purchases = 1 AND delivered AS corroborated FROM cl LEFT JOIN c USING (user_id, slug, tracking)""".replace("cl.confidence >= 0.85 AND n_purchases = 1 AND delivered AS", "coalesce(cl.confidence >= 0.85 AND n_purchases = 1 AND delivered, false) AS"))
 def tracking_bridge(spark, d):
-    """Clusters of a carrier's messages, and the one purchase whose merchant announced the parcel before.
-
-    The announcement precedes by 36 hours at most, by seven days if it names
-    the same number; the carrier's consignor, if any, must be the merchant.
-    """
+    """Clusters of a carrier's messages, and the one purchase whose merchant announced the parcel before."""
     e = evidence(spark, d)
     nth = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("source_id") % len(values) + 1).cast("int"))
-    p = e.where("event = 'order_created' and role = 'merchant' and source_id % 4 <> 3").select(F.col("source_id").alias("purchase_id"), "user_id", "k", F.col("slug").alias("expected"), text_key(nth(_NAMES)).alias("name"))
-    a = e.where("event = 'order_updated' and role = 'merchant'").select("user_id", "k", F.col("received_at").alias("anchor_at"), F.col("confidence").alias("anchor_confidence"), F.col("slug").alias("anchor_slug"), F.when(F.col("source_id") % 2 == 0, F.col("k")).alias("anchor_tracking"))
-    anchors = p.join(a, ["user_id", "k"]).drop("k")
-    rows = e.where("event = 'shipment' and k >= 10").select("user_id", F.coalesce("slug", F.lit("mpl")).alias("slug"), F.col("k").alias("tracking"), F.col("received_at").alias("carrier_at"), "confidence", F.when(F.col("source_id") % 3 > 0, text_key(nth(_CALLED))).alias("consignor"))
-    clusters = rows.groupBy("user_id", "slug", "tracking").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"), F.collect_set("consignor").alias("consignors"))
-    carried = rows.select("user_id", "slug", "tracking", "carrier_at")
-    near = interval_join(anchors, carried, ["user_id"], "anchor_at", "carrier_at", 36).where("(anchor_tracking is null or anchor_tracking = tracking) and anchor_confidence >= 0.8")
-    named = interval_join(anchors.where("anchor_tracking is not null and anchor_confidence >= 0.75").withColumn("tracking", F.col("anchor_tracking")), carried, ["user_id", "tracking"], "anchor_at", "carrier_at", 168)
-    columns = ["user_id", "slug", "tracking", "purchase_id", "name", "anchor_slug"]
-    found = near.select(*columns).unionByName(named.select(*columns)).groupBy("user_id", "slug", "tracking", "purchase_id", "name").agg(F.bool_or(F.coalesce(F.col("anchor_slug") == F.col("slug"), F.lit(False))).alias("names_carrier")).where("names_carrier")
-    met = found.join(clusters, ["user_id", "slug", "tracking"]).where((F.size("consignors") == 0) | F.exists("consignors", lambda c: same_party(c, F.col("name"))))
-    one = met.groupBy("user_id", "slug", "tracking").agg(F.min("purchase_id").alias("low"), F.max("purchase_id").alias("high"))
-    out = clusters.join(one, ["user_id", "slug", "tracking"], "left")
-    decided = F.when(F.col("confidence") < 0.85, "review").when(F.col("low") == F.col("high"), "linkable").when(F.col("low").isNotNull(), "review").otherwise("unmatched")
-    return out.select("user_id", "slug", "tracking", "n", decided.alias("decision"), F.when(decided == "linkable", F.col("low")).alias("purchase_id"))
+    number = lambda k: F.when(k >= 10, F.concat(F.lit("TRK"), F.lpad(k.cast("string"), 7, "0"))).otherwise(F.concat(F.lit("T"), k))
+    p = e.where("event = 'order_created' and role = 'merchant' and source_id % 4 <> 3").select(F.col("source_id").alias("purchase_id"), "user_id", "k", F.col("slug").alias("expected"), text_key(nth(_NAMES)).alias("name"), F.when(F.col("source_id") % 5 == 0, text_key(nth(_CALLED))).alias("legal"))
+    stored = p.where("purchase_id % 6 = 0").select("purchase_id", F.coalesce("expected", F.lit("mpl")).alias("slug"), number(F.col("k") + F.col("purchase_id") % 2).alias("tracking"))
+    a = e.where("event = 'order_updated' and role = 'merchant'").select("user_id", "k", F.col("received_at").alias("anchor_at"), F.col("confidence").alias("anchor_confidence"), F.col("slug").alias("anchor_slug"), (F.col("source_id") % 3 == 0).alias("delivers"), F.when(F.col("source_id") % 2 == 0, number(F.col("k"))).alias("anchor_tracking"))
+    anchors = p.select("purchase_id", "user_id", "k").join(a, ["user_id", "k"]).drop("k")
+    rows = e.where("event = 'shipment' and k >= 10").select("user_id", F.coalesce("slug", F.lit("mpl")).alias("slug"), number(F.col("k")).alias("tracking"), F.col("received_at").alias("carrier_at"), "confidence", F.coalesce(F.col("phase") == "delivered", F.lit(False)).alias("delivered"), F.when(F.col("source_id") % 3 > 0, text_key(nth(_CALLED))).alias("consignor"))
+    found = bridged(p.drop("k"), stored, anchors, rows)
+    one = F.col("decision") == "linkable"
+    return found.select("user_id", "slug", "tracking", "n", "decision", "purchase_id", (one & F.col("corroborated")).alias("corroborated"))
 
 
 _PARCEL = _EXISTING + """, un AS (SELECT user_id, sender, order_key, min(purchase_id) AS purchase_id FROM px GROUP BY 1, 2, 3 HAVING count(*) = 1), an AS (SELECT un.purchase_id, ev.user_id, ev.received_at AS at, ev.confidence, ev.slug, ev.merchant FROM ev JOIN un USING (user_id, sender, order_key) WHERE ev.event IN ('shipment', 'order_updated') AND ev.role = 'merchant'),
