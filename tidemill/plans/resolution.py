@@ -239,10 +239,10 @@ def _sql_list(values) -> str:
 
 #: A number that counts as a parcel's has ten characters at least; a purchase may have a parcel of the same carrier stored.
 _NUMBER = "CASE WHEN {0} >= 10 THEN 'TRK' || lpad(CAST({0} AS VARCHAR), 7, '0') ELSE 'T' || {0} END"
-_BRIDGE = f""", p AS (SELECT source_id AS purchase_id, user_id, k, slug AS expected, {_party_key(f"({_sql_list(_NAMES)})[source_id % {len(_NAMES)} + 1]")} AS name, CASE WHEN source_id % 5 = 0 THEN {_party_key(f"({_sql_list(_CALLED)})[source_id % {len(_CALLED)} + 1]")} END AS legal FROM ev WHERE event = 'order_created' AND role = 'merchant' AND source_id % 4 <> 3),
+_BRIDGE = f""", p AS (SELECT source_id AS purchase_id, user_id, k, order_key, slug AS expected, {_party_key(f"({_sql_list(_NAMES)})[source_id % {len(_NAMES)} + 1]")} AS name, CASE WHEN source_id % 5 = 0 THEN {_party_key(f"({_sql_list(_CALLED)})[source_id % {len(_CALLED)} + 1]")} END AS legal FROM ev WHERE event = 'order_created' AND role = 'merchant' AND source_id % 4 <> 3),
     st AS (SELECT purchase_id, coalesce(expected, 'mpl') AS slug, {_NUMBER.format("(k + purchase_id % 2)")} AS tracking FROM p WHERE purchase_id % 6 = 0),
-    an AS (SELECT p.purchase_id, p.user_id, a.received_at AS at, a.confidence, a.slug, a.source_id % 3 = 0 AS delivers, CASE WHEN a.source_id % 2 = 0 THEN {_NUMBER.format("a.k")} END AS tracking FROM p JOIN ev a ON a.user_id = p.user_id AND a.k = p.k AND a.event = 'order_updated' AND a.role = 'merchant'),
-    cr AS (SELECT source_id AS carrier_id, user_id, coalesce(slug, 'mpl') AS slug, {_NUMBER.format("k")} AS tracking, received_at AS at, confidence, coalesce(phase = 'delivered', false) AS delivers, CASE WHEN source_id % 3 > 0 THEN {_party_key(f"({_sql_list(_CALLED)})[source_id % {len(_CALLED)} + 1]")} END AS consignor FROM ev WHERE event = 'shipment' AND k >= 10),
+    an AS (SELECT p.purchase_id, p.user_id, make_timestamp(epoch_us(a.received_at) // 6) AS at, round(least(1.0, a.confidence + 0.2), 4) AS confidence, a.slug, a.source_id % 3 = 0 AS delivers, CASE WHEN a.source_id % 2 = 0 THEN {_NUMBER.format("a.k")} END AS tracking FROM p JOIN ev a ON a.user_id = p.user_id AND a.order_key = p.order_key AND a.event = 'order_updated' AND a.role = 'merchant'),
+    cr AS (SELECT source_id AS carrier_id, user_id, coalesce(slug, 'mpl') AS slug, {_NUMBER.format("k")} AS tracking, make_timestamp(epoch_us(received_at) // 6) AS at, round(least(1.0, confidence + 0.2), 4) AS confidence, coalesce(phase = 'delivered', false) AS delivers, CASE WHEN source_id % 3 > 0 THEN {_party_key(f"({_sql_list(_CALLED)})[source_id % {len(_CALLED)} + 1]")} END AS consignor FROM ev WHERE event = 'shipment' AND k >= 10),
     cl AS (SELECT user_id, slug, tracking, max(confidence) AS confidence, count(*) AS n, list(DISTINCT consignor) FILTER (WHERE consignor IS NOT NULL) AS consignors FROM cr GROUP BY 1, 2, 3),
     ta AS (SELECT cl.slug AS c_slug, cl.tracking AS c_tracking, an.*, coalesce(an.tracking = cl.tracking, false) AS exact FROM cl JOIN an USING (user_id) WHERE (an.tracking IS NULL OR length(an.tracking) < 10 OR an.tracking = cl.tracking) AND (an.confidence >= 0.8 OR (an.confidence >= 0.75 AND an.tracking = cl.tracking))),
     sa AS (SELECT ta.user_id, c_slug, c_tracking, purchase_id, bool_or(coalesce(ta.slug = c_slug, false)) AS names_carrier FROM ta JOIN cr ON cr.user_id = ta.user_id AND cr.slug = c_slug AND cr.tracking = c_tracking AND NOT cr.delivers
@@ -259,12 +259,15 @@ def tracking_bridge(spark, d):
     e = evidence(spark, d)
     nth = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("source_id") % len(values) + 1).cast("int"))
     number = lambda k: F.when(k >= 10, F.concat(F.lit("TRK"), F.lpad(k.cast("string"), 7, "0"))).otherwise(F.concat(F.lit("T"), k))
-    p = e.where("event = 'order_created' and role = 'merchant' and source_id % 4 <> 3").select(F.col("source_id").alias("purchase_id"), "user_id", "k", F.col("slug").alias("expected"), text_key(nth(_NAMES)).alias("name"), F.when(F.col("source_id") % 5 == 0, text_key(nth(_CALLED))).alias("legal"))
+    p = e.where("event = 'order_created' and role = 'merchant' and source_id % 4 <> 3").select(F.col("source_id").alias("purchase_id"), "user_id", "k", "order_key", F.col("slug").alias("expected"), text_key(nth(_NAMES)).alias("name"), F.when(F.col("source_id") % 5 == 0, text_key(nth(_CALLED))).alias("legal"))
     stored = p.where("purchase_id % 6 = 0").select("purchase_id", F.coalesce("expected", F.lit("mpl")).alias("slug"), number(F.col("k") + F.col("purchase_id") % 2).alias("tracking"))
-    a = e.where("event = 'order_updated' and role = 'merchant'").select("user_id", "k", F.col("received_at").alias("anchor_at"), F.col("confidence").alias("anchor_confidence"), F.col("slug").alias("anchor_slug"), (F.col("source_id") % 3 == 0).alias("delivers"), F.when(F.col("source_id") % 2 == 0, number(F.col("k"))).alias("anchor_tracking"))
-    anchors = p.select("purchase_id", "user_id", "k").join(a, ["user_id", "k"]).drop("k")
-    rows = e.where("event = 'shipment' and k >= 10").select("user_id", F.coalesce("slug", F.lit("mpl")).alias("slug"), number(F.col("k")).alias("tracking"), F.col("received_at").alias("carrier_at"), "confidence", F.coalesce(F.col("phase") == "delivered", F.lit(False)).alias("delivered"), F.when(F.col("source_id") % 3 > 0, text_key(nth(_CALLED))).alias("consignor"))
-    found = bridged(p.drop("k"), stored, anchors, rows)
+    # the messages here are surer than the table's, and closer in time
+    at = F.timestamp_micros(F.floor(micros(F.col("received_at")) / 6).cast("long"))
+    sure = F.round(F.least(F.lit(1.0), F.col("confidence") + 0.2), 4)
+    a = e.where("event = 'order_updated' and role = 'merchant'").select("user_id", "order_key", at.alias("anchor_at"), sure.alias("anchor_confidence"), F.col("slug").alias("anchor_slug"), (F.col("source_id") % 3 == 0).alias("delivers"), F.when(F.col("source_id") % 2 == 0, number(F.col("k"))).alias("anchor_tracking"))
+    anchors = p.select("purchase_id", "user_id", "order_key").join(a, ["user_id", "order_key"]).drop("order_key")
+    rows = e.where("event = 'shipment' and k >= 10").select("user_id", F.coalesce("slug", F.lit("mpl")).alias("slug"), number(F.col("k")).alias("tracking"), at.alias("carrier_at"), sure.alias("confidence"), F.coalesce(F.col("phase") == "delivered", F.lit(False)).alias("delivered"), F.when(F.col("source_id") % 3 > 0, text_key(nth(_CALLED))).alias("consignor"))
+    found = bridged(p.drop("k", "order_key"), stored, anchors, rows)
     one = F.col("decision") == "linkable"
     return found.select("user_id", "slug", "tracking", "n", "decision", "purchase_id", (one & F.col("corroborated")).alias("corroborated"))
 
