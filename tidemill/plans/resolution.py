@@ -14,6 +14,7 @@ from ..operators.bridge import bridged
 from ..operators.candidates import DAY, alike_names, amount_pairs, best_of_all, standing
 from ..operators.joins import interval_join
 from ..operators.resolve import purchases, shipments
+from ..operators.review import reviewed
 from ..operators.validate import may_write_document, may_write_purchase, may_write_shipment
 from ..sources.tables import EVIDENCE_SQL, evidence, table
 from ..streaming.inbox import drain, replayed
@@ -417,18 +418,29 @@ def recovery_drains(spark, d):
     return sums.select("drain", F.explode(F.array(F.lit("observe"), F.lit("write"))).alias("mode"), "scanned", "users").withColumn("applied", F.when(F.col("mode") == "write", F.col("scanned")).otherwise(0))
 
 
-@query(E + """, g AS (SELECT user_id, order_key, max(confidence) FILTER (WHERE event = 'order_created' AND role <> 'carrier') AS anchor, max(confidence) FILTER (WHERE event IN ('order_updated', 'invoice_or_receipt')) AS lifecycle, max(confidence) FILTER (WHERE event = 'payment_completed') AS paid, max(confidence) FILTER (WHERE event = 'shipment' AND k >= 10) AS tracked, count(*) FILTER (WHERE event <> 'order_created' AND confidence >= 0.72) AS n_support FROM ev GROUP BY 1, 2)
-    SELECT user_id, order_key, round(CASE WHEN anchor >= 0.85 AND greatest(coalesce(lifecycle, 0), coalesce(paid - 0.05, 0)) >= 0.74 THEN least(0.97, anchor + 0.08) WHEN anchor >= 0.8 AND lifecycle >= 0.72 AND n_support >= 2 THEN least(0.95, anchor + 0.08) WHEN tracked >= 0.75 THEN least(0.92, anchor + 0.12) END, 4) AS confidence,
-      concat_ws(',', CASE WHEN lifecycle >= 0.7 THEN 'lifecycle' END, CASE WHEN paid >= 0.75 THEN 'payment' END, CASE WHEN tracked >= 0.75 THEN 'shipment' END) AS support FROM g WHERE anchor >= 0.7 AND anchor < 0.9""")
+#: Two rows a source; states, subjects and names by the row.
+_STATES_OF = ("validated", "guardrailed", "review", None, "validated")
+_LEGAL = ("Blue Kettle Kft", None, "Kettle", "Tea Bolt Zrt")
+_REVIEW_ROWS = f""", w AS (SELECT source_id AS row_id, source_id // 2 AS source_id, user_id, sender, order_key AS "order", event, CASE WHEN source_id % 6 = 0 THEN 'Rendelésedet összekészítettük!' ELSE 'Hello' END AS subject, CASE WHEN source_id % 3 > 0 THEN 'review' ELSE 'processed' END AS processing, (['validated', 'guardrailed', 'review', NULL, 'validated'])[source_id % 5 + 1] AS validation, merchant,
+        (['Blue Kettle Kft', NULL, 'Kettle', 'Tea Bolt Zrt'])[source_id % 4 + 1] AS legal, {_NUMBER.format("k")} AS tracking, CASE WHEN source_id % 2 = 0 THEN 'paid' ELSE 'failed' END AS payment, round(least(1.0, confidence + 0.1), 4) AS confidence FROM ev WHERE order_key IS NOT NULL),
+    pk AS (SELECT *, regexp_matches({_party_key("subject")}, 'osszekeszitettuk|packing') AS packs FROM w), an AS (SELECT * FROM pk WHERE processing = 'review' AND event = 'order_created' AND NOT packs AND merchant IS NOT NULL AND confidence >= 0.7 QUALIFY row_number() OVER (PARTITION BY user_id, sender, "order" ORDER BY confidence DESC, row_id) = 1),
+    sp AS (SELECT an.row_id AS anchor, s.*, {_party_key("coalesce(an.legal, '')")} AS la, {_party_key("coalesce(s.legal, '')")} AS ls, s.validation IN ('validated', 'guardrailed') AND ((s.event IN ('order_updated', 'shipment', 'delivery', 'invoice_or_receipt') AND s.confidence >= 0.7) OR (s.event = 'payment_completed' AND s.payment = 'paid' AND s.confidence >= 0.75)) AS trusted,
+        s.validation = 'review' AND s.event = 'payment_completed' AND s.payment = 'failed' AND s.confidence >= 0.75 AS identity, s.validation IN ('validated', 'guardrailed') AND s.event = 'order_created' AND s.confidence >= 0.75 AND s.packs AS packing FROM an JOIN pk s USING (user_id, sender, "order") WHERE s.source_id <> an.source_id),
+    su AS (SELECT anchor, count(*) FILTER (WHERE trusted) AS n_trusted, count(*) FILTER (WHERE identity) AS n_identity, count(*) FILTER (WHERE packing) AS n_packing, max(confidence) FILTER (WHERE trusted) AS t, max(confidence) FILTER (WHERE packing) AS p, bool_or(trusted AND event = 'shipment' AND confidence >= 0.75 AND (length(tracking) >= 10 OR (la <> '' AND ls <> '' AND (la = ls OR (length(la) >= 5 AND length(ls) >= 5 AND (contains(la, ls) OR contains(ls, la))))))) AS strong FROM sp GROUP BY 1),
+    rs AS (SELECT an.*, coalesce(n_trusted, 0) AS n_trusted, coalesce(n_identity, 0) AS n_identity, coalesce(n_packing, 0) AS n_packing, CASE WHEN an.confidence >= 0.85 AND (coalesce(t, 0) >= 0.74 OR coalesce(p, 0) >= 0.8) THEN least(0.97, an.confidence + 0.08) WHEN an.confidence >= 0.8 AND coalesce(t, 0) >= 0.72 AND n_trusted + n_identity + n_packing >= 2 THEN least(0.95, an.confidence + 0.08) WHEN strong THEN least(0.92, an.confidence + 0.12) END AS raised FROM an LEFT JOIN su ON su.anchor = an.row_id)"""
+
+
+@query(E + _REVIEW_ROWS + """ SELECT user_id, sender, "order", row_id AS anchor, round(coalesce(raised, confidence), 4)::DOUBLE AS confidence, CASE WHEN raised IS NULL THEN 'review' ELSE 'create' END AS decision, n_trusted, n_identity, n_packing FROM rs""")
 def review_support(spark, d):
-    """Confirmations under review, and which of three kinds of support raise them how far."""
-    best = lambda c: F.max(F.when(F.expr(c), F.col("confidence")))
-    g = evidence(spark, d).groupBy("user_id", "order_key").agg(
-        best("event = 'order_created' and role <> 'carrier'").alias("anchor"), best("event in ('order_updated', 'invoice_or_receipt')").alias("lifecycle"), best("event = 'payment_completed'").alias("paid"), best("event = 'shipment' and k >= 10").alias("tracked"), F.count_if(F.expr("event <> 'order_created' and confidence >= 0.72")).alias("n_support"),
-    ).where("anchor >= 0.7 and anchor < 0.9")
-    trusted = F.greatest(F.coalesce("lifecycle", F.lit(0.0)), F.coalesce(F.col("paid") - 0.05, F.lit(0.0)))
-    raised = F.when((F.col("anchor") >= 0.85) & (trusted >= 0.74), boosted(F.col("anchor"), cap=0.97)).when(F.expr("anchor >= 0.8 and lifecycle >= 0.72 and n_support >= 2"), boosted(F.col("anchor"), cap=0.95)).when(F.col("tracked") >= 0.75, boosted(F.col("anchor"), 0.12, 0.92))
-    return g.select("user_id", "order_key", raised.alias("confidence"), F.array_join(reasons(("lifecycle", F.col("lifecycle") >= 0.7), ("payment", F.col("paid") >= 0.75), ("shipment", F.col("tracked") >= 0.75)), ",").alias("support"))
+    """Confirmations under review, and how far other sources raise them."""
+    e, i = evidence(spark, d).where("order_key is not null"), F.col("source_id")
+    nth = lambda values: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    number = F.when(F.col("k") >= 10, F.concat(F.lit("TRK"), F.lpad(F.col("k").cast("string"), 7, "0"))).otherwise(F.concat(F.lit("T"), "k"))
+    rows = e.select(
+        i.alias("row_id"), F.floor(i / 2).alias("source_id"), "user_id", "sender", F.col("order_key").alias("order"), "event", F.when(i % 6 == 0, "Rendelésedet összekészítettük!").otherwise("Hello").alias("subject"), F.when(i % 3 > 0, "review").otherwise("processed").alias("processing"),
+        nth(_STATES_OF).alias("validation"), "merchant", nth(_LEGAL).alias("legal"), number.alias("tracking"), F.when(i % 2 == 0, "paid").otherwise("failed").alias("payment"), F.round(F.least(F.lit(1.0), F.col("confidence") + 0.1), 4).alias("confidence"),
+    )
+    return reviewed(rows)
 
 
 def _stream_folder(spark) -> str:
