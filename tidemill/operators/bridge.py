@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import same_party
+from ..functions.text import same_party, text_key
+from .candidates import alike_names
 from .joins import interval_join
 
 #: Hours between a merchant's word and a carrier's, and if both name one number.
@@ -60,3 +61,67 @@ def bridged(purchases: DataFrame, stored: DataFrame, anchors: DataFrame, rows: D
     decided = F.when(F.col("confidence") < CLUSTER, "review").when(F.col("low") == F.col("high"), "linkable").when(F.col("low").isNotNull(), "review").otherwise("unmatched")
     out = clusters.join(one, KEY, "left").withColumn("decision", decided)
     return out.select(*KEY, "n", "confidence", "decision", F.when(F.col("decision") == "linkable", F.col("low")).alias("purchase_id"), F.coalesce("corroborated", F.lit(False)).alias("corroborated"))
+
+
+# fixed values: words of a merchant's name that say nothing of it
+GENERIC = ("kft", "zrt", "bt", "nyrt", "ltd", "limited", "gmbh", "inc", "llc", "plc", "ag", "hu", "hungary", "magyarorszag")
+# fixed values: a merchant's domain, the name that its parcels are sent under, and the carrier
+VERIFIED = (("scitec.hu", "biotechusa", "foxpost"),)
+WINDOW, SURE = 7 * 24, 0.95
+
+
+def merchant_label(name: Column) -> Column:
+    """The words of a name that tell merchants apart."""
+    words = F.split(text_key(F.coalesce(name, F.lit(""))), " ")
+    return F.array_join(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*GENERIC)), " ")
+
+
+def aliases(name: Column, domain: Column) -> Column:
+    """What a merchant may be called: its name, its domain, and its domain without the last part."""
+    root = F.when(domain.contains("."), F.regexp_replace(domain, r"\.[^.]*$", "")).otherwise("")
+    return F.array_distinct(F.filter(F.array(merchant_label(name), merchant_label(domain), merchant_label(root)), lambda x: x != ""))
+
+
+def by_sender(purchases: DataFrame, anchors: DataFrame, rows: DataFrame) -> DataFrame:
+    """user_id, slug, tracking, decision, purchase_id, confidence, status and lane: one row for each parcel that a carrier tells of.
+
+    ``purchases``: purchase_id, user_id, merchant, domain, ordered_at, total,
+    currency, purchase_confidence; ``anchors``: purchase_id, anchor_at, anchor,
+    anchor_slug, a merchant's messages of a parcel; ``rows``: source_id,
+    user_id, slug, tracking, carrier_at, confidence, event, phase, sender,
+    cod and cod_currency of a carrier's messages.
+
+    First lane: purchases whose merchant is the parcel's sender and sent word
+    within seven days of one of the carrier's messages, of this carrier or of
+    none.  Second, where there is none: parcels with two sources and physical
+    progress, and purchases of a verified sender whose total is exactly what
+    the carrier collects, ordered within seven days.  In either lane one
+    purchase links and several are reviewed.  Senders and merchants meet by
+    their names, which are few, amounts by cells; no parcel meets all
+    purchases of its user.
+    """
+    label = rows.select(*KEY, merchant_label(F.col("sender")).alias("label")).distinct().where(F.length("label") >= 4)
+    called = purchases.select("purchase_id", "user_id", F.explode(aliases(F.col("merchant"), F.col("domain"))).alias("alias"))
+    alike = alike_names(label.select("label"), called.select("alias")).toDF("label", "alias")
+    pairs = label.join(alike, "label").join(called, ["user_id", "alias"]).select(*KEY, "purchase_id").distinct()
+    word = pairs.join(anchors, "purchase_id").where(F.col("anchor_slug").isNull() | (F.col("anchor_slug") == F.col("slug")))
+    near = interval_join(word, rows.select(*KEY, "carrier_at"), KEY, "anchor_at", "carrier_at", WINDOW, symmetric=True)
+    first = near.groupBy(*KEY, "purchase_id").agg(F.max("anchor").alias("anchor")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("purchase_id").alias("p"), F.max("anchor").alias("anchor"))
+    physical = (F.col("event") == "delivery") | F.coalesce(F.col("phase").isNotNull() & (F.col("phase") != "shipment_created"), F.lit(False))
+    clusters = rows.groupBy(*KEY).agg(F.max("confidence").alias("confidence"), F.bool_or(F.coalesce(F.col("phase") == "ready_for_pickup", F.lit(False))).alias("ready"), F.count_distinct("source_id").alias("n_sources"), F.bool_or(physical).alias("physical"))
+    left = clusters.join(first, KEY, "left")
+    # sums within a thousandth
+    cell = lambda x: F.floor(x * 1000)
+    open_ = left.where("n is null and n_sources >= 2 and physical").select(*KEY)
+    known = rows.join(open_, KEY)
+    brand = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(s).alias("label"), F.lit(c).alias("slug")) for d, s, c in VERIFIED])
+    named = known.select(*KEY, merchant_label(F.col("sender")).alias("label"), F.explode(brand).alias("b")).where((F.col("label") == F.col("b.label")) & (F.col("slug") == F.col("b.slug"))).select(*KEY, F.col("b.domain").alias("domain")).distinct()
+    due = known.where("cod is not null").select(*KEY, "cod", F.upper(F.trim("cod_currency")).alias("currency"), F.explode(F.array(*[cell(F.col("cod")) + k for k in (-1, 0, 1)])).alias("cell"))
+    sure = purchases.where((F.col("purchase_confidence") >= SURE) & F.col("total").isNotNull()).select("purchase_id", "user_id", "domain", "ordered_at", "total", "purchase_confidence", F.upper(F.trim("currency")).alias("currency"), cell(F.col("total")).alias("cell"))
+    exact = named.join(due, KEY).join(sure, ["user_id", "domain", "currency", "cell"]).where(F.abs(F.col("cod") - F.col("total")) < 0.001).select(*KEY, "purchase_id", "ordered_at", "purchase_confidence").distinct()
+    exact = interval_join(exact, known.select(*KEY, "carrier_at"), KEY, "ordered_at", "carrier_at", WINDOW, symmetric=True)
+    second = exact.groupBy(*KEY).agg(F.count_distinct("purchase_id").alias("n_2"), F.min("purchase_id").alias("p_2"), F.max("purchase_confidence").alias("anchor_2"))
+    out = left.join(second, KEY, "left").withColumn("lane", F.when(F.col("n").isNotNull(), 1).when(F.col("n_2").isNotNull(), 2))
+    n, p, anchor = F.coalesce("n", "n_2"), F.coalesce("p", "p_2"), F.coalesce("anchor", "anchor_2")
+    decided = F.when(n == 1, "linkable").when(n > 1, "review").otherwise("unmatched")
+    return out.select(*KEY, decided.alias("decision"), F.when(n == 1, p).alias("purchase_id"), F.when(n == 1, F.least("confidence", anchor)).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("ready"), "ready_for_pickup").otherwise("in_transit").alias("status"), "lane")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 from ..functions.numbers import amount_close, boosted, micros, score_band, time_points
 from ..functions.text import LEGAL_FORMS, dedupe_key, fold, reasons, same_party, text_key
 from ..operators import merge
-from ..operators.bridge import bridged
+from ..operators.bridge import GENERIC, bridged, by_sender
 from ..operators.candidates import DAY, alike_names, amount_pairs, best_of_all, standing
 from ..operators.joins import interval_join
 from ..operators.resolve import purchases, shipments
@@ -273,24 +273,35 @@ def tracking_bridge(spark, d):
     return found.select("user_id", "slug", "tracking", "n", "decision", "purchase_id", (one & F.col("corroborated")).alias("corroborated"))
 
 
-_PARCEL = _EXISTING + """, un AS (SELECT user_id, sender, order_key, min(purchase_id) AS purchase_id FROM px GROUP BY 1, 2, 3 HAVING count(*) = 1), an AS (SELECT un.purchase_id, ev.user_id, ev.received_at AS at, ev.confidence, ev.slug, ev.merchant FROM ev JOIN un USING (user_id, sender, order_key) WHERE ev.event IN ('shipment', 'order_updated') AND ev.role = 'merchant'),
-    cr AS (SELECT user_id, slug, k, received_at, confidence, phase, merchant AS called FROM ev WHERE event = 'shipment' AND role = 'carrier' AND slug IS NOT NULL), cl AS (SELECT user_id, slug, k, max(confidence) AS confidence, bool_or(phase = 'ready_for_pickup') AS ready FROM cr GROUP BY 1, 2, 3),
-    m AS (SELECT cr.user_id, cr.slug, cr.k, an.purchase_id, max(an.confidence) AS anchor FROM cr JOIN an ON an.user_id = cr.user_id AND abs(epoch_us(an.at) - epoch_us(cr.received_at)) <= 7 * 86400000000 AND an.merchant = cr.called AND (an.slug IS NULL OR an.slug = cr.slug) GROUP BY 1, 2, 3, 4),
-    c AS (SELECT user_id, slug, k, count(*) AS n, min(purchase_id) AS purchase_id, max(anchor) AS anchor FROM m GROUP BY 1, 2, 3)"""
+def _label(x: str) -> str:
+    return f"array_to_string(list_filter(string_split({_party_key(f'coalesce({x}, chr(32))')}, ' '), lambda w: length(w) > 1 AND NOT list_contains({_sql_list(GENERIC)}, w)), ' ')"
 
 
-@query(E + _PARCEL + """ SELECT cl.user_id, cl.slug, cl.k, CASE WHEN n = 1 THEN 'linkable' WHEN n > 1 THEN 'review' ELSE 'unmatched' END AS decision, CASE WHEN n = 1 THEN c.purchase_id END AS purchase_id, CASE WHEN n = 1 THEN least(cl.confidence, anchor) END AS confidence, CASE WHEN coalesce(ready, false) THEN 'ready_for_pickup' ELSE 'in_transit' END AS status FROM cl LEFT JOIN c USING (user_id, slug, k)""")
+_PARCEL = _EXISTING + f""", b AS (SELECT purchase_id, user_id, sender, order_key, merchant, CASE WHEN purchase_id % 3 = 1 THEN 'scitec.hu' ELSE sender END AS domain, ordered_at, round(value / 20) AS total, CASE WHEN purchase_id % 3 > 0 THEN ' huf' ELSE 'EUR' END AS currency, round(least(1.0, 0.94 + value / 1000), 4) AS sure FROM px),
+    un AS (SELECT user_id, domain, order_key, min(purchase_id) AS purchase_id FROM b GROUP BY 1, 2, 3 HAVING count(*) = 1), an AS (SELECT un.purchase_id, ev.user_id, ev.received_at AS at, ev.confidence, ev.slug FROM ev JOIN un ON un.user_id = ev.user_id AND un.domain = ev.sender AND un.order_key = ev.order_key WHERE ev.event IN ('shipment', 'order_updated') AND ev.role = 'merchant'),
+    cr AS (SELECT source_id, user_id, slug, k // 50 AS tracking, received_at AS at, confidence, CASE phase WHEN 'created' THEN 'shipment_created' ELSE phase END AS phase, CASE source_id % 4 WHEN 0 THEN 'BioTechUSA Kft.' WHEN 1 THEN 'Shop' || k % 3 || ' Example Kft' WHEN 2 THEN merchant END AS called, CASE WHEN source_id % 2 = 0 THEN round(value / 20) END AS cod FROM ev WHERE event = 'shipment' AND role = 'carrier' AND slug IS NOT NULL),
+    cl AS (SELECT user_id, slug, tracking, max(confidence) AS confidence, bool_or(coalesce(phase = 'ready_for_pickup', false)) AS ready, count(DISTINCT source_id) AS n_sources, bool_or(coalesce(phase IS NOT NULL AND phase <> 'shipment_created', false)) AS physical, list(DISTINCT {_label("called")}) AS labels FROM cr GROUP BY 1, 2, 3),
+    al AS (SELECT purchase_id, list_filter([{_label("merchant")}, {_label("domain")}, {_label("regexp_replace(domain, '[.][^.]*$', '')")}], lambda x: x <> '') AS aliases FROM b),
+    m AS (SELECT cl.user_id, cl.slug, cl.tracking, an.purchase_id, max(an.confidence) AS anchor FROM cl JOIN an USING (user_id) JOIN al USING (purchase_id) WHERE (an.slug IS NULL OR an.slug = cl.slug) AND len(list_filter(labels, lambda l: length(l) >= 4 AND len(list_filter(aliases, lambda x: x = l OR (length(x) >= 5 AND length(l) >= 5 AND (contains(x, l) OR contains(l, x))))) > 0)) > 0
+        AND EXISTS (SELECT 1 FROM cr WHERE cr.user_id = cl.user_id AND cr.slug = cl.slug AND cr.tracking = cl.tracking AND abs(epoch_us(an.at) - epoch_us(cr.at)) <= 7 * 86400000000) GROUP BY 1, 2, 3, 4),
+    c AS (SELECT user_id, slug, tracking, count(*) AS n, min(purchase_id) AS purchase_id, max(anchor) AS anchor FROM m GROUP BY 1, 2, 3),
+    v AS (SELECT cl.user_id, cl.slug, cl.tracking, count(*) AS n, min(purchase_id) AS purchase_id, max(b.sure) AS anchor FROM cl JOIN b USING (user_id) WHERE n_sources >= 2 AND physical AND b.sure >= 0.95 AND b.domain = 'scitec.hu' AND cl.slug = 'foxpost' AND list_contains(labels, 'biotechusa')
+        AND EXISTS (SELECT 1 FROM cr WHERE cr.user_id = cl.user_id AND cr.slug = cl.slug AND cr.tracking = cl.tracking AND abs(cod - total) < 0.001 AND upper(trim(b.currency)) = 'HUF') AND EXISTS (SELECT 1 FROM cr WHERE cr.user_id = cl.user_id AND cr.slug = cl.slug AND cr.tracking = cl.tracking AND abs(epoch_us(b.ordered_at) - epoch_us(cr.at)) <= 7 * 86400000000)
+        AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = cl.user_id AND c.slug = cl.slug AND c.tracking = cl.tracking) GROUP BY 1, 2, 3)"""
+
+
+@query(E + _PARCEL + """, f AS (SELECT cl.*, coalesce(c.n, v.n) AS n, coalesce(c.purchase_id, v.purchase_id) AS p, coalesce(c.anchor, v.anchor) AS anchor, CASE WHEN c.n IS NOT NULL THEN 1 WHEN v.n IS NOT NULL THEN 2 END AS lane FROM cl LEFT JOIN c USING (user_id, slug, tracking) LEFT JOIN v USING (user_id, slug, tracking))
+    SELECT user_id, slug, tracking, CASE WHEN n = 1 THEN 'linkable' WHEN n > 1 THEN 'review' ELSE 'unmatched' END AS decision, CASE WHEN n = 1 THEN p END AS purchase_id, CASE WHEN n = 1 THEN least(confidence, anchor) ELSE confidence END AS confidence, CASE WHEN ready THEN 'ready_for_pickup' ELSE 'in_transit' END AS status, lane FROM f""")
 def parcel_sender_bridge(spark, d):
-    """Parcels of a carrier, and the one purchase whose merchant sent word within seven days and is the parcel's sender."""
+    """Parcels of a carrier, and the one purchase whose merchant sent word and is the parcel's sender, or else whose sum the carrier collects."""
     e = evidence(spark, d)
-    known = _existing(e).groupBy("user_id", "sender", "order_key").agg(F.count(F.lit(1)).alias("n"), F.min("purchase_id").alias("purchase_id")).where("n = 1").drop("n")
-    anchors = e.where("event in ('shipment', 'order_updated') and role = 'merchant'").join(known, ["user_id", "sender", "order_key"]).select("user_id", "purchase_id", "merchant", F.col("received_at").alias("anchor_at"), F.col("confidence").alias("anchor"), F.col("slug").alias("anchor_slug"))
-    rows = e.where("event = 'shipment' and role = 'carrier' and slug is not null").select("user_id", "slug", "k", "merchant", F.col("received_at").alias("carrier_at"), "confidence", "phase")
-    clusters = rows.groupBy("user_id", "slug", "k").agg(F.max("confidence").alias("confidence"), F.bool_or(F.col("phase") == "ready_for_pickup").alias("ready"))
-    met = interval_join(anchors, rows.drop("confidence", "phase"), ["user_id", "merchant"], "anchor_at", "carrier_at", 168, symmetric=True).where("anchor_slug is null or anchor_slug = slug")
-    one = met.groupBy("user_id", "slug", "k", "purchase_id").agg(F.max("anchor").alias("anchor")).groupBy("user_id", "slug", "k").agg(F.count(F.lit(1)).alias("n"), F.min("purchase_id").alias("purchase_id"), F.max("anchor").alias("anchor"))
-    out, single = clusters.join(one, ["user_id", "slug", "k"], "left"), F.col("n") == 1
-    return out.select("user_id", "slug", "k", F.when(single, "linkable").when(F.col("n") > 1, "review").otherwise("unmatched").alias("decision"), F.when(single, F.col("purchase_id")).alias("purchase_id"), F.when(single, F.least("confidence", "anchor")).alias("confidence"), F.when(F.coalesce("ready", F.lit(False)), "ready_for_pickup").otherwise("in_transit").alias("status"))
+    i, value = F.col("source_id"), F.col("value")
+    b = _existing(e).select("purchase_id", "user_id", "sender", "order_key", "merchant", F.when(F.col("purchase_id") % 3 == 1, "scitec.hu").otherwise(F.col("sender")).alias("domain"), "ordered_at", F.round(value / 20).alias("total"), F.when(F.col("purchase_id") % 3 > 0, " huf").otherwise("EUR").alias("currency"), F.round(F.least(F.lit(1.0), 0.94 + value / 1000), 4).alias("purchase_confidence"))
+    unique = b.groupBy("user_id", F.col("domain").alias("sender"), "order_key").agg(F.count(F.lit(1)).alias("n"), F.min("purchase_id").alias("purchase_id")).where("n = 1").drop("n")
+    anchors = e.where("event in ('shipment', 'order_updated') and role = 'merchant'").join(unique, ["user_id", "sender", "order_key"]).select("purchase_id", F.col("received_at").alias("anchor_at"), F.col("confidence").alias("anchor"), F.col("slug").alias("anchor_slug"))
+    called = F.when(i % 4 == 0, "BioTechUSA Kft.").when(i % 4 == 1, F.concat(F.lit("Shop"), F.col("k") % 3, F.lit(" Example Kft"))).when(i % 4 == 2, F.col("merchant"))
+    rows = e.where("event = 'shipment' and role = 'carrier' and slug is not null").select("source_id", "user_id", "slug", F.floor(F.col("k") / 50).alias("tracking"), F.col("received_at").alias("carrier_at"), "confidence", "event", F.when(F.col("phase") == "created", "shipment_created").otherwise(F.col("phase")).alias("phase"), called.alias("sender"), F.when(i % 2 == 0, F.round(value / 20)).alias("cod"), F.lit("HUF").alias("cod_currency"))
+    return by_sender(b, anchors, rows)
 
 
 _AMOUNT = "coalesce(CASE WHEN source_id % 5 > 0 THEN round(value) END, round(value * 0.9) + 2 - 1)"
