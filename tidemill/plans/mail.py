@@ -201,19 +201,34 @@ def profile_audit(spark, d):
     )
 
 
-@query("SELECT d.domain, s.source, coalesce(a.n, 0)::INT AS authority, coalesce(a.n, 0)::INT - coalesce(g.n, 0)::INT AS over_generic FROM (VALUES " + ", ".join(f"({lit(x)})" for x in R.AUTHORITY) + ") d(domain), (VALUES ('generic_email'), ('merchant'), ('commerce_protocol'), ('carrier_direct'), ('payment_provider_direct'), ('invoice_provider_direct'), ('invoice_pdf')) s(source) LEFT JOIN (VALUES " + ", ".join(f"({lit(x)}, {lit(s)}, {n})" for x, own in R.AUTHORITY.items() for s, n in own.items()) + ") a(domain, source, n) ON a.domain = d.domain AND a.source = s.source LEFT JOIN (VALUES ('commerce_identity', 20), ('logistics_state', 15), ('payment_state', 15), ('invoice_state', 15)) g(domain, n) ON g.domain = d.domain")
-def authority_matrix(spark, d):
-    """How much each source counts for each kind of fact, and how much more than a message of no known kind."""
-    sources = ("generic_email", "merchant", "commerce_protocol", "carrier_direct", "payment_provider_direct", "invoice_provider_direct", "invoice_pdf")
-    pairs = spark.createDataFrame([(x, s) for x in R.AUTHORITY for s in sources], "domain string, source string")
-    own = R.authority(F.col("domain"), F.col("source"))
-    return pairs.select("domain", "source", own.alias("authority"), (own - R.authority(F.col("domain"), F.lit("generic_email"))).alias("over_generic"))
+#: What a message's sender is to its facts, and which kind of fact its event is.
+_SOURCE = f"CASE WHEN {sql_role('sender')} = 'carrier' THEN 'carrier_direct' WHEN sender = 'szamlazz.hu' THEN 'invoice_provider_direct' WHEN {sql_role('sender')} = 'public' THEN 'generic_email' WHEN len(list_filter(attachments, lambda f: regexp_matches(lower(f), '[.]pdf$'))) > 0 THEN 'invoice_pdf' ELSE 'merchant' END"
+_FACT = "CASE WHEN regexp_matches(folded_subject, 'order|rendeles') THEN 'commerce_identity' WHEN regexp_matches(folded_subject, 'parcel|deliver|csomag|kezbesit') THEN 'logistics_state' WHEN regexp_matches(folded_subject, 'fizetes') THEN 'payment_state' WHEN regexp_matches(folded_subject, 'szamla') THEN 'invoice_state' END"
 
 
-@query("SELECT " + ", ".join(f"(SELECT count(*) FROM (VALUES {', '.join(f'({lit(p.status)}, {len(p.events)}, {bool(p.domains or p.addresses)})' for p in PROFILES)}) v(status, events, gated) WHERE {w}) AS {n}" for n, w in (("profiles", "true"), ("in_production", "status = 'production'"), ("gated", "gated"))))
+@query(f"""{M}, {_TEXTS}, f AS (SELECT id, user_id, {_FACT} AS domain, {_SOURCE} AS source FROM tx), a(domain, source, n) AS (VALUES {", ".join(f"({lit(x)}, {lit(s)}, {n})" for x, own in R.AUTHORITY.items() for s, n in own.items())}),
+    w AS (SELECT f.*, coalesce(a.n, 0) AS authority, coalesce(g.n, 0) AS of_none FROM f LEFT JOIN a ON a.domain = f.domain AND a.source = f.source LEFT JOIN a g ON g.domain = f.domain AND g.source = 'generic_email' WHERE f.domain IS NOT NULL)
+    SELECT user_id, domain, arg_min(id, {{'l': -authority, 'i': id}}) AS best_id, max(authority)::INT AS authority, (max(authority) - min(of_none))::INT AS over_generic, count(*) AS n FROM w GROUP BY 1, 2""")
+def authority_matrix(spark, d):
+    """Of each user and kind of fact the message whose sender counts most, and by how much over one of no known kind."""
+    m = _message_texts(messages(spark, d))
+    role, subject = T.sender_role(F.col("sender")), F.col("folded_subject")
+    pdf = F.exists("attachments", lambda f: F.lower(f).rlike("[.]pdf$"))
+    source = F.when(role == "carrier", "carrier_direct").when(F.col("sender") == "szamlazz.hu", "invoice_provider_direct").when(role == "public", "generic_email").when(pdf, "invoice_pdf").otherwise("merchant")
+    fact = F.when(subject.rlike("order|rendeles"), "commerce_identity").when(subject.rlike("parcel|deliver|csomag|kezbesit"), "logistics_state").when(subject.rlike("fizetes"), "payment_state").when(subject.rlike("szamla"), "invoice_state")
+    m = m.select("id", "user_id", fact.alias("domain"), source.alias("source")).where("domain is not null")
+    w = m.withColumn("own", R.authority(F.col("domain"), F.col("source"))).withColumn("none", R.authority(F.col("domain"), F.lit("generic_email")))
+    g = w.groupBy("user_id", "domain").agg(F.min(F.struct((-F.col("own")).alias("less"), "id")).alias("best"), F.min("none").alias("none"), F.count(F.lit(1)).alias("n"))
+    return g.select("user_id", "domain", F.col("best.id").alias("best_id"), (-F.col("best.less")).alias("authority"), (-F.col("best.less") - F.col("none")).alias("over_generic"), "n")
+
+
+@query(f"""{M}, {_HEADERS}, ev AS ({_rule_sql()}), r(profile, status, events, gated) AS (VALUES {", ".join(f"({lit(p.name)}, {lit(p.status)}, {len(p.events)}, {str(bool(p.domains or p.addresses)).lower()})" for p in PROFILES)})
+    SELECT r.*, count(DISTINCT ev.id) AS messages, count(ev.id) AS found, count(*) FILTER (WHERE ev.blocked) AS blocked FROM r LEFT JOIN ev USING (profile) GROUP BY ALL""")
 def rule_registry(spark, d):
-    rows = spark.createDataFrame([(p.status, bool(p.domains or p.addresses)) for p in PROFILES], "status string, gated boolean")
-    return rows.agg(F.count(F.lit(1)).alias("profiles"), F.count_if(F.col("status") == "production").alias("in_production"), F.count_if("gated").alias("gated"))
+    """The profiles in force and under test, and what each finds in the messages."""
+    rows = spark.createDataFrame([(p.name, p.status, len(p.events), bool(p.domains or p.addresses)) for p in PROFILES], "profile string, status string, events int, gated boolean")
+    found = R.evaluate(_with_headers(spark, d), PROFILES).groupBy("profile").agg(F.count_distinct("id").alias("messages"), F.count(F.lit(1)).alias("found"), F.count_if("blocked").alias("blocked"))
+    return rows.join(found, "profile", "left").fillna(0, ["messages", "found", "blocked"])
 
 
 _PROTOCOL = _chain("html", (r"(?s)<!--.*?-->", "' '"), (r"(?is)<style\b.*?</style>", "' '"), (r"(?is)<script\b.*?</script>", "' '"), (r"(?i)<(?:br|hr)\b[^>]*>", "chr(10)"), (r"(?i)</(?:p|div|li|tr|h[1-6])>", "chr(10)"), (r"<[^>]+>", "' '"))

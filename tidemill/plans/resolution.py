@@ -64,13 +64,16 @@ def shipment_resolution(spark, d):
     return shipments(e.withColumn("tracking", F.col("k")), _existing(e))
 
 
-@query(E + _SHIPMENTS + """ SELECT user_id, tracking, coalesce(decision = 'linkable' AND slug IS NOT NULL AND status <> 'shipment_created' AND n_physical >= 1 AND n >= 3 AND n_anchors >= 1 AND n_carrier >= 1, false) AS by_tracking,
-    coalesce(decision = 'linkable' AND confidence >= 0.85, false) AS as_invoice FROM sc""")
+_PARCELS = _SHIPMENTS.replace("k AS tracking", "k // 10 AS tracking")
+
+
+@query(E + _PARCELS + """ SELECT user_id, tracking, coalesce(decision = 'linkable' AND slug IS NOT NULL AND status <> 'shipment_created' AND n_physical >= 1 AND n >= 3 AND n_anchors >= 1 AND n_carrier >= 2, false) AS by_tracking,
+    coalesce(decision = 'linkable' AND confidence >= 0.85, false) AS as_invoice, n_carrier FROM sc""")
 def shipment_write_gate(spark, d):
-    """Which shipments and documents may be written; a carrier's row is one kind of evidence, so one counts as two here."""
+    """Which shipments and documents may be written; ten of the events' numbers are one parcel here, so that a carrier has several rows of it."""
     e = evidence(spark, d)
-    s = shipments(e.withColumn("tracking", F.col("k")), _existing(e))
-    return s.select("user_id", "tracking", may_write_shipment(*map(F.col, ("decision", "slug", "status", "n", "n_physical", "n_anchors")), F.col("n_carrier") * 2).alias("by_tracking"), may_write_document(F.col("decision"), F.lit("invoice"), F.col("confidence")).alias("as_invoice"))
+    s = shipments(e.withColumn("tracking", F.floor(F.col("k") / 10)), _existing(e))
+    return s.select("user_id", "tracking", may_write_shipment(*map(F.col, ("decision", "slug", "status", "n", "n_physical", "n_anchors", "n_carrier"))).alias("by_tracking"), may_write_document(F.col("decision"), F.lit("invoice"), F.col("confidence")).alias("as_invoice"), "n_carrier")
 
 
 #: What payments and purchases say beside the columns of evidence: a thread, an order number of one of three lengths, a currency and a name.
@@ -304,16 +307,16 @@ def parcel_sender_bridge(spark, d):
     return by_sender(b, anchors, rows)
 
 
-_AMOUNT = "coalesce(CASE WHEN source_id % 5 > 0 THEN round(value) END, round(value * 0.9) + 2 - 1)"
+_AMOUNT = "coalesce(CASE WHEN source_id % 5 > 0 THEN round(value) END, round(value * 0.9) + order_key - k % 3)"
 
 
 @query(E + f""", b AS (SELECT source_id AS purchase_id, user_id, {_AMOUNT} AS amount, received_at AS at FROM ev WHERE event = 'order_created'), a AS (SELECT source_id, user_id, round(value) AS paid, received_at FROM ev WHERE event = 'payment_completed'),
     m AS (SELECT a.source_id, count(b.purchase_id) AS n, min(b.purchase_id) AS p FROM a LEFT JOIN b ON b.user_id = a.user_id AND b.amount = a.paid AND abs(epoch_us(a.received_at) - epoch_us(b.at)) <= 7200000000 GROUP BY 1)
     SELECT source_id, n, CASE WHEN n = 1 THEN 'linkable' ELSE 'review' END AS decision, CASE WHEN n = 1 THEN p END AS purchase_id FROM m""")
 def terminal_receipt(spark, d):
-    """A receipt of a terminal links to the one purchase of exactly its amount within two hours; the amount is the total, or what its parts make."""
+    """A receipt of a terminal links to the one purchase of exactly its amount within two hours; the amount is the total, or without one the subtotal and the shipping less the discount."""
     e = evidence(spark, d)
-    amount = F.coalesce(F.when(F.col("source_id") % 5 > 0, F.round("value")), F.round(F.col("value") * 0.9) + 2 - 1)
+    amount = F.coalesce(F.when(F.col("source_id") % 5 > 0, F.round("value")), F.round(F.col("value") * 0.9) + F.col("order_key") - F.col("k") % 3)
     b = e.where("event = 'order_created'").select(F.col("source_id").alias("purchase_id"), "user_id", amount.alias("amount"), F.col("received_at").alias("at"))
     a = e.where("event = 'payment_completed'").select("source_id", "user_id", F.round("value").alias("amount"), "received_at")
     m = interval_join(a, b, ["user_id", "amount"], "received_at", "at", 2, symmetric=True).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.min("purchase_id").alias("p"))

@@ -174,13 +174,16 @@ def corroborated_document_upsert(spark, d):
     return j.select(*keys, F.greatest("old", "new").alias("confidence"), F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "kept").otherwise("duplicate").alias("outcome"), F.coalesce("n", F.lit(0)).alias("n_sources"))
 
 
-_STEP = """CASE e WHEN 'payment_failed' THEN CASE WHEN s IN ('cancelled', 'refunded', 'returned', 'delivered', 'in_transit', 'shipped', 'paid') THEN s ELSE 'payment_failed' END WHEN 'cancelled' THEN CASE WHEN s IN ('cancelled', 'refunded', 'returned', 'delivered', 'in_transit', 'shipped') THEN s ELSE 'cancelled' END
-    WHEN 'delayed' THEN CASE WHEN s IN ('cancelled', 'refunded', 'returned', 'delivered', 'payment_failed') THEN s ELSE 'delayed' END WHEN 'order_packing' THEN CASE WHEN s IN ('cancelled', 'refunded', 'returned', 'delivered', 'in_transit', 'shipped', 'payment_failed') THEN s ELSE 'processing' END ELSE s END"""
+#: An event of the fold, as text: what it is, the payment that is known then, and whether a shipment is.
+_STEP = """CASE split_part(e, '/', 1) WHEN 'payment_failed' THEN CASE WHEN split_part(e, '/', 2) = 'paid' THEN CASE WHEN s = 'payment_failed' THEN 'paid' ELSE s END WHEN s IN ('cancelled', 'refunded', 'returned', 'delivered', 'in_transit', 'shipped', 'paid') THEN s ELSE 'payment_failed' END
+    WHEN 'cancelled' THEN CASE WHEN split_part(e, '/', 3) = 'true' OR s IN ('cancelled', 'refunded', 'returned', 'delivered', 'in_transit', 'shipped') THEN s ELSE 'cancelled' END WHEN 'delayed' THEN CASE WHEN s IN ('cancelled', 'refunded', 'returned', 'delivered', 'payment_failed') THEN s ELSE 'delayed' END
+    WHEN 'order_packing' THEN CASE WHEN split_part(e, '/', 2) = 'failed' OR s IN ('cancelled', 'refunded', 'returned', 'delivered', 'in_transit', 'shipped', 'payment_failed') THEN s ELSE 'processing' END ELSE s END"""
 _MEANT = "CASE WHEN k % 10 = 3 THEN 'cancelled' WHEN event = 'invoice_or_receipt' AND k % 4 = 0 THEN 'payment_failed' WHEN event = 'order_updated' THEN 'order_packing' WHEN event = 'shipment' THEN 'delayed' ELSE 'seen' END"
+_PAID, _SHIPPED = "CASE source_id % 4 WHEN 0 THEN 'paid' WHEN 1 THEN 'failed' END", "source_id % 3 = 1"
 
 
-@query(E + f""", l AS (SELECT user_id, order_key, list({_MEANT} ORDER BY received_at, source_id) AS events FROM ev GROUP BY 1, 2) SELECT user_id, order_key, list_reduce(list_prepend('ordered', events), lambda s, e: {_STEP}) AS state, len(events) AS n FROM l""")
+@query(E + f""", l AS (SELECT user_id, order_key, list({_MEANT} || '/' || coalesce({_PAID}, '') || '/' || ({_SHIPPED}) ORDER BY received_at, source_id) AS events FROM ev GROUP BY 1, 2) SELECT user_id, order_key, list_reduce(list_prepend('ordered', events), lambda s, e: {_STEP}) AS state, len(events) AS n FROM l""")
 def lifecycle_fold(spark, d):
-    """The state of each order of a user after all its events in the order of time, folded day by day."""
-    e = evidence(spark, d).select("user_id", "order_key", "received_at", "source_id", F.expr(_MEANT).alias("event"), F.lit(None).cast("string").alias("payment"), F.lit(False).alias("has_shipment"))
+    """The state of each order of a user after all its events in the order of time, with what is known then of payments and shipments; folded day by day."""
+    e = evidence(spark, d).select("user_id", "order_key", "received_at", "source_id", F.expr(_MEANT).alias("event"), F.expr(_PAID).alias("payment"), F.expr(_SHIPPED).alias("has_shipment"))
     return merge.folded_states(e, ["user_id", "order_key"], F.to_date("received_at"), ["received_at", "source_id"]).withColumn("n", F.col("n").cast("long"))
