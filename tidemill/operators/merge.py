@@ -105,3 +105,20 @@ def folded_states(events: DataFrame, keys: list[str], span: Column, order: list[
     place = lambda state: F.array_position(F.array(*map(F.lit, STATES)), state).cast("int")
     state = F.aggregate("__runs", F.lit(first), lambda s, r: F.element_at(r["__after"], place(s)))
     return runs.select(*keys, state.alias("state"), "n")
+
+
+def merged_objects(rows: DataFrame, keys: list[str], column: str, order: list[str]) -> DataFrame:
+    """keys and ``column``: the JSON objects of a key merged, member by member, the later by ``order`` over the earlier.
+
+    Values are taken whole, of whatever kind; members come in the order of
+    their names.  What is no object, and null, has no members; a key of which
+    nothing has members has an empty object.
+    """
+    parsed = rows.select(*keys, F.struct(*order).alias("__at"), F.try_parse_json(column).alias("__object"))
+    known = parsed.select(*keys).distinct()
+    members = parsed.where(F.schema_of_variant("__object").startswith("OBJECT")).lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("__object").outer()))
+    # the last of each member is found before the members of a key meet
+    last = members.groupBy(*keys, "key").agg(F.max_by(F.to_json("value"), "__at").alias("value"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda m: F.concat(F.to_json(F.parse_json(F.concat(F.lit('"'), F.regexp_replace(m["key"], r'(["\\])', r"\\$1"), F.lit('"')))), F.lit(":"), m["value"]))
+    each = last.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias(column))
+    return known.join(each, keys, "left").select(*keys, F.coalesce(column, F.lit("{}")).alias(column))
