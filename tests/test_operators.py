@@ -1,6 +1,7 @@
 """Joins, parsers and streams on small made cases: against all pairs, and with what breaks them."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -152,3 +153,33 @@ def test_inbox_is_drained_in_order(spark, tmp_path):
     assert ended == {1: ("processed", 1, 0), 2: ("processed", 1, 0), 4: ("processed", 1, 0), 7: ("processed", 1, 1), 5: ("processed", 1, 1), 3: ("dead", 2, 2), 9: ("dead", 2, 2)}
     inbox.batch(arrived([], start), 2, F.lit(start + 2 * minute))  # the batch once more gives the same
     assert worked[3] == worked[2] and {r.id: (r.status, r.attempts, r.batch) for r in inbox.finished().collect()} == ended and inbox.active(2).count() == 0
+
+
+# merges
+def test_objects_merge_member_by_member(spark):
+    from tidemill.operators.merge import merged_objects
+
+    rows = [(1, 1, '{"a":1,"b":{"c":[1,null]}}'), (1, 3, '{"a":null,"d \\"x\\" \\\\":"é"}'), (1, 2, '{"a":2,"b":"t"}'), (2, 1, "[1]"), (2, 2, "broken"), (3, 1, None), (4, 1, '{"z":true}')]
+    out = merged_objects(spark.createDataFrame(rows, "k int, at int, m string"), ["k"], "m", ["at"])
+    got = {r.k: r.m for r in out.collect()}
+    assert {k: json.loads(v) for k, v in got.items()} == {1: {"a": None, "b": "t", 'd "x" \\': "é"}, 2: {}, 3: {}, 4: {"z": True}}
+
+
+def test_table_is_merged_by_batches(spark, tmp_path):
+    from tidemill.operators.store import MergeTable
+
+    table = MergeTable(spark, str(tmp_path), "k long, name string, c double, first string", ["k"], {"name": "new", "c": "greatest", "first": "old"}, ["at"], buckets=3)
+    schema = "k long, name string, c double, first string, at int, source_id long, problem string"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    rows = lambda: {r.k: (r.name, r.c, r["first"]) for r in table.rows().collect()}
+    one = batch((1, "a", 0.5, None, 1, 10, None), (1, None, 0.2, "x", 2, 10, None), (2, "b", 0.1, "y", 1, 11, None), (3, "no", 9.0, "n", 1, 11, "price"))
+    table.apply(one, 0)
+    assert rows() == {1: ("a", 0.5, "x"), 2: ("b", 0.1, "y")}
+    two = batch((2, "c", None, "z", 3, 12, None), (4, "d", 1.0, None, 1, 12, None), (2, None, 0.7, None, 4, 13, None))
+    for _ in range(2):  # a batch that is repeated changes nothing more
+        table.apply(two, 1)
+        assert rows() == {1: ("a", 0.5, "x"), 2: ("c", 0.7, "y"), 4: ("d", 1.0, None)}
+        told = sorted((r.batch, r.source_id, r.outcome, r.n) for r in table.outcomes().collect())
+        assert told == [(0, 10, "inserted", 2), (0, 11, "inserted", 1), (0, 11, "rejected: price", 1), (1, 12, "inserted", 1), (1, 12, "updated", 1), (1, 13, "updated", 1)]
+    table.apply(batch().limit(0), 2)
+    assert len(rows()) == 3
