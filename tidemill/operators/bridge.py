@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import micros
 from ..functions.text import same_party, text_key
 from .candidates import alike_names
 from .joins import interval_join
@@ -125,3 +126,33 @@ def by_sender(purchases: DataFrame, anchors: DataFrame, rows: DataFrame) -> Data
     n, p, anchor = F.coalesce("n", "n_2"), F.coalesce("p", "p_2"), F.coalesce("anchor", "anchor_2")
     decided = F.when(n == 1, "linkable").when(n > 1, "review").otherwise("unmatched")
     return out.select(*KEY, decided.alias("decision"), F.when(n == 1, p).alias("purchase_id"), F.when(n == 1, F.least("confidence", anchor)).otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("ready"), "ready_for_pickup").otherwise("in_transit").alias("status"), "lane")
+
+
+def by_cluster(invoices: DataFrame, shipments: DataFrame, rows: DataFrame, sources: int = 2, letters: int = 6) -> DataFrame:
+    """invoice_id, slug, tracking and n_rows: of invoices whose shipment has no number the one parcel of a carrier that must be theirs.
+
+    ``invoices``: invoice_id, user_id, at, merchant and legal (compact names);
+    ``shipments``: invoice_id, shipment_id, s_at; ``rows``: a carrier's
+    messages: source_id, user_id, slug, tracking, c_at, physical, sender
+    (compact), cod, cod_currency.  A parcel counts for a shipment by its
+    messages within seven days of shipment and invoice: two sources, physical
+    progress, one sum to collect throughout, and a sender that is the merchant.
+    Only where one shipment of the invoice has such a parcel, and that one
+    only, it is linked; more of either block it.  Parcels and invoices of a
+    user meet by names, then by spans of time.
+    """
+    label = rows.select(*KEY, F.col("sender").alias("label")).where(F.length("sender") >= letters).distinct()
+    called = invoices.select("invoice_id", "user_id", F.explode(F.array_distinct(F.array_compact(F.array("merchant", "legal")))).alias("alias")).where(F.length("alias") >= letters)
+    alike = alike_names(label.select("label"), called.select("alias"), least=letters).toDF("label", "alias")
+    pairs = label.join(alike, "label").join(called, ["user_id", "alias"]).select(*KEY, "invoice_id").distinct()
+    both = pairs.join(shipments, "invoice_id").join(invoices.drop("user_id"), "invoice_id")
+    met = interval_join(both, rows, KEY, "s_at", "c_at", WINDOW, symmetric=True).where(F.abs(micros(F.col("c_at")) - micros(F.col("at"))) <= WINDOW * 3_600_000_000)
+    named = lambda x: F.coalesce((F.length("sender") >= letters) & (F.length(x) >= letters) & (F.col("sender").contains(x) | x.contains(F.col("sender"))), F.lit(False))
+    currency = F.nullif(F.upper(F.trim("cod_currency")), F.lit(""))
+    sums = F.when(currency.isNotNull(), F.col("cod"))
+    found = met.groupBy("invoice_id", "shipment_id", *KEY).agg(
+        F.count_distinct("source_id").alias("n_sources"), F.count(F.lit(1)).alias("n_rows"), F.bool_or("physical").alias("moved"), F.min(sums).alias("low"), F.max(sums).alias("high"), F.min(F.when(F.col("cod").isNotNull(), currency)).alias("coin"), F.max(F.when(F.col("cod").isNotNull(), currency)).alias("last_coin"),
+        F.bool_or(named(F.col("merchant")) | named(F.col("legal"))).alias("named"),
+    ).where((F.col("n_sources") >= sources) & F.col("moved") & (F.col("high") - F.col("low") < 0.001) & (F.col("coin") == F.col("last_coin")) & F.col("named"))
+    each = found.groupBy("invoice_id", "shipment_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("slug", "tracking", "n_rows")).alias("one"))
+    return each.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("shipments"), F.max("n").alias("parcels"), F.min("one").alias("one")).where("shipments = 1 and parcels = 1").select("invoice_id", "one.*")
