@@ -28,9 +28,11 @@ WINDOW = 13
 #: Words of an anchor.
 ANCHOR = 3
 #: Segments that a shard holds at most, copies of one segment from other slices aside.
-SHARD_SEGMENTS = 25_000
+SHARD_SEGMENTS = 15_000
+#: Text bytes of a slice.
+SLICE_BYTES = 4 << 20
 #: Segments of an anchor from which it has a shard of its own, as a share of SHARD_SEGMENTS.
-OWN_SHARD = 25
+OWN_SHARD = 15
 #: Segments of an anchor in a slice from which equal ones are counted once.
 COUNTED = 32
 #: How the segments of an anchor find their shard.
@@ -292,7 +294,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     if not ANCHOR < window <= ANCHOR + 40:
         raise ValueError("windows have 4 to 43 words")
     # slices are large rows: they meet their anchors and their findings where they are
-    slices = bucketed(word_slices(docs, id_col, text_col, lower=False), "substring-slices", "slice_id")
+    slices = bucketed(word_slices(docs, id_col, text_col, lower=False, limit=SLICE_BYTES), "substring-slices", "slice_id")
     segments, cut = routed(slices, window)
     matched = segments.groupBy("shard").applyInArrow(_match(window), "slice_id long, content long, bits long")
     found = matched.groupBy("slice_id").agg(F.collect_list(F.struct("content", "bits")).alias("found"))
