@@ -103,32 +103,26 @@ def best_of_all(probes: DataFrame, common: DataFrame, pairs: DataFrame, points:
     counts need the difference.  Without a candidate that scores, best is null.
     """
     cells = [(m, b) for m in points for b in range(len(time))]
-    at = lambda m, b: (F.col("mask") == m) & (F.col("band") == b)
-    counts = common.groupBy("probe").agg(*[F.sum(F.when(at(m, b), F.col("n"))).alias(f"n_{m}_{b}") for m, b in cells], *[F.min(F.when(at(m, b), F.col("first"))).alias(f"first_{m}_{b}") for m, b in cells])
+    # as SQL text: the expressions are many, and a call to the JVM for each part of them takes longer than the query
+    at = lambda m, b: f"mask = {m} and band = {b}"
+    counts = common.groupBy("probe").agg(*[F.expr(f"sum(n) filter (where {at(m, b)}) as n_{m}_{b}") for m, b in cells], *[F.expr(f"min(first) filter (where {at(m, b)}) as first_{m}_{b}") for m, b in cells])
     # rare ones count in every set that they share and every band that they lie in
-    holds = lambda m, b: F.col("mask").bitwiseAND(m) == m if b is None else (F.col("mask").bitwiseAND(m) == m) & (F.col("band") <= b)
-    scores = lambda kind: F.struct((-F.col("score")).alias("less"), "id", "flags") if kind else F.col("score")
-    rare = pairs.groupBy("probe").agg(F.min(scores(True)).alias("rare"), *[F.count_if(holds(m, b)).alias(f"rare_{m}_{b}") for m, b in cells])
+    rare = pairs.groupBy("probe").agg(F.min(F.struct((-F.col("score")).alias("less"), "id", "flags")).alias("rare"), *[F.expr(f"count_if(mask & {m} = {m} and band <= {b}) as rare_{m}_{b}") for m, b in cells])
     second = pairs.withColumn("place", F.row_number().over(W.partitionBy("probe").orderBy(F.col("score").desc(), "id"))).where("place = 2").select("probe", F.col("score").alias("rare_second"))
     t = probes.join(counts, "probe", "left").join(rare, "probe", "left").join(second, "probe", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    left = {(m, b): zero(f"n_{m}_{b}") - zero(f"rare_{m}_{b}") for m, b in cells}  # within the band and sharing the set at least
-    masks = list(points)
-
-    def exact(m: int, b: int) -> Column:
-        out = F.lit(0)
-        for more in masks:
-            if more & m == m:
-                sign = -1 if bin(more ^ m).count("1") % 2 else 1
-                out = out + sign * (left[more, b] - (left[more, b - 1] if b else F.lit(0)))
-        return out
+    # within the band and sharing the set at least
+    left = {(m, b): f"(coalesce(n_{m}_{b}, 0) - coalesce(rare_{m}_{b}, 0))" for m, b in cells}
+
+    def exact(m: int, b: int) -> str:
+        more = [x for x in points if x & m == m]
+        return " ".join(f"{'-' if bin(x ^ m).count('1') % 2 else '+'} ({left[x, b]}{f' - {left[x, b - 1]}' if b else ''})" for x in more)
 
     worth = {(m, b): points[m] + time[b] for m, b in cells if points[m] + time[b] > 0}
-    offers = [F.when(zero(f"n_{m}_{b}") > 0, F.struct(F.lit(-v).alias("less"), F.col(f"first_{m}_{b}").alias("id"))) for (m, b), v in worth.items()]
-    best = F.array_min(F.array_compact(F.array(*offers, F.when(F.col("rare").isNotNull(), F.struct("rare.less", "rare.id")))))
-    numbered = t.withColumn("top", best).withColumns({f"e_{m}_{b}": exact(m, b) for m, b in worth})
-    scored = F.array_compact(F.array(*[F.when(F.col(f"e_{m}_{b}") >= k, F.lit(v)) for (m, b), v in worth.items() for k in (1, 2)], -F.col("rare.less"), F.col("rare_second")))
-    runner_up = F.coalesce(F.get(F.sort_array(scored, asc=False), F.lit(1)), F.lit(0))
+    offers = ", ".join(f"if(n_{m}_{b} > 0, named_struct('less', {-v}, 'id', first_{m}_{b}), null)" for (m, b), v in worth.items())
+    numbered = t.withColumn("top", F.expr(f"array_min(filter(array({offers}, if(rare is not null, named_struct('less', rare.less, 'id', rare.id), null)), x -> x is not null))"))
+    numbered = numbered.withColumns({f"e_{m}_{b}": F.expr(exact(m, b)) for m, b in worth})
+    scored = ", ".join(f"if(e_{m}_{b} >= {k}, {v}, null)" for (m, b), v in worth.items() for k in (1, 2))
+    runner_up = F.expr(f"coalesce(get(sort_array(filter(array({scored}, -rare.less, rare_second), x -> x is not null), false), 1), 0)")
     same = F.coalesce(F.col("rare.id") == F.col("top.id"), F.lit(False))
     found = F.when(F.col("top").isNotNull(), F.struct((-F.col("top.less")).alias("score"), F.col("top.id").alias("id"), F.when(same, F.col("rare.flags")).alias("flags")))
     return numbered.select(*probes.columns, found.alias("best"), runner_up.alias("runner_up"))
