@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import address_domain, domain, fold, in_domain, labelled_line, let, markup_types, plain_text, reasons, sender_role, without_history
+from .text import address_domain, any_of, domain, fold, has_any, in_domain, labelled_line, let, markup_types, plain_text, reasons, sender_role, without_history
 
 # fixed values: words that make a subject, a snippet or a file name one of commerce
 KEYWORDS = (
@@ -79,6 +79,15 @@ INVOICE_IDS = (
     r"(?m)^\s*szamla\s+([a-z0-9][a-z0-9./_-]{3,39})(?:\s|-|$)",
     r"\binvoice\s+([a-z0-9][a-z0-9./_-]{3,39})(?:\s|$)",
 )
+#: Of each pattern of an identity, words of which a text has one wherever the pattern matches: most texts lack them.
+NEEDED = {
+    **dict(zip(ORDER_IDS, (("order",), ("order",), ("rendeles",), ("rendeles",), ("bestelln", "auftragsnummer"), ("commande",), ("pedido",)))),
+    **dict(zip(LATER_ORDER_IDS, (("order",), ("order",), *[("rendeles",)] * 5, ("bestelln", "auftragsnummer"), ("commande", "pedido")))),
+    **dict(zip(TRACKING_IDS, (("tracking", "nyomkovetesi", "csomag", "kuldemeny", "parcel", "shipment"),))),
+    **dict(zip(INVOICE_IDS, (("szamla", "invoice"), ("szamla",), ("invoice",)))),
+}
+#: The same of promises.
+PROMISING = ("ertesit", "kuld", "miutan", "csak", "'ll", "will")
 # fixed values: wordings by which a message says that it accepts no order
 DISCLAIMERS = (
     r"\b(?:ez az|ez a) e-?mail nem minosul (?:a )?megrendeles visszaigazolasanak\b",
@@ -169,10 +178,6 @@ PAYMENTS = ("payment method", "payment", "fizetesi mod", "zahlungsart", "mode de
 SHIPPINGS = ("shipping method", "delivery method", "szallitasi mod", "versandart", "mode de livraison", "metodo de envio")
 
 
-def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(Column.__or__, [text.rlike(p) for p in patterns])
-
-
 def sender_domain(address: Column) -> Column:
     return domain(address_domain(address))
 
@@ -185,7 +190,8 @@ def pickup_noise(sender: Column, text: Column) -> Column:
 def promotional_noise(text: Column) -> Column:
     """An advertisement: no anchor, and either a reminder of an earlier purchase or two signs of a campaign."""
     signs = reduce(Column.__add__, [text.rlike(p).cast("int") for p in CAMPAIGN])
-    return (text != "") & ~any_of(text, ANCHORS) & (any_of(text, REPURCHASE) | (signs >= 2))
+    # most texts have no sign at all, which one pass tells
+    return (text != "") & any_of(text, (*REPURCHASE, *CAMPAIGN)) & ~any_of(text, ANCHORS) & (any_of(text, REPURCHASE) | (signs >= 2))
 
 
 def commerce_reasons(messages: DataFrame) -> DataFrame:
@@ -196,7 +202,9 @@ def commerce_reasons(messages: DataFrame) -> DataFrame:
     once, in projections of their own, before any pattern reads them.
     """
     subject, html = F.coalesce("subject", F.lit("")), F.coalesce("html", F.lit(""))
-    texts = messages.withColumn("__plain", fold(F.concat_ws("\n", subject, plain_text(html)))).withColumn("__raw", fold(F.concat_ws("\n", subject, html))).withColumn("__sender", sender_domain(F.coalesce("address", F.lit("")))).withColumn("__types", markup_types(html))
+    texts = messages.withColumn("__plain", F.concat_ws("\n", subject, plain_text(html))).withColumn("__plain", fold(F.col("__plain"))).withColumn("__sender", sender_domain(F.coalesce("address", F.lit("")))).withColumn("__types", markup_types(html))
+    # only the courier's messages are read raw
+    texts = texts.withColumn("__raw", F.when(in_domain(F.col("__sender"), PICKUP_DOMAIN), fold(F.concat_ws("\n", subject, html))))
     texts = texts.withColumn("__spoken", F.trim(F.regexp_replace("__plain", r"\s+", " "))).withColumn("__searched", F.lower(F.concat_ws(" ", subject, F.array_join("attachments", " "))))
     keyword = reduce(Column.__or__, [F.col("__searched").contains(k) for k in KEYWORDS])
     signals = reasons(("gmail_category_purchases", F.array_contains(F.transform("folders", lambda f: F.upper(f)), "CATEGORY_PURCHASES")), ("structured_commerce_markup", F.size("__types") > 0), ("known_carrier_sender", sender_role(F.col("__sender")) == "carrier"), ("commerce_keyword", keyword))
@@ -209,14 +217,16 @@ def identity(text: Column, patterns: tuple[str, ...], every: bool = False) -> Co
     clean = lambda x: F.regexp_replace(F.nullif(x, F.lit("")), r"[.,;:)]+$", "")
     if every:
         found = [F.get(F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), clean), lambda v: v.rlike("[0-9]")), F.lit(0)) for p in patterns]
-        return F.coalesce(*found)
-    return F.coalesce(*[let(clean(F.regexp_extract(text, p, 1)), lambda v: F.when(v.rlike("[0-9]"), v)) for p in patterns])
+    else:
+        found = [let(clean(F.regexp_extract(text, p, 1)), lambda v: F.when(v.rlike("[0-9]"), v)) for p in patterns]
+    return F.coalesce(*[F.when(has_any(text, NEEDED[p]), v) if p in NEEDED else v for p, v in zip(patterns, found)])
 
 
 def without_promises(body: Column) -> Column:
     """The sentences of a folded text, one a line, but those that promise a later message."""
     sentences = F.transform(F.split(F.regexp_replace(body, r"([.!?])\s+", "$1\n"), r"\n+"), lambda s: F.trim(s))
-    return F.array_join(F.filter(sentences, lambda s: (s != "") & ~any_of(s, PROMISES)), "\n")
+    said = F.filter(sentences, lambda s: s != "")
+    return F.array_join(F.when(has_any(body, PROMISING), F.filter(said, lambda s: ~any_of(s, PROMISES))).otherwise(said), "\n")
 
 
 def delivery_kind(subject: Column, event: Column) -> Column:
@@ -274,12 +284,15 @@ SUMS = r"^(?:subtotal|shipping|delivery|discount|total|osszesen|szallitas|kedvez
 def product_rows(text: Column) -> Column:
     """name, quantity, total and currency of the rows ``name | qty: n | amount currency``, then of those ``name x n amount currency``, of a folded text; fifty at most."""
     found = []
-    for pattern in ROWS:
+    none = F.array().cast("array<struct<name:string,quantity:int,total:decimal(14,2),currency:string>>")
+    # what a text with such a row has in any case
+    may = (text.contains("|"), text.rlike(r"\s[x×]\s*\d+\s+[0-9]"))
+    for there, pattern in zip(may, ROWS):
         part = lambda k, pattern=pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
-        found.append(F.transform(
+        found.append(F.when(~there, none).otherwise(F.transform(
             F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), part(4).alias("d")),
             lambda r: F.struct(F.trim(r["a"]).alias("name"), r["b"].try_cast("int").alias("quantity"), local_money(r["c"], currency_of(r["d"])).alias("total"), currency_of(r["d"]).alias("currency")),
-        ))
+        )))
     return F.slice(F.filter(F.concat(*found), lambda r: (r["quantity"] > 0) & r["total"].isNotNull() & ~r["name"].rlike(SUMS)), 1, 50)
 
 
@@ -291,21 +304,29 @@ def generic_order(sender: Column, subject: Column, body: Column) -> Column:
     message that says it is no acceptance neither, and two of six signs must
     corroborate the order's number.
     """
-    return let(F.struct(subject.alias("subject"), without_history(body).alias("body")), lambda m: _fresh_order(sender, m["subject"], m["body"]))
+    shared = reduce(Column.__or__, [in_domain(sender, d) for d in SHARED_SENDERS])
+    may = (sender != "") & (sender_role(sender) == "unknown") & ~shared
+    fresh = lambda b: F.struct(subject.alias("subject"), b.alias("body"), F.concat_ws("\n", subject, b).alias("context"))
+    return F.when(may, let(without_history(body), lambda b: let(fresh(b), _fresh_order)))
 
 
-def _fresh_order(sender: Column, subject: Column, body: Column) -> Column:
-    context = F.concat_ws("\n", subject, body)
-    shared = reduce(Column.__or__, [in_domain(sender, d) for d in SHARED_SENDERS])
+def _fresh_order(m: Column) -> Column:
+    subject, body, context = m["subject"], m["body"], m["context"]
+    # what decides comes first: the rest is read of confirmations with a number only
+    confirms = any_of(context, CONFIRMATIONS) & ~any_of(context, DISCLAIMERS)
+    return F.when(confirms, let(identity(context, ORDER_IDS, every=True), lambda order: F.when(order.isNotNull(), _signs(order, subject, body, context))))
+
+
+def _signs(order: Column, subject: Column, body: Column, context: Column) -> Column:
     read = F.struct(
-        identity(context, ORDER_IDS, every=True).alias("order"), labelled_money(body, TOTALS).alias("money"), labelled_line(body, PAYMENTS).isNotNull().alias("payment"), labelled_line(body, SHIPPINGS).isNotNull().alias("shipping"), (F.size(product_rows(body)) > 0).alias("rows"), context.rlike(DETAILS).alias("details"),
-        any_of(subject, CONFIRMING_SUBJECTS).alias("subject"), ((sender != "") & (sender_role(sender) == "unknown") & ~shared & any_of(context, CONFIRMATIONS) & ~any_of(context, DISCLAIMERS)).alias("confirms"),
+        order.alias("order"), labelled_money(body, TOTALS).alias("money"), labelled_line(body, PAYMENTS).isNotNull().alias("payment"), labelled_line(body, SHIPPINGS).isNotNull().alias("shipping"), (F.size(product_rows(body)) > 0).alias("rows"), context.rlike(DETAILS).alias("details"),
+        any_of(subject, CONFIRMING_SUBJECTS).alias("subject"),
     )
 
     def decided(r: Column) -> Column:
         n = reduce(Column.__add__, [r[x].cast("int") for x in ("payment", "shipping", "rows", "details", "subject")], r["money"].isNotNull().cast("int"))
         out = F.struct(r["order"].alias("order_id"), n.alias("signs"), F.when(n >= 4, 0.97).when(n == 3, 0.95).otherwise(0.92).alias("confidence"), r["money"]["amount"].alias("total"), r["money"]["currency"].alias("currency"))
-        return F.when(r["confirms"] & r["order"].isNotNull() & (n >= 2), out)
+        return F.when(n >= 2, out)
 
     return let(read, decided)
 
@@ -326,8 +347,11 @@ def observations(sender: Column, subject: Column, body: Column) -> Column:
 
     def fresh(m: Column) -> Column:
         context = F.trim(F.concat_ws("\n", m["subject"], m["body"]))
-        named = F.struct(identity(context, LATER_ORDER_IDS).alias("order"), F.upper(identity(context, TRACKING_IDS)).alias("tracking"), identity(context, INVOICE_IDS).alias("invoice"), F.concat_ws("\n", m["subject"], without_promises(m["body"])).alias("now"))
-        return let(named, told)
+        of = lambda context: F.struct(context.alias("context"), identity(context, LATER_ORDER_IDS).alias("order"), F.upper(identity(context, TRACKING_IDS)).alias("tracking"))
+        return let(let(context, of), lambda r: F.when(F.coalesce(r["order"], r["tracking"]).isNull(), nothing).otherwise(let(read(m, r), told)))
+
+    def read(m: Column, r: Column) -> Column:
+        return F.struct(r["order"].alias("order"), r["tracking"].alias("tracking"), identity(r["context"], INVOICE_IDS).alias("invoice"), F.concat_ws("\n", m["subject"], without_promises(m["body"])).alias("now"))
 
     def told(r: Column) -> Column:
         seen = lambda event, phase, order, tracking, invoice, confidence: F.struct(event.alias("event"), phase.alias("phase"), order.alias("order"), tracking.alias("tracking"), invoice.alias("invoice"), confidence.alias("confidence"))
@@ -337,6 +361,7 @@ def observations(sender: Column, subject: Column, body: Column) -> Column:
         parcel = F.when(F.coalesce(r["order"], r["tracking"]).isNotNull(), let(phase_of(r["now"]), lambda p: F.when(p.isNotNull(), seen(F.when(p == "delivered", "delivery").otherwise("shipment"), p, r["order"], r["tracking"], none, both))))
         return F.array_compact(F.array(bill, parcel))
 
+    nothing = F.array().cast("array<struct<event:string,phase:string,order:string,tracking:string,invoice:string,confidence:double>>")
     others = reduce(Column.__or__, [in_domain(sender, d) for d in (*SHARED_SENDERS, *INFRASTRUCTURE)])
     safe = (sender != "") & (sender_role(sender) == "unknown") & ~others & ~sender.isin(*OWN_PARSERS)
     return F.when(safe, let(F.struct(subject.alias("subject"), without_history(body).alias("body")), fresh))

@@ -51,8 +51,20 @@ def let(value: Column, body) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; a translate, so it stays in generated code."""
-    return F.lower(F.translate(F.translate(text, " ", " "), ACCENTED, PLAIN))
+    """Lower case without accents; a translate, so it stays in generated code.  ASCII alone needs none."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.lower(F.translate(text, ACCENTED, PLAIN)))
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [text.contains(w) for w in words])
+
+
+def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether a text matches one of the patterns, in one pass: those that begin at the edge of a word look for it together."""
+    edge = r"\b"
+    inner = [f"(?:{p[len(edge):]})" for p in patterns if p.startswith(edge)]
+    others = [f"(?:{p})" for p in patterns if not p.startswith(edge)]
+    return text.rlike("|".join([edge + f"(?:{'|'.join(inner)})"] * bool(inner) + others))
 
 
 def text_key(text: Column) -> Column:
@@ -210,14 +222,22 @@ def without_history(text: Column) -> Column:
     That is what follows a separator or a quoted head (a sender, and within
     eight lines a recipient and a subject), and lines that begin with >.
     """
+    low = F.lower(text)
+    # no line begins a quotation without these; most texts lack them
+    marked = (low.contains("--") & has_any(low, ("message", "uzenet"))) | has_any(low, ("begin", "wrote", "irta")) | (has_any(low, ("from", "felado")) & has_any(low, ("to", "cimzett")) & has_any(low, ("subject", "targy")))
+    own = lambda lines: F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^\s*>")), "\n")
     lines = F.split(text, "\r?\n")
-    separator = F.transform(lines, lambda x: reduce(Column.__or__, [x.rlike(p) for p in HISTORY]))
+    fresh = F.when(marked, let(lines, lambda ls: own(_before_history(ls)))).when(text.contains(">"), own(lines)).otherwise(F.replace(text, F.lit("\r\n"), F.lit("\n")))
+    return F.trim(F.regexp_replace(fresh, r"\n{3,}", "\n\n"))
+
+
+def _before_history(lines: Column) -> Column:
+    separator = F.transform(lines, lambda x: any_of(x, HISTORY))
     ahead = lambda i, p: F.exists(F.slice(lines, i + 1, 8), lambda x: x.rlike(p))
     head = F.transform(lines, lambda x, i: x.rlike(r"^\s*(?:from|felado)\s*:") & ahead(i, r"^\s*(?:to|cimzett)\s*:") & ahead(i, r"^\s*(?:subject|targy)\s*:"))
     stops = F.zip_with(separator, head, lambda a, b: a | b)
     stop = F.coalesce(F.nullif(F.array_position(stops, True), F.lit(0)) - 1, F.size(lines))
-    fresh = F.filter(F.slice(lines, F.lit(1), stop.cast("int")), lambda x: ~x.rlike(r"^\s*>"))
-    return F.trim(F.regexp_replace(F.array_join(fresh, "\n"), r"\n{3,}", "\n\n"))
+    return F.slice(lines, F.lit(1), stop.cast("int"))
 
 
 def labelled_line(text: Column, labels: tuple[str, ...]) -> Column:

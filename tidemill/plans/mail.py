@@ -339,9 +339,10 @@ def parser_chain(spark, d):
     """The first parser that recognises a message speaks for it; what none does is left for review."""
     m = _message_texts(messages(spark, d))
     sender, subject, body = F.col("sender"), F.col("folded_subject"), F.col("folded_body")
-    context = F.concat_ws("\n", subject, body)
+    m, context = m.withColumn("context", F.concat_ws("\n", subject, body)), F.col("context")
     # each parser in a projection of its own, so that what is asked of it several times is read once
-    m = m.withColumn("carrier", C.carrier_message(sender, context)).withColumn("order", C.generic_order(sender, subject, body)).withColumn("invoice", C.identity(context, C.INVOICE_IDS))
+    m = m.withColumn("carrier", C.carrier_message(sender, context)).withColumn("order", C.generic_order(sender, subject, body))
+    m = m.withColumn("invoice", F.when(F.col("carrier").isNull() & F.col("order").isNull() & (T.sender_role(sender) == "unknown"), C.identity(context, C.INVOICE_IDS)))
     carrier, order, invoice = F.col("carrier"), F.col("order"), F.col("invoice")
     out = lambda parser, event, identity, confidence: F.struct(F.lit(parser).alias("parser"), event.alias("event"), identity.alias("identity"), confidence.cast("double").alias("confidence"))
     chain = F.coalesce(
@@ -547,5 +548,7 @@ _ORDERS_FOUND = "role = 'unknown' AND o IS NOT NULL AND confirms AND signs >= 2"
 @query(f"""{M}, {_TEXTS}, {_PARSED} SELECT id, CASE WHEN signs >= 4 THEN 0.97 WHEN signs = 3 THEN 0.95 ELSE 0.92 END::DOUBLE AS confidence, left(sha256(unhex({SQL_PADS['o']} || sha256(unhex({SQL_PADS['i']} || hex(encode(sender)))))), 24) AS sender_fingerprint, has_total, 'review' AS status, false AS would_write FROM pr WHERE {_ORDERS_FOUND}""")
 def generic_shadow(spark, d):
     """What the generic order parser would have found, with a fingerprint in place of the sender; never written."""
-    m = _message_texts(messages(spark, d)).withColumn("order", C.generic_order(F.col("sender"), F.col("folded_subject"), F.col("folded_body"))).where("order is not null")
+    order = C.generic_order(F.col("sender"), F.col("folded_subject"), F.col("folded_body"))
+    # exploded, not filtered: a filter moves below the projection, and each message would be read twice and folded for each pattern
+    m = _message_texts(messages(spark, d)).select("id", "sender", F.explode(F.array_compact(F.array(order))).alias("order"))
     return m.select("id", F.col("order.confidence").cast("double").alias("confidence"), F.left(T.hmac_sha256(SECRET, F.col("sender")), F.lit(24)).alias("sender_fingerprint"), F.col("order.total").isNotNull().alias("has_total"), F.lit("review").alias("status"), F.lit(False).alias("would_write"))
