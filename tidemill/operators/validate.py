@@ -17,11 +17,11 @@ TRUSTED = ("validated", "guardrailed")
 SHADOW_ONLY = r"^generic-(?:order-confirmation|lifecycle)-v[0-9]+(?:\.[0-9]+)*$"
 
 
-def _money(amount: str, currency: str, context: Column, waived: Column) -> tuple[Column, Column, Column]:
+def _money(amount: str, currency: str, waived: Column) -> tuple[Column, Column, Column]:
     """reason, whether the amount goes, and whether the currency goes."""
     a, c = F.col(amount), F.nullif(F.col(currency), F.lit(""))
-    bare = (a < 0) | ~money_context(context)
-    unsaid = ~currency_evident(context, c)
+    bare = (a < 0) | ~F.col("__of_money")
+    unsaid = ~F.col(f"__names_{currency}")
     reason = F.when(a.isNull(), None).when(bare, f"{amount}_lacks_monetary_evidence").when(c.isNull(), F.when(~waived, f"{amount}_missing_currency")).when(unsaid, f"{amount}_currency_lacks_evidence")
     return reason, reason.isNotNull(), reason.isNotNull() & c.isNotNull() & (bare | unsaid)
 
@@ -36,7 +36,10 @@ def validated(rows: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     amounts need words of money and their currency in the text.
     """
     carrier, raw, status = F.coalesce("carrier", F.lit(False)), F.col("event"), F.col("payment_status")
-    context = F.lower(F.coalesce("context", F.lit("")))
+    # what a text says is read once, before it is asked of several times, and only where an amount asks it
+    texts, sums, has = rows.withColumn("__context", F.lower(F.coalesce("context", F.lit("")))), (("total", "currency"), ("paid_amount", "paid_currency")), lambda a: ~carrier & F.col(a).isNotNull()
+    texts = texts.withColumn("__of_money", F.when(has("total") | has("paid_amount"), money_context(F.col("__context"))))
+    rows = texts.withColumns({f"__names_{c}": F.when(has(a), currency_evident(F.col("__context"), F.nullif(F.col(c), F.lit("")))) for a, c in sums})
     downgraded = carrier & raw.isin(*NOT_OF_CARRIERS)
     event = F.when(downgraded, "shipment").otherwise(raw)
     confidence = F.when(downgraded, F.least("confidence", F.lit(0.85))).otherwise(F.col("confidence"))
@@ -44,8 +47,8 @@ def validated(rows: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     any_cleared = F.lit(False)
     for _, c in cleared:
         any_cleared = any_cleared | F.coalesce(c, F.lit(False))
-    total, no_total, no_currency = _money("total", "currency", context, F.lit(False))
-    paid, no_paid, no_paid_currency = _money("paid_amount", "paid_currency", context, (raw == "payment_completed") & F.coalesce(status == "paid", F.lit(False)))
+    total, no_total, no_currency = _money("total", "currency", F.lit(False))
+    paid, no_paid, no_paid_currency = _money("paid_amount", "paid_currency", (raw == "payment_completed") & F.coalesce(status == "paid", F.lit(False)))
     other = ~carrier
     bad_cod = F.coalesce(F.col("cod_amount") < 0, F.lit(False))
     unpaid = (event == "payment_completed") & ~F.coalesce(status == "paid", F.lit(False))
