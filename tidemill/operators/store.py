@@ -55,5 +55,6 @@ class MergeTable:
         news = good.groupBy(*self.keys, "bucket").agg(*[pick[r](c).alias(f"__{c}") for c, r in self.rules.items()])
         both = old.join(news, [*self.keys, "bucket"], "full")
         out = both.select(*self.keys, *[RULES[r](F.col(c), F.col(f"__{c}")).alias(c) for c, r in self.rules.items()], "bucket")
-        # partitions that the frame has are replaced when all are written, others stay
-        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/rows")
+        # written by the tasks of the join, so that a bucket of any size is spread over all of them; partitions
+        # that the frame has are replaced when all are written, others stay
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/rows")
