@@ -52,7 +52,8 @@ class MergeTable:
             return
         at = F.struct(*self.order)
         pick = {"new": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)), "old": lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at)), "greatest": F.max, "least": F.min}
-        news = good.groupBy(*self.keys, "bucket").agg(*[pick[r](c).alias(f"__{c}") for c, r in self.rules.items()])
+        # keys meet before they are folded: a row has its order once, a fold's buffer once for each column
+        news = good.repartition(*self.keys, "bucket").groupBy(*self.keys, "bucket").agg(*[pick[r](c).alias(f"__{c}") for c, r in self.rules.items()])
         both = old.join(news, [*self.keys, "bucket"], "full")
         out = both.select(*self.keys, *[RULES[r](F.col(c), F.col(f"__{c}")).alias(c) for c, r in self.rules.items()], "bucket")
         # written by the tasks of the join, so that a bucket of any size is spread over all of them; partitions

@@ -93,9 +93,12 @@ def _product_table(spark, d) -> MergeTable:
         F.col("l_orderkey").alias("purchase_id"), (F.col("l_orderkey") * 100 + F.col("l_suppkey") % 100).alias("source_id"), n.alias("n"), F.col("l_extendedprice").alias("tie"), part.alias("part"), F.when(part % 17 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("  x"))).alias("name"), F.when(part % 3 == 0, F.concat(F.lit(" SKU-"), part, F.lit(" "))).alias("sku"),
         F.when(n % 2 == 0, F.col("p_brand")).alias("brand"), F.when(part % 13 == 0, 0.0).otherwise(F.col("l_quantity")).alias("quantity"), F.when(part % 11 == 0, -1.0).otherwise(F.col("l_extendedprice")).alias("total"), F.when(part % 3 == 0, "eur").when(part % 3 == 1, "EURO").alias("currency"), (F.col("l_discount") * 10).alias("confidence"), (F.col("l_suppkey") % 7 > 0).alias("trusted"),
     )
-    u = products_of(rows).withColumn("source", F.col("source_id"))
+    folder = _stream_folder(spark)
+    # every batch reads its updates several times, so they are made once
+    products_of(rows).withColumn("source", F.col("source_id")).write.parquet(f"{folder}/updates")
+    u = spark.read.parquet(f"{folder}/updates")
     kind = "purchase_id long, source_key string, name string, brand string, quantity double, total double, currency string, source_id long, confidence double"
-    done = MergeTable(spark, _stream_folder(spark), kind, ["purchase_id", "source_key"], {"name": "new", "brand": "new", "quantity": "new", "total": "new", "currency": "new", "source_id": "new", "confidence": "greatest"}, ["n", "tie", "part"], buckets=4)
+    done = MergeTable(spark, folder, kind, ["purchase_id", "source_key"], {"name": "new", "brand": "new", "quantity": "new", "total": "new", "currency": "new", "source_id": "new", "confidence": "greatest"}, ["n", "tie", "part"], buckets=4)
     for batch, part_of in ((0, "n <= 3"), (1, "n > 3"), (1, "n > 3")):
         done.apply(u.where(part_of), batch)
     return done
