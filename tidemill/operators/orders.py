@@ -38,7 +38,7 @@ PAID = r"\b(?:payment received|payment successful|successfully paid|sikeres fize
 
 def unaccented(text: Column) -> Column:
     """A text without accents, in its case; no-break spaces are spaces."""
-    return F.translate(F.translate(F.translate(text, " ", " "), "\r", ""), ACCENTED, PLAIN)
+    return F.translate(text, ACCENTED + "\r", PLAIN)  # what has no counterpart is deleted
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:

@@ -73,7 +73,11 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Futárszolgálat DPD:\n", ft(F.lit(SHIPPING)), "Engedmény (27% ÁFA):\n-", ft(F.lit(DISCOUNT)), "Összesen:\n", ft(F.col("sum") + SHIPPING - DISCOUNT + wrong), "Szállítási mód\nFutárszolgálat DPD\nFizetési mód:\n", _if(ON_DELIVERY, "Utánvét", _if(PAID_BY_CARD, "Klarna", "Bankkártya")), "\n",
     )
     shop = F.col("id") % 4
-    by_shop = lambda *each: F.element_at(F.array(*each), (shop + 1).cast("int"))
+
+    def by_shop(*each: Column) -> Column:
+        # a choice, not a list's element, so that only the own shop's text is written
+        return F.when(shop == 0, each[0]).when(shop == 1, each[1]).when(shop == 2, each[2]).when(shop == 3, each[3])
+
     subject = by_shop(
         text("Automata megrendelés visszaigazolás - 2024-", number), F.when(F.col("form") == OTHER_NUMBER, "Rendelésed úton van").otherwise("Rendelésed feldolgozás alatt van"), text(_if(OTHER_NUMBER, "Értékeld: ", "Megvásároltad: "), F.col("items")[0]["name"]), text("Megrendelési szám: ", number),
     )
