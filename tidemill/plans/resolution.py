@@ -104,7 +104,11 @@ def _sides(spark, d):
     key = F.upper(F.regexp_replace("order_no", "[^a-zA-Z0-9]", ""))
     own = a.select(F.col("source_id").alias("probe"), "user_id", "confidence", "k", "thread", key.alias("order"), "sender", "value", "currency", "merchant", micros(F.col("received_at")).alias("t"))
     theirs = b.select(F.col("purchase_id").alias("id"), "user_id", "k", "thread", key.alias("order"), "sender", F.col("value").alias("b_value"), "currency", "merchant", micros(F.col("ordered_at")).alias("t"))
-    return own, theirs
+    # both are asked for many times, and each time would read the events' texts and group them again
+    folder = _stream_folder(spark)
+    for name, side in (("own", own), ("theirs", theirs)):
+        side.write.parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/own"), spark.read.parquet(f"{folder}/theirs")
 
 
 def _rare(own, theirs, keys: tuple[str, ...]):
